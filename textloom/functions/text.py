@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Explicit classes, so that a word and a space mean the same in every regex dialect.
 WORD_CHAR = r"\p{L}\p{N}_"
@@ -244,7 +245,7 @@ def fingerprint(c: Column) -> Column:
 # ---- normal forms for quote checking --------------------------------------------------
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def _nfkd(values: pd.Series) -> pd.Series:
     return values.map(lambda v: None if v is None else unicodedata.normalize("NFKD", v))
 

@@ -13,6 +13,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
 from textloom.operators.skew import broadcast_if_small, heavy_keys, salted_join, top_n
@@ -167,7 +168,7 @@ def ranked_hits(scored: DataFrame, n: int = 5) -> DataFrame:
     return top_n(scored, ["query_id"], order, n)
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _densest(text: pd.Series, keywords: pd.Series, weights: pd.Series) -> pd.Series:
     """Centre of the 200 characters with the largest total keyword weight; null without a match."""
     half = 100

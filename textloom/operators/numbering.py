@@ -15,13 +15,13 @@ def running_offsets(df: DataFrame, key: str, n: str, fan: int = 4096, levels: in
     if levels == 0:
         before = Window.orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
         return df.select(key, F.coalesce(F.sum(n).over(before), F.lit(0)).alias("offset"))
-    block = F.floor(F.col(key) / fan).cast("long")
-    rows = df.select(key, n, block.alias("_block"))
-    sums = rows.groupBy("_block").agg(F.sum(n).alias("_n"))
-    above = running_offsets(sums, "_block", "_n", fan, levels - 1).withColumnRenamed("offset", "_base")
-    before = Window.partitionBy("_block").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
-    inner = rows.withColumn("_inner", F.coalesce(F.sum(n).over(before), F.lit(0)))
-    return inner.join(above, "_block").select(key, (F.col("_base") + F.col("_inner")).alias("offset"))
+    block, inner = f"_block{levels}", f"_inner{levels}"
+    rows = df.select(key, n, F.floor(F.col(key) / fan).cast("long").alias(block))
+    sums = rows.groupBy(block).agg(F.sum(n).alias("_n"))
+    above = running_offsets(sums, block, "_n", fan, levels - 1).withColumnRenamed("offset", "_base")
+    before = Window.partitionBy(block).orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    within = rows.withColumn(inner, F.coalesce(F.sum(n).over(before), F.lit(0)))
+    return within.join(above, block).select(key, (F.col("_base") + F.col(inner)).alias("offset"))
 
 
 def with_neighbours(

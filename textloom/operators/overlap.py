@@ -9,6 +9,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
 
@@ -125,7 +126,7 @@ def lcs_length(a: list[str], b: list[str]) -> int:
     return len(b) - row.bit_count()
 
 
-@pandas_udf("int")
+@pandas_udf(IntegerType())
 def _lcs(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_length(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
 
