@@ -22,6 +22,11 @@ ABBREVIATIONS = [
 ]
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, also where body uses it inside a lambda."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
 
@@ -172,12 +177,12 @@ def chunk_text(c: Column, separator: str = "\n\n", target: int = 700, limit: int
 def word_segments(c: Column, size: int = 100, overlap: int = 50) -> Column:
     """Windows of ``size`` words that advance by ``size - overlap``."""
     step = size - overlap
-    words = split_words(c)
-    starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)))
-    return F.coalesce(
-        F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " ")),
-        F.array().cast("array<string>"),
-    )
+
+    def cut(words: Column) -> Column:
+        starts = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(step)))
+        return F.transform(starts, lambda i: F.array_join(F.slice(words, i + 1, F.lit(size)), " "))
+
+    return F.coalesce(let(split_words(c), cut), F.array().cast("array<string>"))
 
 
 def combined_field(text_id, source, context, body, summary, keywords, concepts) -> Column:

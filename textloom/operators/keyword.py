@@ -141,15 +141,16 @@ def constrained(scores: DataFrame, plans: DataFrame, boost: str = "multiply") ->
     """
     wanted, _ = broadcast_if_small(_constraints(plans), 1024)
     joined = scores.join(wanted, "query_id")
+    label = F.col("_label")
     if boost == "strict":
-        label = F.lower("source")
+        joined = joined.withColumn("_label", F.lower("source"))
         year = (F.size("years") == 0) | F.exists("years", lambda y: F.contains(label, y))
         text = (F.size("texts") == 0) | F.exists(
             "texts", lambda t: F.regexp_like(label, tx.whole_word_pattern(F.lower(t)))
         )
         kept = joined.filter(year & text)
-        return kept.withColumn("bucket", F.lit(0)).drop("years", "texts", "labels")
-    label = tx.source_key(F.col("source"))
+        return kept.withColumn("bucket", F.lit(0)).drop("years", "texts", "labels", "_label")
+    joined = joined.withColumn("_label", tx.source_key(F.col("source")))
     year = (F.size("years") == 0) | F.exists("years", lambda y: F.contains(label, y))
     text = (F.size("labels") == 0) | F.exists("labels", lambda t: F.contains(label, t))
     by_year, by_text = BOOSTS[boost]
@@ -159,7 +160,7 @@ def constrained(scores: DataFrame, plans: DataFrame, boost: str = "multiply") ->
     else:
         score = score + F.when(year, by_year).otherwise(0.0) + F.when(text, by_text).otherwise(0.0)
     bucket = F.when(year & text, 0).when(year, 1).otherwise(2)
-    return joined.withColumn("score", score).withColumn("bucket", bucket).drop("years", "texts", "labels")
+    return joined.withColumn("score", score).withColumn("bucket", bucket).drop("years", "texts", "labels", "_label")
 
 
 def ranked_hits(scored: DataFrame, n: int = 5) -> DataFrame:
@@ -207,7 +208,10 @@ def _query_keywords(weights: DataFrame) -> DataFrame:
 
 def with_snippets(hits: DataFrame, corpus: DataFrame, weights: DataFrame, boost: str = "multiply") -> DataFrame:
     """Add quote, summary and per-keyword counts. Runs on the top hits only."""
-    texts = corpus.select("chunk_id", "full_text", F.coalesce("summary", F.lit("")).alias("summary"), searched_text().alias("body"))
+    texts = corpus.select(
+        "chunk_id", "full_text", F.coalesce("summary", F.lit("")).alias("summary"), F.lower("full_text").alias("low"),
+        searched_text().alias("body"),
+    )
     rows = hits.join(texts, "chunk_id").join(_query_keywords(weights), "query_id")
     counts = F.transform(
         "kw", lambda k: F.struct(k["keyword"].alias("keyword"), F.regexp_count("body", tx.whole_word_pattern(k["key"])).cast("long").alias("n"))
@@ -218,13 +222,13 @@ def with_snippets(hits: DataFrame, corpus: DataFrame, weights: DataFrame, boost:
         used = F.filter("kw", lambda k: k["weight"] > 0)
         rows = rows.withColumn(
             "_centre",
-            _densest(F.lower(full), F.transform(used, lambda k: k["key"]), F.transform(used, lambda k: k["weight"])),
+            _densest(F.col("low"), F.transform(used, lambda k: k["key"]), F.transform(used, lambda k: k["weight"])),
         )
         note = F.concat(F.lit(METADATA_NOTE), F.replace(F.left(full, F.lit(2 * CONTEXT)), F.lit("\n"), F.lit(" ")))
         quote = F.when(F.col("_centre").isNotNull(), _around(full, F.col("_centre"))).otherwise(note)
     else:
         # Earliest place of the heaviest user keyword that occurs.
-        where = F.lower(full) if boost == "add" else F.col("body")
+        where = F.col("low") if boost == "add" else F.col("body")
         places = F.transform(
             "kw",
             lambda k: F.struct(
@@ -234,7 +238,7 @@ def with_snippets(hits: DataFrame, corpus: DataFrame, weights: DataFrame, boost:
         )
         best = F.array_max(F.filter(places, lambda p: p["neg"] < 0))
         quote = _around(full, F.coalesce(-best["neg"] - 1, F.lit(0)))
-    return rows.withColumn("quote", quote).drop("_centre", "kw", "body", "full_text", "bucket")
+    return rows.withColumn("quote", quote).drop("_centre", "kw", "body", "low", "full_text", "bucket")
 
 
 def keyword_search(corpus: DataFrame, terms: DataFrame, plans: DataFrame, n: int = 5, boost: str = "multiply") -> DataFrame:

@@ -25,9 +25,12 @@ TOKENIZERS = {"space": tx.split_words, "words": tx.word_runs, "overlap": overlap
 def _grams(tokens: Column, orders: tuple[int, ...]) -> Column:
     """All n-grams of the given orders as ``struct(n, gram)``."""
     def of(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1))
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
         grams = F.transform(
-            starts, lambda i: F.struct(F.lit(n).alias("n"), F.array_join(F.slice(tokens, i, F.lit(n)), " ").alias("gram"))
+            starts,
+            lambda i: F.struct(
+                F.lit(n).alias("n"), F.concat_ws(" ", *[F.get(tokens, i + k) for k in range(n)]).alias("gram")
+            ),
         )
         return F.coalesce(grams, F.array().cast("array<struct<n:int,gram:string>>"))
 
@@ -56,7 +59,8 @@ def gram_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> D
     tokens = TOKENIZERS[tokenizer]
 
     def tagged(col: str, mine: int) -> DataFrame:
-        return pairs.select("pair_id", F.explode(_grams(tokens(F.col(col)), orders)).alias("g")).select(
+        texts = pairs.select("pair_id", tokens(F.col(col)).alias("t"))
+        return texts.select("pair_id", F.explode(_grams(F.col("t"), orders)).alias("g")).select(
             "pair_id", "g.n", "g.gram", F.lit(mine).alias("c"), F.lit(1 - mine).alias("r")
         )
 

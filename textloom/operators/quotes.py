@@ -77,20 +77,24 @@ def windows(quote: Column, shortest: int, word_start: bool = False, share: float
     Lengths shrink by 10 down to ``shortest``; starts advance by 10. With ``word_start`` a
     substring must begin a word; with ``share`` it must make up that share of the quote.
     """
-    n = F.length(quote)
-    longest = F.least(n, F.lit(60))
     none = F.array().cast("array<int>")
-    sizes = F.when(longest >= shortest, F.sequence(longest, F.lit(shortest), F.lit(-10))).otherwise(none)
-    if share:
-        sizes = F.filter(sizes, lambda w: w / n >= share)
 
-    def cut(w: Column) -> Column:
-        starts = F.sequence(F.lit(1), n - w + 1, F.lit(10))
-        if word_start:
-            starts = F.filter(starts, lambda s: (s == 1) | (F.substring(quote, s - 1, F.lit(1)) == " "))
-        return F.transform(starts, lambda s: F.substring(quote, s, w))
+    def cuts(q: Column) -> Column:
+        n = F.length(q)
+        longest = F.least(n, F.lit(60))
+        sizes = F.when(longest >= shortest, F.sequence(longest, F.lit(shortest), F.lit(-10))).otherwise(none)
+        if share:
+            sizes = F.filter(sizes, lambda w: w / n >= share)
 
-    return F.coalesce(F.flatten(F.transform(sizes, cut)), F.array().cast("array<string>"))
+        def of_size(w: Column) -> Column:
+            starts = F.sequence(F.lit(1), n - w + 1, F.lit(10))
+            if word_start:
+                starts = F.filter(starts, lambda s: (s == 1) | (F.substring(q, s - 1, F.lit(1)) == " "))
+            return F.transform(starts, lambda s: F.substring(q, s, w))
+
+        return F.flatten(F.transform(sizes, of_size))
+
+    return F.coalesce(tx.let(quote, cuts), F.array().cast("array<string>"))
 
 
 def any_window(cuts: Column, hay: Column) -> Column:

@@ -243,13 +243,17 @@ def r10(spark, d):
 
 
 @query("r11_best_segment", f"""WITH {SQL_CENTROIDS},
-sims AS (SELECT query_id, label AS chunk_id, vec_id AS segment_id, list_cosine_similarity(q, v) AS s FROM centroids, vecs)
+sims AS (SELECT query_id, label AS chunk_id, vec_id AS segment_id, list_cosine_similarity(q, v) AS s FROM centroids, vecs),
+hit AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, segment_id) AS rank FROM sims) WHERE rank <= 20)
 SELECT query_id, chunk_id, segment_id, round(s, 6) AS similarity FROM
-(SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(s, 9) DESC, segment_id) AS r FROM sims) WHERE r = 1""")
+(SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(s, 9) DESC, segment_id) AS r FROM sims JOIN hit USING (query_id, chunk_id)) WHERE r = 1""")
 def r11(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("chunk_id"), F.col("vec_id").alias("segment_id"), "embedding")
     q = centroids(spark, d)
-    pairs = q.select("query_id", F.explode(F.sequence(F.lit(0), F.lit(9))).cast("long").alias("chunk_id"))
+    near = vector.cosine_top(rows.select(F.col("segment_id").alias("chunk_id"), "embedding"), q, 20)
+    owner = rows.select(F.col("segment_id"), F.col("chunk_id").alias("doc"))
+    found = near.select("query_id", F.col("chunk_id").alias("segment_id")).join(owner, "segment_id")
+    pairs = found.select("query_id", F.col("doc").alias("chunk_id")).distinct()
     return vector.best_segments(pairs, rows, q).withColumn("similarity", r6("similarity"))
 
 
