@@ -17,7 +17,7 @@ from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
 from textloom.operators.skew import broadcast_if_small, heavy_keys, salted_join, top_n
-from textloom.operators.termstats import relative_frequency
+from textloom.session import cut_lineage
 
 # Lifts for a matching year and a matching source label, by mode.
 BOOSTS = {"multiply": (1.5, 1.8), "add": (5.0, 8.0)}
@@ -45,17 +45,18 @@ def keyword_weights(plans: DataFrame, terms: DataFrame, absent: str = "min") ->
     kw = plans.select("query_id", F.explode("weighted_keywords").alias("keyword", "user_weight"))
     kw = kw.withColumn("key", tx.strip(F.lower("keyword"))).filter("key <> ''")
     small, _ = broadcast_if_small(kw, 128)
-    # The term table is the big side: reduce it to the asked terms before anything else.
-    rel = relative_frequency(terms.select(F.lower("term").alias("key"), "raw_freq"))
-    rarest = rel.select(F.min("rel_freq")).scalar() if absent == "min" else F.lit(1.0)
-    asked = rel.join(small.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("rel_freq").alias("rel_freq"))
-    raw = kw.join(asked, "key", "left").withColumn(
-        "w", 1.0 / F.coalesce("rel_freq", rarest, F.lit(1e-9))
-    )
-    top = raw.groupBy("query_id").agg(F.max("w").alias("top"))
-    return raw.join(top, "query_id").select(
-        "query_id", "keyword", "key", "user_weight", (F.col("w") / F.col("top") * 10).alias("weight")
+    # The term table is the big side: reduce it to the asked terms before anything else. The
+    # corpus total cancels out of weight / largest weight, so raw frequencies are enough.
+    known = terms.select(F.lower("term").alias("key"), "raw_freq")
+    rarest = terms.select(F.min("raw_freq") if absent == "min" else F.sum("raw_freq")).scalar()
+    asked = known.join(small.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("raw_freq").alias("raw_freq"))
+    raw = kw.join(asked, "key", "left").withColumn("f", F.coalesce("raw_freq", rarest, F.lit(1)))
+    top = raw.groupBy("query_id").agg(F.min("f").alias("least"))
+    weights = raw.join(top, "query_id").select(
+        "query_id", "keyword", "key", "user_weight", (F.col("least") / F.col("f") * 10).alias("weight")
     )
+    # Small, used by every later step and dependent on the whole corpus: stored once.
+    return cut_lineage(weights, "keyword-weights")
 
 
 def searched_text() -> Column:

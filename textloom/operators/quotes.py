@@ -314,7 +314,8 @@ def inline_quotes(text: Column, least: int = 15) -> Column:
         else:
             pattern = rf"{a}([^\n]{{{least},}}?){b}"
         spans = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
-        found.append(F.transform(spans, lambda s, k=style: F.struct(F.lit(k).alias("style"), s.alias("span"))))
+        kind = F.lit(style).alias("style")
+        found.append(F.transform(spans, lambda s: F.struct(kind, s.alias("span"))))
     return F.concat(*found)
 
 

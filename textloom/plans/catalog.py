@@ -1,4 +1,4 @@
 """All registered queries."""
 
-from textloom.plans import metric_queries, prep_queries, retrieval_queries  # noqa: F401
+from textloom.plans import metric_queries, output_queries, prep_queries, quote_queries, retrieval_queries  # noqa: F401
 from textloom.plans.registry import ORACLES, QUERIES  # noqa: F401
