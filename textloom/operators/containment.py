@@ -124,9 +124,17 @@ def phrase_hits(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFram
 
 
 def term_hits(terms: DataFrame, term_id: str, term: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
-    """Texts holding each term between word boundaries, ignoring case."""
-    low = terms.select(term_id, F.lower(term).alias("_term"))
+    """Texts holding each term between word boundaries, ignoring case.
+
+    The boundaries make every word of the term a complete word of the text, the outer ones too.
+    """
+    low = terms.select(F.col(term_id).alias("owner"), F.lower(term).alias("_term")).filter("_term <> ''")
     body = texts.select(text_id, F.lower(text).alias("_low"))
-    near = containment_join(low, term_id, "_term", body, text_id, "_low")
-    tested = near.join(low, term_id).join(body, text_id)
-    return tested.filter(F.regexp_like(F.col("_low"), tx.whole_word_pattern(F.col("_term")))).select(term_id, text_id)
+    words = low.withColumn("w", F.array_distinct(F.regexp_extract_all("_term", F.lit(tx.WORD_RUN), F.lit(0))))
+    anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
+    edges = words.filter(F.size("w") == 0).select("owner", longest_run(F.col("_term")).alias("run"))
+    pairs = candidates(anchors, edges, body, text_id, all_runs(F.col("_low")))
+    tested = pairs.join(low, "owner").join(body, text_id)
+    return tested.filter(F.regexp_like(F.col("_low"), tx.whole_word_pattern(F.col("_term")))).select(
+        F.col("owner").alias(term_id), text_id
+    )

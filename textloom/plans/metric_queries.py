@@ -50,13 +50,13 @@ f AS (SELECT *, list_sum(list_transform(range(1, best + 1), lambda i: 1 / log2(i
              list_sum(list_transform(range(1, n_rel + 1), lambda i: 1 / log2(i + 1))) AS top_retrieved FROM g)"""
 
 
-@query("m3_reciprocal_rank", f"WITH {SQL_MARKED}, {SQL_RANKING} SELECT query_id, round(mrr, 6) AS mrr FROM f")
+@query("m3_reciprocal_rank", f"WITH {SQL_MARKED}, {SQL_RANKING} SELECT query_id, round(mrr + 1e-9, 6) AS mrr FROM f")
 def m3(spark, d):
     return irmetrics.ranking_metrics(hits(spark, d, 10), qrels(spark, d)).select("query_id", r6("mrr").alias("mrr"))
 
 
 @query("m4_ndcg", f"""WITH {SQL_MARKED}, {SQL_RANKING}
-SELECT query_id, round(CASE WHEN best > 0 THEN dcg / top ELSE 0 END, 6) AS ndcg, round(CASE WHEN n_rel > 0 THEN dcg / top_retrieved ELSE 0 END, 6) AS ndcg_retrieved FROM f""")
+SELECT query_id, round(CASE WHEN best > 0 THEN dcg / top ELSE 0 END + 1e-9, 6) AS ndcg, round(CASE WHEN n_rel > 0 THEN dcg / top_retrieved ELSE 0 END + 1e-9, 6) AS ndcg_retrieved FROM f""")
 def m4(spark, d):
     h, q = hits(spark, d, 10), qrels(spark, d)
     full = irmetrics.ranking_metrics(h, q).select("query_id", r6("ndcg").alias("ndcg"))
@@ -65,7 +65,7 @@ def m4(spark, d):
 
 
 @query("m5_precision_recall_at_k", f"""WITH {SQL_MARKED}, {SQL_RANKING}
-SELECT query_id, {', '.join(f"round(t{k} / {k}, 6) AS p_at_{k}, round(CASE WHEN n_ideal > 0 THEN t{k} / n_ideal ELSE 0 END, 6) AS r_at_{k}" for k in (1, 3, 5))} FROM f""")
+SELECT query_id, {', '.join(f"round(t{k} / {k} + 1e-9, 6) AS p_at_{k}, round(CASE WHEN n_ideal > 0 THEN t{k} / n_ideal ELSE 0 END + 1e-9, 6) AS r_at_{k}" for k in (1, 3, 5))} FROM f""")
 def m5(spark, d):
     m = irmetrics.ranking_metrics(hits(spark, d, 10), qrels(spark, d))
     cols = [f"{x}_at_{k}" for k in (1, 3, 5) for x in ("p", "r")]
@@ -104,8 +104,8 @@ def m2(spark, d):
 
 
 def _sql_by_type(kind: str) -> str:
-    return f"""SELECT '{kind}' AS search_type, query_id, round(coalesce(1 / min(rank) FILTER (rel), 0), 6) AS mrr,
- round(count(*) FILTER (rel AND rank <= 3) / 3, 6) AS p_at_3, round(coalesce(count(*) FILTER (rel AND rank <= 3) / max(n_ideal), 0), 6) AS r_at_3
+    return f"""SELECT '{kind}' AS search_type, query_id, round(coalesce(1 / min(rank) FILTER (rel), 0) + 1e-9, 6) AS mrr,
+ round(count(*) FILTER (rel AND rank <= 3) / 3 + 1e-9, 6) AS p_at_3, round(coalesce(count(*) FILTER (rel AND rank <= 3) / max(n_ideal), 0) + 1e-9, 6) AS r_at_3
 FROM (SELECT t.query_id, t.rank, q.chunk_id IS NOT NULL AS rel, s.n_ideal FROM
    (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM h WHERE search_type = '{kind}') t
    LEFT JOIN nq q USING (query_id, chunk_id) LEFT JOIN (SELECT query_id, count(*) AS n_ideal FROM nq GROUP BY 1) s ON s.query_id = t.query_id) GROUP BY query_id"""
@@ -208,19 +208,19 @@ def sql_f1(n: int) -> str:
 
 
 @query("b1_bleu", f"""WITH {SQL_PAIRS},{sql_grams(sql_words)},{sql_bleu(False)}
-SELECT p.pair_id, round(coalesce(bleu, 0), 6) AS bleu FROM pairs p LEFT JOIN bleu USING (pair_id)""")
+SELECT p.pair_id, round(coalesce(bleu, 0) + 1e-9, 6) AS bleu FROM pairs p LEFT JOIN bleu USING (pair_id)""")
 def b1(spark, d):
     return overlap.bleu(answer_pairs(spark, d)).withColumn("bleu", r6("bleu"))
 
 
 @query("b1_bleu_smoothed", f"""WITH {SQL_PAIRS},{sql_grams(sql_runs)},{sql_bleu(True)}
-SELECT p.pair_id, round(coalesce(bleu, 0), 6) AS bleu FROM pairs p LEFT JOIN bleu USING (pair_id)""")
+SELECT p.pair_id, round(coalesce(bleu, 0) + 1e-9, 6) AS bleu FROM pairs p LEFT JOIN bleu USING (pair_id)""")
 def b1_smoothed(spark, d):
     return overlap.bleu(answer_pairs(spark, d), True, "words").withColumn("bleu", r6("bleu"))
 
 
 @query("b2_rouge", f"""WITH {SQL_PAIRS},{sql_grams(sql_overlap, orders=(1, 2))}
-SELECT p.pair_id, round(coalesce(r1, 0), 6) AS rouge1, round(coalesce(r2, 0), 6) AS rouge2 FROM pairs p
+SELECT p.pair_id, round(coalesce(r1, 0) + 1e-9, 6) AS rouge1, round(coalesce(r2, 0) + 1e-9, 6) AS rouge2 FROM pairs p
 LEFT JOIN (SELECT pair_id, {sql_f1(1)} AS r1, {sql_f1(2)} AS r2 FROM ov GROUP BY pair_id) USING (pair_id)""")
 def b2(spark, d):
     return overlap.rouge(answer_pairs(spark, d)).select("pair_id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
@@ -228,7 +228,7 @@ def b2(spark, d):
 
 # Stems here: words over three letters lose a final s.
 @query("b2_rouge_stemmed", f"""WITH {SQL_PAIRS},{sql_grams(sql_stems, orders=(1, 2))}
-SELECT p.pair_id, round(coalesce(r1, 0), 6) AS rouge1, round(coalesce(r2, 0), 6) AS rouge2 FROM pairs p
+SELECT p.pair_id, round(coalesce(r1, 0) + 1e-9, 6) AS rouge1, round(coalesce(r2, 0) + 1e-9, 6) AS rouge2 FROM pairs p
 LEFT JOIN (SELECT pair_id, {sql_f1(1)} AS r1, {sql_f1(2)} AS r2 FROM ov GROUP BY pair_id) USING (pair_id)""")
 def b2_stemmed(spark, d):
     pairs = answer_pairs(spark, d)
@@ -309,7 +309,7 @@ def evaluated_answers(spark: SparkSession, d: str) -> DataFrame:
 
 @query("b5_answer_evaluation", f"""WITH {SQL_ANSWERS},{sql_grams(sql_words)},{sql_bleu(False)},{sql_grams(sql_overlap, (1,), '2')}
 SELECT p.query_id, p.rank, p.chunk_id, length(p.reference) AS reference_length, length(p.candidate) AS answer_length,
-       round(coalesce(bleu, 0), 6) AS bleu, round(coalesce(r1, 0), 6) AS rouge1
+       round(coalesce(bleu, 0) + 1e-9, 6) AS bleu, round(coalesce(r1, 0) + 1e-9, 6) AS rouge1
 FROM pairs p LEFT JOIN bleu USING (pair_id) LEFT JOIN (SELECT pair_id, {sql_f1(1)} AS r1 FROM ov2 GROUP BY pair_id) USING (pair_id)""")
 def b5(spark, d):
     return evaluated_answers(spark, d).select(

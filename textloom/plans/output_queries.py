@@ -221,7 +221,7 @@ def j12(spark, d):
 
 
 @query("j13_user_rating", f"""WITH {SQL_EV}
-SELECT user_id, round(avg((value + k + length(event_type) + event_id % 5) / 4), 6) AS rating FROM ev GROUP BY user_id""")
+SELECT user_id, round(avg((value + k + length(event_type) + event_id % 5) / 4) + 1e-9, 6) AS rating FROM ev GROUP BY user_id""")
 def j13(spark, d):
     rows = events(spark, d).select(
         "user_id", outputs.rating_average(F.col("value"), F.col("k"), F.length("event_type"), F.col("event_id") % 5).alias("rating")

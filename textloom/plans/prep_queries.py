@@ -356,14 +356,14 @@ def t5(spark, d):
 @query("t6_size_histogram", f"""WITH {SQL_CHUNKS},
 b AS (SELECT CASE WHEN length(full_text) < 200 THEN 0 WHEN length(full_text) < 400 THEN 200 WHEN length(full_text) < 600 THEN 400
    WHEN length(full_text) < 800 THEN 600 WHEN length(full_text) < 1000 THEN 800 WHEN length(full_text) < 1500 THEN 1000 ELSE 1500 END AS bucket FROM chunks)
-SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS pct FROM b GROUP BY bucket""")
+SELECT CAST(bucket AS BIGINT) AS bucket, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER () + 1e-9, 6) AS pct FROM b GROUP BY bucket""")
 def t6(spark, d):
     rows = documents(spark, d).select(F.explode(tx.chunk_text(F.col("text"), "\n")).alias("full_text"))
     return termstats.size_histogram(rows, F.col("full_text")).withColumn("pct", r6("pct"))
 
 
 @query("t7_size_statistics", f"""WITH {SQL_CHUNKS}
-SELECT count(*) AS n, round(avg(length(full_text)), 6) AS mean_size, CAST(min(length(full_text)) AS BIGINT) AS min_size,
+SELECT count(*) AS n, round(avg(length(full_text)) + 1e-9, 6) AS mean_size, CAST(min(length(full_text)) AS BIGINT) AS min_size,
        CAST(max(length(full_text)) AS BIGINT) AS max_size, count(*) FILTER (length(full_text) > 1500) AS n_over FROM chunks""")
 def t7(spark, d):
     rows = documents(spark, d).select(F.explode(tx.chunk_text(F.col("text"), "\n")).alias("full_text"))

@@ -8,6 +8,7 @@ citing that document or the next one.
 from __future__ import annotations
 
 import unicodedata
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -47,7 +48,7 @@ SQL_QUOTES = f"""
 s AS (SELECT d.doc_id, l.quality, l.toxic, {SECOND} AS s2 FROM labels l JOIN documents d USING (doc_id)),
 w AS (SELECT *, {sql_words('s2')} AS ws FROM s WHERE s2 IS NOT NULL),
 quotes AS (SELECT 'b' || item_id AS quote_id, text AS passage, item_id AS cited FROM benchmark
-  UNION ALL SELECT 'l' || doc_id, CASE WHEN doc_id % 4 = 1 THEN upper(s2) WHEN doc_id % 4 = 2 THEN '“' || replace(s2, ',', '') || '...'
+  UNION ALL SELECT 'l' || doc_id, CASE WHEN doc_id % 4 = 1 THEN translate(s2, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 4 = 2 THEN '“' || replace(s2, ',', '') || '...'
      WHEN doc_id % 4 = 3 AND len(ws) > 4 THEN array_to_string(list_transform(ws, lambda x, i: CASE WHEN i = len(ws) - 2 THEN 'zzyzx' ELSE x END), ' ') ELSE s2 END,
      CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1 END FROM w)"""
 
@@ -59,7 +60,7 @@ def quote_table(spark: SparkSession, d: str) -> DataFrame:
     ).filter("s2 is not null").withColumn("ws", tx.split_words(F.col("s2")))
     swapped = F.transform("ws", lambda x, i: F.when(i == F.size("ws") - 3, "zzyzx").otherwise(x))
     passage = (
-        F.when(doc % 4 == 1, F.upper("s2"))
+        F.when(doc % 4 == 1, F.translate("s2", ascii_lowercase, ascii_uppercase))
         .when(doc % 4 == 2, F.concat(F.lit("“"), F.replace("s2", F.lit(","), F.lit("")), F.lit("...")))
         .when((doc % 4 == 3) & (F.size("ws") > 4), F.array_join(swapped, " "))
         .otherwise(F.col("s2"))
@@ -169,7 +170,7 @@ def v4(spark, d):
     )
 
 
-@query("v5_token_coverage", f"WITH {SQL_CITED} SELECT quote_id, round(cover, 6) AS cover FROM t")
+@query("v5_token_coverage", f"WITH {SQL_CITED} SELECT quote_id, round(cover + 1e-9, 6) AS cover FROM t")
 def v5(spark, d):
     return cited_pairs(spark, d).select(
         "quote_id", r6(quotes.coverage(F.col("q_words"), quotes.content_words(F.col("c_loose")))).alias("cover")
@@ -203,7 +204,7 @@ def verified(spark: SparkSession, d: str) -> DataFrame:
     return quotes.verify_quotes(quote_table(spark, d), documents(spark, d), "quote_id", "passage", "cited", "doc_id", "text")
 
 
-@query("v7_staged_verification", f"WITH {SQL_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score, 6) AS score, match_id FROM verified")
+@query("v7_staged_verification", f"WITH {SQL_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score + 1e-9, 6) AS score, match_id FROM verified")
 def v7(spark, d):
     return verified(spark, d).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
 

@@ -34,7 +34,8 @@ def spread(df: DataFrame) -> DataFrame:
 
 
 def r6(c) -> F.Column:
-    return F.round(c, 6)
+    """Six digits; a nudge keeps sums of another order from splitting exact halves."""
+    return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
 
 
 # ---- SQL pieces --------------------------------------------------------------------------

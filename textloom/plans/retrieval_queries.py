@@ -78,13 +78,13 @@ lifted AS (SELECT query_id, doc_id AS chunk_id, source, {bucket} AS bucket, {lif
 ranked AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bucket, round(score, 9) DESC, chunk_id) AS rank FROM lifted) WHERE rank <= {n})"""
 
 
-@query("r1_keyword_weights", f"WITH {sql_weights()} SELECT query_id, keyword, round(weight, 6) AS weight FROM weights")
+@query("r1_keyword_weights", f"WITH {sql_weights()} SELECT query_id, keyword, round(weight + 1e-9, 6) AS weight FROM weights")
 def r1(spark, d):
     w = keyword.keyword_weights(plans(spark, d), terms(spark, d))
     return w.select("query_id", "keyword", r6("weight").alias("weight"))
 
 
-@query("r2_keyword_scores", f"WITH {sql_scores()} SELECT query_id, doc_id AS chunk_id, round(score, 6) AS score FROM scores")
+@query("r2_keyword_scores", f"WITH {sql_scores()} SELECT query_id, doc_id AS chunk_id, round(score + 1e-9, 6) AS score FROM scores")
 def r2(spark, d):
     w = keyword.keyword_weights(plans(spark, d), terms(spark, d))
     return keyword.keyword_scores(corpus(spark, d), w).select("query_id", "chunk_id", r6("score").alias("score"))
@@ -111,7 +111,7 @@ def r2_phrases(spark, d):
 
 
 @query("r3_soft_constraints", f"""WITH {sql_ranked()}
-SELECT query_id, chunk_id, CAST(bucket AS BIGINT) AS bucket, round(score, 6) AS score FROM lifted""")
+SELECT query_id, chunk_id, CAST(bucket AS BIGINT) AS bucket, round(score + 1e-9, 6) AS score FROM lifted""")
 def r3(spark, d):
     p = plans(spark, d)
     scores = keyword.keyword_scores(corpus(spark, d), keyword.keyword_weights(p, terms(spark, d)))
@@ -126,7 +126,7 @@ def hits(spark: SparkSession, d: str, n: int = 5, boost: str = "multiply") -> Da
     return keyword.ranked_hits(keyword.constrained(scores, p, boost), n)
 
 
-@query("r4_bucketed_top_n", f"WITH {sql_ranked()} SELECT query_id, rank, chunk_id, source, round(score, 6) AS score FROM ranked")
+@query("r4_bucketed_top_n", f"WITH {sql_ranked()} SELECT query_id, rank, chunk_id, source, round(score + 1e-9, 6) AS score FROM ranked")
 def r4(spark, d):
     return hits(spark, d).select("query_id", "rank", "chunk_id", "source", r6("score").alias("score"))
 
@@ -140,7 +140,7 @@ placed AS (SELECT query_id, chunk_id, run, coalesce(sum(length(run)) OVER (PARTI
 found_at AS (SELECT p.query_id, p.chunk_id, p.pos, w.weight, w.user_weight FROM placed p JOIN weights w ON w.query_id = p.query_id AND w.keyword = p.run)"""
 SQL_CENTRE = f"""{SQL_SNIPPET},
 starts AS (SELECT DISTINCT query_id, chunk_id, greatest(pos - 100, 0) AS start FROM found_at),
-dense AS (SELECT s.query_id, s.chunk_id, s.start, round(sum(f.weight), 6) AS total FROM starts s
+dense AS (SELECT s.query_id, s.chunk_id, s.start, round(sum(f.weight) + 1e-9, 6) AS total FROM starts s
           JOIN found_at f ON f.query_id = s.query_id AND f.chunk_id = s.chunk_id AND f.pos >= s.start AND f.pos < s.start + 200 GROUP BY ALL),
 centre AS (SELECT query_id, chunk_id, arg_min(start, (-total, start)) + 100 AS c FROM dense GROUP BY ALL)"""
 SQL_QUOTE = "replace(substr(text, CAST(greatest(c - 300, 0) AS INT) + 1, CAST(c + 300 - greatest(c - 300, 0) AS INT)), chr(10), ' ')"
@@ -167,7 +167,7 @@ def _full_search(spark, d, boost):
 
 
 @query("r6_keyword_search", f"""WITH {sql_ranked()},{SQL_CENTRE}
-SELECT b.query_id, b.rank, b.chunk_id, b.source, 'Passage in ' || d.lang AS summary, round(b.score, 6) AS score, k.keyword_counts,
+SELECT b.query_id, b.rank, b.chunk_id, b.source, 'Passage in ' || d.lang AS summary, round(b.score + 1e-9, 6) AS score, k.keyword_counts,
        CASE WHEN c IS NULL THEN '[match in metadata] ' || replace(left(b.text, 600), chr(10), ' ') ELSE {SQL_QUOTE.replace('(text', '(b.text')} END AS quote
 FROM body b JOIN documents d ON d.doc_id = b.chunk_id JOIN {SQL_KW_COUNTS} k ON k.query_id = b.query_id AND k.chunk_id = b.chunk_id
 LEFT JOIN centre ON centre.query_id = b.query_id AND centre.chunk_id = b.chunk_id""")
@@ -178,7 +178,7 @@ def r6_search(spark, d):
 def _sql_heaviest(boost: str) -> str:
     return f"""WITH {sql_ranked(boost)},{SQL_SNIPPET},
 centre AS (SELECT query_id, chunk_id, arg_min(pos, (-user_weight, pos)) AS c FROM found_at GROUP BY ALL)
-SELECT b.query_id, b.rank, b.chunk_id, b.source, 'Passage in ' || d.lang AS summary, round(b.score, 6) AS score, k.keyword_counts,
+SELECT b.query_id, b.rank, b.chunk_id, b.source, 'Passage in ' || d.lang AS summary, round(b.score + 1e-9, 6) AS score, k.keyword_counts,
        {SQL_QUOTE.replace('(text', '(b.text').replace('c - 300', 'coalesce(c, 0) - 300').replace('c + 300', 'coalesce(c, 0) + 300')} AS quote
 FROM body b JOIN documents d ON d.doc_id = b.chunk_id JOIN {SQL_KW_COUNTS} k ON k.query_id = b.query_id AND k.chunk_id = b.chunk_id
 LEFT JOIN centre ON centre.query_id = b.query_id AND centre.chunk_id = b.chunk_id"""
@@ -225,7 +225,7 @@ def centroids(spark: SparkSession, d: str) -> DataFrame:
 
 @query("r9_cosine_top_k", f"""WITH {SQL_CENTROIDS},
 sims AS (SELECT query_id, vec_id AS chunk_id, list_cosine_similarity(q, v) AS s FROM centroids, vecs)
-SELECT query_id, chunk_id, rank, round(s, 6) AS similarity FROM
+SELECT query_id, chunk_id, rank, round(s + 1e-9, 6) AS similarity FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, chunk_id) AS rank FROM sims) WHERE rank <= 10""")
 def r9(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
@@ -245,7 +245,7 @@ def r10(spark, d):
 @query("r11_best_segment", f"""WITH {SQL_CENTROIDS},
 sims AS (SELECT query_id, label AS chunk_id, vec_id AS segment_id, list_cosine_similarity(q, v) AS s FROM centroids, vecs),
 hit AS (SELECT DISTINCT query_id, chunk_id FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, segment_id) AS rank FROM sims) WHERE rank <= 20)
-SELECT query_id, chunk_id, segment_id, round(s, 6) AS similarity FROM
+SELECT query_id, chunk_id, segment_id, round(s + 1e-9, 6) AS similarity FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id, chunk_id ORDER BY round(s, 9) DESC, segment_id) AS r FROM sims JOIN hit USING (query_id, chunk_id)) WHERE r = 1""")
 def r11(spark, d):
     rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("chunk_id"), F.col("vec_id").alias("segment_id"), "embedding")
@@ -261,7 +261,7 @@ def r11(spark, d):
 toks AS (SELECT CASE WHEN query_id < 5 THEN 0 ELSE 1 END AS q_id, query_id AS token_id, q FROM centroids),
 best AS (SELECT q_id, token_id, label, max(list_cosine_similarity(q, v)) AS s FROM toks, vecs GROUP BY ALL),
 scores AS (SELECT CAST(q_id AS BIGINT) AS query_id, label AS chunk_id, sum(s) AS score FROM best GROUP BY ALL)
-SELECT query_id, chunk_id, rank, round(score, 6) AS score FROM
+SELECT query_id, chunk_id, rank, round(score + 1e-9, 6) AS score FROM
 (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, chunk_id) AS rank FROM scores) WHERE rank <= 5""")
 def r12(spark, d):
     docs = table(spark, d, "embeddings").select(F.col("label").alias("chunk_id"), "embedding")
@@ -375,7 +375,7 @@ def reranked(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("r16_rerank_top_n", f"""WITH {SQL_RERANKED}
-SELECT query_id, rank, search_type, text_id, source, summary, full_text AS key_quote, round(relevance, 6) AS relevance FROM top""")
+SELECT query_id, rank, search_type, text_id, source, summary, full_text AS key_quote, round(relevance + 1e-9, 6) AS relevance FROM top""")
 def r16(spark, d):
     return reranked(spark, d).select(
         "query_id", "rank", "search_type", "text_id", "source", "summary", F.col("full_text").alias("key_quote"), r6("relevance").alias("relevance")

@@ -79,7 +79,7 @@ def s4(spark, d):
 
 
 @query("s5_multi_run_csv_scan", f"""WITH {SQL_RUNS}
-SELECT 'q' || query_id AS QueryID, CAST(run - 1 AS BIGINT) AS run, round(FA, 6) AS FA, round(hi - lo, 6) AS Rerank, round(total, 6) AS RubricTotal,
+SELECT 'q' || query_id AS QueryID, CAST(run - 1 AS BIGINT) AS run, round(FA + 1e-9, 6) AS FA, round(hi - lo + 1e-9, 6) AS Rerank, round(total + 1e-9, 6) AS RubricTotal,
        'missing' AS errors FROM tot WHERE run <= 3""")
 def s5(spark, d):
     base = scratch_path(spark, "runs")
@@ -153,7 +153,7 @@ def s10(spark, d):
 
 
 @query("s11_keyword_log", f"""WITH {sql_ranked()}
-SELECT b.text AS user_query, 'Text #: ' || chunk_id AS text_id, 'No key quote available.' AS key_quote, round(score, 6) AS weighted_score,
+SELECT b.text AS user_query, 'Text #: ' || chunk_id AS text_id, 'No key quote available.' AS key_quote, round(score + 1e-9, 6) AS weighted_score,
        CASE WHEN query_id % 2 = 1 THEN '[' || (query_id % 7) || ']' ELSE '[]' END AS year_keywords, CASE WHEN query_id % 3 = 0 THEN '["Source: src' || (query_id % 20) || '"]' ELSE '[]' END AS text_keywords
 FROM ranked JOIN benchmark b ON b.item_id = query_id""")
 def s11(spark, d):
@@ -165,7 +165,7 @@ def s11(spark, d):
 
 
 @query("s11_rerank_log", f"""WITH {SQL_RERANKED}
-SELECT 'question ' || query_id AS user_query, rank, search_type, text_id, full_text AS key_quote, round(relevance, 6) AS relevance FROM top""")
+SELECT 'question ' || query_id AS user_query, rank, search_type, text_id, full_text AS key_quote, round(relevance + 1e-9, 6) AS relevance FROM top""")
 def s11_rerank(spark, d):
     asked = table(spark, d, "events").select(F.col("user_id").alias("query_id")).distinct().withColumn(
         "query", F.concat(F.lit("question "), F.col("query_id"))
@@ -195,7 +195,7 @@ def stored_results(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("s12_fixed_result_layout", f"""WITH {SQL_RUNS}
-SELECT query_id, run, category, round(FA, 6) AS FA, round(rubric, 6) AS rubric_total, '' AS notes FROM tot""")
+SELECT query_id, run, category, round(FA + 1e-9, 6) AS FA, round(rubric + 1e-9, 6) AS rubric_total, '' AS notes FROM tot""")
 def s12(spark, d):
     return stored_results(spark, d).withColumn("FA", r6("FA")).withColumn("rubric_total", r6("rubric_total"))
 
@@ -215,7 +215,7 @@ def updated(spark: SparkSession, d: str):
 
 
 @query("s13_keyed_update", f"""WITH {SQL_UPDATED}
-SELECT st.id, round(coalesce(up.FA, st.FA), 6) AS FA, coalesce(up.notes, st.notes) AS notes FROM st LEFT JOIN up USING (id)""")
+SELECT st.id, round(coalesce(up.FA, st.FA) + 1e-9, 6) AS FA, coalesce(up.notes, st.notes) AS notes FROM st LEFT JOIN up USING (id)""")
 def s13(spark, d):
     return updated(spark, d)[0].withColumn("FA", r6("FA"))
 
