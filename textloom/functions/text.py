@@ -14,6 +14,10 @@ WORD_CHAR = r"\p{L}\p{N}_"
 WORD_RUN = rf"[{WORD_CHAR}]+"
 ANY_RUN = rf"[{WORD_CHAR}]+|[^{WORD_CHAR}]+"
 SPACE = r"[\t-\r\x1c-\x20\x85\p{Z}]"
+# The characters of SPACE, for trimming without a regex.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 
 # Abbreviations that do not end a sentence.
 ABBREVIATIONS = [
@@ -28,7 +32,7 @@ def let(value: Column, body) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def squeeze(c: Column) -> Column:

@@ -2,8 +2,8 @@
 
 If a needle occurs in a text, every word of the needle that touches neither end of it stands
 in the text as a complete word. So needles meet texts in an equi-join on the rarest such
-inner word. A needle without an inner word ("ery national") is first expanded, through its
-longest run of characters, to the corpus vocabulary entries containing that run.
+inner word. A needle without an inner word ("ery national") is first expanded, through one of
+its outer runs, to the corpus vocabulary entries that end or start with that run.
 """
 
 from __future__ import annotations
@@ -22,11 +22,26 @@ def inner_words(c: Column) -> Column:
     return F.array_distinct(F.filter(inner, lambda r: r.rlike(tx.WORD_RUN)))
 
 
-def longest_run(c: Column) -> Column:
-    """Longest run of word characters, or of other characters if there is no word."""
+def edge_runs(c: Column) -> Column:
+    """The outer runs of a needle without an inner word, as ``struct(run, side)``.
+
+    The first run must end a run of the text, the last must start one, a single run may stand
+    inside one. Runs of word characters are used unless there is none.
+    """
     runs = F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0))
-    sized = F.transform(runs, lambda r: F.struct(r.rlike(tx.WORD_RUN).alias("w"), F.length(r).alias("n"), r.alias("r")))
-    return F.array_max(sized)["r"]
+
+    def sides(rs: Column) -> Column:
+        n = F.size(rs)
+        placed = F.transform(
+            rs,
+            lambda r, i: F.struct(
+                r.alias("run"), F.when(n == 1, "inside").when(i == 0, "end").when(i == n - 1, "start").otherwise("whole").alias("side")
+            ),
+        )
+        words = F.filter(placed, lambda p: p["run"].rlike(tx.WORD_RUN))
+        return F.when(F.size(words) > 0, words).otherwise(placed)
+
+    return tx.let(runs, sides)
 
 
 def all_runs(c: Column) -> Column:
@@ -35,24 +50,36 @@ def all_runs(c: Column) -> Column:
 
 
 def expand_to_vocabulary(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``runs(run)`` to ``run, term`` for every vocabulary term that contains the run.
+    """``runs(run, side)`` with every vocabulary ``term`` that has the run at that side.
 
-    Joined on a piece of up to three characters: the first piece of the run against all
-    pieces of the term.
+    Joined on up to three characters of the run: its last ones for ``end``, its first ones for
+    ``start`` and ``inside``; for ``inside`` against all pieces of the term of that length.
     """
-    n = F.least(F.length("run"), F.lit(3))
-    keyed = runs.withColumn("piece", F.left(F.col("run"), n))
     size = F.length("term")
-    pieces = F.array_distinct(
-        F.flatten(
-            F.transform(
-                F.sequence(F.lit(1), F.least(size, F.lit(3))),
-                lambda g: F.transform(F.sequence(F.lit(1), size - g + 1), lambda i: F.substring("term", i, g)),
-            )
+
+    def cut(kind: str, piece: Column) -> Column:
+        return F.struct(F.lit(kind).alias("side"), piece.alias("piece"))
+
+    pieces = [cut("start", F.left("term", F.lit(g))) for g in (1, 2, 3)]
+    pieces += [cut("end", F.right("term", F.lit(g))) for g in (1, 2, 3)]
+    inside = F.flatten(
+        F.transform(
+            F.sequence(F.lit(1), F.least(size, F.lit(3))),
+            lambda g: F.transform(F.sequence(F.lit(1), size - g + 1), lambda i: cut("inside", F.substring("term", i, g))),
         )
     )
-    terms = vocabulary.filter(size > 0).select("term", F.explode(pieces).alias("piece"))
-    return keyed.join(terms, "piece").filter(F.contains("term", F.col("run"))).select("run", "term")
+    every = F.array_distinct(F.concat(F.array(*pieces), inside, F.array(cut("whole", F.col("term")))))
+    terms = vocabulary.filter(size > 0).select("term", F.inline(every))
+    n = F.least(F.length("run"), F.lit(3))
+    piece = F.when(F.col("side") == "end", F.right(F.col("run"), n)).when(
+        F.col("side") == "whole", F.col("run")
+    ).otherwise(F.left(F.col("run"), n))
+    fits = (
+        F.when(F.col("side") == "end", F.endswith("term", F.col("run")))
+        .when(F.col("side") == "start", F.startswith("term", F.col("run")))
+        .otherwise(F.contains("term", F.col("run")))
+    )
+    return runs.withColumn("piece", piece).join(terms, ["side", "piece"]).filter(fits).select("run", "side", "term")
 
 
 def candidates(
@@ -62,7 +89,8 @@ def candidates(
     """Distinct ``owner, text_id`` pairs that can match.
 
     ``anchors(owner, needle, term)``: the text must hold all these terms; joined on the rarest.
-    ``edges(owner, run)``: needles without an inner word.
+    ``edges(owner, needle, run, side)``: outer runs of needles without an inner word; the run
+    with the fewest expansions is used.
     ``either(owner, term, keep)``: the text must hold one of the ``keep`` rarest of these terms.
     ``tokens``: array of distinct terms of a text.
     """
@@ -70,8 +98,8 @@ def candidates(
     postings = texts.select(F.col(text_id), F.explode(tokens).alias("term"))
     wanted = [anchors.select("term")]
     if has_edges:
-        expanded = expand_to_vocabulary(edges.select("run").distinct(), postings.select("term").distinct())
-        edge_terms = cut_lineage(edges.join(expanded, "run").select("owner", "term").distinct(), "edge-terms")
+        expanded = expand_to_vocabulary(edges.select("run", "side").distinct(), postings.select("term").distinct())
+        edge_terms = cut_lineage(edges.join(expanded, ["run", "side"]).distinct(), "edge-terms")
         wanted.append(edge_terms.select("term"))
     if either is not None:
         wanted.append(either.select("term"))
@@ -91,7 +119,13 @@ def candidates(
     )
     keys = [rarest]
     if has_edges:
-        keys.append(edge_terms)
+        # A run without any expansion rules its needle out, so it counts as the best one.
+        load = edge_terms.join(freq, "term").groupBy("owner", "needle", "run", "side").agg(F.sum("df").alias("df"))
+        asked = edges.distinct().join(load, ["owner", "needle", "run", "side"], "left")
+        best = asked.groupBy("owner", "needle").agg(
+            F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run", "side")).alias("b")
+        ).select("owner", "needle", "b.run", "b.side")
+        keys.append(edge_terms.join(best, ["owner", "needle", "run", "side"]).select("owner", "term"))
     if either is not None:
         sized = either.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         # The words of one quote, bounded by its length.
@@ -111,7 +145,7 @@ def containment_join(
     mine = needles.filter(F.length(needle) > 0).select(F.col(needle_id).alias("owner"), F.col(needle).alias("_needle"))
     words = mine.withColumn("w", inner_words(F.col("_needle")))
     anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
-    edges = words.filter(F.size("w") == 0).select("owner", longest_run(F.col("_needle")).alias("run"))
+    edges = words.filter(F.size("w") == 0).select("owner", F.lit(0).alias("needle"), F.inline(edge_runs(F.col("_needle"))))
     pairs = candidates(anchors, edges, texts, text_id, all_runs(F.col(text)))
     tested = pairs.join(mine, "owner").join(texts.select(text_id, F.col(text).alias("_text")), text_id)
     return tested.filter(F.contains("_text", F.col("_needle"))).select(F.col("owner").alias(needle_id), text_id)
@@ -132,7 +166,7 @@ def term_hits(terms: DataFrame, term_id: str, term: str, texts: DataFrame, text_
     body = texts.select(text_id, F.lower(text).alias("_low"))
     words = low.withColumn("w", F.array_distinct(F.regexp_extract_all("_term", F.lit(tx.WORD_RUN), F.lit(0))))
     anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
-    edges = words.filter(F.size("w") == 0).select("owner", longest_run(F.col("_term")).alias("run"))
+    edges = words.filter(F.size("w") == 0).select("owner", F.lit(0).alias("needle"), F.inline(edge_runs(F.col("_term"))))
     pairs = candidates(anchors, edges, body, text_id, all_runs(F.col("_low")))
     tested = pairs.join(low, "owner").join(body, text_id)
     return tested.filter(F.regexp_like(F.col("_low"), tx.whole_word_pattern(F.col("_term")))).select(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.containment import all_runs, candidates, inner_words, longest_run
+from textloom.operators.containment import all_runs, candidates, edge_runs, inner_words
 from textloom.session import cut_lineage
 
 # Words that say nothing about the content of a quote.
@@ -119,10 +119,11 @@ def prepare_quotes(quotes: DataFrame, passage: str) -> DataFrame:
 
 
 def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
-    """Normal forms of every chunk; worth storing, as every check reads them."""
-    return corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn(
+    """Normal forms and distinct runs of every chunk; worth storing, as every check reads them."""
+    forms = corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn(
         "c_loose", tx.loose_form(F.col("c_strict"))
     )
+    return forms.withColumn("c_terms", F.array_union(all_runs(F.col("c_strict")), F.split("c_loose", " ")))
 
 
 def _cited_method() -> Column:
@@ -158,19 +159,18 @@ def _corpus_candidates(quotes: DataFrame, quote_id: str, corpus: DataFrame, chun
         F.transform(windows(F.col("q_strict"), 50, True, 0.5), lambda w: F.array(w)),
     )
     needles = quotes.select(owner, F.posexplode(groups).alias("needle", "segs")).filter(F.size("segs") > 0)
-    needles = needles.withColumn("w", F.array_distinct(F.flatten(F.transform("segs", inner_words))))
+    needles = cut_lineage(
+        needles.withColumn("w", F.array_distinct(F.flatten(F.transform("segs", inner_words)))), "needles"
+    )
     anchors = needles.filter(F.size("w") > 0).select("owner", "needle", F.explode("w").alias("term"))
-    longest = F.array_max(
-        F.transform("segs", lambda s: F.struct(F.length(longest_run(s)).alias("n"), longest_run(s).alias("r")))
-    )["r"]
-    edges = needles.filter(F.size("w") == 0).select("owner", longest.alias("run")).distinct()
+    sides = F.flatten(F.transform("segs", edge_runs))
+    edges = needles.filter(F.size("w") == 0).select("owner", "needle", F.inline(sides))
     # Coverage of .90 leaves at most a tenth of the words out, so one of the n/10 + 1 rarest is in.
     n = F.size("q_words")
     either = quotes.filter(n >= MIN_CONTENT_WORDS).select(
         owner, F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep")
     )
-    tokens = F.array_union(all_runs(F.col("c_strict")), F.split("c_loose", " "))
-    return candidates(anchors, edges, corpus.filter(F.length("c_strict") > 0), chunk_id, tokens, either)
+    return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either)
 
 
 def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:

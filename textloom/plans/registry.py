@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -24,15 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give a scan of fewer partitions than cores (one small file) a task per core.
-
-    A table large enough to matter has more input partitions than that and is left alone.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def r6(c) -> F.Column:
     """Six digits; a nudge keeps sums of another order from splitting exact halves."""
     return F.round((F.col(c) if isinstance(c, str) else c) + 1e-9, 6)
