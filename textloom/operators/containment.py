@@ -60,15 +60,17 @@ def expand_to_vocabulary(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     def cut(kind: str, piece: Column) -> Column:
         return F.struct(F.lit(kind).alias("side"), piece.alias("piece"))
 
-    pieces = [cut("start", F.left("term", F.lit(g))) for g in (1, 2, 3)]
-    pieces += [cut("end", F.right("term", F.lit(g))) for g in (1, 2, 3)]
-    inside = F.flatten(
+    outer = [cut("start", F.left("term", F.lit(g))) for g in (1, 2, 3)]
+    outer += [cut("end", F.right("term", F.lit(g))) for g in (1, 2, 3)]
+    grams = F.flatten(
         F.transform(
             F.sequence(F.lit(1), F.least(size, F.lit(3))),
-            lambda g: F.transform(F.sequence(F.lit(1), size - g + 1), lambda i: cut("inside", F.substring("term", i, g))),
+            lambda g: F.transform(F.sequence(F.lit(1), size - g + 1), lambda i: F.substring("term", i, g)),
         )
     )
-    every = F.array_distinct(F.concat(F.array(*pieces), inside, F.array(cut("whole", F.col("term")))))
+    every = F.concat(
+        F.array(*outer, cut("whole", F.col("term"))), F.transform(F.array_distinct(grams), lambda g: cut("inside", g))
+    )
     terms = vocabulary.filter(size > 0).select("term", F.inline(every))
     n = F.least(F.length("run"), F.lit(3))
     piece = F.when(F.col("side") == "end", F.right(F.col("run"), n)).when(
@@ -79,7 +81,7 @@ def expand_to_vocabulary(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
         .when(F.col("side") == "start", F.startswith("term", F.col("run")))
         .otherwise(F.contains("term", F.col("run")))
     )
-    return runs.withColumn("piece", piece).join(terms, ["side", "piece"]).filter(fits).select("run", "side", "term")
+    return runs.withColumn("piece", piece).join(terms, ["side", "piece"]).filter(fits).select("run", "side", "term").distinct()
 
 
 def candidates(

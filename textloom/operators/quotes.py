@@ -216,16 +216,16 @@ def verify_quotes(
     """``outcome, method, score, match_id`` for every quote.
 
     Quotes resolved by their cited chunk leave before the corpus-wide search. The normal forms
-    (unless ``corpus`` already holds them) and the cited-chunk results are read several times
-    and therefore written to the shared folder once.
+    of the corpus (unless it already holds them) and of the quotes, and the cited-chunk results,
+    are read several times and therefore written to the shared folder once.
     """
     chunks = corpus
     if not prepared:
         chunks = cut_lineage(prepare_corpus(corpus.select(chunk_id, text), text).drop(text), "normal-forms")
+    ready = cut_lineage(prepare_quotes(quotes, passage), "quotes")
     long_enough = F.length(tx.strip(F.coalesce(passage, F.lit("")))) >= MIN_PASSAGE
-    short = quotes.filter(~long_enough)
-    ready = prepare_quotes(quotes.filter(long_enough), passage)
-    checked = cut_lineage(check_cited(ready, chunks, cited, chunk_id), "cited-checks")
+    short = ready.filter(~long_enough)
+    checked = cut_lineage(check_cited(ready.filter(long_enough), chunks, cited, chunk_id), "cited-checks")
     open_quotes = checked.filter("method is null")
     found = search_corpus(open_quotes, quote_id, chunks, chunk_id)
     elsewhere = open_quotes.drop("method", "score").join(found, quote_id, "left")
