@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
+from textloom.session import cut_lineage
 
 
 def overlap_tokens(c: Column) -> Column:
@@ -147,6 +148,8 @@ def rouge_l(pairs: DataFrame, stems: DataFrame | None = None) -> DataFrame:
 
 
 def all_scores(pairs: DataFrame, smoothing: bool, tokenizer: str, stems: DataFrame | None = None) -> DataFrame:
+    """BLEU, ROUGE-1, ROUGE-2 and ROUGE-L per pair. The pairs are stored once, as every score reads them."""
+    pairs = cut_lineage(pairs, "pairs")
     return (
         pairs.select(*[c for c in pairs.columns if c not in ("candidate", "reference")])
         .join(bleu(pairs, smoothing, tokenizer), "pair_id")

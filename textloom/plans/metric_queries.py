@@ -9,6 +9,7 @@ from textloom.operators import containment, irmetrics, overlap
 from textloom.plans.prep_queries import documents
 from textloom.plans.registry import query, r6, sql_runs, sql_words, table
 from textloom.plans.retrieval_queries import SQL_RERANKED, hits, reranked, sql_ranked
+from textloom.session import cut_lineage
 
 # ---- keyword hits of benchmark items against the documents containing them ---------------------
 
@@ -58,7 +59,7 @@ def m3(spark, d):
 @query("m4_ndcg", f"""WITH {SQL_MARKED}, {SQL_RANKING}
 SELECT query_id, round(CASE WHEN best > 0 THEN dcg / top ELSE 0 END + 1e-9, 6) AS ndcg, round(CASE WHEN n_rel > 0 THEN dcg / top_retrieved ELSE 0 END + 1e-9, 6) AS ndcg_retrieved FROM f""")
 def m4(spark, d):
-    h, q = hits(spark, d, 10), qrels(spark, d)
+    h, q = cut_lineage(hits(spark, d, 10), "hits"), cut_lineage(qrels(spark, d), "qrels")
     full = irmetrics.ranking_metrics(h, q).select("query_id", r6("ndcg").alias("ndcg"))
     own = irmetrics.ranking_metrics(h, q, ideal="retrieved").select("query_id", r6("ndcg").alias("ndcg_retrieved"))
     return full.join(own, "query_id")
@@ -249,7 +250,8 @@ def reference_pairs(spark: SparkSession, d: str) -> DataFrame:
     )
     answers = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("candidate"))
     docs = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("reference"))
-    return found.join(answers, "query_id").join(docs, "chunk_id").withColumn("pair_id", F.concat_ws(":", "ref_set", "query_id", "chunk_id"))
+    pairs = found.join(answers, "query_id").join(docs, "chunk_id").withColumn("pair_id", F.concat_ws(":", "ref_set", "query_id", "chunk_id"))
+    return cut_lineage(pairs, "reference-pairs")
 
 
 SQL_SETS = f"""{sql_ranked()}, {SQL_QRELS},
