@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.skew import broadcast_if_small, heavy_keys, salted_join
+from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join
 from textloom.session import cut_lineage
 
 
@@ -148,8 +148,9 @@ def containment_join(
     words = mine.withColumn("w", inner_words(F.col("_needle")))
     anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
     edges = words.filter(F.size("w") == 0).select("owner", F.lit(0).alias("needle"), F.inline(edge_runs(F.col("_needle"))))
-    pairs = candidates(anchors, edges, texts, text_id, all_runs(F.col(text)))
-    tested = pairs.join(mine, "owner").join(texts.select(text_id, F.col(text).alias("_text")), text_id)
+    pairs = cut_lineage(candidates(anchors, edges, texts, text_id, all_runs(F.col(text))), "pairs")
+    near = keep_ids(texts.select(text_id, F.col(text).alias("_text")), text_id, pairs)
+    tested = pairs.join(mine, "owner").join(near, text_id)
     return tested.filter(F.contains("_text", F.col("_needle"))).select(F.col("owner").alias(needle_id), text_id)
 
 
@@ -169,8 +170,8 @@ def term_hits(terms: DataFrame, term_id: str, term: str, texts: DataFrame, text_
     words = low.withColumn("w", F.array_distinct(F.regexp_extract_all("_term", F.lit(tx.WORD_RUN), F.lit(0))))
     anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
     edges = words.filter(F.size("w") == 0).select("owner", F.lit(0).alias("needle"), F.inline(edge_runs(F.col("_term"))))
-    pairs = candidates(anchors, edges, body, text_id, all_runs(F.col("_low")))
-    tested = pairs.join(low, "owner").join(body, text_id)
+    pairs = cut_lineage(candidates(anchors, edges, body, text_id, all_runs(F.col("_low"))), "pairs")
+    tested = pairs.join(low, "owner").join(keep_ids(body, text_id, pairs), text_id)
     return tested.filter(F.regexp_like(F.col("_low"), tx.whole_word_pattern(F.col("_term")))).select(
         F.col("owner").alias(term_id), text_id
     )

@@ -16,7 +16,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
-from textloom.operators.skew import broadcast_if_small, heavy_keys, salted_join, top_n
+from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join, top_n
 from textloom.session import cut_lineage
 
 # Lifts for a matching year and a matching source label, by mode.
@@ -210,14 +210,18 @@ def _query_keywords(weights: DataFrame) -> DataFrame:
 
 
 def with_snippets(hits: DataFrame, corpus: DataFrame, weights: DataFrame, boost: str = "multiply") -> DataFrame:
-    """Add quote, summary and per-keyword counts. Runs on the top hits only."""
-    texts = corpus.select(
-        "chunk_id", "full_text", F.coalesce("summary", F.lit("")).alias("summary"), F.lower("full_text").alias("low"),
-        searched_text().alias("body"),
-    )
+    """Add quote, summary and per-keyword counts. Reads only the texts of the top hits."""
+    hits = cut_lineage(hits, "hits")
+    texts = keep_ids(corpus.select("chunk_id", "full_text", "summary", "keywords"), "chunk_id", hits)
     rows = hits.join(texts, "chunk_id").join(_query_keywords(weights), "query_id")
-    counts = F.transform(
-        "kw", lambda k: F.struct(k["keyword"].alias("keyword"), F.regexp_count("body", tx.whole_word_pattern(k["key"])).cast("long").alias("n"))
+    counts = tx.let(
+        searched_text(),
+        lambda body: F.transform(
+            "kw",
+            lambda k: F.struct(
+                k["keyword"].alias("keyword"), F.regexp_count(body, tx.whole_word_pattern(k["key"])).cast("long").alias("n")
+            ),
+        ),
     )
     rows = rows.withColumn("keyword_counts", F.map_from_entries(F.filter(counts, lambda c: c["n"] > 0)))
     full = F.col("full_text")
@@ -225,23 +229,26 @@ def with_snippets(hits: DataFrame, corpus: DataFrame, weights: DataFrame, boost:
         used = F.filter("kw", lambda k: k["weight"] > 0)
         rows = rows.withColumn(
             "_centre",
-            _densest(F.col("low"), F.transform(used, lambda k: k["key"]), F.transform(used, lambda k: k["weight"])),
+            _densest(F.lower(full), F.transform(used, lambda k: k["key"]), F.transform(used, lambda k: k["weight"])),
         )
         note = F.concat(F.lit(METADATA_NOTE), F.replace(F.left(full, F.lit(2 * CONTEXT)), F.lit("\n"), F.lit(" ")))
         quote = F.when(F.col("_centre").isNotNull(), _around(full, F.col("_centre"))).otherwise(note)
     else:
         # Earliest place of the heaviest user keyword that occurs.
-        where = F.col("low") if boost == "add" else F.col("body")
-        places = F.transform(
-            "kw",
-            lambda k: F.struct(
-                k["user_weight"].alias("w"),
-                (-F.regexp_instr(where, tx.whole_word_pattern(k["key"]))).alias("neg"),
+        places = tx.let(
+            F.lower(full) if boost == "add" else searched_text(),
+            lambda where: F.transform(
+                "kw",
+                lambda k: F.struct(
+                    k["user_weight"].alias("w"),
+                    (-F.regexp_instr(where, tx.whole_word_pattern(k["key"]))).alias("neg"),
+                ),
             ),
         )
         best = F.array_max(F.filter(places, lambda p: p["neg"] < 0))
         quote = _around(full, F.coalesce(-best["neg"] - 1, F.lit(0)))
-    return rows.withColumn("quote", quote).drop("_centre", "kw", "body", "low", "full_text", "bucket")
+    rows = rows.withColumn("quote", quote).withColumn("summary", F.coalesce("summary", F.lit("")))
+    return rows.drop("_centre", "kw", "keywords", "full_text", "bucket")
 
 
 def keyword_search(corpus: DataFrame, terms: DataFrame, plans: DataFrame, n: int = 5, boost: str = "multiply") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.containment import all_runs, candidates, edge_runs, inner_words
+from textloom.operators.skew import keep_ids
 from textloom.session import cut_lineage
 
 # Words that say nothing about the content of a quote.
@@ -140,7 +141,7 @@ def _cited_method() -> Column:
 def check_cited(quotes: DataFrame, corpus: DataFrame, cited: str, chunk_id: str) -> DataFrame:
     """Compare each prepared quote with the one chunk it cites: ``method`` and ``score`` or null."""
     chunks = corpus.select(F.col(chunk_id).alias(cited), "c_strict", "c_loose", F.lit(True).alias("cited_found"))
-    joined = quotes.join(chunks, cited, "left").withColumn(
+    joined = quotes.join(keep_ids(chunks, cited, quotes), cited, "left").withColumn(
         "_cover", F.coalesce(coverage(F.col("q_words"), content_words(F.col("c_loose"))), F.lit(0.0))
     )
     return (
@@ -179,14 +180,14 @@ def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id:
     The first chunk with a strict, loose or window match wins; without one, the chunk with the
     highest coverage of at least .90, the first on ties.
     """
-    pairs = _corpus_candidates(quotes, quote_id, corpus, chunk_id)
+    pairs = cut_lineage(_corpus_candidates(quotes, quote_id, corpus, chunk_id), "candidates")
     left = quotes.select(
         F.col(quote_id).alias("owner"), "s_strict", "s_loose", "q_words",
         windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"),
     )
     tested = (
         pairs.join(left, "owner")
-        .join(corpus.select(chunk_id, "c_strict", "c_loose"), chunk_id)
+        .join(keep_ids(corpus.select(chunk_id, "c_strict", "c_loose"), chunk_id, pairs), chunk_id)
         .withColumn(
             "method",
             F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")

@@ -17,6 +17,12 @@ def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIM
     return (F.broadcast(df) if small else df), small
 
 
+def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """Rows whose key is in ``ids``: a scan-side filter before a wide table enters a shuffle."""
+    small, _ = broadcast_if_small(ids.select(key).distinct(), 16)
+    return df.join(small, key, "left_semi")
+
+
 def heavy_keys(counts: DataFrame, key: str, n: str, parts: int = 1000) -> DataFrame:
     """Keys holding at least 1/parts of all rows: at most ``parts`` of them, so safe to broadcast."""
     total = counts.select(F.sum(n)).scalar()
