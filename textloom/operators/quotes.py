@@ -50,14 +50,14 @@ def loose_segments(decomposed: Column) -> Column:
     return _segments(decomposed, lambda c: tx.loose_form(tx.strict_form(c, True)), MIN_LOOSE)
 
 
-def in_order(hay: Column, segments: Column) -> Column:
+def in_order(body: Column, segments: Column) -> Column:
     """True if every segment is found at or after the end of the one before."""
     def advance(pos: Column, seg: Column) -> Column:
-        at = F.when(pos > 0, F.position(seg, hay, pos)).otherwise(F.lit(0))
+        at = F.when(pos > 0, F.position(seg, body, pos)).otherwise(F.lit(0))
         return F.when(at > 0, at + F.length(seg)).otherwise(F.lit(0))
 
     end = F.aggregate(segments, F.lit(1), advance)
-    return (F.length(hay) > 0) & (F.size(segments) > 0) & (end > 0)
+    return (F.length(body) > 0) & (F.size(segments) > 0) & (end > 0)
 
 
 def content_words(loose: Column) -> Column:
@@ -98,12 +98,12 @@ def windows(quote: Column, shortest: int, word_start: bool = False, share: float
     return F.coalesce(tx.let(quote, cuts), F.array().cast("array<string>"))
 
 
-def any_window(cuts: Column, hay: Column) -> Column:
-    return (F.length(hay) > 0) & F.exists(cuts, lambda w: F.contains(hay, w))
+def any_window(cuts: Column, body: Column) -> Column:
+    return (F.length(body) > 0) & F.exists(cuts, lambda w: F.contains(body, w))
 
 
-def first_window(cuts: Column, hay: Column) -> Column:
-    return F.try_element_at(F.filter(cuts, lambda w: F.contains(hay, w)), F.lit(1))
+def first_window(cuts: Column, body: Column) -> Column:
+    return F.try_element_at(F.filter(cuts, lambda w: F.contains(body, w)), F.lit(1))
 
 
 def prepare_quotes(quotes: DataFrame, passage: str) -> DataFrame:

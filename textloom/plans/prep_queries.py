@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from textloom.functions import text as tx
 from textloom.operators import containment, prep, termstats
 from textloom.plans.registry import (
-    WORD, WS, query, r6, sql_runs, sql_sentences, sql_squeeze, sql_strip, sql_words, table,
+    query, r6, sql_runs, sql_sentences, sql_squeeze, sql_strip, sql_words, table,
 )
 
 

@@ -121,9 +121,9 @@ def v3(spark, d):
     return q.select("quote_id", F.array_join("s_strict", "|").alias("strict"), F.array_join("s_loose", "|").alias("loose"))
 
 
-def sql_in_order(hay: str, segs: str) -> str:
+def sql_in_order(body: str, segs: str) -> str:
     return (
-        f"(len({hay}) > 0 AND len({segs}) > 0 AND list_reduce(list_prepend({hay}, {segs}), "
+        f"(len({body}) > 0 AND len({segs}) > 0 AND list_reduce(list_prepend({body}, {segs}), "
         "lambda a, x: CASE WHEN strpos(a, x) = 0 THEN NULL ELSE substr(a, strpos(a, x) + length(x)) END) IS NOT NULL)"
     )
 
