@@ -351,3 +351,10 @@ def test_missing_run_file_is_an_error_not_a_failure(spark, tmp_path):
     df, errors = files.read_runs(spark, [str(tmp_path / "merged_run_0.csv"), str(tmp_path / "merged_run_1.csv")])
     row = df.first()
     assert row["RubricTotal"] == 2.5 and row["Rerank"] == pytest.approx(0.4) and len(errors) == 1
+
+
+def test_benchmark_log_fills_missing_scores_with_zero(spark):
+    queries = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, query string")
+    part = {n: spark.createDataFrame([(1, 0.5)], f"query_id long, {n} double") for n in ("bleu", "mrr", "total_score", "n_matched")}
+    got = {r["query_id"]: tuple(r)[2:] for r in results.benchmark_log_rows(queries, *part.values()).collect()}
+    assert got == {1: (0.5,) * 4, 2: (0.0,) * 4}

@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from textloom.operators import vector
 from textloom.plans.eval_queries import SQL_RUNS, runs
 from textloom.plans.output_queries import SQL_ASSISTANT, answer_documents
 from textloom.plans.prep_queries import SQL_TERMS, documents, terms
 from textloom.plans.registry import query, r6, table
-from textloom.plans.retrieval_queries import SQL_RERANKED, hits, plans, reranked, sql_ranked
+from textloom.plans.retrieval_queries import (
+    SQL_CENTROIDS, SQL_RERANKED, centroids, hits, plans, reranked, sql_ranked,
+)
 from textloom.session import scratch_path
 from textloom.sources import files, results
 
@@ -161,6 +164,17 @@ def s11(spark, d):
     return rows.select("user_query", "text_id", "key_quote", r6("weighted_score").alias("weighted_score"), "year_keywords", "text_keywords")
 
 
+@query("s11_vector_log", f"""WITH {SQL_CENTROIDS},
+sims AS (SELECT query_id, vec_id, list_cosine_similarity(q, v) AS s FROM centroids, vecs)
+SELECT 'label ' || query_id AS user_query, '' AS hyde_query, 'Text #: ' || vec_id AS text_id, round(s + 1e-9, 6) AS similarity, '' AS top_segment FROM
+(SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(s, 9) DESC, vec_id) AS rank FROM sims) WHERE rank <= 5""")
+def s11_vector(spark, d):
+    asked = centroids(spark, d)
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "embedding")
+    named = asked.select("query_id", F.concat(F.lit("label "), F.col("query_id")).alias("query"), F.lit(None).cast("string").alias("initial_answer"))
+    return results.vector_log_rows(vector.cosine_top(rows, asked, 5), named).withColumn("similarity", r6("similarity"))
+
+
 @query("s11_rerank_log", f"""WITH {SQL_RERANKED}
 SELECT 'question ' || query_id AS user_query, rank, search_type, text_id, full_text AS key_quote, round(relevance + 1e-9, 6) AS relevance FROM top""")
 def s11_rerank(spark, d):
