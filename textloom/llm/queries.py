@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import exact_dedup, sharding
-from textloom.llm.common import UPPER, whole
+from textloom.llm import exact_dedup, near_dedup, packing, sharding, tokens
+from textloom.llm.common import UPPER, new_folder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SHARDS = 8
+TOKENIZERS = "/opt/tokenizers"
+SEQUENCE = 4096
 
 
 def query(name: str, sql: str | None = None):
@@ -84,3 +86,25 @@ def op2_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", F.crc32(whole("text").cast("binary")).alias("text_crc32"), F.lit("bytes").alias("law"), "shard",
         "slot", F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+@query("op4_token_files")
+def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = new_folder(spark, "tokens")
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    return tokens.read_tokens(spark, path, with_crc=True).select(
+        "doc_id", F.col("start").cast("long"), F.col("n_tokens").cast("long"), "ids_crc32"
+    )
+
+
+@query("op6_best_fit_packing")
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = packing.pieces(
+        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 1, SEQUENCE, with_tokens=False,
+    )
+    return packing.pack(cut, SEQUENCE)
+
+
+@query("op10_minhash_near_dedup")
+def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
