@@ -44,11 +44,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers(BLOCK)
 
 
-def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Starts and stops of the maximal runs of other bytes than ASCII white space, inside each text."""
+def words(data: np.ndarray, ends: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and stops of the maximal runs of bytes that are not ``between`` words, inside each text."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    solid = ~SPACE[data]
+    solid = ~between[data]
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -60,8 +60,18 @@ def words(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each word, A-Z lowered. Differences of prefix sums, block by block of whole words."""
-    out = np.empty(len(starts), U)
+    """A 64-bit hash of each word, A-Z lowered."""
+    return mix(prefix_hashes(data, starts, stops, ())[0])
+
+
+def prefix_hashes(
+    data: np.ndarray, starts: np.ndarray, stops: np.ndarray, widths: tuple[int, ...],
+) -> list[np.ndarray]:
+    """A hash of each word and of its first ``widths`` bytes, A-Z lowered.
+
+    Differences of prefix sums, block by block of whole words.
+    """
+    out = [np.empty(len(starts), U) for _ in range(1 + len(widths))]
     at = 0
     while at < len(starts):
         base = starts[at]
@@ -70,9 +80,11 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
         up, down = (_UP, _DOWN) if span <= BLOCK else _powers(span)
         sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[LOWER[data[base : base + span]]] * up[:span], dtype=U)])
         a, b = starts[at:stop] - base, stops[at:stop] - base
-        out[at:stop] = (sums[b] - sums[a]) * down[a] + (b - a).astype(U)
+        for k, width in enumerate((None, *widths)):
+            end = b if width is None else np.minimum(b, a + width)
+            out[k][at:stop] = (sums[end] - sums[a]) * down[a] + (end - a).astype(U)
         at = stop
-    return mix(out)
+    return out
 
 
 def sequence_hash(h: np.ndarray, width: int) -> np.ndarray:

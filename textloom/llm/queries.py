@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import exact_dedup, near_dedup, packing, sharding, tokens
+from textloom.llm import ann, exact_dedup, near_dedup, packing, pii, sharding, tokens, toxicity
 from textloom.llm.common import UPPER, new_folder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -97,6 +97,12 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_posting_lists")
+def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return ann.nearest(vectors, vectors.filter("vec_id % 50 = 0"), 5)
+
+
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(
@@ -105,6 +111,32 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(cut, SEQUENCE)
 
 
+@query("op7_pii")
+def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii.find(docs, pii.train(pii.sample_texts(docs)))
+    base = F.filter("spans", lambda s: s["base"])
+    joined = lambda c: F.concat_ws(",", F.transform(c, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])))
+    of = lambda kind: F.size(F.filter(base, lambda s: s["kind"] == kind)).cast("long")
+    counts = [of(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def held_out(doc_id: str) -> F.Column:
+    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
+
+
+@query("op9_toxicity")
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit(*toxicity.bounded_sample(docs, labels, "toxic", ~held_out("doc_id")))
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= toxicity.REJECT).cast("int").alias("predicted"), "offending",
+    )
+
+
 @query("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
