@@ -65,12 +65,13 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.n
 
 
 def prefix_hashes(
-    data: np.ndarray, starts: np.ndarray, stops: np.ndarray, widths: tuple[int, ...],
+    data: np.ndarray, starts: np.ndarray, stops: np.ndarray, widths: tuple[int, ...], lower: bool = True,
 ) -> list[np.ndarray]:
-    """A hash of each word and of its first ``widths`` bytes, A-Z lowered.
+    """A hash of each word and of its first ``widths`` bytes, A-Z lowered if asked. Words come in order.
 
     Differences of prefix sums, block by block of whole words.
     """
+    values = BYTES[LOWER] if lower else BYTES
     out = [np.empty(len(starts), U) for _ in range(1 + len(widths))]
     at = 0
     while at < len(starts):
@@ -78,7 +79,7 @@ def prefix_hashes(
         stop = max(at + 1, int(np.searchsorted(stops, base + BLOCK, "right")))
         span = int(stops[stop - 1] - base)
         up, down = (_UP, _DOWN) if span <= BLOCK else _powers(span)
-        sums = np.concatenate([np.zeros(1, U), np.cumsum(BYTES[LOWER[data[base : base + span]]] * up[:span], dtype=U)])
+        sums = np.concatenate([np.zeros(1, U), np.cumsum(values[data[base : base + span]] * up[:span], dtype=U)])
         a, b = starts[at:stop] - base, stops[at:stop] - base
         for k, width in enumerate((None, *widths)):
             end = b if width is None else np.minimum(b, a + width)
