@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import ann, exact_dedup, near_dedup, packing, pii, sharding, substring_dedup, tokens, toxicity
+from textloom.llm import ann, exact_dedup, near_dedup, packing, pii, sentencepieces, sharding, substring_dedup, tokens, toxicity
 from textloom.llm.common import UPPER, new_folder, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -131,6 +131,15 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
+@query("op8_sentencepiece")
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), model)
+    return sentencepieces.decode(encoded, model).select(
+        "doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
+    )
+
+
 def held_out(doc_id: str) -> F.Column:
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2
 
