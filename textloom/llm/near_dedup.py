@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from textloom.llm.arrow import slices
-from textloom.llm.common import store, with_ids
+from textloom.llm.common import store, whole, with_ids
 from textloom.llm.hashing import buffers, mix, sequence_hash, word_hashes, words
 from textloom.session import BROADCAST_LIMIT
 
@@ -58,10 +58,10 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sets = shingle_sets(part.column("_text"))
         yield pa.RecordBatch.from_arrays(
             [
-                part.column("_id"), pa.array([len(s) for s in sets], pa.int64()),
+                part.column("_id"), part.column("_sum"), pa.array([len(s) for s in sets], pa.int64()),
                 pa.array([_digest(s) for s in sets], pa.binary()), _lists([s[:SKETCH] for s in sets]),
             ],
-            ["_id", "n", "key", "sketch"],
+            ["_id", "_sum", "n", "key", "sketch"],
         )
 
 
@@ -83,20 +83,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with the same shingle set become one class first. Inverted lists hold, per class, the rarest
     values of its sketch: as a linked pair agrees in 27 of the 64 values of the union sketch (all
     but one pair in 10^8), two linked classes share one of their 38 rarest. Each list compares its
-    members with its smallest member; classes that are then in one component need no further
-    comparison, and all other pairs of a list that are in different components follow. The union
-    sketch filters the pairs, and the exact similarity of the whole sets decides.
+    members with its smallest member: union sketches filter these pairs and the exact similarity of
+    the whole sets decides. Where a list still spans several components, its classes are joined on
+    their whole sets by prefix and position, between components only, so that copies of one text are
+    not paired with each other and a passage that many texts share yields no pairs.
 
     Words are runs of other bytes than ASCII white space, A-Z lowered; a text with one to four words
     is one shingle. Null texts count as empty; texts without words have no shingles and are their
     own component. ``component_id`` is the smallest identifier of the component. One row of a
     component is kept, that with the smallest identifier, nulls last; rows that repeat an identifier
-    are told apart. An empty table gives an empty result. Other columns are not read.
+    are told apart. An empty table gives an empty result. Other columns are not read. ``text_sum``,
+    Spark's xxhash64 of the text, tells rows with the same identifier apart.
     """
     slim = with_ids(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
     rows = store(
-        slim.mapInArrow(_sketched, f"_id {kind}, n bigint, key binary, sketch array<bigint>")
+        slim.withColumn("_sum", F.xxhash64("_text"))
+        .mapInArrow(_sketched, f"_id {kind}, _sum bigint, n bigint, key binary, sketch array<bigint>")
         .withColumn("_row", F.monotonically_increasing_id()),
         "sketches",
     )
@@ -119,13 +122,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = store(_linked(first, reps, classes, slim), "links")
     roots = components(links)
 
-    rest = store(_crossing(lists, roots).join(first, ["a", "b"], "left_anti"), "pairs")
-    more = store(_linked(rest, reps, classes, slim), "links")
+    crowd = _crowded(lists, roots)
+    sets = _sets(crowd, classes, slim)
+    more = store(_exact(_crossing(sets, roots), sets), "links")
     if not more.isEmpty():
         roots = components(links.unionByName(more))
     return _result(rows, classes, roots, id_col)
 
 
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, all columns unchanged.
+
+    Rows that repeat both identifier and text of a kept row stay with it; drop exact copies first.
+    The dropped identifiers are broadcast if they are proven small, so that texts stay where they are.
+    """
+    found = store(near_duplicates(docs, id_col, text_col).select(F.col(id_col).alias("_id"), "text_sum", "kept"), "kept")
+    drops = found.groupBy("_id", "text_sum").agg(F.max("kept").alias("kept")).filter("not kept").select("_id", "text_sum")
+    drops = F.broadcast(drops) if drops.count() * 64 <= BROADCAST_LIMIT else drops
+    same = docs[id_col].eqNullSafe(drops["_id"]) & (F.xxhash64(whole(text_col)) == drops["text_sum"])
+    return docs.join(drops, same, "left_anti")
+
+
 def inverted_lists(reps: DataFrame) -> DataFrame:
     """``value, rep, n``: the rarest values of each sketch that occur in another one as well."""
     values = reps.select("rep", "n", F.explode("sketch").alias("value"))
@@ -138,21 +155,39 @@ def inverted_lists(reps: DataFrame) -> DataFrame:
     return shared.withColumn("rank", rank).filter(F.col("rank") <= size - agree + 1).select("value", "rep", "n")
 
 
-def _crossing(lists: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of a list's members in different components, by way of the pairs of components."""
-    rooted = lists.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").withColumn(
-        "root", F.coalesce("root", "rep")
-    )
+def _rooted(rows: DataFrame, roots: DataFrame) -> DataFrame:
+    known = roots.select(F.col("node").alias("rep"), "root")
+    return rows.join(known, "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+
+def _crowded(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """Classes in lists that span several components."""
+    rooted = _rooted(lists, roots)
     mixed = rooted.groupBy("value").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low < high")
-    members = store(rooted.join(mixed.select("value"), "value", "left_semi"), "mixed-lists")
-    held = members.groupBy("value", "root").agg(F.min("n").alias("small"), F.max("n").alias("large"))
-    left = held.select("value", F.col("root").alias("ra"), F.col("small").alias("sa"), F.col("large").alias("la"))
-    right = held.select("value", F.col("root").alias("rb"), F.col("small").alias("sb"), F.col("large").alias("lb"))
-    pairs = left.join(right, "value").filter("ra < rb and 4 * la >= 3 * sb and 4 * lb >= 3 * sa").select("value", "ra", "rb")
-    a = members.select("value", F.col("root").alias("ra"), F.col("rep").alias("x"), F.col("n").alias("nx"))
-    b = members.select("value", F.col("root").alias("rb"), F.col("rep").alias("y"), F.col("n").alias("ny"))
-    both = pairs.join(a, ["value", "ra"]).join(b, ["value", "rb"]).filter(similar("nx", "ny"))
-    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return rooted.join(mixed.select("value"), "value", "left_semi").select("rep").distinct()
+
+
+def _crossing(sets: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of different components that may reach 0.75: a prefix join on whole sets, rarest members first.
+
+    With sizes n and m a pair needs 3 (n + m) / 7 common members. ``rest`` counts a class's members
+    from the shared one on, so the pair is due at its rarest common member only if both rests reach that.
+    """
+    values = sets.select("rep", F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
+    counts = values.groupBy("value").count().filter("count > 1")
+    one = Window.partitionBy("rep")
+    at = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("count", "value")) - 1
+    due = values.join(counts, "value").withColumn("rest", F.col("n") - at).filter("4 * rest >= 3 * n")
+    members = store(_rooted(due, roots).select("value", "root", "rep", "n", "rest"), "prefixes")
+    held = members.groupBy("value", "root").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    side = lambda t, c: t.select("value", *[F.col(x).alias(x + c) for x in t.columns if x != "value"])
+    enough = 7 * F.least("rest_a", "rest_b") >= 3 * (F.col("n_a") + F.col("n_b"))
+    roots_met = side(held, "_a").join(side(held, "_b"), "value").filter((F.col("root_a") < F.col("root_b")) & enough)
+    both = (
+        roots_met.select("value", "root_a", "root_b").join(side(members, "_a"), ["value", "root_a"])
+        .join(side(members, "_b"), ["value", "root_b"]).filter(enough & similar("n_a", "n_b"))
+    )
+    return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
@@ -163,16 +198,26 @@ def _linked(pairs: DataFrame, reps: DataFrame, classes: DataFrame, slim: DataFra
     agree = F.size(F.array_intersect(F.array_intersect("sa", "sb"), union))
     likely = F.when(F.size(union) == SKETCH, agree >= AGREE).otherwise(4 * agree >= 3 * F.size(union))
     passed = store(met.filter(likely).select("a", "b"), "likely-pairs")
-
     nodes = passed.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+    return _exact(passed, _sets(nodes, classes, slim))
+
+
+def _sets(nodes: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
+    """``rep, members``: the whole shingle sets of the classes ``nodes``, from a second look at their texts.
+
+    Identifiers proven to be small are broadcast, so that the other texts stay where they are.
+    """
     wanted = store(classes.join(nodes, "rep", "left_semi"), "wanted")
-    ids = wanted.select("_id").distinct()
+    ids = wanted.select(F.col("_id").alias("wanted")).distinct()
     ids = F.broadcast(ids) if wanted.count() * 64 <= BROADCAST_LIMIT else ids
-    texts = slim.join(ids, slim["_id"].eqNullSafe(ids["_id"]), "left_semi")
-    sets = texts.mapInArrow(_whole_sets, "key binary, members array<bigint>")
-    sets = store(sets.join(wanted.select("key", "rep"), "key").dropDuplicates(["rep"]).select("rep", "members"), "sets")
-    # The smaller side of a pair is often a pivot with many partners, so its set is joined last.
-    one = passed.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
+    texts = slim.join(ids, F.col("_id").eqNullSafe(F.col("wanted")), "left_semi")
+    sets = texts.mapInArrow(_whole_sets, "key binary, members array<bigint>").join(wanted.select("key", "rep"), "key")
+    return store(sets.dropDuplicates(["rep"]).select("rep", "members"), "sets")
+
+
+def _exact(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    # ``a`` is often a pivot with many partners, so its set is joined last and travels once.
+    one = pairs.join(sets.select(F.col("rep").alias("b"), F.col("members").alias("mb")), "b")
     two = one.join(sets.select(F.col("rep").alias("a"), F.col("members").alias("ma")), "a")
     common = F.size(F.array_intersect("ma", "mb"))
     return two.filter(100 * common >= 75 * (F.size("ma") + F.size("mb") - common)).select("a", "b")
@@ -200,7 +245,7 @@ def _result(rows: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str)
     named = classes.join(roots.select(F.col("node").alias("rep"), "root"), "rep", "left").select(
         "key", F.coalesce("root", "rep").alias("root")
     )
-    known = store(rows.select("_id", "_row", "n", "key").join(named, "key", "left"), "rooted")
+    known = store(rows.select("_id", "_row", "_sum", "n", "key").join(named, "key", "left"), "rooted")
     alone = F.coalesce("root", "_row")
     first = F.min(F.struct(F.col("_id").isNull().alias("none"), "_id", "_row")).alias("first")
     best = known.groupBy(alone.alias("root")).agg(first).select("root", "first.*")
@@ -209,5 +254,5 @@ def _result(rows: DataFrame, classes: DataFrame, roots: DataFrame, id_col: str)
     )
     return out.select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "component_id",
-        (F.col("_row") == F.col("_best")).alias("kept"),
+        (F.col("_row") == F.col("_best")).alias("kept"), F.col("_sum").alias("text_sum"),
     )
