@@ -74,8 +74,8 @@ WIDTH, STRIDE = 96, 48
 CONTEXT = 24
 MOST_DOCUMENTS, MOST_BYTES = 1500, 16 * 1024 * 1024  # bounds of the fitting sample
 MOST_WINDOWS = 1600
-EPOCHS, BATCH, RATE = 10, 64, 0.02
-LEAST_MARGIN = 0.9
+STEPS, BATCH, RATE = 260, 64, 0.02
+LEAST_MARGIN = 0.8
 SHORTEST = 7
 
 _CODES = np.zeros(128, np.int64)  # 0: any other character
@@ -222,17 +222,14 @@ def train(texts: list[str]) -> Tagger | None:
         return None
     x, y = np.array(xs[:MOST_WINDOWS]), np.array(ys[:MOST_WINDOWS])
     model, r = Tagger.new(), np.random.default_rng(11)
-    first, second, step = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}, 0
-    for _ in range(EPOCHS):
-        order = r.permutation(len(x))
-        for at in range(0, len(x), BATCH):
-            part = order[at : at + BATCH]
-            _, grads = model.gradient(x[part], y[part])
-            step += 1
-            for k, g in grads.items():
-                first[k] = 0.9 * first[k] + 0.1 * g
-                second[k] = 0.99 * second[k] + 0.01 * g * g
-                model.p[k] = model.p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
+    first, second = {k: 0.0 for k in model.p}, {k: 0.0 for k in model.p}
+    for step in range(1, STEPS + 1):
+        part = r.integers(0, len(x), min(BATCH, len(x)))
+        _, grads = model.gradient(x[part], y[part])
+        for k, g in grads.items():
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.99 * second[k] + 0.01 * g * g
+            model.p[k] = model.p[k] - RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
     return model
 
 
