@@ -87,14 +87,10 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     if not len(first) or len(np.unique(labels)) < 2:
         return Model(np.zeros(0, U), np.zeros(0), BIAS)
     sentence = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(features[0]))))
-    h, where = np.concatenate(features), np.tile(sentence, len(features))
-    order = np.argsort(h, kind="stable")
-    h, where = h[order], where[order]
-    group = np.cumsum(np.append(True, h[1:] != h[:-1])) - 1
-    once = np.append(True, (np.diff(group) > 0) | (np.diff(doc[where]) != 0))
-    keep = _telling(group[once], labels[doc[where[once]]], labels)[group]
-    keys, column = np.unique(h[keep], return_inverse=True)
-    where = where[keep]
+    total = sum(len(np.unique(f)) for f in features)
+    kept = [_telling(f, sentence, doc, labels, total) for f in features]  # one kind of feature at a time, for memory
+    keys, column = np.unique(np.concatenate([h for h, _ in kept]), return_inverse=True)
+    where = np.concatenate([s for _, s in kept])
     w, bias = np.zeros(len(keys)), BIAS
     memory, memory_bias = np.full(len(keys), 1e-2), 1e-2
     y = labels.astype(float)
@@ -114,17 +110,23 @@ def fit(texts: pa.Array, labels: np.ndarray) -> Model:
     return Model(keys, w, float(bias))
 
 
-def _telling(group: np.ndarray, label: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Which features depend on the label. ``group`` and ``label``: one entry per feature and document."""
+def _telling(h: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.ndarray, total: int):
+    """Occurrences, as feature and sentence, of the features that depend on the label."""
+    order = np.argsort(h, kind="stable")
+    h, sentence = h[order], sentence[order]
+    new = np.append(True, h[1:] != h[:-1])
+    group = np.cumsum(new) - 1
+    once = np.flatnonzero(new | np.append(True, np.diff(doc[sentence]) != 0))  # once per feature and document
     n, positive = len(labels), int(labels.sum())
-    both = np.bincount(group, label)
-    seen = np.bincount(group).astype(float)
+    both = np.bincount(group[once], labels[doc[sentence[once]]])
+    seen = np.bincount(group[once]).astype(float)
     cells = [
         (both, seen * positive / n), (seen - both, seen * (n - positive) / n),
         (positive - both, (n - seen) * positive / n), (n - positive - seen + both, (n - seen) * (n - positive) / n),
     ]
     ratio = sum(np.where(o > 0, o * np.log(np.maximum(o, 1e-9) / np.maximum(e, 1e-9)), 0.0) for o, e in cells)
-    return (seen >= LEAST_SEEN) & (ratio > np.log(len(seen)))
+    keep = ((seen >= LEAST_SEEN) & (ratio > np.log(total)))[group]
+    return h[keep], sentence[keep]
 
 
 def bounded_sample(
