@@ -16,7 +16,7 @@ ORACLE_SQL = None  # SQL cannot express the classifiers, the tagger and the toke
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose score stays below the threshold. A document without text is clean."""
     labels = table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.bounded_sample(docs, labels, "toxic", ~held_out("doc_id")))
+    model = toxicity.fit(*toxicity.fitting_sample(docs, labels, "toxic", ~held_out("doc_id")))
     return toxicity.score(docs, model).filter(F.col("score") < toxicity.REJECT).select(*docs.columns)
 
 

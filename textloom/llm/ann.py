@@ -14,7 +14,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from textloom.llm.common import store
+from textloom.llm.common import bounded_sample, store
 
 SAMPLE = 65_536  # vectors the centroids are fitted on, at most
 LIST_ROWS = 256  # vectors per list aimed at
@@ -176,7 +176,7 @@ def nearest(
     total = entries.count()
     if not total:
         return empty
-    picked = entries.orderBy(F.xxhash64("entry"), "entry").limit(SAMPLE).select("vec").toArrow().column("vec")
+    picked = bounded_sample(entries, SAMPLE, "vec").select("vec").toArrow().column("vec")
     sample = picked.combine_chunks().flatten().to_numpy().reshape(-1, lengths[0])
     model = Lists.fit(units(sample), int(np.clip(total // LIST_ROWS, 1, MOST_LISTS)))
     shared = spark.sparkContext.broadcast(model)  # at most MOST_LISTS centroids and their edges

@@ -33,6 +33,18 @@ def store(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, most: int, *keys: str) -> DataFrame:
+    """All rows, or about ``most`` of them by the hash of ``keys``: one count, and nothing is sorted or gathered.
+
+    The same rows come out however the table is partitioned; the limit only binds where rows repeat.
+    """
+    count = df.count()
+    if count <= most:
+        return df
+    share = int(most / count * (1 << 31))
+    return df.filter(F.pmod(F.xxhash64(*keys), F.lit(1 << 31)) < share).limit(2 * most)
+
+
 def with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Only the two columns an operator reads, renamed so that extra columns cannot clash."""
     return docs.select(F.col(id_col).alias("_id"), whole(text_col).alias("_text"))

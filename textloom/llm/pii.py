@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.arrow import slices
-from textloom.llm.common import with_ids
+from textloom.llm.common import bounded_sample, with_ids
 
 KINDS = ("email", "ip", "card", "phone")
 Span = tuple[int, int, int]  # start, end (code points), index of the kind
@@ -72,7 +72,7 @@ CLASSES = 48
 HIDDEN = 16
 WIDTH, STRIDE = 96, 48
 CONTEXT = 24
-MOST_DOCUMENTS, MOST_BYTES = 1500, 16 * 1024 * 1024  # bounds of the fitting sample
+MOST_DOCUMENTS, LONGEST = 1500, 32 * 1024  # bounds of the fitting sample: texts, and bytes of each
 MOST_WINDOWS = 1600
 STEPS, BATCH, RATE = 260, 64, 0.02
 LEAST_MARGIN = 0.8
@@ -317,9 +317,10 @@ def _plausible(piece: str, kind: int) -> bool:
 
 
 def sample_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """Up to ``MOST_DOCUMENTS`` texts with a digit or at sign, by the digest of their identifier."""
-    rows = with_ids(docs, id_col, text_col).filter(F.col("_text").rlike("[0-9@]") & (F.octet_length("_text") < 32768))
-    return [r[0] for r in rows.orderBy(F.md5(F.col("_id").cast("string")), "_text").limit(MOST_DOCUMENTS).select("_text").collect()]
+    """About ``MOST_DOCUMENTS`` texts with a digit or at sign, by the hash of identifier and text."""
+    rows = with_ids(docs, id_col, text_col).filter(F.col("_text").rlike("[0-9@]") & (F.octet_length("_text") < LONGEST))
+    picked = bounded_sample(rows, MOST_DOCUMENTS, "_id", "_text").select(F.xxhash64("_id", "_text").alias("at"), "_text")
+    return [r["_text"] for r in sorted(picked.collect(), key=lambda r: r["at"])]
 
 
 def find(docs: DataFrame, model: Tagger | None, text_col: str = "text") -> DataFrame:

@@ -147,7 +147,7 @@ def held_out(doc_id: str) -> F.Column:
 @query("op9_toxicity")
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    model = toxicity.fit(*toxicity.bounded_sample(docs, labels, "toxic", ~held_out("doc_id")))
+    model = toxicity.fit(*toxicity.fitting_sample(docs, labels, "toxic", ~held_out("doc_id")))
     scored = toxicity.score(docs.select("doc_id", "text"), model)
     return scored.select(
         "doc_id", F.coalesce(held_out("doc_id"), F.lit(False)).alias("held_out"), "score",

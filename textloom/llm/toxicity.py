@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.llm.arrow import slices
-from textloom.llm.common import with_ids
+from textloom.llm.common import bounded_sample, with_ids
 from textloom.llm.hashing import U, buffers, mix, prefix_hashes, words
 
 PREFIXES = (4, 5, 6)  # bytes
@@ -129,23 +129,25 @@ def _telling(h: np.ndarray, sentence: np.ndarray, doc: np.ndarray, labels: np.nd
     return h[keep], sentence[keep]
 
 
-def bounded_sample(
+def fitting_sample(
     docs: DataFrame, labels: DataFrame, label: str, usable: Column, id_col: str = "doc_id", text_col: str = "text",
 ) -> tuple[pa.Array, np.ndarray]:
-    """Up to ``MOST_PER_CLASS`` labelled documents of each class, by the digest of their identifier."""
+    """About ``MOST_PER_CLASS`` labelled documents of each class, by the hash of their identifier.
+
+    Of several labels of a document the largest counts.
+    """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).filter("_y in (0, 1)").filter(
         usable.isNotNull() & usable
     )
     picked = None
     for y, n in MOST_PER_CLASS.items():
-        part = known.filter(F.col("_y") == y).groupBy("_id").agg(F.first("_y").alias("_y"))
-        part = part.orderBy(F.md5(F.col("_id").cast("string")), "_id").limit(n)
+        part = bounded_sample(known.groupBy("_id").agg(F.max("_y").alias("_y")).filter(F.col("_y") == y), n, "_id")
         picked = part if picked is None else picked.unionByName(part)
     rows = with_ids(docs, id_col, text_col).join(F.broadcast(picked), "_id").select("_text", "_y")
     total = rows.agg(F.sum(F.octet_length("_text"))).first()[0] or 0
     if total > MOST_BYTES:
         rows = rows.filter(F.pmod(F.xxhash64("_text"), F.lit(1000)) * total < 1000 * MOST_BYTES)
-    table = rows.toArrow().combine_chunks()
+    table = rows.orderBy(F.xxhash64("_text"), "_text").toArrow().combine_chunks()  # the same order at every run
     if not table.num_rows:
         return pa.array([], pa.string()), np.zeros(0, np.int64)
     return table.column("_text").chunk(0), table.column("_y").to_numpy()
