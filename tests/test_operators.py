@@ -45,11 +45,11 @@ def test_coverage_thresholds(spark):
 
 def test_stages_and_edge_cases(spark):
     chunks = [
-        "We said that slavery national throughout the United States was the aim of no man here.",
+        "The old harbour closed, and trade moved inland throughout the northern provinces for nine years.",
         "A house divided against itself cannot stand. I believe this government cannot endure.",
         "It is for us the living, rather, to be dedicated here to the unfinished work... they gave.",
     ]
-    fabricated = "I have said that the Dred Scott decision was made for the purpose of making slavery national throughout the United State"
+    fabricated = "He told us that the new council had paid for the walls so that trade moved inland throughout the northern province"
     got = verify(spark, chunks, [
         ("A house divided against itself cannot stand.", 1),
         ("A HOUSE divided, against itself; cannot stand", 1),
@@ -104,7 +104,7 @@ def test_containment_join_equals_brute_force(spark):
 
 
 def test_source_agreement(spark):
-    rows = [("At Peoria, Illinois. October 16, 1854.", "Peoria Address (1854)", True), ("First debate, Ottawa, 1858", "Speech to the Lyceum, Springfield, 1838", False), ("", "x", True)]
+    rows = [("At Dover, Kent. March 3, 1931.", "Dover Lecture (1931)", True), ("First debate, Ottawa, 1858", "Speech to the Lyceum, Springfield, 1838", False), ("", "x", True)]
     df = spark.createDataFrame(rows, "a string, b string, want boolean")
     assert df.select((quotes.same_source(F.col("a"), F.col("b")) == F.col("want")).alias("ok")).filter("not ok").count() == 0
 
@@ -151,14 +151,14 @@ def test_shuffled_keyword_path_equals_broadcast_path(spark, small, monkeypatch):
     plans = spark.createDataFrame([(i, {"union": 1.0, "slavery": 2.0, "--": 1.0}, [], []) for i in range(5)], PLANS)
     weights = keyword.keyword_weights(plans, terms)
     usual = sorted(map(tuple, keyword.keyword_scores(corpus, weights).collect()))
-    monkeypatch.setattr(keyword, "broadcast_if_small", lambda df, n: (df, False))
+    monkeypatch.setattr(keyword, "broadcast_if_small", lambda df: df)
     assert sorted(map(tuple, keyword.keyword_scores(corpus, weights).collect())) == usual
 
 
 # ---- vectors -----------------------------------------------------------------------------------
 
 
-def test_cosine_paths_agree_with_numpy(spark):
+def test_cosine_blocks_agree_with_numpy(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x, q = rng.normal(size=(300, 8)), rng.normal(size=(7, 8))
     x[5] = x[9]
@@ -168,18 +168,38 @@ def test_cosine_paths_agree_with_numpy(spark):
     unit = x / np.where(np.linalg.norm(x, axis=1, keepdims=True) == 0, 1, np.linalg.norm(x, axis=1, keepdims=True))
     sims = (q / np.linalg.norm(q, axis=1, keepdims=True)) @ unit.T
     want = {(i, int(c), r + 1) for i in range(7) for r, c in enumerate(np.lexsort((np.arange(300), -np.round(sims[i], 9)))[:4])}
-    for limit in (10**6, 1):
-        got = vector.cosine_top(corpus, queries, 4, limit=limit, cell=50).collect()
+    for limit, held in ((10**6, vector.SIMILARITIES), (200, 40)):
+        monkeypatch.setattr(vector, "SIMILARITIES", held)  # few corpus rows at a time
+        got = vector.cosine_top(corpus, queries, 4, limit=limit).collect()
         assert {(r["query_id"], r["chunk_id"], r["rank"]) for r in got} == want
 
 
-def test_late_interaction_paths_agree(spark):
+def test_vectors_of_other_lengths_raise(spark):
+    corpus = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "chunk_id long, embedding array<double>")
+    asked = spark.createDataFrame([(1, 1, [1.0, 0.0]), (2, 1, None)], "query_id long, token_id long, embedding array<double>")
+    for found in (vector.cosine_top(corpus, asked), vector.late_interaction_top(corpus, asked)):
+        with pytest.raises(Exception, match="expected 2 values, found 1"):
+            found.collect()
+    some = vector.cosine_top(corpus.filter("chunk_id = 1").union(spark.createDataFrame([(3, None)], corpus.schema)), asked)
+    assert [(r["query_id"], r["chunk_id"]) for r in some.collect()] == [(1, 1)]
+    assert vector.cosine_top(corpus, asked.limit(0)).count() == vector.late_interaction_top(corpus, asked.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("heavy", [True, False])
+def test_late_interaction_blocks_agree(spark, monkeypatch, heavy):
+    if not heavy:  # all documents are scored in one sorted partition
+        monkeypatch.setattr(vector, "heavy_keys", lambda counts, key, n: counts.select(key).limit(0))
     rng = np.random.default_rng(1)
     docs = [(int(i % 9), rng.normal(size=4).tolist()) for i in range(90)]
     toks = [(i // 3, i % 3, rng.normal(size=4).tolist()) for i in range(6)]
     d = spark.createDataFrame(docs, "chunk_id long, embedding array<double>")
     t = spark.createDataFrame(toks, "query_id long, token_id long, embedding array<double>")
-    a, b = (sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in vector.late_interaction_top(d, t, 9, limit=n, cell=20).collect()) for n in (10**6, 1))
+    found = []
+    for limit, held in ((10**6, vector.SIMILARITIES), (40, 18)):
+        monkeypatch.setattr(vector, "SIMILARITIES", held)
+        rows = vector.late_interaction_top(d, t, 9, limit=limit).collect()
+        found.append(sorted((r["query_id"], r["rank"], r["chunk_id"], round(r["score"], 9)) for r in rows))
+    a, b = found
 
     def unit(v):
         return np.array(v) / np.linalg.norm(v)
@@ -286,11 +306,35 @@ def test_conversation_rules(spark):
     assert got == {"a": (True, True, True), "b": (True, False, False), "c": (False, True, False)}
 
 
-def test_phrase_audit_paths_agree(spark):
-    answers = spark.createDataFrame([(1, "about 10,000 men"), (2, "the corpus figure corrects this"), (3, "none")], "example_id int, answer string")
-    phrases = spark.createDataFrame([("forbidden", "10,000"), ("required", "Corrects"), ("required", "corpus fig")], "kind string, phrase string")
-    a, b = (sorted(map(tuple, curate.phrase_audit(answers, phrases, small=n).collect())) for n in (200, 1))
-    assert a == b == [(1, 1, 0, False), (2, 0, 2, True), (3, 0, 0, False)]
+def test_phrase_audit_with_nulls_and_empty_phrases(spark):
+    answers = spark.createDataFrame(
+        [(1, "about 10,000 men"), (2, "the corpus figure corrects this"), (3, "none"), (4, None)], "example_id int, answer string"
+    )
+    phrases = [("forbidden", "10,000"), ("required", "Corrects"), ("required", "corpus fig"), ("required", ""), ("forbidden", None)]
+    got = curate.phrase_audit(answers, spark.createDataFrame(phrases, "kind string, phrase string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 1, 0, False), (2, 0, 2, True), (3, 0, 0, False), (4, 0, 0, False)]
+    none = curate.phrase_audit(answers, spark.createDataFrame([], "kind string, phrase string"))
+    assert {r["passed"] for r in none.collect()} == {False}
+
+
+def test_repeated_updates_raise(spark):
+    stored = spark.createDataFrame([(1, "a"), (2, "b")], "id int, v string")
+    merged, unknown = results.update_results(stored, spark.createDataFrame([(1, "c"), (9, "d")], "id int, v string"), "id")
+    assert sorted(map(tuple, merged.collect())) == [(1, "c"), (2, "b")] and [r["id"] for r in unknown.collect()] == [9]
+    twice, _ = results.update_results(stored, spark.createDataFrame([(1, "c"), (1, "d")], "id int, v string"), "id")
+    with pytest.raises(Exception, match="several updates of 1"):
+        twice.collect()
+
+
+def test_broken_files_raise(spark, tmp_path):
+    (tmp_path / "lines.jsonl").write_text('{"messages": []}\n{"messages": [\n')
+    with pytest.raises(Exception, match="(?i)malformed"):
+        files.read_jsonl(spark, str(tmp_path / "lines.jsonl")).collect()
+    table = '{"corpusTerms": {"total": 3,\n "terms": [{"term": "sea", "rawFreq": 3, "inDocumentsCount": 2}]}}'
+    (tmp_path / "terms.json").write_text(table)
+    with pytest.raises(Exception, match="no term table"):
+        files.read_term_table(spark, str(tmp_path / "terms.json")).collect()
+    assert [tuple(r) for r in files.read_term_table(spark, str(tmp_path / "terms.json"), lines=False).collect()] == [("sea", 3, 2)]
 
 
 def test_resume_does_each_text_once(spark, tmp_path):

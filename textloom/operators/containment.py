@@ -108,7 +108,7 @@ def candidates(
     needed = wanted[0]
     for w in wanted[1:]:
         needed = needed.union(w)
-    needed, _ = broadcast_if_small(needed.distinct(), 64)
+    needed = broadcast_if_small(needed.distinct())
     found = postings.join(needed, "term", "left_semi")
     freq = found.groupBy("term").agg(F.count("*").alias("df"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.operators.containment import phrase_hits
-from textloom.operators.skew import broadcast_if_small, top_n
+from textloom.operators.skew import broadcast_if_small, keep_ids, top_n
 from textloom.operators.termstats import keyword_class
 
 
@@ -16,12 +16,12 @@ def keyword_audit(examples: DataFrame, terms: DataFrame, chunks: DataFrame | Non
     """
     kw = examples.select("example_id", "chunk_id", F.explode("weighted_keywords").alias("keyword", "weight"))
     kw = kw.withColumn("term", F.lower("keyword"))
-    asked, _ = broadcast_if_small(kw.select("term").distinct(), 64)
+    asked = broadcast_if_small(kw.select("term").distinct())
     freq = terms.join(asked, "term", "left_semi").select("term", "raw_freq")
     rows = kw.join(freq, "term", "left").withColumn("raw_freq", F.coalesce("raw_freq", F.lit(0)))
     rows = rows.withColumn("quality", keyword_class(F.col("raw_freq"), F.col("weight")))
     if chunks is not None:
-        body = chunks.select("chunk_id", F.lower("full_text").alias("_body"))
+        body = keep_ids(chunks.select("chunk_id", F.lower("full_text").alias("_body")), "chunk_id", examples)
         rows = rows.join(body, "chunk_id", "left").withColumn(
             "in_chunk", F.contains("_body", F.col("term"))
         ).drop("_body")
@@ -68,33 +68,22 @@ def validate_conversations(turns: DataFrame) -> DataFrame:
     ).withColumn("valid", F.col("roles_ok") & F.coalesce("json_ok", F.lit(True)))
 
 
-def phrase_audit(answers: DataFrame, phrases: DataFrame, small: int = 200) -> DataFrame:
+def phrase_audit(answers: DataFrame, phrases: DataFrame) -> DataFrame:
     """Forbidden phrases must be absent, at least one required phrase must be present.
 
-    ``answers``: example_id, answer; ``phrases``: kind (forbidden or required), phrase. Up to
-    ``small`` phrases are tested in the scan itself, more are found by a containment join.
+    ``answers``: example_id, answer; ``phrases``: kind (forbidden or required), phrase. Phrases meet
+    answers in a containment join, however many there are. A null answer holds no phrase, and null
+    or empty phrases count for nothing.
     """
-    listed = phrases.select("kind", F.lower("phrase").alias("phrase")).distinct()
-    few = listed.limit(small + 1).collect()
-    if len(few) <= small:
-        low = F.lower("answer")
-
-        def hits(kind: str) -> Column:
-            n = F.lit(0)
-            for r in sorted(r["phrase"] for r in few if r["kind"] == kind):
-                n = n + F.contains(low, F.lit(r)).cast("int")
-            return n.cast("long")
-
-        out = answers.select("example_id", hits("forbidden").alias("n_forbidden"), hits("required").alias("n_required"))
-    else:
-        keyed = listed.withColumn("phrase_id", F.concat_ws(":", "kind", "phrase"))
-        found = phrase_hits(keyed, "phrase_id", "phrase", answers, "example_id", "answer")
-        kinds = found.join(keyed.select("phrase_id", "kind"), "phrase_id")
-        counts = kinds.groupBy("example_id").agg(
-            F.count_if(F.col("kind") == "forbidden").alias("n_forbidden"),
-            F.count_if(F.col("kind") == "required").alias("n_required"),
-        )
-        out = answers.select("example_id").join(counts, "example_id", "left").fillna(0)
+    listed = phrases.select("kind", F.lower("phrase").alias("phrase")).filter("phrase <> ''").distinct()
+    keyed = listed.withColumn("phrase_id", F.concat_ws(":", "kind", "phrase"))
+    found = phrase_hits(keyed, "phrase_id", "phrase", answers, "example_id", "answer")
+    kinds = found.join(keyed.select("phrase_id", "kind"), "phrase_id")
+    counts = kinds.groupBy("example_id").agg(
+        F.count_if(F.col("kind") == "forbidden").alias("n_forbidden"),
+        F.count_if(F.col("kind") == "required").alias("n_required"),
+    )
+    out = answers.select("example_id").join(counts, "example_id", "left").fillna(0, ["n_forbidden", "n_required"])
     return out.withColumn("passed", (F.col("n_forbidden") == 0) & (F.col("n_required") > 0))
 
 

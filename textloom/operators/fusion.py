@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.skew import top_n
+from textloom.operators.skew import broadcast_if_small, keep_ids, top_n
 
 # Order in which the searches are concatenated.
 SEARCH_ORDER = ["Keyword", "Semantic", "ColBERT"]
@@ -59,7 +59,7 @@ def candidate_documents(hits: DataFrame, corpus: DataFrame) -> DataFrame:
     kind = provenance(F.col("search_type"), F.col("key_quote"))
     rows = hits.withColumn("search_type", kind).withColumn("_id", F.coalesce(tx.id_label(F.col("text_id")), F.lit("")))
     own = F.when(F.col("search_type") == "Keyword", F.col("key_quote")).otherwise(F.col("top_segment"))
-    joined = rows.join(known, "_id", "left")
+    joined = rows.join(keep_ids(known, "_id", rows), "_id", "left")
     doc = {
         "search_type": F.col("search_type"),
         "text_id": tx.strip(F.coalesce("text_id", F.lit(""))),
@@ -90,7 +90,8 @@ def formatted_context(ranked: DataFrame, corpus: DataFrame | None = None, n: int
         known = corpus.select(
             tx.id_label(F.col("text_id")).alias("_id"), F.col("source").alias("_source"), F.col("full_text").alias("_text")
         )
-        rows = rows.withColumn("_id", tx.id_label(F.col("text_id"))).join(known, "_id", "left")
+        rows = rows.withColumn("_id", tx.id_label(F.col("text_id")))
+        rows = rows.join(keep_ids(known, "_id", rows), "_id", "left")
         rows = rows.withColumn("full_text", F.coalesce(F.nullif(F.col("_text"), F.lit("")), "full_text")).withColumn(
             "source", F.coalesce(F.nullif(tx.strip(F.col("source")), F.lit("")), tx.strip(F.col("_source")))
         )
@@ -126,6 +127,7 @@ def remap_ids(hits: DataFrame, corpus: DataFrame) -> DataFrame:
         corpus.select(tx.strip(F.col("source")).alias("_source"), "chunk_id").filter("_source <> ''")
         .groupBy("_source").agg(F.min("chunk_id").alias("_first"))
     )
+    by_source = broadcast_if_small(by_source)  # a few labels, each with many rows
     rows = (
         hits.withColumn("parsed_id", tx.id_number(F.col("text_id")))
         .withColumn("_source", tx.strip(F.coalesce("source", F.lit(""))))

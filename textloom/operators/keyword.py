@@ -44,7 +44,7 @@ def keyword_weights(plans: DataFrame, terms: DataFrame, absent: str = "min") ->
     """
     kw = plans.select("query_id", F.explode("weighted_keywords").alias("keyword", "user_weight"))
     kw = kw.withColumn("key", tx.strip(F.lower("keyword"))).filter("key <> ''")
-    small, _ = broadcast_if_small(kw, 128)
+    small = broadcast_if_small(kw)
     # The term table is the big side: reduce it to the asked terms before anything else. The
     # corpus total cancels out of weight / largest weight, so raw frequencies are enough.
     known = terms.select(F.lower("term").alias("key"), "raw_freq")
@@ -67,12 +67,10 @@ def searched_text() -> Column:
 
 
 def _word_matches(chunks: DataFrame, single: DataFrame) -> DataFrame:
-    """One row per occurrence of a one-word keyword, or one row per (chunk, word) with a count."""
+    """One row per (chunk, one-word keyword) with a count. Words nobody asks for leave before the shuffle."""
+    asked = broadcast_if_small(single.select("key").distinct())
     tokens = chunks.select("chunk_id", "source", F.explode(tx.word_runs(F.col("body"))).alias("key"))
-    small, fits = broadcast_if_small(single, 160)
-    if fits:
-        return tokens.withColumn("n", F.lit(1).cast("long")).join(small, "key")
-    counts = tokens.groupBy("chunk_id", "source", "key").agg(F.count("*").alias("n"))
+    counts = tokens.join(asked, "key", "left_semi").groupBy("chunk_id", "source", "key").agg(F.count("*").alias("n"))
     load = counts.groupBy("key").agg(F.count("*").alias("df"))
     return salted_join(counts, single, "key", heavy_keys(load, "key", "df"), F.col("chunk_id"))
 
@@ -87,15 +85,15 @@ def _phrase_matches(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     gaps = F.regexp_extract_all(
         F.col("body"), F.lit(rf"(?<=[{tx.WORD_CHAR}])[^{tx.WORD_CHAR}]+(?=[{tx.WORD_CHAR}])"), F.lit(0)
     )
-    anchors, _ = broadcast_if_small(
-        anchored.select(F.coalesce("anchor", "key").alias("anchor"), "key").distinct(), 160
-    )
+    anchors = broadcast_if_small(anchored.select(F.coalesce("anchor", "key").alias("anchor"), "key").distinct())
     near = (
         chunks.select("chunk_id", F.explode(F.array_union(words, F.array_distinct(gaps))).alias("anchor"))
         .join(anchors, "anchor").select("chunk_id", "key").distinct()
     )
-    # The plain substring test is much cheaper than the pattern and settles most pairs.
-    holding = near.join(chunks, "chunk_id").filter(F.contains("body", F.col("key")))
+    near = cut_lineage(near, "phrase-candidates")
+    # Texts without a candidate leave before the join. The plain substring test is much cheaper than the
+    # pattern and settles most pairs.
+    holding = near.join(keep_ids(chunks, "chunk_id", near), "chunk_id").filter(F.contains("body", F.col("key")))
     counted = holding.select(
         "chunk_id", "source", "key", F.regexp_count("body", tx.whole_word_pattern(F.col("key"))).cast("long").alias("n")
     )
@@ -142,7 +140,7 @@ def constrained(scores: DataFrame, plans: DataFrame, boost: str = "multiply") ->
     ``multiply`` and ``add`` raise the score and set the priority ``bucket``; ``strict`` drops
     what does not match.
     """
-    wanted, _ = broadcast_if_small(_constraints(plans), 1024)
+    wanted = broadcast_if_small(_constraints(plans))
     joined = scores.join(wanted, "query_id")
     label = F.col("_label")
     if boost == "strict":

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from textloom.functions import text as tx
 from textloom.operators.numbering import running_offsets, with_neighbours
-from textloom.operators.skew import broadcast_if_small
+from textloom.operators.skew import broadcast_if_small, keep_ids
 
 
 def lookup(rows: DataFrame, row_id: str, corpus: DataFrame, corpus_id: str, how: str = "left") -> DataFrame:
@@ -28,8 +28,8 @@ def usable_texts(raw: DataFrame, text_id: str, text: str, excluded: DataFrame) -
 
 
 def override_labels(raw: DataFrame, text_id: str, source: str, fixes: DataFrame) -> DataFrame:
-    """Replace sources by those of ``fixes(text_id, fixed_source)``."""
-    fixes, _ = broadcast_if_small(fixes.select(text_id, "fixed_source"), 256)
+    """Replace sources by those of ``fixes(text_id, fixed_source)``; of several fixes of a text the largest counts."""
+    fixes = broadcast_if_small(fixes.groupBy(text_id).agg(F.max("fixed_source").alias("fixed_source")))
     return (
         raw.join(fixes, text_id, "left")
         .withColumn(source, F.coalesce("fixed_source", source))
@@ -75,7 +75,7 @@ def neighbour_context(chunks: DataFrame, source_file: str, position: str, text:
 
 def enrich(hits: DataFrame, corpus: DataFrame, chunk_id: str, columns: list[str]) -> DataFrame:
     """Add chunk columns to hits; '' where the chunk is unknown."""
-    joined = hits.join(corpus.select(chunk_id, *columns), chunk_id, "left")
+    joined = hits.join(keep_ids(corpus.select(chunk_id, *columns), chunk_id, hits), chunk_id, "left")
     return joined.select(*hits.columns, *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
 
 

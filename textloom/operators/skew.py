@@ -7,20 +7,27 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from textloom.session import BROADCAST_LIMIT
 
 
-def broadcast_if_small(df: DataFrame, row_bytes: int, limit: int = BROADCAST_LIMIT) -> tuple[DataFrame, bool]:
-    """Mark ``df`` for broadcasting only if its counted rows stay below ``limit`` bytes.
+ROW_OVERHEAD = 32
 
-    Meant for query-side tables, whose count is cheap next to a corpus scan.
+
+def table_bytes(df: DataFrame) -> int:
+    """Measured size of a table: its rows as JSON and an overhead each, summed where the rows are."""
+    size = F.octet_length(F.to_json(F.struct("*"))) + ROW_OVERHEAD
+    return df.agg(F.sum(size.cast("long"))).first()[0] or 0
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_LIMIT) -> DataFrame:
+    """Mark ``df`` for broadcasting only if its measured size stays below ``limit`` bytes.
+
+    Meant for query-side tables, whose size is cheap next to a corpus scan. The result of a join
+    is the same either way.
     """
-    cap = limit // row_bytes
-    small = df.limit(cap + 1).count() <= cap
-    return (F.broadcast(df) if small else df), small
+    return F.broadcast(df) if table_bytes(df) <= limit else df
 
 
 def keep_ids(df: DataFrame, key: str, ids: DataFrame) -> DataFrame:
     """Rows whose key is in ``ids``: a scan-side filter before a wide table enters a shuffle."""
-    small, _ = broadcast_if_small(ids.select(key).distinct(), 16)
-    return df.join(small, key, "left_semi")
+    return df.join(broadcast_if_small(ids.select(key).distinct()), key, "left_semi")
 
 
 def heavy_keys(counts: DataFrame, key: str, n: str, parts: int = 1000) -> DataFrame:

@@ -6,8 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.session import spread
-
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -22,8 +20,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# A table of fewer bytes than this is one file with one row group, which no setting can split.
+SMALL_TABLE = 32 * 1024 * 1024
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+    """A given table. Only one of a few megabytes is dealt over the cores; larger ones are scanned as they lie."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(spark.sparkContext.defaultParallelism) if size <= SMALL_TABLE else df
 
 
 def r6(c) -> F.Column:

@@ -81,21 +81,24 @@ def _by(*cols: str):
     return Window.orderBy(*cols)
 
 
-def read_term_table(spark: SparkSession, path: str) -> DataFrame:
-    """``term, raw_freq, doc_freq`` from ``{"corpusTerms": {...}}``, an object or a JSON string of it."""
-    raw = spark.read.text(path, wholetext=False)
-    outer = F.get_json_object("value", "$.corpusTerms")
-    doc = F.from_json(outer, schemas.TERM_DOC)
-    rows = raw.select(F.inline(doc["terms"]))
+def read_term_table(spark: SparkSession, path: str, lines: bool = True) -> DataFrame:
+    """``term, raw_freq, doc_freq`` from ``{"corpusTerms": {...}}``, an object or a JSON string of it.
+
+    One document per line, or with ``lines=False`` one per file. What is neither raises an error.
+    """
+    raw = spark.read.text(path, wholetext=not lines).filter(tx.strip(F.col("value")) != "")
+    terms = F.from_json(F.get_json_object("value", "$.corpusTerms"), schemas.TERM_DOC, {"mode": "FAILFAST"})["terms"]
+    broken = F.raise_error(F.concat(F.lit("no term table: "), F.left("value", F.lit(80))))
+    rows = raw.select(F.inline(F.when(terms.isNull(), broken).otherwise(terms)))
     return rows.select(
         "term", F.col("rawFreq").alias("raw_freq"), F.col("inDocumentsCount").alias("doc_freq")
     )
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: str = schemas.TRAINING_EXAMPLE) -> DataFrame:
-    """One JSON record per non-blank line."""
+    """One JSON record per non-blank line; a broken line raises an error."""
     lines = spark.read.text(path).filter(tx.strip(F.col("value")) != "")
-    return lines.select(F.from_json("value", schema).alias("r")).select("r.*")
+    return lines.select(F.from_json("value", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
 
 
 def write_jsonl(df: DataFrame, path: str) -> None:
@@ -136,8 +139,7 @@ def read_texts(spark: SparkSession, paths: str | list[str], manifest: DataFrame)
     files = spark.read.format("binaryFile").load(paths).select(
         F.element_at(F.split(F.col("path"), "/"), -1).alias("file_name"), "content"
     )
-    listed, _ = broadcast_if_small(manifest, 512)
-    return listed.join(files, "file_name", "left").select(
+    return broadcast_if_small(manifest).join(files, "file_name", "left").select(
         "position", "label", "file_name", F.make_valid_utf8(F.col("content").cast("string")).alias("full_text")
     )
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StructType
 
@@ -99,8 +100,13 @@ def check_layout(spark: SparkSession, path: str, schema: str) -> bool:
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hadoop)
+    try:
+        spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return False
+        raise
+    return True
 
 
 def as_layout(df: DataFrame, schema: str) -> DataFrame:
@@ -120,10 +126,12 @@ def append_results(df: DataFrame, path: str, schema: str = schemas.RESULT) -> No
 def update_results(stored: DataFrame, updates: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Stored rows with the supplied columns replaced, and the updates that match no row.
 
-    A null in ``updates`` leaves the stored value as it is.
+    A null in ``updates`` leaves the stored value as it is. Two updates of one key raise an error.
     """
     cols = [c for c in updates.columns if c != key]
-    new = updates.select(key, *[F.col(c).alias(f"_new_{c}") for c in cols])
+    twice = F.raise_error(F.concat(F.lit("several updates of "), F.col(key).cast("string")))
+    once = updates.groupBy(key).agg(F.count("*").alias("_n"), *[F.any_value(c).alias(f"_new_{c}") for c in cols])
+    new = once.select(key, *[F.when(F.col("_n") > 1, twice).otherwise(F.col(f"_new_{c}")).alias(f"_new_{c}") for c in cols])
     joined = stored.join(new, key, "left")
     merged = joined.select(*[F.coalesce(f"_new_{c}", c).alias(c) if c in cols else F.col(c) for c in stored.columns])
     return merged, updates.join(stored.select(key), key, "left_anti")
