@@ -1,8 +1,8 @@
 """Byte-pair encoding of whole texts with the tokenizers library, word by word through bounded caches.
 
 Both public vocabularies encode a text piece by piece, so equal pieces have equal ids. A text is cut
-at single spaces, each distinct chunk is cut into pieces once, and each distinct piece is encoded by
-the library's model once; most of a corpus is then dictionary look-ups.
+at single spaces. Words, and the pieces of other chunks, are encoded by the library's model once and
+then looked up, which is most of a corpus.
 """
 
 from __future__ import annotations
@@ -14,6 +14,8 @@ from functools import cache
 
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 LONGEST_CACHED = 80
+CLOSING = ",.;:!?"
+SPLIT_WHEN_LOW = "İ"  # the one such letter that is lowered to a letter and a mark
 PLAIN = "ɐ"  # below this character all Unicode versions agree on letters and digits
 
 # The published pattern of the byte-level vocabulary.
@@ -30,7 +32,7 @@ def _byte_names() -> dict[int, str]:
 class Encoder:
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit integers, without special tokens."""
 
-    def __init__(self, path: str, chunks: int = 300_000, pieces: int = 500_000):
+    def __init__(self, path: str, chunks: int = 700_000, pieces: int = 100_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -45,6 +47,7 @@ class Encoder:
         self.chunk_ids: dict[str, bytes] = {}
         self.piece_ids: dict[str, bytes] = {}
         self.limits = chunks, pieces
+        self.closing = {c: self._chunk(c) for c in CLOSING}
 
     def encode(self, text: str) -> bytes:
         if not text:
@@ -57,7 +60,7 @@ class Encoder:
                     chunk = rest[i]
                     if not self.words and (not chunk or chunk[0].isspace() or chunk[-1].isspace()):
                         return self._irregular(text)
-                    found[i] = self._remember(chunk)
+                    found[i] = self.chunk_ids.get(chunk) or self._remember(chunk)
         if not self.words and first[-1:].isspace():
             return self._irregular(text)
         return self._chunk(first) + b"".join(found)
@@ -68,15 +71,32 @@ class Encoder:
         return self._chunk(first) + b"".join([self._chunk(" " + x) for x in rest])
 
     def _remember(self, chunk: str) -> bytes:
-        ids = self.chunk_ids.get(chunk)
-        if ids is None:
+        """Ids of a chunk behind a space. A mark after a letter is a piece of its own, and not kept with the word."""
+        closing = self.closing.get(chunk[-1:])
+        if closing and chunk[-2:-1].isalpha() and chunk[-2] < PLAIN and chunk[-2] != SPLIT_WHEN_LOW:
+            word = chunk[:-1]
+            return (self.chunk_ids.get(word) or self._remember(word)) + closing
+        if chunk.isalpha() and (chunk.isascii() or max(chunk) < PLAIN):
+            ids = self._word(chunk)
+        else:
             ids = self._chunk(chunk if self.words else " " + chunk)
-            if len(chunk) <= LONGEST_CACHED:
-                if len(self.chunk_ids) >= self.limits[0]:
-                    self.chunk_ids.clear()
-                self.chunk_ids[chunk] = ids
+        if len(chunk) <= LONGEST_CACHED:
+            if len(self.chunk_ids) >= self.limits[0]:
+                self.chunk_ids.clear()
+            self.chunk_ids[chunk] = ids
         return ids
 
+    def _word(self, word: str) -> bytes:
+        """Ids of a run of letters behind a space: one piece."""
+        if self.words:
+            low = word.lower() if word.isascii() else self.normaliser.normalize_str(word)
+            if not low.isalpha():  # lowering one letter may add a mark
+                return self._chunk(word)
+            known = self.chunk_ids.get(low)
+            return known or self._ids(low if low.isascii() else low.encode().decode("latin-1").translate(self.names))
+        shown = word if word.isascii() else word.encode().decode("latin-1").translate(self.names)
+        return self._ids(self.names[32] + shown)
+
     def _chunk(self, chunk: str) -> bytes:
         if not chunk:
             return b""
@@ -90,13 +110,16 @@ class Encoder:
         return b"".join([self.piece_ids.get(x) or self._piece(x) for x in pieces])
 
     def _piece(self, piece: str) -> bytes:
-        ids = array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+        ids = self._ids(piece)
         if len(piece) <= LONGEST_CACHED:
             if len(self.piece_ids) >= self.limits[1]:
                 self.piece_ids.clear()
             self.piece_ids[piece] = ids
         return ids
 
+    def _ids(self, piece: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(piece)]).tobytes()
+
 
 @cache
 def encoder(path: str) -> Encoder:
