@@ -13,8 +13,9 @@ def enrich_batches(
     rows: DataFrame, text: str, fn: Callable[[list[str]], pd.DataFrame], schema: StructType | str, batch: int = 100,
     dry_run: Callable[[list[str]], pd.DataFrame] | None = None,
 ) -> DataFrame:
-    """Call ``fn`` on lists of at most ``batch`` texts and add its columns (``schema``) to the rows.
+    """Call ``fn`` on lists of at most ``batch`` texts and add its columns (``schema``) in place of ``text``.
 
+    The text does not travel back; join by key where it is needed again.
     With ``dry_run`` that callable runs instead, for placeholder values.
     """
     call = dry_run or fn
@@ -24,12 +25,13 @@ def enrich_batches(
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at:at + batch].reset_index(drop=True)
-                got = call(part[text].tolist())
+                got = call(part.pop(text).tolist())
                 if len(got) != len(part):
                     raise ValueError(f"callable returned {len(got)} rows for {len(part)} texts")
                 yield pd.concat([part, got.reset_index(drop=True)], axis=1)
 
-    return rows.mapInPandas(apply, StructType(rows.schema.fields + added.fields))
+    kept = [f for f in rows.schema.fields if f.name != text]
+    return rows.mapInPandas(apply, StructType(kept + added.fields))
 
 
 def with_text_key(rows: DataFrame, text: str) -> DataFrame:
@@ -51,6 +53,6 @@ def resume_enrichment(
     spark.createDataFrame([], stored).write.mode("append").parquet(path)
     done = spark.read.schema(stored).parquet(path)
     todo = keyed.join(done.select(key, "text_sha"), [key, "text_sha"], "left_anti")
-    enrich_batches(todo, text, fn, added, batch).drop(text).write.mode("append").parquet(path)
+    enrich_batches(todo, text, fn, added, batch).write.mode("append").parquet(path)
     fresh = spark.read.schema(stored).parquet(path).dropDuplicates([key, "text_sha"])
     return keyed.drop(text).join(fresh, [key, "text_sha"])

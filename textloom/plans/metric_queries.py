@@ -137,9 +137,9 @@ def m8(spark, d):
 
 @query("m9_source_diversity", f"""WITH {SQL_EVENT}
 SELECT h.query_id, CASE WHEN count(DISTINCT d.source) > 0 THEN count(DISTINCT d.source) ELSE count(*) END AS n_sources
-FROM h LEFT JOIN (SELECT * FROM documents WHERE lang = 'de') d ON d.doc_id = h.chunk_id GROUP BY h.query_id""")
+FROM h LEFT JOIN documents d ON d.doc_id = h.chunk_id GROUP BY h.query_id""")
 def m9(spark, d):
-    known = documents(spark, d).filter("lang = 'de'").select(F.col("doc_id").alias("chunk_id"), "source")
+    known = documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "source")
     return irmetrics.source_diversity(event_hits(spark, d), known)
 
 

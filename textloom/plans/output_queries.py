@@ -246,7 +246,7 @@ def j15(spark, d):
 
 SQL_EXAMPLES = f"""
 ex AS (SELECT item_id AS example_id, item_id AS chunk_id, unnest(list_distinct({sql_runs('text')})) AS keyword FROM benchmark),
-kw AS (SELECT example_id, chunk_id, keyword, length(keyword) * 2 AS weight FROM ex WHERE length(keyword) >= 4
+kw AS (SELECT example_id, chunk_id, keyword, length(keyword) * 2 AS weight FROM ex
        UNION ALL SELECT item_id, item_id, 'zzabsent', 16 FROM benchmark WHERE item_id % 3 = 0),
 au AS (SELECT k.*, coalesce(raw_freq, 0) AS raw_freq, CASE WHEN raw_freq IS NULL THEN 'ABSENT' WHEN raw_freq <= 14 AND weight >= 15 THEN 'STRONG' WHEN raw_freq <= 50 AND weight >= 8 THEN 'OK'
        WHEN raw_freq > 50 AND weight >= 15 THEN 'WEAK' ELSE 'OK' END AS quality, contains(lower(d.text), k.keyword) AS in_chunk
@@ -255,7 +255,7 @@ au AS (SELECT k.*, coalesce(raw_freq, 0) AS raw_freq, CASE WHEN raw_freq IS NULL
 
 def training_examples(spark: SparkSession, d: str) -> DataFrame:
     item = F.col("item_id")
-    words = F.array_distinct(F.filter(tx.word_runs(F.col("text")), lambda w: F.length(w) >= 4))
+    words = F.array_distinct(tx.word_runs(F.col("text")))
     words = F.when(item % 3 == 0, F.array_append(words, F.lit("zzabsent"))).otherwise(words)
     return table(spark, d, "benchmark").select(
         item.alias("example_id"), item.alias("chunk_id"),
@@ -399,7 +399,7 @@ def hashed_metadata(texts: list[str]) -> pd.DataFrame:
 @query("x1_batch_enrichment", "SELECT doc_id, left(sha1(text), 12) AS digest, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words FROM documents")
 def x1(spark, d):
     rows = documents(spark, d).select("doc_id", "text")
-    return enrich.enrich_batches(rows, "text", hashed_metadata, "digest string, n_words long").drop("text")
+    return enrich.enrich_batches(rows, "text", hashed_metadata, "digest string, n_words long")
 
 
 @query("x2_resumed_enrichment", "SELECT doc_id, left(sha1(text), 12) AS digest, CAST(len(string_split(text, ' ')) AS BIGINT) AS n_words FROM documents")

@@ -207,9 +207,9 @@ def p15(spark, d):
 
 
 @query("p16_tagged_lines", f"""
-SELECT doc_id, {sql_strip('string_split(text, chr(10))[1]')} AS summary, lang || '|' || source AS keywords, 'size ' || n_chars AS concepts FROM documents""")
+SELECT doc_id, {sql_strip("replace(text, chr(10), ' ')")} AS summary, lang || '|' || source AS keywords, 'size ' || n_chars AS concepts FROM documents""")
 def p16(spark, d):
-    line = F.element_at(F.split("text", "\n"), 1)
+    line = F.replace("text", F.lit("\n"), F.lit(" "))
     reply = F.concat(
         F.lit("SUMMARY: "), line, F.lit("\nKEYWORDS: "), F.col("lang"), F.lit(" ,"), F.col("source"), F.lit(",\nKEYWORDS_SEMANTIC: size "), F.col("n_chars")
     )

@@ -10,7 +10,7 @@ from __future__ import annotations
 import unicodedata
 from string import ascii_lowercase, ascii_uppercase
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import quotes
@@ -262,40 +262,43 @@ def v10(spark, d):
     return quotes.outcome_counts(rows, "query_id")
 
 
-# Answers quoting a sentence: the assistant turn with its first sentence in quote marks of a style set by the turn.
+# Answers quoting a sentence: every sentence of an assistant turn in quote marks of a style set by the turn.
 def quoted_answers(spark: SparkSession, d: str) -> DataFrame:
     turns = table(spark, d, "conversations").filter("role = 'assistant'")
-    first = F.regexp_replace(F.element_at(tx.sentences(F.col("text")), 1), "[\"'“”‘’\\n]", "")
+    turns = turns.select("conv_id", "turn", F.posexplode(tx.sentences(F.col("text"))).alias("place", "sentence"))
+    first = F.regexp_replace("sentence", "[\"'“”‘’\\n]", "")
     style = F.col("turn") % 4
     marks = [F.when(style == k, F.lit(m)) for k, m in enumerate([a for a, _ in quotes.QUOTE_MARKS])]
     ends = [F.when(style == k, F.lit(m)) for k, m in enumerate([b for _, b in quotes.QUOTE_MARKS])]
-    return turns.withColumn("first", first).filter("first is not null").select(
-        "conv_id", "turn", "first",
+    return turns.withColumn("first", first).select(
+        "conv_id", "turn", (F.col("place") + 1).cast("long").alias("place"), "first",
         F.concat(F.lit("He doesn't say "), F.coalesce(*marks), "first", F.coalesce(*ends), F.lit(" at once.")).alias("answer"),
     )
 
 
 SQL_QUOTED = f"""
-f AS (SELECT conv_id, turn, regexp_replace({sql_sentences('text')}[1], '["''“”‘’\\n]', '', 'g') AS first FROM conversations WHERE role = 'assistant'),
+s AS (SELECT conv_id, turn, {sql_sentences('text')} AS ss FROM conversations WHERE role = 'assistant'),
+p AS (SELECT conv_id, turn, ss, unnest(range(1, len(ss) + 1)) AS place FROM s),
+f AS (SELECT conv_id, turn, place, regexp_replace(ss[place], '["''“”‘’\\n]', '', 'g') AS first FROM p),
 g AS (SELECT *, 'He doesn''t say ' || (CASE turn % 4 WHEN 0 THEN '“' WHEN 1 THEN '"' WHEN 2 THEN '‘' ELSE '''' END) AS head,
       (CASE turn % 4 WHEN 0 THEN '”' WHEN 1 THEN '"' WHEN 2 THEN '’' ELSE '''' END) AS tail FROM f WHERE first IS NOT NULL)"""
 
 
 @query("v11_inline_quotes", f"""WITH {SQL_QUOTED}
-SELECT conv_id, turn, turn % 4 AS style, first AS span FROM g WHERE length(first) >= 15""")
+SELECT conv_id, turn, place, turn % 4 AS style, first AS span FROM g WHERE length(first) >= 15""")
 def v11(spark, d):
     rows = quoted_answers(spark, d)
-    return rows.select("conv_id", "turn", F.explode(quotes.inline_quotes(F.col("answer"))).alias("q")).select(
-        "conv_id", "turn", F.col("q.style").cast("long").alias("style"), F.col("q.span").alias("span")
+    return rows.select("conv_id", "turn", "place", F.explode(quotes.inline_quotes(F.col("answer"))).alias("q")).select(
+        "conv_id", "turn", "place", F.col("q.style").cast("long").alias("style"), F.col("q.span").alias("span")
     )
 
 
 @query("v11_answer_marking", f"""WITH {SQL_QUOTED}
-SELECT conv_id, turn, head || first || tail || CASE WHEN length(rtrim(first, '.,;:!? ')) >= 15 OR turn % 8 < 4 THEN ' [ok]' ELSE '' END || ' at once.' AS marked FROM g""")
+SELECT conv_id, turn, place, head || first || tail || CASE WHEN length(rtrim(first, '.,;:!? ')) >= 15 OR turn % 8 < 4 THEN ' [ok]' ELSE '' END || ' at once.' AS marked FROM g""")
 def v11_marking(spark, d):
     longer = F.concat(F.lit("In short: "), F.col("first"))
     passage = F.when(F.col("turn") % 8 < 4, F.col("first")).otherwise(longer)
-    return quoted_answers(spark, d).select("conv_id", "turn", quotes.mark_answer(F.col("answer"), passage, F.lit("[ok]")).alias("marked"))
+    return quoted_answers(spark, d).select("conv_id", "turn", "place", quotes.mark_answer(F.col("answer"), passage, F.lit("[ok]")).alias("marked"))
 
 
 @query("v12_cited_ids", """
@@ -307,15 +310,15 @@ def v12(spark, d):
 
 
 @query("v12_missing_citations", """
-SELECT DISTINCT conv_id, CAST(length(text) % 40 AS BIGINT) AS cited FROM conversations WHERE length(text) % 40 NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')""")
+SELECT DISTINCT conv_id, CAST(length(text) * 37 AS BIGINT) AS cited FROM conversations WHERE length(text) * 37 NOT IN (SELECT doc_id FROM documents)""")
 def v12_missing(spark, d):
-    known = documents(spark, d).filter("lang = 'en'")
-    return quotes.missing_citations(conversation_matches(spark, d), "conv_id", "matches", known, "doc_id")
+    asked = conversation_matches(spark, d, F.length("text") * 37)
+    return quotes.missing_citations(asked, "conv_id", "matches", documents(spark, d), "doc_id")
 
 
-def conversation_matches(spark: SparkSession, d: str) -> DataFrame:
-    """A match map per conversation: one entry per turn (2-8 turns each)."""
-    n = F.length("text") % 40
+def conversation_matches(spark: SparkSession, d: str, number: Column | None = None) -> DataFrame:
+    """A match map per conversation: one entry per turn (2-8 turns each), citing the text ``number``."""
+    n = F.length("text") % 40 if number is None else number
     entry = F.struct(
         "turn", F.concat(F.lit("Match "), F.col("turn")).alias("name"),
         F.struct(F.concat(F.lit("Text #: "), n).alias("text_id"), F.lit("").alias("source"), F.col("text").alias("key_quote")).alias("m"),

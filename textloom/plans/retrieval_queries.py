@@ -23,7 +23,7 @@ def corpus(spark: SparkSession, d: str) -> DataFrame:
 
 def plans(spark: SparkSession, d: str) -> DataFrame:
     item = F.col("item_id")
-    words = F.array_distinct(F.filter(tx.word_runs(F.col("text")), lambda w: F.length(w) >= 4))
+    words = F.array_distinct(tx.word_runs(F.col("text")))
     return table(spark, d, "benchmark").select(
         item.alias("query_id"), F.col("text").alias("query"), F.lit("").alias("initial_answer"),
         F.map_from_arrays(words, F.transform(words, lambda w: F.length(w).cast("double"))).alias("weighted_keywords"),
@@ -36,7 +36,7 @@ def plans(spark: SparkSession, d: str) -> DataFrame:
 
 SQL_KEYWORDS = f"""{SQL_TERMS},
 kw AS (SELECT DISTINCT item_id AS query_id, w AS keyword, CAST(length(w) AS DOUBLE) AS user_weight
-       FROM (SELECT item_id, unnest({sql_runs('text')}) AS w FROM benchmark) WHERE length(w) >= 4),
+       FROM (SELECT item_id, unnest({sql_runs('text')}) AS w FROM benchmark)),
 rel AS (SELECT term, raw_freq / (SELECT sum(raw_freq) FROM terms) AS f FROM terms)"""
 
 
@@ -276,9 +276,10 @@ def r12(spark, d):
 # (query, text) hit, scored by its largest click, view and purchase value.
 
 SQL_HITS = """
-ev AS (SELECT user_id AS query_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS text_no, event_type, value FROM events),
+ev AS (SELECT user_id AS query_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type, value FROM events),
+asked AS (SELECT query_id, CASE WHEN k % 7 = 0 THEN k + 100000000000 ELSE k END AS text_no, event_type, value FROM ev),
 one AS (SELECT query_id, 'Text #: ' || text_no AS text_id, text_no, CASE event_type WHEN 'click' THEN 'Keyword' WHEN 'view' THEN 'Semantic' ELSE 'ColBERT' END AS search_type, max(value) AS score
-        FROM ev WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL),
+        FROM asked WHERE event_type IN ('click', 'view', 'purchase') GROUP BY ALL),
 hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, search_type ORDER BY score DESC, text_no) AS rank,
          CASE WHEN search_type = 'Keyword' AND text_no % 4 <> 0 THEN 'quote ' || text_no END AS key_quote FROM one),
 listed AS (SELECT *, CASE search_type WHEN 'Keyword' THEN 0 WHEN 'Semantic' THEN 1 ELSE 2 END AS ord FROM hits WHERE rank <= 10)"""
@@ -286,8 +287,9 @@ listed AS (SELECT *, CASE search_type WHEN 'Keyword' THEN 0 WHEN 'Semantic' THEN
 
 def searches(spark: SparkSession, d: str) -> DataFrame:
     kinds = {"click": "Keyword", "view": "Semantic", "purchase": "ColBERT"}
+    k = F.get_json_object("props", "$.k").cast("long")
     ev = table(spark, d, "events").select(
-        F.col("user_id").alias("query_id"), F.get_json_object("props", "$.k").cast("long").alias("text_no"), "event_type", "value"
+        F.col("user_id").alias("query_id"), F.when(k % 7 == 0, k + 100_000_000_000).otherwise(k).alias("text_no"), "event_type", "value"
     )
     parts = []
     for event, kind in kinds.items():
@@ -331,10 +333,10 @@ def r14(spark, d):
     )
 
 
-# Only documents in English are known to the corpus here, the others fall back to hit columns.
+# Every seventh hit names a text the corpus lacks and falls back to its own columns.
 SQL_DOCUMENTS = f"""{SQL_HITS},
 kept AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, text_id ORDER BY ord, rank) AS keep FROM listed) WHERE keep = 1),
-c AS (SELECT 'Text #: ' || doc_id AS text_id, source, text AS full_text FROM documents WHERE lang = 'en'),
+c AS (SELECT 'Text #: ' || doc_id AS text_id, source, text AS full_text FROM documents),
 docs AS (SELECT k.query_id, k.search_type, k.text_id, k.score,
   coalesce(c.source, CASE WHEN k.text_no % 2 = 0 THEN 'hit source' END, '[Source unknown]') AS source, 'summary ' || k.text_no AS summary,
   coalesce(nullif(c.full_text, ''), CASE WHEN k.search_type = 'Keyword' THEN k.key_quote ELSE 'segment ' || k.text_no END, '') AS full_text
@@ -347,7 +349,7 @@ def candidate_docs(spark: SparkSession, d: str) -> DataFrame:
         "query_id", "text_id", "search_type", "key_quote", F.when(n % 2 == 0, "hit source").alias("source"),
         F.concat(F.lit("summary "), n).alias("summary"), F.concat(F.lit("segment "), n).alias("top_segment"),
     )
-    known = documents(spark, d).filter("lang = 'en'").select(F.col("doc_id").alias("text_id"), "source", F.col("text").alias("full_text"))
+    known = documents(spark, d).select(F.col("doc_id").alias("text_id"), "source", F.col("text").alias("full_text"))
     return fusion.candidate_documents(kept, known)
 
 
@@ -394,8 +396,8 @@ def r17(spark, d):
 
 
 @query("r18_id_remap", """
-WITH c AS (SELECT doc_id, source FROM documents WHERE lang = 'en' AND source <> 'src5'),
-h AS (SELECT doc_id, trim(source) AS source FROM documents),
+WITH c AS (SELECT doc_id, source FROM documents),
+h AS (SELECT doc_id * 2 AS doc_id, CASE WHEN lang = 'de' THEN 'unknown' ELSE trim(source) END AS source FROM documents),
 f AS (SELECT source, min(doc_id) AS first FROM c GROUP BY source)
 SELECT h.doc_id, CASE WHEN c.doc_id IS NULL AND f.first IS NOT NULL THEN f.first ELSE h.doc_id END AS final_id,
   CASE WHEN c.doc_id IS NOT NULL THEN '' WHEN f.first IS NOT NULL THEN 'source_match' ELSE 'missing_in_corpus_no_source_match' END AS remap_reason,
@@ -404,15 +406,17 @@ SELECT h.doc_id, CASE WHEN c.doc_id IS NULL AND f.first IS NOT NULL THEN f.first
 FROM h LEFT JOIN c ON c.doc_id = h.doc_id LEFT JOIN f ON f.source = h.source""")
 def r18(spark, d):
     docs = documents(spark, d)
-    known = docs.filter("lang = 'en' and source <> 'src5'").select(F.col("doc_id").alias("chunk_id"), "source")
-    rows = docs.select("doc_id", F.concat(F.lit("Text #: "), F.col("doc_id")).alias("text_id"), F.concat(F.col("source"), F.lit(" ")).alias("source"))
+    known = docs.select(F.col("doc_id").alias("chunk_id"), "source")
+    label = F.when(F.col("lang") == "de", "unknown").otherwise(F.concat(F.col("source"), F.lit(" ")))
+    asked = F.col("doc_id") * 2  # half of them the corpus lacks
+    rows = docs.select(asked.alias("doc_id"), F.concat(F.lit("Text #: "), asked).alias("text_id"), label.alias("source"))
     return fusion.remap_ids(rows, known).select("doc_id", "final_id", "remap_reason", "remapped", "parsed_in_corpus", "final_in_corpus")
 
 
 @query("r20_manual_override", f"""
 WITH kw AS (SELECT item_id, {sql_runs('text')} AS ws FROM benchmark),
 m AS (SELECT item_id, CASE WHEN item_id % 4 = 0 THEN ws[1] END AS mine FROM kw)
-SELECT item_id AS query_id, coalesce(mine, array_to_string(list_sort(list_distinct(list_filter(ws, lambda w: length(w) >= 4))), ',')) AS keywords,
+SELECT item_id AS query_id, coalesce(mine, array_to_string(list_sort(list_distinct(ws)), ',')) AS keywords,
   CASE WHEN mine IS NOT NULL THEN '1863' WHEN item_id % 2 = 1 THEN CAST(item_id % 7 AS VARCHAR) ELSE '' END AS years,
   CASE WHEN mine IS NOT NULL THEN '' WHEN item_id % 3 = 0 THEN 'Source: src' || (item_id % 20) ELSE '' END AS texts
 FROM kw JOIN m USING (item_id)""")
