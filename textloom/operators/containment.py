@@ -109,7 +109,7 @@ def candidates(
     for w in wanted[1:]:
         needed = needed.union(w)
     needed = broadcast_if_small(needed.distinct())
-    found = postings.join(needed, "term", "left_semi")
+    found = cut_lineage(postings.join(needed, "term", "left_semi"), "postings")  # of the asked terms only
     freq = found.groupBy("term").agg(F.count("*").alias("df"))
 
     # A needle with a word the corpus lacks cannot occur: df 0 drops it in the join below.

@@ -120,7 +120,7 @@ def prepare_quotes(quotes: DataFrame, passage: str) -> DataFrame:
 
 
 def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
-    """Normal forms and distinct runs of every chunk; worth storing, as every check reads them."""
+    """Normal forms and distinct runs of every chunk; worth storing where many quote tables meet one corpus."""
     forms = corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn(
         "c_loose", tx.loose_form(F.col("c_strict"))
     )
@@ -174,20 +174,27 @@ def _corpus_candidates(quotes: DataFrame, quote_id: str, corpus: DataFrame, chun
     return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either)
 
 
-def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
+def _formed(chunks: DataFrame, text: str, prepared: bool) -> DataFrame:
+    return chunks if prepared else prepare_corpus(chunks, text).drop(text)
+
+
+def search_corpus(
+    quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str, text: str = "text", prepared: bool = True,
+) -> DataFrame:
     """Best chunk per prepared quote: ``quote_id, match_id, method, score``.
 
     The first chunk with a strict, loose or window match wins; without one, the chunk with the
     highest coverage of at least .90, the first on ties.
     """
-    pairs = cut_lineage(_corpus_candidates(quotes, quote_id, corpus, chunk_id), "candidates")
+    pairs = cut_lineage(_corpus_candidates(quotes, quote_id, _formed(corpus, text, prepared), chunk_id), "candidates")
+    near = _formed(keep_ids(corpus, chunk_id, pairs), text, prepared)
     left = quotes.select(
         F.col(quote_id).alias("owner"), "s_strict", "s_loose", "q_words",
         windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"),
     )
     tested = (
         pairs.join(left, "owner")
-        .join(keep_ids(corpus.select(chunk_id, "c_strict", "c_loose"), chunk_id, pairs), chunk_id)
+        .join(near.select(chunk_id, "c_strict", "c_loose"), chunk_id)
         .withColumn(
             "method",
             F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")
@@ -216,19 +223,20 @@ def verify_quotes(
 ) -> DataFrame:
     """``outcome, method, score, match_id`` for every quote.
 
-    Quotes resolved by their cited chunk leave before the corpus-wide search. The normal forms
-    of the corpus (unless it already holds them) and of the quotes, and the cited-chunk results,
-    are read several times and therefore written to the shared folder once.
+    Quotes resolved by their cited chunk leave before the corpus-wide search, which scans the corpus
+    for the terms that quotes ask for. Beside that only cited and candidate chunks are brought to
+    normal form (``prepared``: the corpus already holds the columns of ``prepare_corpus``). What is
+    stored is of the size of the quotes and of their candidates, never of the corpus.
     """
-    chunks = corpus
-    if not prepared:
-        chunks = cut_lineage(prepare_corpus(corpus.select(chunk_id, text), text).drop(text), "normal-forms")
+    chunks = corpus if prepared else corpus.select(chunk_id, text)
     ready = cut_lineage(prepare_quotes(quotes, passage), "quotes")
     long_enough = F.length(tx.strip(F.coalesce(passage, F.lit("")))) >= MIN_PASSAGE
     short = ready.filter(~long_enough)
-    checked = cut_lineage(check_cited(ready.filter(long_enough), chunks, cited, chunk_id), "cited-checks")
+    whole = ready.filter(long_enough)
+    own = _formed(keep_ids(chunks, chunk_id, whole.select(F.col(cited).alias(chunk_id))), text, prepared)
+    checked = cut_lineage(check_cited(whole, own, cited, chunk_id), "cited-checks")
     open_quotes = checked.filter("method is null")
-    found = search_corpus(open_quotes, quote_id, chunks, chunk_id)
+    found = search_corpus(open_quotes, quote_id, chunks, chunk_id, text, prepared)
     elsewhere = open_quotes.drop("method", "score").join(found, quote_id, "left")
     keep = quotes.columns
     verdict = (
