@@ -238,7 +238,16 @@ def b2_stemmed(spark, d):
     return overlap.rouge(pairs, stems=stems).select("pair_id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
 
 
-@query("b3_rouge_l")
+# Longest common subsequence, one word of the answer after the other: a cell is the largest of the cells above
+# and, where the words agree, of those before plus one.
+@query("b3_rouge_l", f"""WITH RECURSIVE {SQL_PAIRS.strip()},
+t AS (SELECT pair_id, {sql_overlap('candidate')} AS a, {sql_overlap('reference')} AS b FROM pairs),
+r AS (SELECT pair_id, 0 AS i, a, b, list_transform(b, lambda x: 0) AS above FROM t
+  UNION ALL SELECT pair_id, i + 1, a, b, list_transform(v, lambda x, j: list_max(v[1:j]))
+  FROM (SELECT *, list_transform(b, lambda x, j: greatest(above[j], CASE WHEN j > 1 THEN above[j - 1] ELSE 0 END + (x = a[i + 1])::INTEGER)) AS v
+        FROM r WHERE i < len(a)))
+SELECT pair_id, round(CASE WHEN n > 0 THEN 2 * (n / len(a)) * (n / len(b)) / (n / len(a) + n / len(b)) ELSE 0 END + 1e-9, 6) AS rouge_l
+FROM (SELECT pair_id, a, b, coalesce(above[len(b)], 0) AS n FROM r WHERE i = len(a))""")
 def b3(spark, d):
     return overlap.rouge_l(answer_pairs(spark, d)).withColumn("rouge_l", r6("rouge_l"))
 
