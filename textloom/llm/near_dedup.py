@@ -179,10 +179,12 @@ def _crossing(sets: DataFrame, roots: DataFrame) -> DataFrame:
     at = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("count", "value")) - 1
     due = values.join(counts, "value").withColumn("rest", F.col("n") - at).filter("4 * rest >= 3 * n")
     members = store(_rooted(due, roots).select("value", "root", "rep", "n", "rest"), "prefixes")
-    held = members.groupBy("value", "root").agg(F.min("n").alias("n"), F.max("rest").alias("rest"))
+    held = members.groupBy("value", "root").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.count("*").alias("c"))
     side = lambda t, c: t.select("value", *[F.col(x).alias(x + c) for x in t.columns if x != "value"])
     enough = 7 * F.least("rest_a", "rest_b") >= 3 * (F.col("n_a") + F.col("n_b"))
-    roots_met = side(held, "_a").join(side(held, "_b"), "value").filter((F.col("root_a") < F.col("root_b")) & enough)
+    # The side with fewer members is opened first, so that a large component meets single classes one by one.
+    smaller = (F.col("c_a") < F.col("c_b")) | ((F.col("c_a") == F.col("c_b")) & (F.col("root_a") < F.col("root_b")))
+    roots_met = side(held, "_a").join(side(held, "_b"), "value").filter((F.col("root_a") != F.col("root_b")) & smaller & enough)
     both = (
         roots_met.select("value", "root_a", "root_b").join(side(members, "_a"), ["value", "root_a"])
         .join(side(members, "_b"), ["value", "root_b"]).filter(enough & similar("n_a", "n_b"))
