@@ -86,7 +86,9 @@ def test_sharding_odd_rows(spark):
     assert sharding.shard(odd(spark, []), 3).count() == 0
 
 
-def test_suffix_order_equals_sorting(tmp_path):
+@pytest.mark.parametrize("group", [suffix_bwt.GROUP, 8])
+def test_suffix_order_equals_sorting(tmp_path, monkeypatch, group):
+    monkeypatch.setattr(suffix_bwt, "GROUP", group)
     r = np.random.default_rng(5)
     for turn in range(60):
         words = [bytes(r.integers(0, r.choice([2, 5, 256]), r.integers(1, 14), dtype=np.uint8)) for _ in range(r.integers(1, 40))]
@@ -109,6 +111,7 @@ def removed(df):
 
 def test_suffix_dedup_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 50_000)
+    monkeypatch.setattr(substring_dedup, "HASHED_BYTES", 20_000)
     got = queries.QUERIES["op3_suffix_dedup"](spark, brute.FOLDER).collect()
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == brute.repeats(brute.documents())
 

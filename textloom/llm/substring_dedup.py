@@ -19,6 +19,7 @@ from textloom.session import BROADCAST_LIMIT
 GRAM = 16  # an anchor is the gram of the least hash in a window
 BUCKET_BYTES = 8 * 1024 * 1024  # of text per bucket; a segment repeats its neighbours' bytes, about 3.5 times
 HOT_PARTS = 1000
+HASHED_BYTES, PACKED_BYTES = 1024 * 1024, 16 * 1024 * 1024  # of text at once
 _CODEC = "zstd"
 
 
@@ -28,18 +29,21 @@ def window_hashes(data: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while True:
         if width & size:
-            if out is None:
-                out = power
-            else:
-                n = len(power) - done
-                out = mix(out[:n] * STEP + power[done : done + n])
+            out = power if out is None else _joined(out[: len(power) - done], power[done:])
             done += size
         if done == width:
-            return out[: len(data) - width + 1]
-        power = mix(power[:-size] * STEP + power[size:])
+            return mix(out[: len(data) - width + 1])
+        power = _joined(power[:-size], power[size:])
         size *= 2
 
 
+def _joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    out = a * STEP
+    out += b
+    out ^= out >> U(29)
+    return out
+
+
 def _least(h: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while 2 * size <= width:
@@ -84,23 +88,41 @@ def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
 
 
 def _cutter(width: int, buckets: int):
+    """One packed and compressed row per bucket and about 16 MB of text."""
+
+    def packed(parts: list[tuple]) -> pa.RecordBatch:
+        texts, ids, subs, start, windows, anchor, h, base = zip(*parts, strict=True)
+        data = np.concatenate(texts)
+        ids, subs, windows, anchor, h = (np.concatenate(x) for x in (ids, subs, windows, anchor, h))
+        start, base = np.concatenate(start), np.concatenate(base)
+        shift = np.cumsum([0, *(len(t) for t in texts[:-1])])
+        here = start + np.repeat(shift, [len(p[3]) for p in parts])
+        bucket = (h % U(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        found, heads = np.unique(bucket[order], return_index=True)
+        blobs = []
+        for own in np.split(order, heads[1:]) if len(found) else []:
+            fields = (
+                ids[own].astype("<i8"), subs[own].astype("<i8"), (start[own] - base[own]).astype("<i8"),
+                windows[own].astype("u1"), anchor[own].astype("u1"), _gathered(data, here[own], windows[own] + width - 1),
+            )
+            raw = len(own).to_bytes(8, "little") + b"".join(x.tobytes() for x in fields)
+            blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, _CODEC, asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "_text"):
+        held, size = [], 0
+        for part in slices(batches, "_text", HASHED_BYTES):
             data, ends = buffers(part.column("_text"))
             doc, start, windows, anchor, h = segments(data, ends, width)
-            bucket = (h % U(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            ids, subs = part.column("_id").to_numpy(), part.column("_sub").to_numpy()
-            found, blobs = np.unique(bucket), []
-            for own in np.split(order, np.searchsorted(bucket[order], found)[1:]) if len(found) else []:
-                fields = (
-                    ids[doc[own]].astype("<i8"), subs[doc[own]].astype("<i8"), (start[own] - ends[doc[own]]).astype("<i8"),
-                    windows[own].astype("u1"), anchor[own].astype("u1"),
-                    _gathered(data, start[own], windows[own] + width - 1),
-                )
-                raw = len(own).to_bytes(8, "little") + b"".join(x.tobytes() for x in fields)
-                blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, _CODEC, asbytes=True))
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
+            ids, subs = part.column("_id").to_numpy()[doc], part.column("_sub").to_numpy()[doc]
+            held.append((data, ids, subs, start, windows, anchor, h, ends[doc]))
+            size += len(data)
+            if size >= PACKED_BYTES:
+                yield packed(held)
+                held, size = [], 0
+        if held:
+            yield packed(held)
 
     return run
 
@@ -187,12 +209,21 @@ def _spread(key: np.ndarray, value: np.ndarray) -> np.ndarray:
 
 
 def _share_window(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> np.ndarray:
-    own = _gathered(data, starts, lengths)
-    h = window_hashes(own, width)
-    string = np.repeat(np.arange(len(starts)), lengths)[: len(h)]
-    inside = np.arange(len(h)) + width <= np.cumsum(lengths)[string]
+    """Which strings hold a window of another one, by 64-bit hashes."""
+    hashes, owners = [], []
+    cuts = np.searchsorted(np.cumsum(lengths), np.arange(0, int(lengths.sum()), HASHED_BYTES))
+    for a, b in zip(cuts, [*cuts[1:], len(starts)], strict=True):
+        own, size = _gathered(data, starts[a:b], lengths[a:b]), lengths[a:b]
+        if len(own) < width:
+            continue
+        h = window_hashes(own, width)
+        string = np.repeat(np.arange(b - a, dtype=np.int32), size)[: len(h)]
+        inside = np.arange(len(h)) + width <= np.cumsum(size)[string]
+        hashes.append(h[inside])
+        owners.append(string[inside] + np.int32(a))
+    owner = np.concatenate(owners)
     many = np.zeros(len(starts), bool)
-    many[string[inside][_spread(h[inside], string[inside])]] = True
+    many[owner[_spread(np.concatenate(hashes), owner)]] = True
     return many
 
 
@@ -256,25 +287,35 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     ranges = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _finder(width), "_id bigint, _sub bigint, start bigint, end bigint"
     )
-    spans = store(ranges.groupBy("_id", "_sub").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "spans")
+    grouped = ranges.groupBy("_id", "_sub").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    spans = store(grouped.mapInArrow(_merged_spans, f"_id bigint, _sub bigint, spans {_SPANS}"), "spans")
     size = spans.agg(F.sum(64 + 24 * F.size("spans"))).first()[0] or 0
     # Spans proven to be small are broadcast, so that texts stay where they are.
     spans = F.broadcast(spans) if size <= BROADCAST_LIMIT else spans
     joined = rows.join(spans, ["_id", "_sub"], "left").select("_given", "_text", "_n", "_copy", "spans")
     kind = docs.schema[id_col].dataType.simpleString()
-    out = joined.mapInArrow(_removed, f"_id {kind}, n_bytes bigint, spans array<struct<start:bigint,end:bigint>>, kept binary")
+    out = joined.mapInArrow(_removed, f"_id {kind}, n_bytes bigint, spans {_SPANS}, kept binary")
     return out.withColumnRenamed("_id", id_col)
 
 
+_SPANS = "array<struct<start:bigint,end:bigint>>"
+_SPAN_TYPE = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+
+
+def _merged_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        spans = [[{"start": a, "end": b} for a, b in merged(r)] for r in batch.column("spans").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("_id"), batch.column("_sub"), pa.array(spans, _SPAN_TYPE)], ["_id", "_sub", "spans"])
+
+
 def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for part in slices(batches, "_text"):
         data, ends = buffers(part.column("_text"))
         spans, kept = [], []
         ranges, copies = part.column("spans"), part.column("_copy").to_pylist()
         for i, copy in enumerate(copies):
             a, b = int(ends[i]), int(ends[i + 1])
-            own = merged(ranges[i].as_py()) if not copy else [(0, b - a)]
+            own = [(0, b - a)] if copy else [(r["start"], r["end"]) for r in ranges[i].as_py() or []]
             spans.append([{"start": x, "end": y} for x, y in own])
             out, at = [], a
             for x, y in own:
@@ -282,7 +323,7 @@ def _removed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 at = a + y
             kept.append(b"".join([x.tobytes() for x in [*out, data[at:b]]]))
         yield pa.RecordBatch.from_arrays(
-            [part.column("_given"), part.column("_n"), pa.array(spans, kind), pa.array(kept, pa.binary())],
+            [part.column("_given"), part.column("_n"), pa.array(spans, _SPAN_TYPE), pa.array(kept, pa.binary())],
             ["_id", "n_bytes", "spans", "kept"],
         )
 

@@ -15,6 +15,7 @@ from dataclasses import dataclass
 import numpy as np
 
 DONE = 255  # the symbol before a whole string
+GROUP = 1 << 19  # suffixes held at once, or one block
 
 
 @dataclass
@@ -27,29 +28,25 @@ class Suffixes:
 
 
 class _Least:
-    """Least values of ranges of an array of bytes."""
+    """Least values of ranges of an array of bytes, by a table of all ranges of powers of two."""
 
     def __init__(self, values: np.ndarray, longest: int):
-        self.levels = [values]
-        size = 1
+        levels, size = [values], 1
         while 2 * size <= longest:
-            last = self.levels[-1]
-            self.levels.append(np.minimum(last[:-size], last[size:]))
+            levels.append(np.minimum(levels[-1][:-size], levels[-1][size:]))
             size *= 2
+        self.starts = np.cumsum([0, *(len(x) for x in levels)])
+        self.table = np.concatenate(levels)
 
     def between(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Over a..b, both included; ``a`` <= ``b``."""
         level = np.frexp((b - a + 1).astype(float))[1] - 1
-        out = np.empty(len(a), np.uint8)
-        for k in np.unique(level):
-            at = np.flatnonzero(level == k)
-            t = self.levels[k]
-            out[at] = np.minimum(t[a[at]], t[b[at] - (1 << int(k)) + 1])
-        return out
+        start = self.starts[level]
+        return np.minimum(self.table[start + a], self.table[start + b - (1 << level) + 1])
 
 
 class _File:
-    """The list of suffixes, block by block: symbols, common prefixes, lengths and strings."""
+    """The list of suffixes in groups of blocks: symbols, common prefixes, lengths and strings."""
 
     def __init__(self, path: str):
         self.file = open(path, "w+b")  # noqa: SIM115
@@ -65,7 +62,7 @@ class _File:
         return sizes
 
     def read(self, sizes: list[int], bytes_each: int = 7):
-        """Blocks from front to back; with two bytes each only symbols and common prefixes."""
+        """Groups from front to back; with two bytes each only symbols and common prefixes."""
         at = 0
         for n in sizes:
             self.file.seek(at)
@@ -87,17 +84,18 @@ def build(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, folder: str
     symbols = len(used)
     text = code[data]
     ends = starts + lengths
+    groups = _groups(np.bincount(text, minlength=symbols))
+    blocks = np.zeros(symbols, np.int64)  # suffixes that start with each symbol
     old, new = _File(os.path.join(folder, "a")), _File(os.path.join(folder, "b"))
-    sizes = old.write([(np.zeros(0, np.uint8),) * 3 + (np.zeros(0, np.uint32),)] * symbols)
+    sizes = old.write([(np.zeros(0, np.uint8),) * 3 + (np.zeros(0, np.uint32),)] * len(groups))
     first_symbols = text[ends - 1]  # before the empty suffixes, in the order of the strings
-    fresh: list[tuple[np.ndarray, np.ndarray]] = []  # per block: places of the suffixes of the last round, their strings
+    fresh: list[tuple[np.ndarray, np.ndarray]] = []  # per group: places of the suffixes of the last round, their strings
     for t in range(1, int(lengths.max(initial=0)) + 1):
         before = np.zeros(symbols, np.int64)
         found = []  # symbol, place in its block, common prefixes with both neighbours, string
         if t == 1:
             ids = np.arange(count)
             found.append(_located(first_symbols, np.zeros(count, np.uint8), ids, ids, before))
-            before += np.bincount(first_symbols, minlength=symbols)
         else:
             # The empty suffixes come first; their symbols are in use since the first round.
             before += np.bincount(first_symbols, minlength=symbols)
@@ -111,28 +109,29 @@ def build(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, folder: str
         sym, place, above, below, ids = (np.concatenate(x) for x in zip(*found, strict=True))
         order = np.lexsort((place, sym))
         sym, place, above, below, ids = sym[order], place[order], above[order], below[order], ids[order]
-        cuts = np.searchsorted(sym, np.arange(symbols + 1))
+        blocks = blocks + np.bincount(sym, minlength=symbols)
+        starts_of = np.cumsum(blocks) - blocks
         at = ends[ids] - t - 1
         previous = np.where(lengths[ids] > t, text[np.maximum(at, 0)], DONE).astype(np.uint8)
+        inner = place + 1 < blocks[sym]  # another suffix of the block follows
         fresh = []
 
         def merged():
-            for c, (s, common, length, string) in enumerate(old.read(sizes)):
-                part = slice(cuts[c], cuts[c + 1])
-                q, own = place[part], ids[part]
-                fresh.append((q, own))
+            for (low, high), was in zip(groups, old.read(sizes), strict=True):
+                part = slice(*np.searchsorted(sym, (low, high)))
+                q = starts_of[sym[part]] - starts_of[low] + place[part]
+                fresh.append((q, ids[part]))
                 if not len(q):
-                    yield s, common, length, string
+                    yield was
                     continue
-                total = len(s) + len(q)
+                total = len(was[0]) + len(q)
                 kept = np.ones(total, bool)
                 kept[q] = False
-                out = [np.empty(total, x.dtype) for x in (s, common, length, string)]
-                for x, was, now in zip(out, (s, common, length, string), (previous[part], above[part], t, own), strict=True):
-                    x[kept] = was
-                    x[q] = now
-                after = q + 1 < total
-                out[1][q[after] + 1] = below[part][after]
+                out = [np.empty(total, x.dtype) for x in was]
+                for x, old_values, values in zip(out, was, (previous[part], above[part], t, ids[part]), strict=True):
+                    x[kept] = old_values
+                    x[q] = values
+                out[1][q[inner[part]] + 1] = below[part][inner[part]]
                 yield tuple(out)
 
         grown = new.write(merged())
@@ -141,8 +140,22 @@ def build(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, folder: str
     return Suffixes(*(np.concatenate([c[k] for c in columns]) if columns else np.zeros(0, np.uint8) for k in (3, 2, 1)))
 
 
+def _groups(counts: np.ndarray) -> list[tuple[int, int]]:
+    """Neighbouring blocks that are read at once: from and to symbols."""
+    out, low, held = [], 0, 0
+    for c, n in enumerate(counts.tolist()):
+        if held and held + n > GROUP:
+            out.append((low, c))
+            low, held = c, 0
+        held += n
+    return [*out, (low, len(counts))]
+
+
 def _located(sym: np.ndarray, common: np.ndarray, place: np.ndarray, ids: np.ndarray, before: np.ndarray):
-    """Where the suffixes that extend those at ``place`` go, and their common prefixes with both neighbours there."""
+    """Where the suffixes that extend those at ``place`` go, and their common prefixes with both neighbours there.
+
+    Groups start with a new symbol, so a neighbour from another group shares one symbol and no more.
+    """
     order = np.argsort(sym, kind="stable")
     inverse = np.empty(len(sym), np.int64)
     inverse[order] = np.arange(len(sym))
@@ -150,11 +163,12 @@ def _located(sym: np.ndarray, common: np.ndarray, place: np.ndarray, ids: np.nda
     own = sym[place].astype(np.int64)
     k = inverse[place]
     has_last, has_next = k > group[own], k + 1 < group[own + 1]
-    last, following = order[np.maximum(k - 1, 0)], order[np.minimum(k + 1, len(sym) - 1)]
-    spans = [place[has_last] - last[has_last], following[has_next] - place[has_next]]
-    least = _Least(common, int(max([1, *(int(s.max()) for s in spans if len(s))])))
-    above = np.where(before[own] > 0, 1, 0).astype(np.uint8)  # a neighbour from an earlier block shares one symbol
-    above[has_last] = least.between(last[has_last] + 1, place[has_last]) + 1
+    last, following = order[k[has_last] - 1], order[k[has_next] + 1]
+    a = np.concatenate([last + 1, place[has_next] + 1])
+    b = np.concatenate([place[has_last], following])
+    above = np.where(before[own] > 0, 1, 0).astype(np.uint8)
     below = np.ones(len(place), np.uint8)
-    below[has_next] = least.between(place[has_next] + 1, following[has_next]) + 1
+    if len(a):
+        least = _Least(common, int((b - a).max()) + 1).between(a, b) + 1
+        above[has_last], below[has_next] = least[: len(last)], least[len(last) :]
     return own, before[own] + k - group[own], above, below, ids
