@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, functions as F
 from textloom.llm.arrow import slices
 
 MARK = "▁"
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 LONGEST_CACHED = 80
 
 
@@ -45,11 +45,14 @@ class Pieces:
             raise ValueError("a piece reaches over a mark or holds a character that is no piece")
         if model.normalize(" a") != MARK + MARK + "a":
             raise ValueError("the model normalises texts")
-        self.longest = max(map(len, self.ids))
         self.spelled = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {
             i: bytes([b]) for b, i in enumerate(self.byte_ids)
         }
         self.real = {p for p in self.ids if self.merged(p) == [p]}  # the others no merge arrives at
+        ending: dict[str, set[int]] = {}
+        for p in self.real:
+            ending.setdefault(p[-1], set()).add(len(p))
+        self.sizes = {c: sorted(n, reverse=True) for c, n in ending.items()}  # of the pieces that end with a character
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.last: list[str] = []  # the state after each character of the word at hand
@@ -69,26 +72,32 @@ class Pieces:
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _stay_apart(self, a: str, b: str) -> bool:
-        known = self.apart.get((a, b))
-        if known is None:
-            known = a not in self.ids or b not in self.ids or self.merged(a + b) == [a, b]
-            if len(self.apart) >= 1_000_000:
-                self.apart.clear()
-            self.apart[a, b] = known
-        return known
+        free = a not in self.ids or b not in self.ids or self.merged(a + b) == [a, b]
+        if len(self.apart) >= 1_000_000:
+            self.apart.clear()
+        self.apart[a, b] = free
+        return free
 
     def _walk(self, word: str) -> list[str]:
         """Pieces of a word that follows the one before in sorted order."""
         shared = sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(word, self.word, strict=False)))
         last = self.last[:shared]
-        real, apart = self.real, self._stay_apart
+        real, known, sizes = self.real, self.apart, self.sizes
         for i in range(shared, len(word)):
             state = word[i]  # a character without a piece stands alone
-            for n in range(min(self.longest, i + 1), 0, -1):
+            for n in sizes.get(state, ()):
+                if n > i + 1:
+                    continue
                 piece = word[i + 1 - n : i + 1]
-                if piece in real and (n == i + 1 or apart(last[i - n], piece)):
-                    state = piece
-                    break
+                if piece in real:
+                    if n > i:
+                        state = piece
+                        break
+                    pair = last[i - n], piece
+                    free = known.get(pair)
+                    if self._stay_apart(*pair) if free is None else free:
+                        state = piece
+                        break
             last.append(state)
         self.word, self.last = word, last
         out, at = [], len(word)
