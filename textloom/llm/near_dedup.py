@@ -85,8 +85,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     but one pair in 10^8), two linked classes share one of their 38 rarest. Each list compares its
     members with its smallest member: union sketches filter these pairs and the exact similarity of
     the whole sets decides. Where a list still spans several components, its classes are joined on
-    their whole sets by prefix and position, between components only, so that copies of one text are
-    not paired with each other and a passage that many texts share yields no pairs.
+    their whole sets by prefix and position: first with the class of each list that shares most, then
+    all that are still in different components. So copies of one text are not paired with each
+    other, and a passage that many texts share yields no pairs.
 
     Words are runs of other bytes than ASCII white space, A-Z lowered; a text with one to four words
     is one shingle. Null texts count as empty; texts without words have no shingles and are their
@@ -122,11 +123,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = store(_linked(first, reps, classes, slim), "links")
     roots = components(links)
 
-    crowd = _crowded(lists, roots)
-    sets = _sets(crowd, classes, slim)
-    more = store(_exact(_crossing(sets, roots), sets), "links")
-    if not more.isEmpty():
-        roots = components(links.unionByName(more))
+    sets = _sets(_crowded(lists, roots), classes, slim)
+    prefixes = store(_prefixes(sets), "prefixes")
+    for pairs in (_stars, _crossing):
+        found = store(_exact(pairs(_rooted(prefixes, roots)), sets), "links")
+        if not found.isEmpty():
+            links = links.unionByName(found)
+            roots = components(links)
     return _result(rows, classes, roots, id_col)
 
 
@@ -167,29 +170,53 @@ def _crowded(lists: DataFrame, roots: DataFrame) -> DataFrame:
     return rooted.join(mixed.select("value"), "value", "left_semi").select("rep").distinct()
 
 
-def _crossing(sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """Pairs of different components that may reach 0.75: a prefix join on whole sets, rarest members first.
+def _prefixes(sets: DataFrame) -> DataFrame:
+    """``value, rep, n, rest``: the members of whole sets at which a pair may be due, rarest first.
 
-    With sizes n and m a pair needs 3 (n + m) / 7 common members. ``rest`` counts a class's members
-    from the shared one on, so the pair is due at its rarest common member only if both rests reach that.
+    With sizes n and m a pair at 0.75 needs 3 (n + m) / 7 common members. ``rest`` counts a class's
+    members from this one on, so the pair is due at its rarest common member only if both rests
+    reach that.
     """
     values = sets.select("rep", F.size("members").cast("long").alias("n"), F.explode("members").alias("value"))
     counts = values.groupBy("value").count().filter("count > 1")
     one = Window.partitionBy("rep")
     at = F.col("n") - F.count("*").over(one) + F.row_number().over(one.orderBy("count", "value")) - 1
     due = values.join(counts, "value").withColumn("rest", F.col("n") - at).filter("4 * rest >= 3 * n")
-    members = store(_rooted(due, roots).select("value", "root", "rep", "n", "rest"), "prefixes")
+    return due.select("value", "rep", "n", "rest")
+
+
+def _sided(t: DataFrame, mark: str) -> DataFrame:
+    return t.select("value", *[F.col(c).alias(c + mark) for c in t.columns if c != "value"])
+
+
+def _due() -> Column:
+    return 7 * F.least("rest_a", "rest_b") >= 3 * (F.col("n_a") + F.col("n_b"))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+
+
+def _stars(members: DataFrame) -> DataFrame:
+    """Pairs of each list's classes with the one that shares most, if in another component."""
+    centre = members.groupBy("value").agg(F.max(F.struct("rest", -F.col("rep"), "rep", "root", "n")).alias("c"))
+    centre = centre.select("value", *[F.col(f"c.{x}").alias(f"{x}_b") for x in ("rest", "rep", "root", "n")])
+    met = _sided(members, "_a").join(centre, "value").filter((F.col("root_a") != F.col("root_b")) & _due() & similar("n_a", "n_b"))
+    return _ordered(met)
+
+
+def _crossing(members: DataFrame) -> DataFrame:
+    """All pairs of different components that are due, by way of the pairs of components."""
+    members = store(members, "prefixes")
     held = members.groupBy("value", "root").agg(F.min("n").alias("n"), F.max("rest").alias("rest"), F.count("*").alias("c"))
-    side = lambda t, c: t.select("value", *[F.col(x).alias(x + c) for x in t.columns if x != "value"])
-    enough = 7 * F.least("rest_a", "rest_b") >= 3 * (F.col("n_a") + F.col("n_b"))
     # The side with fewer members is opened first, so that a large component meets single classes one by one.
     smaller = (F.col("c_a") < F.col("c_b")) | ((F.col("c_a") == F.col("c_b")) & (F.col("root_a") < F.col("root_b")))
-    roots_met = side(held, "_a").join(side(held, "_b"), "value").filter((F.col("root_a") != F.col("root_b")) & smaller & enough)
+    met = _sided(held, "_a").join(_sided(held, "_b"), "value").filter((F.col("root_a") != F.col("root_b")) & smaller & _due())
     both = (
-        roots_met.select("value", "root_a", "root_b").join(side(members, "_a"), ["value", "root_a"])
-        .join(side(members, "_b"), ["value", "root_b"]).filter(enough & similar("n_a", "n_b"))
+        met.select("value", "root_a", "root_b").join(_sided(members, "_a"), ["value", "root_a"])
+        .join(_sided(members, "_b"), ["value", "root_b"]).filter(_due() & similar("n_a", "n_b"))
     )
-    return both.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    return _ordered(both)
 
 
 def _linked(pairs: DataFrame, reps: DataFrame, classes: DataFrame, slim: DataFrame) -> DataFrame:
