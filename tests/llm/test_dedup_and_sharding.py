@@ -1,7 +1,9 @@
 import hashlib
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -134,6 +136,75 @@ def test_suffix_dedup_odd_rows(spark):
     assert substring_dedup.remove_repeats(odd(spark, [])).count() == 0
 
 
+def crowd():
+    """A passage in every text, at a place and between words of its own, and some texts twice."""
+    r = np.random.default_rng(12)
+    word = lambda n: bytes(r.integers(97, 123, n, dtype=np.uint8)).decode()
+    passage = " ".join(word(6) for _ in range(30))
+    docs = {k: f"{word(int(r.integers(0, 90)))} {passage} {word(60)}" for k in range(400)}
+    return docs | {400 + k: docs[k * 7] for k in range(20)}
+
+
+def cut_in_packs(docs, packs, buckets, *hot):
+    """Rows of the exchange by bucket, from several packs of texts."""
+    rows = {}
+    for k in range(packs):
+        own = [i for i in docs if i % packs == k]
+        batch = pa.RecordBatch.from_arrays(
+            [pa.array(own, pa.int64()), pa.array([0] * len(own), pa.int64()), pa.array([docs[i] for i in own])], ["_id", "_sub", "_text"]
+        )
+        for out in substring_dedup._cutter(50, buckets, *hot)(iter([batch])):
+            for bucket, data in zip(out.column("bucket").to_pylist(), out.column("data").to_pylist(), strict=True):
+                rows.setdefault(bucket, []).append(data)
+    return rows
+
+
+def strings(blobs):
+    """Bytes and anchor of all strings of a bucket."""
+    _, _, _, windows, anchor, data = substring_dedup._opened(blobs, 50)
+    ends = np.cumsum(windows + 49)
+    found = [data[e - w - 49 : e].tobytes() for e, w in zip(ends, windows, strict=True)]
+    return found, [x[a : a + 16] for x, a in zip(found, anchor, strict=True)]
+
+
+def test_suffix_dedup_sends_equal_segments_once():
+    """Whatever the number of texts with a passage, a pack sends each of its segments once."""
+    rows = cut_in_packs(crowd(), 3, 1)
+    found, _ = strings(rows[0])
+    assert max(Counter(found).values()) <= 3
+
+
+def test_suffix_dedup_spreads_hot_anchors():
+    """Segments that begin before the passage differ in every text but share its anchors."""
+    docs = crowd()
+    for_all = cut_in_packs(docs, 3, 16)
+    _, anchors = zip(*[strings(b) for k, b in for_all.items() if k >= 0], strict=True)
+    gram, n = Counter(x for a in anchors for x in a).most_common(1)[0]
+    assert n > 300 and max(a.count(gram) for a in anchors) == n  # all in one bucket
+    _, _, _, _, every = substring_dedup.segments(*substring_dedup.buffers(pa.array(list(docs.values()))), 50)
+    rows = cut_in_packs(docs, 3, 16, np.unique(every))
+    shares = [strings(b)[1].count(gram) for k, b in rows.items() if k >= 0]
+    assert max(shares) < sum(shares) / 4
+    ranges = {i: [] for i in docs}
+    run = substring_dedup._finder(50)
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([k for k in sorted(rows) for _ in rows[k]]), pa.array([x for k in sorted(rows) for x in rows[k]])], ["bucket", "data"]
+    )
+    for out in run(iter([batch])):
+        for r in out.to_pylist():
+            ranges[r["_id"]].append(r)
+    want = brute.repeats(docs)
+    for i, found in ranges.items():
+        spans = substring_dedup.merged(found)
+        assert (sum(b - a for a, b in spans), len(spans)) == want[i][1:3]
+
+
+def test_suffix_dedup_of_a_crowd(spark, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4_000)  # many anchors are hot
+    docs = crowd()
+    assert removed(substring_dedup.remove_repeats(odd(spark, [(k, t, "") for k, t in docs.items()]))) == brute.repeats(docs)
+
+
 def test_near_duplicates_equal_brute_force(spark):
     got = queries.QUERIES["op10_minhash_near_dedup"](spark, brute.FOLDER).collect()
     want = brute.near(brute.documents())

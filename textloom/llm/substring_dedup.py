@@ -19,7 +19,10 @@ from textloom.session import BROADCAST_LIMIT
 GRAM = 16  # an anchor is the gram of the least hash in a window
 BUCKET_BYTES = 8 * 1024 * 1024  # of text per bucket; a segment repeats its neighbours' bytes, about 3.5 times
 HOT_PARTS = 1000
+HOT_SHARE, HOT_LEAST = 8, 8  # an anchor is hot with 1/8 of a bucket's text, and so many segments in the sample
+SAMPLE_BYTES, SAMPLE_PART = 16 * 1024 * 1024, 2000  # of text, or 1/2000 of all
 HASHED_BYTES, PACKED_BYTES = 1024 * 1024, 16 * 1024 * 1024  # of text at once
+ANSWERED = 1 << 20  # windows at once
 _CODEC = "zstd"
 
 
@@ -87,8 +90,70 @@ def _gathered(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.n
     return data[np.cumsum(step)]
 
 
-def _cutter(width: int, buckets: int):
-    """One packed and compressed row per bucket and about 16 MB of text."""
+def _blocks(sizes: np.ndarray, most: int) -> list[tuple[int, int]]:
+    """Ranges of rows of about ``most`` in sum."""
+    if not len(sizes):
+        return []
+    ends = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]), most)))
+    return list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(sizes)], strict=True))
+
+
+def _differ(data: np.ndarray, starts: np.ndarray, others: np.ndarray, lengths: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Which strings differ from their other one, byte by byte."""
+    out = lengths != sizes
+    rows = np.flatnonzero(~out & (starts != others))
+    for a, b in _blocks(lengths[rows], HASHED_BYTES):
+        own, size = rows[a:b], lengths[rows[a:b]]
+        unequal = _gathered(data, starts[own], size) != _gathered(data, others[own], size)
+        out[own] = np.logical_or.reduceat(unequal, np.cumsum(size) - size)
+    return out
+
+
+def classes(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The class of each string and the first of each class of equal strings. Equal strings have equal keys; bytes decide."""
+    key = key.copy()
+    while True:
+        _, one, which = np.unique(key, return_index=True, return_inverse=True)
+        differ = _differ(data, starts, starts[one][which], lengths, lengths[one][which])
+        if not differ.any():
+            return which, one
+        key[differ] = mix(key[differ] + U(1))
+
+
+def _settled(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, key: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which strings have an equal one with a smaller identifier here. Strings come in order."""
+    out = np.zeros(len(ids), bool)
+    some = np.flatnonzero(_spread(key, ids))
+    if len(some):
+        begin, size = starts[some], lengths[some]
+        content = mix(prefix_hashes(data, begin, begin + size, (), lower=False)[0] + key[some])
+        which, one = classes(data, begin, size, content)
+        least = np.full(len(one), np.iinfo(np.int64).max)
+        np.minimum.at(least, which, ids[some])
+        out[some] = least[which] < ids[some]
+    return out
+
+
+def _cutter(width: int, buckets: int, hot: np.ndarray | None = None):
+    """One packed and compressed row per bucket and about 16 MB of text.
+
+    All windows of a segment go if an equal segment of the same 16 MB has a smaller identifier, so
+    these are answered here, in rows with a negative bucket, and a bucket gets one of them only.
+    Segments with an anchor in ``hot`` are then cut into single windows, which are answered in the
+    same way and spread over the buckets by a hash of their bytes.
+    """
+
+    def reduced(data, columns, key):
+        """The columns of the strings that stay open, and the ranges of the others."""
+        ids, subs, here, first, windows, _, _ = columns
+        size = windows + width - 1
+        done = _settled(data, here, size, key, ids)
+        begin, end, text = first[done], (first + size)[done], (here - first)[done]
+        new, last = np.ones(len(begin), bool), np.ones(len(begin), bool)
+        new[1:] = (text[1:] != text[:-1]) | (begin[1:] > end[:-1])
+        last[:-1] = new[1:]
+        return [c[~done] for c in columns], (ids[done][new], subs[done][new], begin[new], end[last])
 
     def packed(parts: list[tuple]) -> pa.RecordBatch:
         texts, ids, subs, start, windows, anchor, h, base = zip(*parts, strict=True)
@@ -97,17 +162,35 @@ def _cutter(width: int, buckets: int):
         start, base = np.concatenate(start), np.concatenate(base)
         shift = np.cumsum([0, *(len(t) for t in texts[:-1])])
         here = start + np.repeat(shift, [len(p[3]) for p in parts])
+        columns, ranges = reduced(
+            data, [ids, subs, here, start - base, windows, anchor, h], mix(h ^ (windows * 256 + anchor).astype(U))
+        )
+        if hot is not None and len(hot):
+            split = hot[np.minimum(np.searchsorted(hot, columns[6]), len(hot) - 1)] == columns[6]
+            ids, subs, here, first, windows, anchor, _ = (c[split] for c in columns)
+            row = np.repeat(np.arange(len(ids)), windows)
+            k = np.arange(len(row)) - (np.cumsum(windows) - windows)[row]
+            at = here[row] + k
+            own = mix(prefix_hashes(data, at, at + width, (), lower=False)[0])
+            single = [ids[row], subs[row], at, first[row] + k, np.ones(len(row), np.int64), anchor[row] - k, own]
+            single, more = reduced(data, single, own)
+            columns = [np.concatenate([c[~split], x]) for c, x in zip(columns, single, strict=True)]
+            ranges = tuple(np.concatenate(x) for x in zip(ranges, more, strict=True))
+        ids, subs, here, first, windows, anchor, h = columns
         bucket = (h % U(buckets)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         found, heads = np.unique(bucket[order], return_index=True)
         blobs = []
         for own in np.split(order, heads[1:]) if len(found) else []:
             fields = (
-                ids[own].astype("<i8"), subs[own].astype("<i8"), (start[own] - base[own]).astype("<i8"),
+                ids[own].astype("<i8"), subs[own].astype("<i8"), first[own].astype("<i8"),
                 windows[own].astype("u1"), anchor[own].astype("u1"), _gathered(data, here[own], windows[own] + width - 1),
             )
-            raw = len(own).to_bytes(8, "little") + b"".join(x.tobytes() for x in fields)
-            blobs.append(len(raw).to_bytes(8, "little") + pa.compress(raw, _CODEC, asbytes=True))
+            blobs.append(_closed(len(own).to_bytes(8, "little") + b"".join(x.tobytes() for x in fields)))
+        found = found.tolist()
+        if len(ranges[0]):
+            found.append(-1 - int(mix(ranges[0][:1].astype(U))[0] >> U(2)))  # any place will do
+            blobs.append(_closed(b"".join(x.astype("<i8").tobytes() for x in ranges)))
         return pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(blobs, pa.binary())], ["bucket", "data"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,11 +210,42 @@ def _cutter(width: int, buckets: int):
     return run
 
 
+def _closed(raw: bytes) -> bytes:
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, _CODEC, asbytes=True)
+
+
+def _unpacked(blob: bytes) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), _CODEC, asbytes=True), np.uint8)
+
+
+def _weights(width: int):
+    """Segments of every anchor and the bytes of text they stand for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_text", HASHED_BYTES):
+            _, _, windows, _, h = segments(*buffers(part.column("_text")), width)
+            found, which, n = np.unique(h, return_inverse=True, return_counts=True)
+            weight = np.bincount(which, windows, len(found)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n), pa.array(weight)], ["h", "n", "weight"])
+
+    return run
+
+
+def _hot_anchors(cut: DataFrame, width: int, total: int) -> np.ndarray:
+    """Hashes of the anchors that would fill much of a bucket, by a sample. Only the exchange depends on them."""
+    share = min(1.0, max(SAMPLE_BYTES, total // SAMPLE_PART) / max(1, total))
+    sample = cut if share == 1 else cut.filter(F.rand(11) < share)
+    weights = sample.select("_text").mapInArrow(_weights(width), "h bigint, n bigint, weight bigint")
+    sums = weights.groupBy("h").agg(F.sum("n").alias("n"), F.sum("weight").alias("weight"))
+    found = sums.filter((F.col("n") >= HOT_LEAST) & (F.col("weight") * HOT_SHARE > share * BUCKET_BYTES)).select("h")
+    return np.sort(np.array([r.h for r in found.collect()], np.int64).view(U))
+
+
 def _opened(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Identifier, sub-identifier, first byte, windows, anchor's place and bytes of all segments of a bucket."""
     parts: list[list[np.ndarray]] = [[] for _ in range(6)]
     for blob in blobs:
-        raw = np.frombuffer(pa.decompress(blob[8:], int.from_bytes(blob[:8], "little"), _CODEC, asbytes=True), np.uint8)
+        raw = _unpacked(blob)
         n = int(raw[:8].view("<i8")[0])
         cuts = np.cumsum([8, 8 * n, 8 * n, 8 * n, n, n])
         for k, kind in enumerate(("<i8", "<i8", "<i8", "u1", "u1")):
@@ -184,15 +298,18 @@ def repeated(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
         heads = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
         low = np.minimum.reduceat(least[string], heads)
         smallest[offset[string] + lengths[string] - found.length[at]] = np.repeat(low, np.diff(np.append(heads, len(at))))
-    total = np.cumsum(windows) - windows
-    row = np.repeat(np.arange(len(ids)), windows)
-    k = np.arange(len(row)) - total[row]
-    gone = smallest[offset[which[row]] + k] < ids[row]
-    before = np.append(False, gone[:-1]) & (k > 0)
-    after = np.append(gone[1:], False) & (k + 1 < windows[row])
-    opening, closing = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
-    row_of = row[opening]
-    return ids[row_of], subs[row_of], first[row_of] + k[opening], first[row_of] + k[closing] + width
+    parts = []
+    for a, b in _blocks(windows, ANSWERED):
+        size = windows[a:b]
+        row = a + np.repeat(np.arange(b - a), size)
+        k = np.arange(len(row)) - (np.cumsum(size) - size)[row - a]
+        gone = smallest[offset[which[row]] + k] < ids[row]
+        before = np.append(False, gone[:-1]) & (k > 0)
+        after = np.append(gone[1:], False) & (k + 1 < windows[row])
+        opening, closing = np.flatnonzero(gone & ~before), np.flatnonzero(gone & ~after)
+        row_of = row[opening]
+        parts.append((ids[row_of], subs[row_of], first[row_of] + k[opening], first[row_of] + k[closing] + width))
+    return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
 
 
 def _spread(key: np.ndarray, value: np.ndarray) -> np.ndarray:
@@ -231,20 +348,22 @@ def _finder(width: int):
     fields = [("_id", pa.int64()), ("_sub", pa.int64()), ("start", pa.int64()), ("end", pa.int64())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(blobs):
-            columns = repeated(blobs, width)
+        def done(columns):
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], [n for n, _ in fields])
 
         current, held = None, []  # rows come sorted by bucket
         for batch in batches:
             for bucket, blob in zip(batch.column("bucket").to_pylist(), batch.column("data").to_pylist(), strict=True):
+                if bucket < 0:
+                    yield done(_unpacked(blob).view("<i8").reshape(4, -1))
+                    continue
                 if bucket != current and held:
-                    yield done(held)
+                    yield done(repeated(held, width))
                     held = []
                 current = bucket
                 held.append(blob)
         if held:
-            yield done(held)
+            yield done(repeated(held, width))
 
     return run
 
@@ -256,8 +375,10 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     identifier as well; ``spans`` are the maximal runs that go (start, end in bytes), ``kept`` is the
     rest as binary. Strings never cross documents and are compared as the texts were given.
 
-    Texts are cut into segments of windows with a common anchor, and segments are exchanged by anchor,
-    packed and compressed per bucket of about 8 MB of text. Each bucket inserts its candidate strings
+    Texts are cut into segments of windows with a common anchor. Of equal segments in 16 MB of text only
+    those with the smallest identifier are exchanged by anchor, packed and compressed per bucket of
+    about 8 MB of text; the others are answered at once. Segments of an anchor that would fill 1/8 of a
+    bucket, by a sample, are exchanged window by window. Each bucket inserts its candidate strings
     column by column into one Burrows-Wheeler transform with common prefixes, in sequential files of
     the task's temporary folder, which are deleted when the bucket is done. A text that 1/1000 of all
     rows hold (at most 1000 do) takes part once; its other copies go whole.
@@ -283,7 +404,8 @@ def remove_repeats(docs: DataFrame, width: int = 50, id_col: str = "doc_id", tex
     )
     buckets = max(1, -(-(total or 0) // BUCKET_BYTES))
     cut = rows.filter((F.col("_n") >= width) & ~F.col("_copy")).select("_id", "_sub", "_text")
-    pieces = cut.mapInArrow(_cutter(width, buckets), "bucket bigint, data binary")
+    hot_anchors = _hot_anchors(cut, width, total) if buckets > 1 else None
+    pieces = cut.mapInArrow(_cutter(width, buckets, hot_anchors), "bucket bigint, data binary")
     ranges = pieces.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(
         _finder(width), "_id bigint, _sub bigint, start bigint, end bigint"
     )
