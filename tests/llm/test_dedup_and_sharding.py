@@ -199,6 +199,16 @@ def test_suffix_dedup_spreads_hot_anchors():
         assert (sum(b - a for a, b in spans), len(spans)) == want[i][1:3]
 
 
+def test_suffix_dedup_compares_bytes_of_equal_hashes(monkeypatch):
+    """Segments whose hashes collide are not taken for equal."""
+    docs = {k: t for k, t in crowd().items() if k % 20 == 0}
+    rows = cut_in_packs(docs, 2, 1)
+    want = [c.tolist() for c in substring_dedup.repeated(rows[0], 50)]
+    monkeypatch.setattr(substring_dedup, "prefix_hashes", lambda data, starts, *a, **k: [np.zeros(len(starts), np.uint64)])
+    assert [c.tolist() for c in substring_dedup.repeated(rows[0], 50)] == want
+    assert [sorted(x) for x in cut_in_packs(docs, 2, 1).values()] == [sorted(x) for x in rows.values()]
+
+
 def test_suffix_dedup_of_a_crowd(spark, monkeypatch):
     monkeypatch.setattr(substring_dedup, "BUCKET_BYTES", 4_000)  # many anchors are hot
     docs = crowd()

@@ -257,8 +257,8 @@ def _opened(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
 def repeated(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     """Ranges of a bucket's documents that a smaller identifier holds as well: identifier, sub-identifier, start, end.
 
-    Segments whose anchor occurs in one document only are dropped and equal segments become one with
-    their smallest identifier. A string that is alone with its anchor has its own windows only.
+    Segments whose anchor occurs in one document only are dropped and segments with the same bytes become
+    one with their smallest identifier. A string that is alone with its anchor has its own windows only.
     Where several share an anchor, those that share the hash of a window go into one
     Burrows-Wheeler transform, and windows are equal where the common prefixes say so.
     """
@@ -275,7 +275,7 @@ def repeated(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
     if not len(ids):
         return ids, subs, first, first
     content = mix(prefix_hashes(data, starts, starts + lengths, (), lower=False)[0] + grams)
-    _, one, which = np.unique(content, return_index=True, return_inverse=True)
+    which, one = classes(data, starts, lengths, content)
     least = np.full(len(one), np.iinfo(np.int64).max)
     np.minimum.at(least, which, ids)
     starts, lengths, kinds, grams = starts[one], lengths[one], windows[one], grams[one]
