@@ -16,6 +16,9 @@ from textloom.session import scratch_path
 from textloom.sources import files, results
 
 
+FILE_BYTES = 16 * 1024 * 1024  # of text in a file that is read as one row
+
+
 def records(spark: SparkSession, d: str) -> DataFrame:
     """Documents in the corpus layout."""
     return documents(spark, d).select(
@@ -118,9 +121,12 @@ def s7(spark, d):
 
 @query("s8_whole_text_scan")
 def s8(spark, d):
-    """Texts written as part files; the manifest numbers the files against their sort order."""
+    """Texts written as files by ``doc_id``, about 16 MB each; the manifest numbers the files against their sort order."""
     path = scratch_path(spark, "texts")
-    documents(spark, d).select("text").repartition(4).write.option("lineSep", "\u0001").text(path)
+    docs = documents(spark, d)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long") + 1)).first()[0] or 0
+    parts = max(4, -(-total // FILE_BYTES))
+    docs.repartition(parts, "doc_id").select("text").write.option("lineSep", "\u0001").text(path)
     names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(
         F.element_at(F.split("path", "/"), -1).alias("file_name")
     )
