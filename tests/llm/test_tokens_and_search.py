@@ -116,6 +116,18 @@ def test_partitions_with_gaps_exchange(spark):
     assert packing.lower_bound(np.array(sizes), 100) <= alone <= check_sequences(dealt, 100) <= 1.05 * alone
 
 
+def test_exchange_ends_when_a_round_saves_nothing(spark, monkeypatch, caplog):
+    """Two to four of such sizes fill a sequence: rounds beyond the fourth still save some."""
+    sizes = [int(x) for x in np.random.default_rng(3).integers(200, 500, 2000)]
+    rounds, store = [], packing.store
+    monkeypatch.setattr(packing, "store", lambda df, name: (rounds.append(name), store(df, name))[1])
+    df = spark.createDataFrame([(k, n) for k, n in enumerate(sizes)], "doc_id long, length long").coalesce(1)
+    rows = packing.pack(df, 1000, group_rows=40).collect()
+    check_sequences(rows, 1000)
+    assert sorted(x.doc_id for x in rows) == list(range(2000))
+    assert rounds.count("packed") > 4 and "above the bounds" in caplog.text
+
+
 def test_lower_bound_and_best_fit_against_search():
     r = np.random.default_rng(8)
 

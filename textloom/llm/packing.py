@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import zlib
 from collections.abc import Iterator
 
@@ -15,9 +16,10 @@ from textloom.llm.bpe import encoder
 from textloom.llm.common import store, with_ids
 
 GROUP_ROWS = 100_000
-ROUNDS = 4
 LARGEST_K = 20
 
+log = logging.getLogger(__name__)
+
 
 def pieces(
     docs: DataFrame, tokenizer: str, end_id: int, capacity: int, id_col: str = "doc_id", text_col: str = "text",
@@ -63,7 +65,8 @@ def pack(table: DataFrame, capacity: int, length_col: str = "length", group_rows
     Pieces are dealt evenly to partitions, and each partition packs its own by best-fit decreasing.
     Lower bounds from dual feasible functions certify a partition whose number of sequences cannot
     be undercut. The pieces of the sequences that are not full in the other partitions are dealt
-    anew among these and packed again, up to four rounds or until one such partition is left.
+    anew among these and packed again, until at most one such partition is left or a round saves no
+    sequence; such a round is dropped. The log names the sequences above the bounds that then remain.
 
     Lengths are 1 to ``capacity``; a null length or one outside raises an error. Ties go to the
     earlier row. Columns named ``sequence_id`` or ``offset`` are replaced.
@@ -71,22 +74,36 @@ def pack(table: DataFrame, capacity: int, length_col: str = "length", group_rows
     table = table.drop("sequence_id", "offset")
     rows = store(table.withColumn("_row", F.monotonically_increasing_id()), "pieces")
     open_ = rows.select("_row", F.col(length_col).cast("long").alias("_size"))
-    count, done = rows.count(), []
-    for turn in range(ROUNDS):
+    count, done, held, before, turn = rows.count(), [], None, 0, 0
+    while True:
         groups = max(1, -(-count // group_rows))
         dealt = open_.withColumn("_group", F.pmod(F.xxhash64("_row", F.lit(turn)), F.lit(groups)))
         schema = "_row bigint, _size bigint, _group bigint, _bin bigint, _offset bigint, _full boolean, _gap bigint"
         packed = store(dealt.groupBy("_group").applyInPandas(_packer(capacity), schema), "packed")
-        gaps = packed.filter("_gap > 0")
-        left = gaps.groupBy("_group").agg(F.count_if(~F.col("_full")).alias("_open"))
-        loose, count = left.agg(F.count("*"), F.sum("_open")).first()
-        number = (F.lit(turn).cast("long") * (1 << 58)) + F.col("_group") * (1 << 24) + F.col("_bin")
+        left = packed.groupBy("_group").agg(
+            F.max("_bin").alias("_last"), F.first("_gap").alias("_gap"), F.count_if(~F.col("_full")).alias("_open"),
+            F.count_if(F.col("_full") & (F.col("_offset") == 0)).alias("_done"),
+        )
+        loose = F.col("_gap") > 0
+        made, partitions, count, open_bins, gap = left.agg(
+            F.sum(F.col("_last") + 1), F.count_if(loose), F.sum(F.when(loose, F.col("_open"))),
+            F.sum(F.when(loose, F.col("_last") + 1 - F.col("_done"))), F.sum("_gap"),
+        ).first()
+        if held is not None and made >= before:
+            done.append(held)
+            gap = above
+            break
+        number = (F.lit(turn).cast("long") * (1 << 50)) + F.col("_group") * (1 << 24) + F.col("_bin")
         placed = packed.select("_row", number.alias("sequence_id"), F.col("_offset").alias("offset"), "_gap", "_full")
-        if loose <= 1 or turn == ROUNDS - 1:
+        if partitions <= 1:
             done.append(placed.drop("_gap", "_full"))
             break
         done.append(placed.filter("_gap = 0 or _full").drop("_gap", "_full"))
-        open_ = gaps.filter("not _full").select("_row", "_size")
+        held = placed.filter("_gap > 0 and not _full").drop("_gap", "_full")
+        open_ = packed.filter("_gap > 0 and not _full").select("_row", "_size")
+        before, above, turn = open_bins, gap, turn + 1
+    if gap:
+        log.warning("packing: %d sequences above the bounds of their partitions after %d rounds", gap, turn + 1)
     result = done[0]
     for more in done[1:]:
         result = result.unionByName(more)
