@@ -53,11 +53,14 @@ quotes AS (SELECT 'b' || item_id AS quote_id, text AS passage, item_id AS cited
      CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1 END FROM w)"""
 
 
-def quote_table(spark: SparkSession, d: str) -> DataFrame:
+def quote_table(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    """The quotes of the SQL; with ``every``, all sentences of the labelled documents, named by document and place."""
     doc = F.col("doc_id")
-    rows = table(spark, d, "labels").join(documents(spark, d), "doc_id").select(
-        "doc_id", "quality", F.try_element_at(tx.sentences(F.col("text")), F.lit(2)).alias("s2")
-    ).filter("s2 is not null").withColumn("ws", tx.split_words(F.col("s2")))
+    found = tx.sentences(F.col("text"))
+    taken = F.posexplode(found).alias("place", "s2") if every else F.try_element_at(found, F.lit(2)).alias("s2")
+    rows = table(spark, d, "labels").join(documents(spark, d), "doc_id").select("doc_id", "quality", taken)
+    rows = rows.filter("s2 is not null").withColumn("ws", tx.split_words(F.col("s2")))
+    name = F.concat(F.lit("l"), doc, F.lit("s"), F.col("place") + 1) if every else F.concat(F.lit("l"), doc)
     swapped = F.transform("ws", lambda x, i: F.when(i == F.size("ws") - 3, "zzyzx").otherwise(x))
     passage = (
         F.when(doc % 4 == 1, F.translate("s2", ascii_lowercase, ascii_uppercase))
@@ -66,7 +69,7 @@ def quote_table(spark: SparkSession, d: str) -> DataFrame:
         .otherwise(F.col("s2"))
     )
     cited = F.when(F.col("quality") == 1, doc).otherwise(doc + 1)
-    mine = rows.select(F.concat(F.lit("l"), doc).alias("quote_id"), passage.alias("passage"), cited.alias("cited"))
+    mine = rows.select(name.alias("quote_id"), passage.alias("passage"), cited.alias("cited"))
     given = table(spark, d, "benchmark").select(
         F.concat(F.lit("b"), F.col("item_id")).alias("quote_id"), F.col("text").alias("passage"), F.col("item_id").alias("cited")
     )
@@ -200,8 +203,8 @@ verified AS (SELECT m1.quote_id, m1.cited, m1.cited_found, m1.passage,
   FROM m1 LEFT JOIN b USING (quote_id))"""
 
 
-def verified(spark: SparkSession, d: str) -> DataFrame:
-    return quotes.verify_quotes(quote_table(spark, d), documents(spark, d), "quote_id", "passage", "cited", "doc_id", "text")
+def verified(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
+    return quotes.verify_quotes(quote_table(spark, d, every), documents(spark, d), "quote_id", "passage", "cited", "doc_id", "text")
 
 
 @query("v7_staged_verification", f"WITH {SQL_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score + 1e-9, 6) AS score, match_id FROM verified")
@@ -209,6 +212,12 @@ def v7(spark, d):
     return verified(spark, d).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
 
 
+@query("v7_every_sentence")
+def v7_every(spark, d):
+    """The staged verification of all sentences of the labelled documents, where the other queries take the second."""
+    return verified(spark, d, every=True).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
+
+
 SQL_LABEL = r"list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) > 2))"
 
 
