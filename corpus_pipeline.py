@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.llm import exact_dedup, near_dedup, packing, pii, toxicity
 from textloom.llm.common import store
-from textloom.llm.queries import SEQUENCE, TOKENIZERS, held_out, table
+from textloom.llm.queries import SEQUENCE, held_out, table
 
 ORACLE_SQL = None  # SQL cannot express the classifiers, the tagger and the tokenizer; tests hold them against brute force
 
@@ -38,7 +39,7 @@ def mask_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token pieces with their sequence and offset."""
-    cut = packing.pieces(docs, f"{TOKENIZERS}/word_bpe_49k.json", 1, SEQUENCE, with_tokens=False)
+    cut = packing.pieces(docs, public_tokenizers.path("word_bpe_49k.json"), 1, SEQUENCE, with_tokens=False)
     return packing.pack(cut, SEQUENCE)
 
 
