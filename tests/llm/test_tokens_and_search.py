@@ -2,6 +2,7 @@ import random
 
 import duckdb
 import numpy as np
+import public_tokenizers
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -22,7 +23,7 @@ def mixed(n=3000):
 
 
 def library(name):
-    t = Tokenizer.from_file(f"{queries.TOKENIZERS}/{name}")
+    t = Tokenizer.from_file(public_tokenizers.path(name))
     t.encode_special_tokens = True
     return t
 
@@ -30,7 +31,7 @@ def library(name):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     texts = [*mixed(), *brute.documents().values()]
-    encoder = Encoder(f"{queries.TOKENIZERS}/{name}", chunks=500, pieces=100)  # small caches are emptied often
+    encoder = Encoder(public_tokenizers.path(name), chunks=500, pieces=100)  # small caches are emptied often
     want = library(name).encode_batch(texts, add_special_tokens=False)
     for text, ids in zip(texts, want, strict=True):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids.ids, text
@@ -48,7 +49,7 @@ def test_token_files_equal_library(spark):
 
 def test_token_files_odd_rows_and_selective_read(spark):
     path = new_folder(spark, "tokens")
-    tokens.write_tokens(odd(spark), path, f"{queries.TOKENIZERS}/byte_bpe_50k.json", 2)
+    tokens.write_tokens(odd(spark), path, public_tokenizers.path("byte_bpe_50k.json"), 2)
     files = spark.read.parquet(path)
     assert files.columns == ["doc_id", "n_tokens", "ids"] and files.count() == len(ODD)
     rows = tokens.read_tokens(spark, path).collect()
@@ -60,12 +61,12 @@ def test_token_files_odd_rows_and_selective_read(spark):
     plan = files.filter("doc_id = 4").select("n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(doc_id,4)" in plan and "ids" not in plan.split("ReadSchema")[1]
     empty = new_folder(spark, "tokens")
-    tokens.write_tokens(odd(spark, []), empty, f"{queries.TOKENIZERS}/byte_bpe_50k.json", 2)
+    tokens.write_tokens(odd(spark, []), empty, public_tokenizers.path("byte_bpe_50k.json"), 2)
     assert tokens.read_tokens(spark, empty, with_crc=True).count() == 0
 
 
 def test_sentencepiece_equals_library():
-    path = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     model, own = sentencepiece.SentencePieceProcessor(model_file=path), sentencepieces.Pieces(path)
     texts = [*mixed(), *brute.documents().values(), *[" " * k for k in range(70)], "a" + " " * 700 + "1"]
     ids = [np.frombuffer(x, "<u4") for at in range(0, len(texts), 400) for x in own.encode(texts[at : at + 400])]
@@ -74,7 +75,7 @@ def test_sentencepiece_equals_library():
 
 
 def test_sentencepiece_query_and_odd_rows(spark):
-    path = f"{queries.TOKENIZERS}/piece_bpe_32k.model"
+    path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     docs = brute.documents()
     got = {r.doc_id: (r.n_tokens, r.ids_crc32) for r in queries.QUERIES["op8_sentencepiece"](spark, brute.FOLDER).collect()}
@@ -149,11 +150,11 @@ def test_lower_bound_and_best_fit_against_search():
 
 
 def test_packing_odd_rows(spark):
-    cut = packing.pieces(odd(spark), f"{queries.TOKENIZERS}/word_bpe_49k.json", 1, 64)
+    cut = packing.pieces(odd(spark), public_tokenizers.path("word_bpe_49k.json"), 1, 64)
     rows = packing.pack(cut, 64).collect()
     assert len([r for r in rows if r.doc_id in (3, 4)]) == 2 and check_sequences(rows, 64)
     assert all(len(r.ids) == r.length and r.ids_crc32 == brute.crc(r.ids) for r in rows)
-    assert packing.pack(packing.pieces(odd(spark, []), f"{queries.TOKENIZERS}/word_bpe_49k.json", 1, 64), 64).count() == 0
+    assert packing.pack(packing.pieces(odd(spark, []), public_tokenizers.path("word_bpe_49k.json"), 1, 64), 64).count() == 0
     with pytest.raises(Exception, match="lengths must be"):
         packing.pack(spark.createDataFrame([(65,)], "length long"), 64).count()
 

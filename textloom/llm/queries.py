@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.llm import ann, exact_dedup, near_dedup, packing, pii, sentencepieces, sharding, substring_dedup, tokens, toxicity
-from textloom.llm.common import UPPER, new_folder, whole
+from textloom.llm import (
+    ann, exact_dedup, near_dedup, packing, periodic_runs, pii, sentencepieces, sharding, spelling, substring_dedup, token_counts,
+    tokens, toxicity,
+)
+from textloom.llm.common import UPPER, new_folder, store, whole
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 SHARDS = 8
-TOKENIZERS = "/opt/tokenizers"
 SEQUENCE = 4096
 
 
@@ -100,7 +104,7 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_token_files")
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_folder(spark, "tokens")
-    tokens.write_tokens(table(spark, sf_dir, "documents"), path, f"{TOKENIZERS}/byte_bpe_50k.json", end_id=2)
+    tokens.write_tokens(table(spark, sf_dir, "documents"), path, public_tokenizers.path("byte_bpe_50k.json"), end_id=2)
     return tokens.read_tokens(spark, path, with_crc=True).select(
         "doc_id", F.col("start").cast("long"), F.col("n_tokens").cast("long"), "ids_crc32"
     )
@@ -115,7 +119,7 @@ def op5_posting_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_best_fit_packing")
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = packing.pieces(
-        table(spark, sf_dir, "documents"), f"{TOKENIZERS}/word_bpe_49k.json", 1, SEQUENCE, with_tokens=False,
+        table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 1, SEQUENCE, with_tokens=False,
     )
     return packing.pack(cut, SEQUENCE)
 
@@ -133,7 +137,7 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("op8_sentencepiece")
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = f"{TOKENIZERS}/piece_bpe_32k.model"
+    model = public_tokenizers.path("piece_bpe_32k.model")
     encoded = sentencepieces.encode(table(spark, sf_dir, "documents"), model)
     return sentencepieces.decode(encoded, model).select(
         "doc_id", "n_tokens", "ids_crc32", F.sha2("text", 256).alias("decoded_sha256")
@@ -158,3 +162,53 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_minhash_near_dedup")
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+    return counted.withColumn("over_limit", F.col("n_tokens") > SEQUENCE)
+
+
+def with_planted_runs(docs: DataFrame) -> DataFrame:
+    """``doc_id, text``, where one document of ten by its checksum repeats some words of its own to the end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    chosen = F.coalesce(h % 10 == 0, F.lit(False))
+    g = F.floor(h / 10)
+    cut = F.filter(F.split(whole("text"), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    worded = docs.select("doc_id", "text", g.alias("_g"), F.when(chosen, cut).alias("_w"))
+    counted = worded.withColumn("_n", F.size("_w")).withColumn("_a", F.when(F.col("_n") > 0, (F.col("_g") % F.col("_n")).cast("int")))
+    left = F.col("_n") - F.col("_a")
+    period = (1 + F.floor(left / (3 + F.col("_g") % 8))).cast("int")
+    block = F.slice("_w", F.col("_a") + 1, period)
+    turns = F.ceil(left / period).cast("int")
+    longer = F.concat(F.slice("_w", F.lit(1), F.col("_a")), F.slice(F.flatten(F.array_repeat(block, turns)), F.lit(1), left))
+    return counted.select("doc_id", F.when(F.col("_n") > 0, F.concat_ws(" ", longer)).otherwise(F.col("text")).alias("text"))
+
+
+@query("op12_periodic_runs")
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(with_planted_runs(table(spark, sf_dir, "documents")))
+    # a is better than b if length / period is greater as a fraction; runs come by start, then period
+    better = lambda a, b: F.when(a["length"] * b["period"] >= b["length"] * a["period"], a).otherwise(b)
+    best = F.aggregate(F.slice("runs", 2, F.greatest(F.size("runs") - 1, F.lit(0))), F.get("runs", F.lit(0)), better)
+    listed = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    lines = F.when(F.size("runs") > 0, F.concat(listed, F.lit("\n"))).otherwise("")
+    return found.withColumn("_b", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "_b.start", "_b.length", "_b.period",
+        F.floor(1000 * F.col("_b.length") / F.col("_b.period")).cast("long").alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+def drop_letter(doc_id: object, word: str) -> str:
+    """One occurrence of 31 by the checksum of identifier and word loses a letter. Without an identifier none does."""
+    h = 1 if doc_id is None else zlib.crc32(f"{doc_id}:{word}".encode())
+    return word if h % 31 else word[: h % len(word)] + word[h % len(word) + 1 :]
+
+
+@query("op13_spelling_variants")
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    words = store(spelling.vocabulary(docs, "a-zA-Z\u00C0-\u00FF", 7, 2, drop_letter), "words")
+    return spelling.variants(words, factor=10)
