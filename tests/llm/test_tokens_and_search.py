@@ -3,6 +3,7 @@ import random
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -31,10 +32,13 @@ def library(name):
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_encoder_equals_library(name):
     texts = [*mixed(), *brute.documents().values()]
-    encoder = Encoder(public_tokenizers.path(name), chunks=500, pieces=100)  # small caches are emptied often
+    encoder = Encoder(public_tokenizers.path(name), most_known=500)  # a small table is emptied often
     want = library(name).encode_batch(texts, add_special_tokens=False)
     for text, ids in zip(texts, want, strict=True):
         assert np.frombuffer(encoder.encode(text), "<u4").tolist() == ids.ids, text
+    found, ends = encoder.encode_all(pa.array(texts), [7, 8])
+    assert found.tolist() == [i for x in want for i in [*x.ids, 7, 8]]
+    assert np.diff(ends, prepend=0).tolist() == [len(x.ids) + 2 for x in want]
 
 
 def test_token_files_equal_library(spark):

@@ -34,26 +34,25 @@ def pieces(
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_tokens
     schema = f"_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids array<int>" * with_tokens
-    end, width = np.array([end_id], "<u4").tobytes(), 4 * capacity
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for part in slices(batches, "_text"):
-            row, number, data = [], [], []
-            for i, text in enumerate(part.column("_text").to_pylist()):
-                ids = enc.encode(text) + end
-                for k in range(0, len(ids), width):
-                    row.append(i)
-                    number.append(k // width)
-                    data.append(ids[k : k + width])
-            piece, size = np.array(number, np.int32), np.array([len(x) // 4 for x in data], np.int64)
+            ids, ends = enc.encode_all(part.column("_text"), (end_id,))
+            begins = np.concatenate([[0], ends[:-1]])
+            count = -(-(ends - begins) // capacity)
+            row = np.repeat(np.arange(len(ends)), count)
+            piece = (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)).astype(np.int32)
+            at = begins[row] + piece.astype(np.int64) * capacity
+            stop = np.minimum(at + capacity, ends[row])
+            sums = [zlib.crc32(ids[a:b]) for a, b in zip(at.tolist(), stop.tolist(), strict=True)]
             columns = [
-                part.column("_id").take(pa.array(row, pa.int32())), pa.array(piece), pa.array(piece.astype(np.int64) * capacity),
-                pa.array(size), pa.array([zlib.crc32(x) for x in data], pa.int64()),
+                part.column("_id").take(pa.array(row)), pa.array(piece), pa.array(piece.astype(np.int64) * capacity),
+                pa.array(stop - at), pa.array(sums, pa.int64()),
             ]
             if with_tokens:
-                ends = pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32))
-                columns.append(pa.ListArray.from_arrays(ends, pa.array(np.frombuffer(b"".join(data), "<i4"))))
+                cuts = pa.array(np.append(at, len(ids)).astype(np.int32))
+                columns.append(pa.ListArray.from_arrays(cuts, pa.array(ids.view("<i4"))))
             yield pa.RecordBatch.from_arrays(columns, names)
 
     return with_ids(docs, id_col, text_col).mapInArrow(cut, schema).withColumnRenamed("_id", id_col)

@@ -183,7 +183,7 @@ class PrefixCounter:
         cut = pc.replace_substring(texts, BREAK, " " + BREAK) if self.breaks else texts
         units = pc.split_pattern(cut, " ")
         words = units.flatten().dictionary_encode()
-        names = words.dictionary.to_pylist()
+        names = words.dictionary.to_numpy(zero_copy_only=False).tolist()
         per_name = np.array(self.totals_for(names), np.int64)
         codes = words.indices.to_numpy()
         sums = np.concatenate([[0], np.cumsum(per_name[codes])])

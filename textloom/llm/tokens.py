@@ -39,17 +39,14 @@ def write_tokens(
     """
     rows = with_ids(docs, id_col, text_col).repartitionByRange("_id").sortWithinPartitions("_id", "_text")
     kind = docs.schema[id_col].dataType.simpleString()
-    end = np.array([end_id], "<u4").tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
         for part in slices(batches, "_text"):
-            ids = [enc.encode(t) + end for t in part.column("_text").to_pylist()]
-            sizes = np.array([len(x) // 4 for x in ids], np.int32)
-            ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
-            values = pa.array(np.frombuffer(b"".join(ids), "<i4"))
+            ids, ends = enc.encode_all(part.column("_text"), (end_id,))
+            ends = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
-                [part.column("_id"), pa.array(sizes), pa.ListArray.from_arrays(pa.array(ends), values)],
+                [part.column("_id"), pa.array(np.diff(ends)), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids.view("<i4")))],
                 ["_id", "n_tokens", "ids"],
             )
 
