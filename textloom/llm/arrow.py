@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,8 +19,22 @@ def text_ends(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
 
 
+def _trim():
+    """The C library's call that returns free memory to the system, where there is one."""
+    return getattr(ctypes.CDLL(None), "malloc_trim", lambda _: 0)
+
+
+def release() -> None:
+    """Return memory that is free by now, so that a worker that lives on does not hold its largest moment."""
+    pa.default_memory_pool().release_unused()
+    _trim()(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Parts of the batches with about ``limit`` bytes of text each; a longer text is a part of its own."""
+    """Parts of the batches with about ``limit`` bytes of text each; a longer text is a part of its own.
+
+    Memory that is free goes back to the system after each batch.
+    """
     for batch in batches:
         ends = text_ends(batch.column(column))
         at = 0
@@ -28,3 +43,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE_BY
             stop = min(stop, batch.num_rows)
             yield batch.slice(at, stop - at)
             at = stop
+        release()

@@ -22,7 +22,8 @@ from textloom.llm.hashing import U, buffers, mix, prefix_hashes, words
 
 SINGLE_SPACE = re.compile(r"(?<=\S) (?=\S)")
 MOST_KNOWN = 1_500_000
-CALL_PIECES = 20_000
+ENCODED_BYTES = 2 * 1024 * 1024  # of text at once: the arrays beside it take about twenty times as much
+CALL_PIECES = 8_000
 SPACE, LINE = 32, 10
 CLOSING = ",.;:!?"
 SPLIT_WHEN_LOW = "İ"  # the one such letter that is lowered to a letter and a mark

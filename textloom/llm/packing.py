@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from textloom.llm.arrow import slices
-from textloom.llm.bpe import encoder
+from textloom.llm.bpe import ENCODED_BYTES, encoder
 from textloom.llm.common import store, with_ids
 
 GROUP_ROWS = 100_000
@@ -37,7 +37,7 @@ def pieces(
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", ENCODED_BYTES):
             ids, ends = enc.encode_all(part.column("_text"), (end_id,))
             begins = np.concatenate([[0], ends[:-1]])
             count = -(-(ends - begins) // capacity)

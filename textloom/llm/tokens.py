@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from textloom.llm.arrow import slices
-from textloom.llm.bpe import encoder
+from textloom.llm.bpe import ENCODED_BYTES, encoder
 from textloom.llm.common import with_ids
 
 ROW_GROUP_BYTES = 16 * 1024 * 1024
@@ -42,7 +42,7 @@ def write_tokens(
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for part in slices(batches, "_text"):
+        for part in slices(batches, "_text", ENCODED_BYTES):
             ids, ends = enc.encode_all(part.column("_text"), (end_id,))
             ends = np.concatenate([[0], ends]).astype(np.int32)
             yield pa.RecordBatch.from_arrays(
