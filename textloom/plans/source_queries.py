@@ -13,7 +13,7 @@ from textloom.plans.retrieval_queries import (
     SQL_CENTROIDS, SQL_RERANKED, centroids, hits, plans, reranked, sql_ranked,
 )
 from textloom.session import scratch_path
-from textloom.sources import files, results
+from textloom.sources import files, results, splitscan
 
 
 FILE_BYTES = 16 * 1024 * 1024  # of text in a file that is read as one row
@@ -43,6 +43,14 @@ def s1(spark, d):
     return _short(files.read_corpus_json(spark, path, lines=True))
 
 
+@query("s1_json_list_scan", SQL_RECORDS)
+def s1_list(spark, d):
+    """The documents as files that hold one JSON list each, read in byte ranges."""
+    path = scratch_path(spark, "lists")
+    splitscan.write_json_lists(records(spark, d), path)
+    return _short(files.read_corpus_json(spark, path))
+
+
 @query("s2_embedding_index_scan", """
 SELECT 'Text #: ' || vec_id AS text_id, 'body ' || label AS full_text, CAST(len(embedding) AS BIGINT) AS dimension FROM embeddings""")
 def s2(spark, d):
@@ -138,6 +146,26 @@ def s8(spark, d):
     return read.select("position", "label", F.length("full_text").cast("long").alias("n_chars"))
 
 
+@query("s8_text_ranges", """
+SELECT CAST(doc_id AS VARCHAR) AS doc_id, md5(coalesce(text, '')) AS text_md5, CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes FROM documents""")
+def s8_ranges(spark, d):
+    """Texts behind their identifiers in large files, read in byte ranges that no file size widens."""
+    path, end = scratch_path(spark, "ranges"), "\u0001"
+    rows = table(spark, d, "documents").select(F.concat(F.col("doc_id"), F.lit("\t"), F.coalesce("text", F.lit(""))).alias("value"))
+    rows.write.option("lineSep", end).text(path)
+    names = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path).select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name")
+    )
+    manifest = names.select("file_name", F.regexp_extract("file_name", r"part-(\d+)", 1).cast("long").alias("position"), F.lit("").alias("label"))
+    ranges = splitscan.read_text_ranges(spark, f"{path}/*.txt", manifest, separator=end)
+    read = ranges.select(F.explode(F.split("text", end)).alias("value"))
+    body = F.substring("value", F.locate("\t", F.col("value")) + 1, F.length("value"))
+    return read.select(
+        F.substring_index("value", "\t", 1).alias("doc_id"), F.md5(body.cast("binary")).alias("text_md5"),
+        F.octet_length(body).cast("long").alias("n_bytes"),
+    )
+
+
 @query("s9_sectioned_scan", f"""
 SELECT 'Text #: ' || doc_id AS text_id, source, text AS full_text, 'in ' || lang AS summary, lang || '|' || source AS keywords FROM documents""")
 def s9(spark, d):

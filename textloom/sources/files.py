@@ -11,16 +11,19 @@ from textloom.functions import text as tx
 from textloom.operators import evals
 from textloom.operators.numbering import running_offsets
 from textloom.operators.skew import broadcast_if_small
+from textloom.sources.splitscan import read_json_records
 
 
 def read_corpus_json(spark: SparkSession, path: str, schema: str = schemas.CHUNK, lines: bool = False) -> DataFrame:
     """Corpus JSON: a list of records, or ``{"data": [...]}``.
 
-    A file that is one JSON document is read by one task (``lines=False``), many files in
-    parallel; with ``lines=True`` every line is a record or a wrapped list.
+    A file that is one JSON document (``lines=False``) is read in byte ranges by many tasks; with
+    ``lines=True`` every line is a record or a wrapped list.
     """
+    if not lines:
+        return read_json_records(spark, path).select(F.from_json("record", schema, {"mode": "FAILFAST"}).alias("r")).select("r.*")
     wrapped = f"{schema}, data array<struct<{_colon(schema)}>>, _corrupt_record string"
-    rows = spark.read.schema(wrapped).json(path, multiLine=not lines, mode="PERMISSIVE")
+    rows = spark.read.schema(wrapped).json(path, mode="PERMISSIVE")
     names = StructType.fromDDL(schema).fieldNames()
     own = F.struct(*names)
     found = F.when(F.col("data").isNotNull(), F.col("data")).when(
