@@ -205,6 +205,20 @@ def compare_configs(results: DataFrame, key: str, config: str, values: list[str]
     return per
 
 
+def compare_all_configs(results: DataFrame, key: str, config: str, values: list[str]) -> DataFrame:
+    """Every pair of configurations that a query was run under, side by side, the lesser name as ``config_a``.
+
+    The results of one query come together in one row of its configurations, which are few, and each
+    pair is made there, so the table is shuffled once. Of repeated results the largest values count.
+    """
+    per = results.groupBy(key, config).agg(*[F.max(v).alias(v) for v in values])
+    listed = per.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(config).alias("config"), *values))).alias("_all"))
+    first = listed.select(key, "_all", F.posexplode("_all").alias("_at", "_a"))
+    pairs = first.select(key, "_a", F.explode(F.slice("_all", F.col("_at") + 2, F.size("_all"))).alias("_b"))
+    sides = [F.col(f"_{side}.{v}").alias(f"{v}_{side}") for v in ("config", *values) for side in "ab"]
+    return pairs.select(key, *sides, *[(F.col(f"_b.{v}") - F.col(f"_a.{v}")).alias(f"{v}_diff") for v in values])
+
+
 def spread_band(spread: Column) -> Column:
     return F.when(spread >= 0.20, "differentiated").when(spread < 0.10, "flat").otherwise("moderate")
 

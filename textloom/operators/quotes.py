@@ -124,9 +124,19 @@ def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
     forms = corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn(
         "c_loose", tx.loose_form(F.col("c_strict"))
     )
+    return _with_terms(forms)
+
+
+def _with_terms(forms: DataFrame) -> DataFrame:
     return forms.withColumn("c_terms", F.array_union(all_runs(F.col("c_strict")), F.split("c_loose", " ")))
 
 
+def stored_forms(corpus: DataFrame, chunk_id: str, text: str) -> DataFrame:
+    """``prepare_corpus`` with the normal forms written once; the distinct runs are read off them where asked."""
+    forms = prepare_corpus(corpus.select(chunk_id, text), text).select(chunk_id, "c_strict", "c_loose")
+    return _with_terms(cut_lineage(forms, "corpus-forms"))
+
+
 def _cited_method() -> Column:
     cover = F.col("_cover")
     return (
@@ -174,20 +184,14 @@ def _corpus_candidates(quotes: DataFrame, quote_id: str, corpus: DataFrame, chun
     return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either)
 
 
-def _formed(chunks: DataFrame, text: str, prepared: bool) -> DataFrame:
-    return chunks if prepared else prepare_corpus(chunks, text).drop(text)
-
-
-def search_corpus(
-    quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str, text: str = "text", prepared: bool = True,
-) -> DataFrame:
-    """Best chunk per prepared quote: ``quote_id, match_id, method, score``.
+def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
+    """Best chunk of a prepared corpus per prepared quote: ``quote_id, match_id, method, score``.
 
     The first chunk with a strict, loose or window match wins; without one, the chunk with the
     highest coverage of at least .90, the first on ties.
     """
-    pairs = cut_lineage(_corpus_candidates(quotes, quote_id, _formed(corpus, text, prepared), chunk_id), "candidates")
-    near = _formed(keep_ids(corpus, chunk_id, pairs), text, prepared)
+    pairs = cut_lineage(_corpus_candidates(quotes, quote_id, corpus, chunk_id), "candidates")
+    near = keep_ids(corpus, chunk_id, pairs)
     left = quotes.select(
         F.col(quote_id).alias("owner"), "s_strict", "s_loose", "q_words",
         windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"),
@@ -224,19 +228,17 @@ def verify_quotes(
     """``outcome, method, score, match_id`` for every quote.
 
     Quotes resolved by their cited chunk leave before the corpus-wide search, which scans the corpus
-    for the terms that quotes ask for. Beside that only cited and candidate chunks are brought to
-    normal form (``prepared``: the corpus already holds the columns of ``prepare_corpus``). What is
-    stored is of the size of the quotes and of their candidates, never of the corpus.
+    for the terms that quotes ask for. The normal forms of the corpus are computed and stored once,
+    about twice its text (``prepared``: the corpus already holds the columns of ``prepare_corpus``).
     """
-    chunks = corpus if prepared else corpus.select(chunk_id, text)
+    chunks = corpus if prepared else stored_forms(corpus, chunk_id, text)
     ready = cut_lineage(prepare_quotes(quotes, passage), "quotes")
     long_enough = F.length(tx.strip(F.coalesce(passage, F.lit("")))) >= MIN_PASSAGE
     short = ready.filter(~long_enough)
     whole = ready.filter(long_enough)
-    own = _formed(keep_ids(chunks, chunk_id, whole.select(F.col(cited).alias(chunk_id))), text, prepared)
-    checked = cut_lineage(check_cited(whole, own, cited, chunk_id), "cited-checks")
+    checked = cut_lineage(check_cited(whole, chunks, cited, chunk_id), "cited-checks")
     open_quotes = checked.filter("method is null")
-    found = search_corpus(open_quotes, quote_id, chunks, chunk_id, text, prepared)
+    found = search_corpus(open_quotes, quote_id, chunks, chunk_id)
     elsewhere = open_quotes.drop("method", "score").join(found, quote_id, "left")
     keep = quotes.columns
     verdict = (

@@ -71,7 +71,7 @@ def answer_documents(spark: SparkSession, d: str) -> DataFrame:
     def match(i: int, level):
         return F.struct(
             F.concat(F.lit("Text #: "), F.col("turn") * 7 + i).alias("Text ID"), F.lit("Source: src1").alias("Source"),
-            F.element_at(tx.split_words(text), 1).alias("Key Quote"), level.alias("Relevance Assessment"),
+            text.alias("Key Quote"), level.alias("Relevance Assessment"),
         )
 
     levels = [
@@ -315,14 +315,14 @@ def t14(spark, d):
 
 
 @query("t15_dataset_merge", """
-SELECT conv_id AS example_id, text FROM conversations WHERE turn = 0
+SELECT conv_id AS example_id, text FROM conversations
 UNION ALL SELECT d.doc_id, d.text FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1""")
 def t15(spark, d):
     return merged_examples(spark, d)[0]
 
 
 def merged_examples(spark: SparkSession, d: str):
-    old = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("example_id"), "text")
+    old = table(spark, d, "conversations").select(F.col("conv_id").alias("example_id"), "text")
     new = documents(spark, d).join(table(spark, d, "labels"), "doc_id").select(
         F.col("doc_id").alias("example_id"), "text", (F.col("quality") == 1).alias("approved")
     )
@@ -330,8 +330,8 @@ def merged_examples(spark: SparkSession, d: str):
 
 
 @query("t15_merge_counts", """
-SELECT (SELECT count(*) FROM conversations WHERE turn = 0) AS n_existing, (SELECT count(*) FROM labels WHERE quality = 1) AS n_new,
-       (SELECT count(*) FROM conversations WHERE turn = 0) + (SELECT count(*) FROM labels WHERE quality = 1) AS n_merged""")
+SELECT (SELECT count(*) FROM conversations) AS n_existing, (SELECT count(*) FROM labels WHERE quality = 1) AS n_new,
+       (SELECT count(*) FROM conversations) + (SELECT count(*) FROM labels WHERE quality = 1) AS n_merged""")
 def t15_counts(spark, d):
     return merged_examples(spark, d)[1]
 

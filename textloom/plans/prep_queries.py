@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as tx
@@ -424,10 +426,10 @@ def t10_report(spark, d):
 
 
 @query("t10_term_hits", f"""
-WITH w AS (SELECT DISTINCT {sql_runs('text')}[-1] AS term FROM benchmark),
+WITH w AS (SELECT DISTINCT unnest({sql_runs('text')}) AS term FROM benchmark),
 toks AS (SELECT DISTINCT doc_id, unnest({sql_runs('text')}) AS term FROM documents)
 SELECT term, doc_id FROM w JOIN toks USING (term)""")
 def t10_terms(spark, d):
-    words = table(spark, d, "benchmark").select(F.element_at(tx.word_runs(F.col("text")), -1).alias("term")).distinct()
-    keyed = words.withColumn("t", F.initcap("term"))
+    words = table(spark, d, "benchmark").select(F.explode(tx.word_runs(F.col("text"))).alias("term")).distinct()
+    keyed = words.withColumn("t", F.translate("term", ascii_lowercase, ascii_uppercase))
     return containment.term_hits(keyed, "term", "t", documents(spark, d), "doc_id", "text")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from textloom.functions import text as tx
 from textloom.operators import quotes
+from textloom.operators.skew import keep_ids
 from textloom.plans.prep_queries import documents
 from textloom.plans.registry import query, r6, sql_sentences, sql_squeeze, sql_strip, sql_words, table
 
@@ -52,6 +53,13 @@ quotes AS (SELECT 'b' || item_id AS quote_id, text AS passage, item_id AS cited
      WHEN doc_id % 4 = 3 AND len(ws) > 4 THEN array_to_string(list_transform(ws, lambda x, i: CASE WHEN i = len(ws) - 2 THEN 'zzyzx' ELSE x END), ' ') ELSE s2 END,
      CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1 END FROM w)"""
 
+# The same for all sentences, which the tests of one quote against its cited document take.
+SQL_EVERY = SQL_QUOTES.replace(
+    f"s AS (SELECT d.doc_id, l.quality, l.toxic, {SECOND} AS s2 FROM labels l JOIN documents d USING (doc_id))",
+    f"""found AS (SELECT d.doc_id, l.quality, {sql_sentences('text')} AS found FROM labels l JOIN documents d USING (doc_id)),
+s AS (SELECT doc_id, quality, unnest(found) AS s2, generate_subscripts(found, 1) AS place FROM found)""",
+).replace("'l' || doc_id,", "'l' || doc_id || 's' || place,")
+
 
 def quote_table(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
     """The quotes of the SQL; with ``every``, all sentences of the labelled documents, named by document and place."""
@@ -105,7 +113,7 @@ def sql_segments(form, least: int) -> str:
 
 
 # Normal forms of quotes and documents.
-SQL_FORMS = f"""{SQL_QUOTES},
+_FORMS = f"""
 q0 AS (SELECT quote_id, passage, cited, {sql_decomposed('passage')} AS raw FROM quotes),
 q1 AS (SELECT *, {_BARE} AS bare, {sql_strict('raw')} AS q_strict FROM q0),
 q2 AS (SELECT *, {sql_loose('q_strict')} AS q_loose, {sql_segments(sql_strict, 10)} AS ps, {sql_segments(lambda p: sql_loose(sql_strict(p)), 18)} AS pl,
@@ -116,11 +124,12 @@ q AS (SELECT *, {sql_content("CASE WHEN len(s_loose) > 0 THEN array_to_string(s_
 c0 AS (SELECT doc_id, source, {SQL_STRICT_TEXT} AS c_strict FROM documents),
 c1 AS (SELECT *, {sql_loose('c_strict')} AS c_loose FROM c0),
 c AS MATERIALIZED (SELECT *, {sql_content('c_loose')} AS c_words FROM c1)"""
+SQL_FORMS, SQL_EVERY_FORMS = f"{SQL_QUOTES},{_FORMS}", f"{SQL_EVERY},{_FORMS}"
 
 
-@query("v3_ellipsis_segments", f"WITH {SQL_FORMS} SELECT quote_id, array_to_string(s_strict, '|') AS strict, array_to_string(s_loose, '|') AS loose FROM q")
+@query("v3_ellipsis_segments", f"WITH {SQL_EVERY_FORMS} SELECT quote_id, array_to_string(s_strict, '|') AS strict, array_to_string(s_loose, '|') AS loose FROM q")
 def v3(spark, d):
-    q = quotes.prepare_quotes(quote_table(spark, d), "passage")
+    q = quotes.prepare_quotes(quote_table(spark, d, every=True), "passage")
     return q.select("quote_id", F.array_join("s_strict", "|").alias("strict"), F.array_join("s_loose", "|").alias("loose"))
 
 
@@ -147,25 +156,28 @@ def sql_any_window(cuts: str) -> str:
     return f"len(list_filter({cuts}, lambda x: contains(c_strict, x))) > 0"
 
 
-SQL_CITED = f"""{SQL_FORMS},
+_CITED = f"""
 p AS (SELECT q.*, c.doc_id IS NOT NULL AS cited_found, coalesce(c_strict, '') AS c_strict, coalesce(c_loose, '') AS c_loose, coalesce(c_words, []) AS c_words,
       {sql_windows(30)} AS cuts FROM q LEFT JOIN c ON c.doc_id = q.cited),
 t AS (SELECT *, {sql_in_order('c_strict', 's_strict')} AS is_strict, {sql_in_order('c_loose', 's_loose')} AS is_loose,
       c_strict <> '' AND {sql_any_window('cuts')} AS is_window, {SQL_COVER} AS cover FROM p)"""
+SQL_CITED, SQL_EVERY_CITED = f"{SQL_FORMS},{_CITED}", f"{SQL_EVERY_FORMS},{_CITED}"
 
 
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = quotes.prepare_corpus(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), "text").drop("text")
-    return quotes.prepare_quotes(quote_table(spark, d), "passage"), chunks
+    return quotes.prepare_quotes(quote_table(spark, d, every=True), "passage"), chunks
 
 
 def cited_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """Every quote beside the normal forms of the document it cites. Other documents leave before they are normalised."""
     q, c = prepared(spark, d)
+    c = keep_ids(c, "chunk_id", q.select(F.col("cited").alias("chunk_id")))
     pairs = q.join(c.withColumnRenamed("chunk_id", "cited"), "cited", "left")
     return pairs.fillna("", ["c_strict", "c_loose"])
 
 
-@query("v4_segments_in_order", f"WITH {SQL_CITED} SELECT quote_id, is_strict, is_loose FROM t")
+@query("v4_segments_in_order", f"WITH {SQL_EVERY_CITED} SELECT quote_id, is_strict, is_loose FROM t")
 def v4(spark, d):
     return cited_pairs(spark, d).select(
         "quote_id", quotes.in_order(F.col("c_strict"), F.col("s_strict")).alias("is_strict"),
@@ -173,14 +185,14 @@ def v4(spark, d):
     )
 
 
-@query("v5_token_coverage", f"WITH {SQL_CITED} SELECT quote_id, round(cover + 1e-9, 6) AS cover FROM t")
+@query("v5_token_coverage", f"WITH {SQL_EVERY_CITED} SELECT quote_id, round(cover + 1e-9, 6) AS cover FROM t")
 def v5(spark, d):
     return cited_pairs(spark, d).select(
         "quote_id", r6(quotes.coverage(F.col("q_words"), quotes.content_words(F.col("c_loose")))).alias("cover")
     )
 
 
-@query("v6_sliding_window", f"WITH {SQL_CITED} SELECT quote_id, list_filter(cuts, lambda x: contains(c_strict, x))[1] AS hit FROM t")
+@query("v6_sliding_window", f"WITH {SQL_EVERY_CITED} SELECT quote_id, list_filter(cuts, lambda x: contains(c_strict, x))[1] AS hit FROM t")
 def v6(spark, d):
     pairs = cited_pairs(spark, d).withColumn("cuts", quotes.windows(F.col("q_strict"), 30))
     return pairs.select("quote_id", quotes.first_window(F.col("cuts"), F.col("c_strict")).alias("hit"))
