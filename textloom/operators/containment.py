@@ -86,7 +86,7 @@ def expand_to_vocabulary(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
 
 def candidates(
     anchors: DataFrame, edges: DataFrame, texts: DataFrame, text_id: str, tokens: Column,
-    either: DataFrame | None = None,
+    either: DataFrame | None = None, certain: DataFrame | None = None,
 ) -> DataFrame:
     """Distinct ``owner, text_id`` pairs that can match.
 
@@ -94,15 +94,17 @@ def candidates(
     ``edges(owner, needle, run, side)``: outer runs of needles without an inner word; the run
     with the fewest expansions is used.
     ``either(owner, term, keep)``: the text must hold one of the ``keep`` rarest of these terms.
+    ``certain(owner, run, side)``: edges whose every expansion is a match. Where only the first match
+    counts, texts behind the first that holds such an expansion are left out.
     ``tokens``: array of distinct terms of a text.
     """
     has_edges = not edges.isEmpty()
     postings = texts.select(F.col(text_id), F.explode(tokens).alias("term"))
     wanted = [anchors.select("term")]
     if has_edges:
-        expanded = expand_to_vocabulary(edges.select("run", "side").distinct(), postings.select("term").distinct())
-        edge_terms = cut_lineage(edges.join(expanded, ["run", "side"]).distinct(), "edge-terms")
-        wanted.append(edge_terms.select("term"))
+        asked_runs = edges.select("run", "side").distinct()
+        expanded = cut_lineage(expand_to_vocabulary(asked_runs, postings.select("term").distinct()), "edge-terms")
+        wanted.append(expanded.select("term"))
     if either is not None:
         wanted.append(either.select("term"))
     needed = wanted[0]
@@ -122,12 +124,12 @@ def candidates(
     keys = [rarest]
     if has_edges:
         # A run without any expansion rules its needle out, so it counts as the best one.
-        load = edge_terms.join(freq, "term").groupBy("owner", "needle", "run", "side").agg(F.sum("df").alias("df"))
-        asked = edges.distinct().join(load, ["owner", "needle", "run", "side"], "left")
+        load = expanded.join(freq, "term").groupBy("run", "side").agg(F.sum("df").alias("df"))
+        asked = edges.distinct().join(load, ["run", "side"], "left")
         best = asked.groupBy("owner", "needle").agg(
             F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run", "side")).alias("b")
         ).select("owner", "needle", "b.run", "b.side")
-        keys.append(edge_terms.join(best, ["owner", "needle", "run", "side"]).select("owner", "term"))
+        keys.append(expanded.join(best, ["run", "side"]).select("owner", "term"))
     if either is not None:
         sized = either.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
         # The words of one quote, bounded by its length.
@@ -136,7 +138,15 @@ def candidates(
     wanted_keys = keys[0]
     for k in keys[1:]:
         wanted_keys = wanted_keys.union(k)
-    pairs = salted_join(found, wanted_keys.distinct(), "term", heavy_keys(freq, "term", "df"), F.col(text_id))
+    wanted_keys = wanted_keys.distinct()
+    if certain is not None and has_edges:
+        first = found.groupBy("term").agg(F.min(text_id).alias("first"))
+        by_run = expanded.join(first, "term").groupBy("run", "side").agg(F.min("first").alias("first"))
+        bound = certain.join(by_run, ["run", "side"]).groupBy("owner").agg(F.min("first").alias("bound"))
+        wanted_keys = wanted_keys.join(bound, "owner", "left")
+    pairs = salted_join(found, wanted_keys, "term", heavy_keys(freq, "term", "df"), F.col(text_id))
+    if "bound" in pairs.columns:
+        pairs = pairs.filter(F.col("bound").isNull() | (F.col(text_id) <= F.col("bound")))
     return pairs.select("owner", text_id).distinct()
 
 

@@ -181,7 +181,10 @@ def _corpus_candidates(quotes: DataFrame, quote_id: str, corpus: DataFrame, chun
     either = quotes.filter(n >= MIN_CONTENT_WORDS).select(
         owner, F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep")
     )
-    return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either)
+    # A needle that is one run of letters stands in every chunk with a word that holds it.
+    alone = needles.filter((F.size("segs") == 1) & F.regexp_like(F.col("segs")[0], F.lit(f"^{tx.WORD_RUN}$")))
+    certain = alone.select("owner", F.inline(F.flatten(F.transform("segs", edge_runs))))
+    return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either, certain)
 
 
 def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:

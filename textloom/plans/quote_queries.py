@@ -224,7 +224,10 @@ def v7(spark, d):
     return verified(spark, d).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
 
 
-@query("v7_every_sentence")
+SQL_EVERY_VERIFIED = SQL_VERIFIED.replace(SQL_QUOTES, SQL_EVERY)
+
+
+@query("v7_every_sentence", f"WITH {SQL_EVERY_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score + 1e-9, 6) AS score, match_id FROM verified")
 def v7_every(spark, d):
     """The staged verification of all sentences of the labelled documents, where the other queries take the second."""
     return verified(spark, d, every=True).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
