@@ -231,4 +231,10 @@ def read_text_ranges(
     ranges = rows.mapInArrow(packed, "path string, block bigint, part int, text string").withColumn(
         "file_name", F.url_decode(F.replace(F.element_at(F.split("path", "/"), -1), F.lit("+"), F.lit("%2B")))
     )
-    return broadcast_if_small(manifest).join(ranges, "file_name", "left").select("position", "label", "file_name", "block", "part", "text")
+    # The manifest goes to where the ranges are, so that no file comes together in one task.
+    present = spark.read.format("binaryFile").load(paths).filter("length > 0").select(
+        F.element_at(F.split("path", "/"), -1).alias("file_name")
+    )
+    found = ranges.drop("path").join(broadcast_if_small(manifest), "file_name")
+    absent = manifest.join(present, "file_name", "left_anti")
+    return found.unionByName(absent, allowMissingColumns=True).select("position", "label", "file_name", "block", "part", "text")
