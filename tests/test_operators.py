@@ -37,6 +37,42 @@ def test_every_sentence_is_verified(spark, tmp_path):
     assert got == want | {f"l16s{k}": ("displacement", 16) for k in (1, 2)}
 
 
+def test_short_quotes_find_their_first_text(spark):
+    """Quotes without an inner word, on one row or many, with cut words, gaps and marks: as a scan of all texts says."""
+    rng = random.Random(5)
+    words = ["sea", "season", "overseas", "re", "réen", "ball", "football", "ballad", "x", "ten"]
+    gaps = [" ", " ", " ", ", ", "!! ", " (", "_ ", "... "]
+    def sentence(n):
+        return "".join(rng.choice(words) + rng.choice(gaps) for _ in range(n)).strip()
+    chunks = [sentence(rng.randrange(1, 12)) for _ in range(40)]
+    cases = ["sea ball", "eason, foot", "réen!!", "overseas football", "overseas...football", "alad (se", "seaball", "overseas season...football ballad"]
+    cases += [sentence(rng.choice([1, 2, 2, 3])) for _ in range(60)]
+    corpus = spark.createDataFrame(list(enumerate(chunks)), "chunk_id long, full_text string")
+    prepared = quotes.prepare_corpus(corpus, "full_text")
+    asked = quotes.prepare_quotes(spark.createDataFrame(list(enumerate(cases * 2)), "quote_id long, passage string"), "passage")
+    got = {r.quote_id: (r.match_id, r.method) for r in quotes.search_corpus(asked, "quote_id", prepared, "chunk_id").collect()}
+    forms = [(r.chunk_id, r.c_strict, r.c_loose) for r in prepared.orderBy("chunk_id").collect()]
+
+    def in_order(segments, body):
+        at = 0
+        for s in segments:
+            at = body.find(s, at)
+            if at < 0:
+                return False
+            at += len(s)
+        return bool(segments) and body != ""
+
+    want = {}
+    for q in asked.collect():
+        assert len(q.q_words) < quotes.MIN_CONTENT_WORDS and len(q.q_strict) < 50  # coverage and windows take no part
+        for chunk_id, strict, loose in forms:
+            method = "strict_segments" if in_order(q.s_strict, strict) else "loose_segments" if in_order(q.s_loose, loose) else None
+            if method:
+                want[q.quote_id] = (chunk_id, method)
+                break
+    assert got == want and 20 < len(want) < 2 * len(cases)
+
+
 def verify(spark, chunks, cases):
     corpus = spark.createDataFrame(list(enumerate(chunks)), "chunk_id long, text string")
     rows = spark.createDataFrame([(str(i), p, c) for i, (p, c) in enumerate(cases)], "quote_id string, passage string, cited long")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.containment import all_runs, candidates, edge_runs, inner_words
-from textloom.operators.skew import keep_ids
+from textloom.operators.containment import all_runs, candidates, edge_runs, inner_words, run_pairs
+from textloom.operators.skew import heavy_keys, keep_ids, salted_join
 from textloom.session import cut_lineage
 
 # Words that say nothing about the content of a quote.
@@ -183,20 +183,35 @@ def _corpus_candidates(quotes: DataFrame, quote_id: str, corpus: DataFrame, chun
     )
     # A needle that is one run of letters stands in every chunk with a word that holds it.
     alone = needles.filter((F.size("segs") == 1) & F.regexp_like(F.col("segs")[0], F.lit(f"^{tx.WORD_RUN}$")))
-    certain = alone.select("owner", F.inline(F.flatten(F.transform("segs", edge_runs))))
-    return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either, certain)
+    certain = alone.select("owner", "needle", F.inline(F.flatten(F.transform("segs", edge_runs))))
+    # The first pair of a word and what follows it; the second needle of a quote is the loose one.
+    pair = F.try_element_at(F.filter(F.transform("segs", run_pairs), lambda p: p.isNotNull()), F.lit(1))
+    two = needles.filter(F.size("w") == 0).select(
+        "owner", "needle", F.when(F.col("needle") == 1, 1).otherwise(0).alias("form"), (F.size("segs") == 1).alias("sole"), pair.alias("p")
+    ).filter("p is not null").select("owner", "needle", "form", "sole", "p.*")
+    bodies = [F.col("c_strict"), F.col("c_loose")]
+    return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either, certain, two, bodies)
 
 
 def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
     """Best chunk of a prepared corpus per prepared quote: ``quote_id, match_id, method, score``.
 
     The first chunk with a strict, loose or window match wins; without one, the chunk with the
-    highest coverage of at least .90, the first on ties.
+    highest coverage of at least .90, the first on ties. Quotes with the same normal forms are searched once.
     """
-    pairs = cut_lineage(_corpus_candidates(quotes, quote_id, corpus, chunk_id), "candidates")
+    forms = ["q_strict", "s_strict", "s_loose", "q_words"]
+    named = quotes.select(quote_id, F.sha2(F.to_json(F.struct(*forms)), 256).alias("owner"), *forms)
+    distinct = cut_lineage(named.select("owner", *forms).distinct(), "distinct-quotes")
+    found = _search(distinct, corpus, chunk_id)
+    load = named.groupBy("owner").agg(F.count("*").alias("n"))
+    return salted_join(named.select(quote_id, "owner"), found, "owner", heavy_keys(load, "owner", "n"), F.col(quote_id)).drop("owner")
+
+
+def _search(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
+    pairs = cut_lineage(_corpus_candidates(quotes, "owner", corpus, chunk_id), "candidates")
     near = keep_ids(corpus, chunk_id, pairs)
     left = quotes.select(
-        F.col(quote_id).alias("owner"), "s_strict", "s_loose", "q_words",
+        "owner", "s_strict", "s_loose", "q_words",
         windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"),
     )
     tested = (
@@ -217,7 +232,7 @@ def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id:
     )
     near = F.col("best.cover") >= APPROXIMATE_ELSEWHERE
     return found.select(
-        F.col("owner").alias(quote_id),
+        "owner",
         F.coalesce("hit.match_id", F.when(near, -F.col("best.neg_id"))).alias("match_id"),
         F.coalesce("hit.method", F.when(near, "token_coverage")).alias("method"),
         F.when(F.col("hit").isNull() & near, F.col("best.cover")).alias("score"),

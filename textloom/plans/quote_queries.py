@@ -1,8 +1,8 @@
 """Registered queries: quote verification.
 
-Quotes are the benchmark items (citing the document of the same number) and the second sentence
-of every labelled document: verbatim, in capitals, without commas, or with one word replaced;
-citing that document or the next one.
+Quotes are the benchmark items (citing the document of the same number) and all sentences of every
+labelled document: verbatim, in capitals, without commas, or with one word replaced; citing that
+document or the next one.
 """
 
 from __future__ import annotations
@@ -44,31 +44,24 @@ def sql_loose(strict: str) -> str:
     return sql_squeeze(f"regexp_replace({strict}, '[^0-9a-z]', ' ', 'g')")
 
 
-SECOND = f"{sql_sentences('text')}[2]"
 SQL_QUOTES = f"""
-s AS (SELECT d.doc_id, l.quality, l.toxic, {SECOND} AS s2 FROM labels l JOIN documents d USING (doc_id)),
+found AS (SELECT d.doc_id, l.quality, {sql_sentences('text')} AS found FROM labels l JOIN documents d USING (doc_id)),
+s AS (SELECT doc_id, quality, unnest(found) AS s2, generate_subscripts(found, 1) AS place FROM found),
 w AS (SELECT *, {sql_words('s2')} AS ws FROM s WHERE s2 IS NOT NULL),
 quotes AS (SELECT 'b' || item_id AS quote_id, text AS passage, item_id AS cited FROM benchmark
-  UNION ALL SELECT 'l' || doc_id, CASE WHEN doc_id % 4 = 1 THEN translate(s2, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 4 = 2 THEN '“' || replace(s2, ',', '') || '...'
+  UNION ALL SELECT 'l' || doc_id || 's' || place, CASE WHEN doc_id % 4 = 1 THEN translate(s2, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') WHEN doc_id % 4 = 2 THEN '“' || replace(s2, ',', '') || '...'
      WHEN doc_id % 4 = 3 AND len(ws) > 4 THEN array_to_string(list_transform(ws, lambda x, i: CASE WHEN i = len(ws) - 2 THEN 'zzyzx' ELSE x END), ' ') ELSE s2 END,
      CASE WHEN quality = 1 THEN doc_id ELSE doc_id + 1 END FROM w)"""
 
-# The same for all sentences, which the tests of one quote against its cited document take.
-SQL_EVERY = SQL_QUOTES.replace(
-    f"s AS (SELECT d.doc_id, l.quality, l.toxic, {SECOND} AS s2 FROM labels l JOIN documents d USING (doc_id))",
-    f"""found AS (SELECT d.doc_id, l.quality, {sql_sentences('text')} AS found FROM labels l JOIN documents d USING (doc_id)),
-s AS (SELECT doc_id, quality, unnest(found) AS s2, generate_subscripts(found, 1) AS place FROM found)""",
-).replace("'l' || doc_id,", "'l' || doc_id || 's' || place,")
 
-
-def quote_table(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    """The quotes of the SQL; with ``every``, all sentences of the labelled documents, named by document and place."""
+def quote_table(spark: SparkSession, d: str) -> DataFrame:
+    """The quotes of the SQL: sentences are named by document and place."""
     doc = F.col("doc_id")
-    found = tx.sentences(F.col("text"))
-    taken = F.posexplode(found).alias("place", "s2") if every else F.try_element_at(found, F.lit(2)).alias("s2")
-    rows = table(spark, d, "labels").join(documents(spark, d), "doc_id").select("doc_id", "quality", taken)
+    rows = table(spark, d, "labels").join(documents(spark, d), "doc_id").select(
+        "doc_id", "quality", F.posexplode(tx.sentences(F.col("text"))).alias("place", "s2")
+    )
     rows = rows.filter("s2 is not null").withColumn("ws", tx.split_words(F.col("s2")))
-    name = F.concat(F.lit("l"), doc, F.lit("s"), F.col("place") + 1) if every else F.concat(F.lit("l"), doc)
+    name = F.concat(F.lit("l"), doc, F.lit("s"), F.col("place") + 1)
     swapped = F.transform("ws", lambda x, i: F.when(i == F.size("ws") - 3, "zzyzx").otherwise(x))
     passage = (
         F.when(doc % 4 == 1, F.translate("s2", ascii_lowercase, ascii_uppercase))
@@ -113,7 +106,7 @@ def sql_segments(form, least: int) -> str:
 
 
 # Normal forms of quotes and documents.
-_FORMS = f"""
+SQL_FORMS = f"""{SQL_QUOTES},
 q0 AS (SELECT quote_id, passage, cited, {sql_decomposed('passage')} AS raw FROM quotes),
 q1 AS (SELECT *, {_BARE} AS bare, {sql_strict('raw')} AS q_strict FROM q0),
 q2 AS (SELECT *, {sql_loose('q_strict')} AS q_loose, {sql_segments(sql_strict, 10)} AS ps, {sql_segments(lambda p: sql_loose(sql_strict(p)), 18)} AS pl,
@@ -124,12 +117,11 @@ q AS (SELECT *, {sql_content("CASE WHEN len(s_loose) > 0 THEN array_to_string(s_
 c0 AS (SELECT doc_id, source, {SQL_STRICT_TEXT} AS c_strict FROM documents),
 c1 AS (SELECT *, {sql_loose('c_strict')} AS c_loose FROM c0),
 c AS MATERIALIZED (SELECT *, {sql_content('c_loose')} AS c_words FROM c1)"""
-SQL_FORMS, SQL_EVERY_FORMS = f"{SQL_QUOTES},{_FORMS}", f"{SQL_EVERY},{_FORMS}"
 
 
-@query("v3_ellipsis_segments", f"WITH {SQL_EVERY_FORMS} SELECT quote_id, array_to_string(s_strict, '|') AS strict, array_to_string(s_loose, '|') AS loose FROM q")
+@query("v3_ellipsis_segments", f"WITH {SQL_FORMS} SELECT quote_id, array_to_string(s_strict, '|') AS strict, array_to_string(s_loose, '|') AS loose FROM q")
 def v3(spark, d):
-    q = quotes.prepare_quotes(quote_table(spark, d, every=True), "passage")
+    q = quotes.prepare_quotes(quote_table(spark, d), "passage")
     return q.select("quote_id", F.array_join("s_strict", "|").alias("strict"), F.array_join("s_loose", "|").alias("loose"))
 
 
@@ -156,17 +148,16 @@ def sql_any_window(cuts: str) -> str:
     return f"len(list_filter({cuts}, lambda x: contains(c_strict, x))) > 0"
 
 
-_CITED = f"""
+SQL_CITED = f"""{SQL_FORMS},
 p AS (SELECT q.*, c.doc_id IS NOT NULL AS cited_found, coalesce(c_strict, '') AS c_strict, coalesce(c_loose, '') AS c_loose, coalesce(c_words, []) AS c_words,
       {sql_windows(30)} AS cuts FROM q LEFT JOIN c ON c.doc_id = q.cited),
 t AS (SELECT *, {sql_in_order('c_strict', 's_strict')} AS is_strict, {sql_in_order('c_loose', 's_loose')} AS is_loose,
       c_strict <> '' AND {sql_any_window('cuts')} AS is_window, {SQL_COVER} AS cover FROM p)"""
-SQL_CITED, SQL_EVERY_CITED = f"{SQL_FORMS},{_CITED}", f"{SQL_EVERY_FORMS},{_CITED}"
 
 
 def prepared(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     chunks = quotes.prepare_corpus(documents(spark, d).select(F.col("doc_id").alias("chunk_id"), "text"), "text").drop("text")
-    return quotes.prepare_quotes(quote_table(spark, d, every=True), "passage"), chunks
+    return quotes.prepare_quotes(quote_table(spark, d), "passage"), chunks
 
 
 def cited_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -177,7 +168,7 @@ def cited_pairs(spark: SparkSession, d: str) -> DataFrame:
     return pairs.fillna("", ["c_strict", "c_loose"])
 
 
-@query("v4_segments_in_order", f"WITH {SQL_EVERY_CITED} SELECT quote_id, is_strict, is_loose FROM t")
+@query("v4_segments_in_order", f"WITH {SQL_CITED} SELECT quote_id, is_strict, is_loose FROM t")
 def v4(spark, d):
     return cited_pairs(spark, d).select(
         "quote_id", quotes.in_order(F.col("c_strict"), F.col("s_strict")).alias("is_strict"),
@@ -185,14 +176,14 @@ def v4(spark, d):
     )
 
 
-@query("v5_token_coverage", f"WITH {SQL_EVERY_CITED} SELECT quote_id, round(cover + 1e-9, 6) AS cover FROM t")
+@query("v5_token_coverage", f"WITH {SQL_CITED} SELECT quote_id, round(cover + 1e-9, 6) AS cover FROM t")
 def v5(spark, d):
     return cited_pairs(spark, d).select(
         "quote_id", r6(quotes.coverage(F.col("q_words"), quotes.content_words(F.col("c_loose")))).alias("cover")
     )
 
 
-@query("v6_sliding_window", f"WITH {SQL_EVERY_CITED} SELECT quote_id, list_filter(cuts, lambda x: contains(c_strict, x))[1] AS hit FROM t")
+@query("v6_sliding_window", f"WITH {SQL_CITED} SELECT quote_id, list_filter(cuts, lambda x: contains(c_strict, x))[1] AS hit FROM t")
 def v6(spark, d):
     pairs = cited_pairs(spark, d).withColumn("cuts", quotes.windows(F.col("q_strict"), 30))
     return pairs.select("quote_id", quotes.first_window(F.col("cuts"), F.col("c_strict")).alias("hit"))
@@ -215,8 +206,8 @@ verified AS (SELECT m1.quote_id, m1.cited, m1.cited_found, m1.passage,
   FROM m1 LEFT JOIN b USING (quote_id))"""
 
 
-def verified(spark: SparkSession, d: str, every: bool = False) -> DataFrame:
-    return quotes.verify_quotes(quote_table(spark, d, every), documents(spark, d), "quote_id", "passage", "cited", "doc_id", "text")
+def verified(spark: SparkSession, d: str) -> DataFrame:
+    return quotes.verify_quotes(quote_table(spark, d), documents(spark, d), "quote_id", "passage", "cited", "doc_id", "text")
 
 
 @query("v7_staged_verification", f"WITH {SQL_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score + 1e-9, 6) AS score, match_id FROM verified")
@@ -224,13 +215,10 @@ def v7(spark, d):
     return verified(spark, d).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
 
 
-SQL_EVERY_VERIFIED = SQL_VERIFIED.replace(SQL_QUOTES, SQL_EVERY)
-
-
-@query("v7_every_sentence", f"WITH {SQL_EVERY_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score + 1e-9, 6) AS score, match_id FROM verified")
+@query("v7_every_sentence", f"WITH {SQL_VERIFIED} SELECT quote_id, cited, cited_found, outcome, method, round(score + 1e-9, 6) AS score, match_id FROM verified")
 def v7_every(spark, d):
-    """The staged verification of all sentences of the labelled documents, where the other queries take the second."""
-    return verified(spark, d, every=True).select("quote_id", "cited", "cited_found", "outcome", "method", r6("score").alias("score"), "match_id")
+    """The rows of ``v7_staged_verification``, which also takes all sentences; kept for its name."""
+    return v7(spark, d)
 
 
 SQL_LABEL = r"list_distinct(list_filter(string_split({}, ' '), lambda w: length(w) > 2))"
