@@ -7,7 +7,7 @@ import unicodedata
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.functions import text as tx
+from textloom.functions import stem, text as tx
 from textloom.operators import overlap, outputs
 
 
@@ -119,3 +119,83 @@ def test_confidence_rules(spark):
     df = spark.createDataFrame(rows, "n int, w boolean, r double, s int")
     got = [r[0] for r in df.select(outputs.confidence(F.col("n"), F.col("w"), F.col("r"), F.col("s"))).collect()]
     assert got == ["low", "low", "low", "high", "high", "high", "medium"]
+
+
+# The examples of the paper that describes the steps, each with its stem after all of them.
+STEMS = """
+caresses caress ponies poni ties ti caress caress cats cat feed feed agreed agre plastered plaster bled bled
+motoring motor sing sing conflated conflat troubled troubl sized size hopping hop tanned tan falling fall
+hissing hiss fizzed fizz failing fail filing file happy happi sky sky relational relat conditional condit
+rational ration valenci valenc hesitanci hesit digitizer digit conformabli conform radicalli radic
+differentli differ vileli vile analogousli analog vietnamization vietnam predication predic operator oper
+feudalism feudal decisiveness decis hopefulness hope callousness callous formaliti formal sensitiviti sensit
+sensibiliti sensibl triplicate triplic formative form formalize formal electriciti electr electrical electr
+hopeful hope goodness good revival reviv allowance allow inference infer airliner airlin gyroscopic gyroscop
+adjustable adjust defensible defens irritant irrit replacement replac adjustment adjust dependent depend
+adoption adopt homologou homolog communism commun activate activ angulariti angular homologous homolog
+effective effect bowdlerize bowdler probate probat rate rate cease ceas controll control roll roll
+""".split()
+
+
+def plain_stem(word):
+    """The steps letter by letter, as a check of the patterns."""
+    def consonant(w, i):
+        return w[i] not in "aeiou" and not (w[i] == "y" and i > 0 and consonant(w, i - 1))
+
+    def measure(w):
+        kinds = [consonant(w, i) for i in range(len(w))]
+        return sum(1 for a, b in zip(kinds, kinds[1:]) if not a and b)
+
+    def vowel(w):
+        return any(not consonant(w, i) for i in range(len(w)))
+
+    def double(w):
+        return len(w) > 1 and w[-1] == w[-2] and consonant(w, len(w) - 1)
+
+    def short(w):
+        n = len(w)
+        return n > 2 and consonant(w, n - 1) and not consonant(w, n - 2) and consonant(w, n - 3) and w[-1] not in "wxy"
+
+    w = word
+    if len(w) <= 2:
+        return w
+    if w.endswith(("sses", "ies")):
+        w = w[:-2]
+    elif w[-1] == "s" and w[-2] != "s":
+        w = w[:-1]
+    ending = next((e for e in ("eed", "ed", "ing") if w.endswith(e)), "")
+    base = w[: len(w) - len(ending)]
+    if ending == "eed":
+        w = w[:-1] if measure(base) > 0 else w
+    elif ending and vowel(base):
+        w = base
+        if w.endswith(("at", "bl", "iz")):
+            w += "e"
+        elif double(w) and w[-1] not in "lsz":
+            w = w[:-1]
+        elif measure(w) == 1 and short(w):
+            w += "e"
+    if w.endswith("y") and vowel(w[:-1]):
+        w = w[:-1] + "i"
+    for table, least in ((stem.SECOND, 1), (stem.THIRD, 1), (stem.FOURTH, 2)):
+        ending = max((e for e in table if w.endswith(e)), key=len, default=None)
+        if ending:
+            base = w[: -len(ending)]
+            if measure(base) >= least and (ending != "ion" or base[-1:] in ("s", "t")):
+                w = base + table[ending]
+    if w.endswith("e") and (measure(w[:-1]) > 1 or (measure(w[:-1]) == 1 and not short(w[:-1]))):
+        w = w[:-1]
+    return w[:-1] if w.endswith("ll") and measure(w) > 1 else w
+
+
+def test_stems(spark):
+    known = dict(zip(STEMS[::2], STEMS[1::2]))
+    rng = random.Random(3)
+    heads = ["".join(rng.choice("aeioubcdlmnrstwxyyz1") for _ in range(rng.randrange(0, 7))) for _ in range(1500)]
+    ends = ["", "s", "es", "ies", "ed", "eed", "ing", "y", "e", "ll", "yy", "sses", *stem.SECOND, *stem.THIRD, *stem.FOURTH]
+    made = {h + rng.choice(ends) + rng.choice(["", "", "s", "ed", "ing", "ly"]) for h in heads} | {"", "a", "by", "syy", "ayyy"}
+    words = spark.createDataFrame([(w,) for w in [*known, *known, *made]] + [(None,)], "token string")
+    got = {r.token: r.stem for r in stem.porter_stems(words).collect()}
+    assert got.pop(None) is None
+    assert {w: got[w] for w in known} == known
+    assert got == {w: plain_stem(w) for w in {*known, *made}}

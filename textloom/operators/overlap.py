@@ -12,6 +12,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
+from textloom.functions.stem import porter_stems
 from textloom.session import cut_lineage
 
 
@@ -55,6 +56,12 @@ def stemmed(pairs: DataFrame, stems: DataFrame) -> DataFrame:
     )
 
 
+def english_stems(pairs: DataFrame) -> DataFrame:
+    """``token, stem`` of all tokens of both sides, by suffix stripping; for ``stemmed`` and ``rouge``."""
+    both = F.concat(overlap_tokens(F.col("candidate")), overlap_tokens(F.col("reference")))
+    return porter_stems(pairs.select(F.explode(both).alias("token")).filter(F.length("token") > 3))
+
+
 def gram_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> DataFrame:
     """``pair_id, n, clipped, n_candidate, n_reference`` per pair and order with any n-gram."""
     tokens = TOKENIZERS[tokenizer]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from textloom.functions import text as tx
+from textloom.functions import stem, text as tx
 from textloom.operators import containment, irmetrics, overlap
 from textloom.plans.prep_queries import documents
 from textloom.plans.registry import query, r6, sql_runs, sql_words, table
@@ -238,6 +238,39 @@ def b2_stemmed(spark, d):
     return overlap.rouge(pairs, stems=stems).select("pair_id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
 
 
+def _sql_swapped(before: str, after: str, suffixes: dict[str, str], least: str) -> str:
+    longest_first = "|".join(sorted(suffixes, key=len, reverse=True))
+    new = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in suffixes.items())
+    ion = "AND (e <> 'ion' OR regexp_matches(r, '[st]$'))" if "ion" in suffixes else ""
+    return f"""
+{after} AS (SELECT token, CASE WHEN e <> '' AND regexp_matches(r, '{least}') {ion} THEN r || CASE e {new} END ELSE w END AS w
+  FROM (SELECT *, w[:length(w) - length(e)] AS r FROM (SELECT *, regexp_extract(w, '({longest_first})$', 1) AS e FROM {before})))"""
+
+
+# The steps of the stemming algorithm over the distinct words; un(w) are all words.
+SQL_PORTER = f"""
+p0 AS (SELECT token, regexp_replace(regexp_replace(token, '(^|[aeiou])y', '\1Y', 'g'), 'yy', 'yY', 'g') AS w FROM (SELECT DISTINCT w AS token FROM un WHERE length(w) > 3)),
+p1 AS (SELECT token, CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN w[:-3] WHEN regexp_matches(w, '[^s]s$') THEN w[:-2] ELSE w END AS w FROM p0),
+p2 AS (SELECT token, CASE WHEN e = 'eed' AND regexp_matches(r, '{stem.ONE}') THEN w[:-2] WHEN e IN ('ed', 'ing') AND regexp_matches(r, '{stem.HAS_VOWEL}') THEN
+    CASE WHEN regexp_matches(r, '(at|bl|iz)$') THEN r || 'e' WHEN length(r) > 1 AND r[-1] = r[-2] AND NOT regexp_matches(r, '[aeiouylsz]$') OR r LIKE '%yY' THEN r[:-2]
+         WHEN regexp_matches(r, '{stem.JUST_ONE}') AND regexp_matches(r, '{stem.SHORT_END}') THEN r || 'e' ELSE r END ELSE w END AS w
+  FROM (SELECT *, w[:length(w) - length(e)] AS r FROM (SELECT *, regexp_extract(w, '(eed|ed|ing)$', 1) AS e FROM p1))),
+p3 AS (SELECT token, CASE WHEN regexp_matches(w, '{stem.HAS_VOWEL}.*[yY]$') THEN w[:-2] || 'i' ELSE w END AS w FROM p2),
+{_sql_swapped('p3', 'p4', stem.SECOND, stem.ONE)},{_sql_swapped('p4', 'p5', stem.THIRD, stem.ONE)},{_sql_swapped('p5', 'p6', stem.FOURTH, stem.TWO)},
+p7 AS (SELECT token, CASE WHEN w LIKE '%e' AND (regexp_matches(w[:-2], '{stem.TWO}') OR regexp_matches(w[:-2], '{stem.JUST_ONE}') AND NOT regexp_matches(w[:-2], '{stem.SHORT_END}')) THEN w[:-2] ELSE w END AS w FROM p6),
+p8 AS (SELECT token, lower(CASE WHEN w LIKE '%ll' AND regexp_matches(w, '{stem.TWO}') THEN w[:-2] ELSE w END) AS stem FROM p7),
+st AS (SELECT pair_id, side, i, coalesce(stem, w) AS w FROM un LEFT JOIN p8 ON token = w)"""
+SQL_PORTER_GRAMS = sql_grams(sql_overlap, orders=(1, 2)).replace("ld AS (", f"{SQL_PORTER.strip()},\nld AS (").replace("FROM un),", "FROM st),")
+
+
+@query("b2_rouge_porter", f"""WITH {SQL_PAIRS},{SQL_PORTER_GRAMS}
+SELECT p.pair_id, round(coalesce(r1, 0) + 1e-9, 6) AS rouge1, round(coalesce(r2, 0) + 1e-9, 6) AS rouge2 FROM pairs p
+LEFT JOIN (SELECT pair_id, {sql_f1(1)} AS r1, {sql_f1(2)} AS r2 FROM ov GROUP BY pair_id) USING (pair_id)""")
+def b2_porter(spark, d):
+    pairs = answer_pairs(spark, d)
+    return overlap.rouge(pairs, stems=overlap.english_stems(pairs)).select("pair_id", r6("rouge1").alias("rouge1"), r6("rouge2").alias("rouge2"))
+
+
 # Longest common subsequence, one word of the answer after the other: a cell is the largest of the cells above
 # and, where the words agree, of those before plus one.
 @query("b3_rouge_l", f"""WITH RECURSIVE {SQL_PAIRS.strip()},
