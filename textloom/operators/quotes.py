@@ -29,25 +29,25 @@ OUTCOMES = [
 
 
 def _pieces(passage: Column) -> Column:
-    """Decomposed passage without surrounding quote marks, split at ellipses."""
+    """Decomposed passage without surrounding quote marks, split at ellipses, without empty pieces."""
     bare = tx.strip(F.regexp_replace(tx.strip(passage), "^[“”‘’\"']+|[“”‘’\"']+$", ""))
-    return F.split(bare, r"\.\.\.|…")
+    return F.filter(F.split(bare, r"\.\.\.|…"), lambda s: s != "")
 
 
-def _segments(passage: Column, form, least: int) -> Column:
-    parts = F.filter(F.transform(_pieces(passage), form), lambda s: F.length(s) >= least)
-    whole = form(F.array_join(F.filter(_pieces(passage), lambda s: s != ""), " "))
+def _segments(pieces: Column, form, least: int) -> Column:
+    parts = F.filter(F.transform(pieces, form), lambda s: F.length(s) >= least)
+    whole = form(F.array_join(pieces, " "))
     return F.when(F.size(parts) > 0, parts).when(F.length(whole) > 0, F.array(whole)).otherwise(
         F.array().cast("array<string>")
     )
 
 
-def strict_segments(decomposed: Column) -> Column:
-    return _segments(decomposed, lambda c: tx.strict_form(c, True), MIN_STRICT)
+def strict_segments(pieces: Column) -> Column:
+    return _segments(pieces, lambda c: tx.strict_form(c, True), MIN_STRICT)
 
 
-def loose_segments(decomposed: Column) -> Column:
-    return _segments(decomposed, lambda c: tx.loose_form(tx.strict_form(c, True)), MIN_LOOSE)
+def loose_segments(pieces: Column) -> Column:
+    return _segments(pieces, lambda c: tx.loose_form(tx.strict_form(c, True)), MIN_LOOSE)
 
 
 def in_order(body: Column, segments: Column) -> Column:
@@ -107,16 +107,23 @@ def first_window(cuts: Column, body: Column) -> Column:
 
 
 def prepare_quotes(quotes: DataFrame, passage: str) -> DataFrame:
-    """Add the normal forms of the passage. Each is computed once."""
-    q = quotes.withColumn("_raw", tx.nfkd(F.coalesce(passage, F.lit(""))))
-    q = (
-        q.withColumn("q_strict", tx.strict_form(F.col("_raw"), True))
-        .withColumn("q_loose", tx.loose_form(F.col("q_strict")))
-        .withColumn("s_strict", strict_segments(F.col("_raw")))
-        .withColumn("s_loose", loose_segments(F.col("_raw")))
-    )
+    """Add the normal forms of the passage. Each is computed once.
+
+    A passage of one piece, which most are, is its only segment, whatever its length, so one normal form serves
+    for all of them.
+    """
+    none = F.array().cast("array<string>")
+    q = quotes.withColumn("_raw", tx.nfkd(F.coalesce(passage, F.lit("")))).withColumn("_pieces", _pieces(F.col("_raw")))
+    several = F.size("_pieces") > 1
+    q = q.withColumn("_piece", F.when(~several, F.coalesce(F.get("_pieces", F.lit(0)), F.lit(""))))
+    q = q.withColumn("_one", tx.strict_form(F.col("_piece"), True))
+    q = q.withColumn("q_strict", F.when(F.col("_piece") == F.col("_raw"), F.col("_one")).otherwise(tx.strict_form(F.col("_raw"), True)))
+    q = q.withColumn("q_loose", tx.loose_form(F.col("q_strict")))
+    q = q.withColumn("_one_loose", F.when(F.col("_one") == F.col("q_strict"), F.col("q_loose")).otherwise(tx.loose_form(F.col("_one"))))
+    for name, one, many in (("s_strict", "_one", strict_segments), ("s_loose", "_one_loose", loose_segments)):
+        q = q.withColumn(name, F.when(several, many(F.col("_pieces"))).when(F.length(one) > 0, F.array(one)).otherwise(none))
     compared = F.when(F.size("s_loose") > 0, F.array_join("s_loose", " ")).otherwise(F.col("q_loose"))
-    return q.withColumn("q_words", content_words(compared)).drop("_raw")
+    return q.withColumn("q_words", content_words(compared)).drop("_raw", "_pieces", "_piece", "_one", "_one_loose")
 
 
 def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
@@ -250,11 +257,14 @@ def verify_quotes(
     about twice its text (``prepared``: the corpus already holds the columns of ``prepare_corpus``).
     """
     chunks = corpus if prepared else stored_forms(corpus, chunk_id, text)
-    ready = cut_lineage(prepare_quotes(quotes, passage), "quotes")
+    stored = cut_lineage(quotes, "quotes")
     long_enough = F.length(tx.strip(F.coalesce(passage, F.lit("")))) >= MIN_PASSAGE
-    short = ready.filter(~long_enough)
-    whole = ready.filter(long_enough)
-    checked = cut_lineage(check_cited(whole, chunks, cited, chunk_id), "cited-checks")
+    short = stored.filter(~long_enough)
+    whole = prepare_quotes(stored.filter(long_enough), passage).drop("q_loose")
+    checked = check_cited(whole, chunks, cited, chunk_id)
+    for form in ("q_strict", "s_strict", "s_loose", "q_words"):  # asked for again where a quote is still open only
+        checked = checked.withColumn(form, F.when(F.col("method").isNull(), F.col(form)))
+    checked = cut_lineage(checked, "cited-checks")
     open_quotes = checked.filter("method is null")
     found = search_corpus(open_quotes, quote_id, chunks, chunk_id)
     elsewhere = open_quotes.drop("method", "score").join(found, quote_id, "left")
