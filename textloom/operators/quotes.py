@@ -144,28 +144,28 @@ def stored_forms(corpus: DataFrame, chunk_id: str, text: str) -> DataFrame:
     return _with_terms(cut_lineage(forms, "corpus-forms"))
 
 
-def _cited_method() -> Column:
-    cover = F.col("_cover")
+def _direct_method() -> Column:
     return (
         F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")
         .when(in_order(F.col("c_loose"), F.col("s_loose")), "loose_segments")
         .when(any_window(windows(F.col("q_strict"), 30), F.col("c_strict")), "sliding_window")
-        .when(cover >= VERIFIED_COVERAGE, "token_coverage")
-        .when(cover >= APPROXIMATE_CITED, "approximate")
     )
 
 
 def check_cited(quotes: DataFrame, corpus: DataFrame, cited: str, chunk_id: str) -> DataFrame:
     """Compare each prepared quote with the one chunk it cites: ``method`` and ``score`` or null."""
     chunks = corpus.select(F.col(chunk_id).alias(cited), "c_strict", "c_loose", F.lit(True).alias("cited_found"))
-    joined = quotes.join(keep_ids(chunks, cited, quotes), cited, "left").withColumn(
-        "_cover", F.coalesce(coverage(F.col("q_words"), content_words(F.col("c_loose"))), F.lit(0.0))
+    joined = quotes.join(keep_ids(chunks, cited, quotes), cited, "left")
+    # The words of a whole chunk are compared only for quotes that no cheaper test settles.
+    joined = joined.withColumn("_direct", F.when(F.length("c_strict") > 0, _direct_method())).withColumn(
+        "_cover", F.when(F.col("_direct").isNull(), F.coalesce(coverage(F.col("q_words"), content_words(F.col("c_loose"))), F.lit(0.0)))
     )
+    by_words = F.when(F.col("_cover") >= VERIFIED_COVERAGE, "token_coverage").when(F.col("_cover") >= APPROXIMATE_CITED, "approximate")
     return (
-        joined.withColumn("method", F.when(F.length("c_strict") > 0, _cited_method()))
+        joined.withColumn("method", F.when(F.length("c_strict") > 0, F.coalesce("_direct", by_words)))
         .withColumn("score", F.when(F.col("method").isin("token_coverage", "approximate"), F.col("_cover")))
         .withColumn("cited_found", F.coalesce("cited_found", F.lit(False)))
-        .drop("c_strict", "c_loose", "_cover")
+        .drop("c_strict", "c_loose", "_cover", "_direct")
     )
 
 
