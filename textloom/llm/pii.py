@@ -77,6 +77,7 @@ MOST_WINDOWS = 1600
 STEPS, BATCH, RATE = 260, 64, 0.02
 LEAST_MARGIN = 0.8
 SHORTEST = 7
+BLOCK = 8192  # longer stretches are decoded in blocks of this, each with WIDTH characters on both sides
 
 _CODES = np.zeros(128, np.int64)  # 0: any other character
 for _group, _chars in enumerate(("bcdfghjklmnpqrstvwxyz", "aeiou", "BCDFGHJKLMNPQRSTVWXYZ", "AEIOU", "12345678"), start=1):
@@ -158,11 +159,25 @@ class Tagger:
             b[:, k] = _logsum(self.p["T"] + (e[:, k + 1] + b[:, k + 1])[:, None, :], 2)
         return a, b, _logsum(a[:, -1], 1)
 
-    def marginals(self, x: np.ndarray) -> np.ndarray:
-        e, _ = self.emissions(x)
+    def marginals(self, e: np.ndarray) -> np.ndarray:
         a, b, z = self._messages(e)
         return np.exp(a + b - z[:, None, None])
 
+    def best_path(self, e: np.ndarray) -> np.ndarray:
+        """The tags of highest score for each row of emissions (batch, time, tags)."""
+        n, t, _ = e.shape
+        rows, arrive = np.arange(n), self.p["T"].T
+        back, score = np.empty((n, t, TAGS), np.uint8), e[:, 0]
+        for k in range(1, t):
+            options = score[:, None, :] + arrive
+            back[:, k] = options.argmax(2)
+            score = options.max(2) + e[:, k]
+        path = np.empty((n, t), np.int64)
+        path[:, -1] = score.argmax(1)
+        for k in range(t - 1, 0, -1):
+            path[:, k - 1] = back[rows, k, path[:, k]]
+        return path
+
     def gradient(self, x: np.ndarray, y: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
         """Mean negative log-likelihood of the tags ``y`` and its gradient."""
         e, (embedded, sf, sb, both) = self.emissions(x)
@@ -173,9 +188,8 @@ class Tagger:
         grads = {k: np.zeros_like(v) for k, v in self.p.items()}
         de = np.exp(a + b - z[:, None, None])
         de[rows, np.arange(t), y] -= 1
-        for k in range(1, t):
-            pair = a[:, k - 1][:, :, None] + self.p["T"] + (e[:, k] + b[:, k])[:, None, :] - z[:, None, None]
-            grads["T"] += np.exp(pair).sum(0)
+        pair = a[:, :-1, :, None] + self.p["T"] + (e + b)[:, 1:, None, :] - z[:, None, None, None]
+        grads["T"] += np.exp(pair).sum((0, 1))
         np.add.at(grads["T"], (y[:, :-1], y[:, 1:]), -1)
         grads["V"] = np.einsum("nth,ntk->hk", both, de)
         grads["c"] = de.sum((0, 1))
@@ -192,27 +206,33 @@ def _logsum(x: np.ndarray, axis: int) -> np.ndarray:
 
 
 def tags(length: int, spans: list[Span]) -> np.ndarray:
+    """Tags of a window. A span that begins before it has no first character in it."""
     out = np.zeros(length, np.int64)
     for start, end, kind in spans:
-        out[start] = 1 + 2 * kind
-        out[start + 1 : end] = 2 + 2 * kind
+        out[max(start, 0) : max(end, 0)] = 2 + 2 * kind
+        if start >= 0:
+            out[start] = 1 + 2 * kind
     return out
 
 
 def train(texts: list[str]) -> Tagger | None:
     """A tagger from spans the patterns label in ``texts``, or nothing where they label none.
 
-    Windows around digits and at signs are the examples. Each window with a span comes again in forms
-    the patterns miss: telephone numbers without their country code, and numbers in other groups.
+    Windows around digits and at signs are the examples. Each window with a span comes again with its
+    spans in forms the patterns miss (``REWRITTEN``), taken in turn.
     """
-    xs, ys = [], []
+    xs, ys, turn = [], [], 0
     for text in texts:
         if len(xs) >= MOST_WINDOWS:
             break
         spans = base_spans(text)
         for start, end in _regions(text):
-            inside = [(s - start, e - start, k) for s, e, k in spans if start <= s and e <= end]
-            for piece, own in _variants(text[start:end], inside):
+            inside = [(s - start, e - start, k) for s, e, k in spans if s < end and e > start]
+            examples = [(text[start:end], inside)]
+            if other := rewritten(*examples[0], turn):
+                examples.append(other)
+                turn += 1
+            for piece, own in examples:
                 x, y = np.full(WIDTH, PAD), np.zeros(WIDTH, np.int64)
                 n = min(WIDTH, len(piece))
                 x[:n], y[:n] = codes(piece)[:n], tags(max(len(piece), 1), own)[:n]
@@ -233,15 +253,43 @@ def train(texts: list[str]) -> Tagger | None:
     return model
 
 
-def _variants(piece: str, spans: list[Span]) -> Iterator[tuple[str, list[Span]]]:
-    yield piece, spans
-    for start, end, kind in spans:
-        if kind == 3 and (m := re.match(r"\+[0-9]{1,3}[ .-]?(?=[(0-9])", piece[start:end])) and len(spans) == 1:
-            yield piece[:start] + piece[start + m.end() :], [(start, end - m.end(), kind)]
+def _grouped(text: str, glue: str, size: int) -> str:
+    digits = "".join(DIGIT.findall(text))
+    return glue.join(digits[i : i + size] for i in range(0, len(digits), size))
 
 
-def _regions(text: str) -> list[tuple[int, int]]:
-    """Stretches of at most ``WIDTH`` characters around digits and at signs, long stretches cut with overlaps."""
+# Forms of each kind that the patterns miss.
+REWRITTEN = (
+    (lambda s: s.replace("@", " @ "), lambda s: s.replace("@", "@ "), lambda s: " . ".join(s.rsplit(".", 1))),
+    (lambda s: s.replace(".", " . "), lambda s: s.replace(".", "[.]")),
+    (lambda s: _grouped(s, ".", 4), lambda s: _grouped(s, "/", 4), lambda s: _grouped(s, "  ", 4)),
+    (
+        lambda s: re.sub(r"^\+[0-9]{1,3}[ .-]?(?=[(0-9])", "", s), lambda s: "00" + s[1:],
+        lambda s: "+" + _grouped(s, "/", 3), lambda s: _grouped(s, " ", 3), lambda s: _grouped(s, ".", 4),
+    ),
+)
+
+
+def rewritten(piece: str, spans: list[Span], turn: int) -> tuple[str, list[Span]] | None:
+    """The window with every span it holds whole in another form. None without such spans, or where spans overlap."""
+    if any(a[1] > b[0] for a, b in zip(spans, spans[1:])) or not any(s >= 0 and e <= len(piece) for s, e, _ in spans):
+        return None
+    out, own, at, grown = [], [], 0, 0
+    for start, end, kind in spans:
+        text = piece[max(start, 0) : end]
+        if start >= 0 and end <= len(piece):
+            text = REWRITTEN[kind][turn % len(REWRITTEN[kind])](text)
+        out += [piece[at : max(start, 0)], text]
+        at = min(end, len(piece))
+        own.append((start + grown, end + grown, kind))
+        if start >= 0 and end <= len(piece):
+            grown += len(text) - (end - start)
+            own[-1] = (own[-1][0], end + grown, kind)
+    return "".join([*out, piece[at:]]), own
+
+
+def _stretches(text: str) -> list[tuple[int, int]]:
+    """Disjoint parts of the text within ``CONTEXT`` characters of a digit or at sign."""
     out: list[list[int]] = []
     for m in TRIGGER.finditer(text):
         low, high = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
@@ -249,68 +297,121 @@ def _regions(text: str) -> list[tuple[int, int]]:
             out[-1][1] = high
         else:
             out.append([low, high])
-    return [(a, min(a + WIDTH, high)) for low, high in out for a in range(low, max(low + 1, high - STRIDE + 1), STRIDE)]
+    return [(low, high) for low, high in out]
+
+
+def _windows(low: int, high: int) -> list[tuple[int, int]]:
+    """Windows of at most ``WIDTH`` characters over a stretch, each half in the next one."""
+    return [(a, min(a + WIDTH, high)) for a in range(low, max(low + 1, high - STRIDE + 1), STRIDE)]
+
+
+def _regions(text: str) -> list[tuple[int, int]]:
+    return [w for low, high in _stretches(text) for w in _windows(low, high)]
+
+
+def _blocks(text: str) -> Iterator[tuple[int, int, int, int]]:
+    """Stretches as ``low, high, first, last``: what is decoded together, and where its spans may begin."""
+    for low, high in _stretches(text):
+        if high - low <= BLOCK:
+            yield low, high, low, high
+        else:
+            for at in range(low, high, BLOCK):
+                yield max(low, at - WIDTH), min(high, at + BLOCK + WIDTH), at, min(high, at + BLOCK)
 
 
 def added_spans(model: Tagger, texts: list[str], base: list[list[Span]]) -> list[list[Span]]:
     """Spans the tagger adds to the base ones, none of which it touches.
 
-    Only windows around digits and at signs are decoded, as a span without either is never added.
-    A character takes its tag probabilities from the window in whose middle it lies most.
+    Only what lies around digits and at signs is decoded, as a span without either is never added. Windows
+    give emissions; those of a stretch are joined in the middle of their overlaps, and one best path with the
+    transitions runs over the whole stretch. A span counts if its least sure character has a probability of
+    ``LEAST_MARGIN`` given the stretch. Memory does not grow with the texts: about 512 windows are held.
     """
-    where = [(i, a, b) for i, t in enumerate(texts) for a, b in _regions(t)]
-    out: list[list[Span]] = [[] for _ in texts]
-    for at in range(0, len(where), 512):
-        # A document's windows may continue in the next batch; each is decoded with its neighbours' text.
-        part = where[at : at + 512]
-        x = np.full((len(part), WIDTH), PAD)
-        for k, (i, a, b) in enumerate(part):
-            x[k, : b - a] = codes(texts[i][a:b])
-        for (i, a, b), m in zip(part, model.marginals(x), strict=True):
-            out[i].append((a, b, m[: b - a]))  # type: ignore[arg-type]
-    return [_decoded(model, t, w, s) if w else [] for t, w, s in zip(texts, out, base, strict=True)]
-
-
-def _decoded(model: Tagger, text: str, windows: list, base: list[Span]) -> list[Span]:
-    found: list[Span] = []
-    group: list = []
-    for w in [*windows, None]:
-        if group and (w is None or w[0] > group[-1][1]):
-            found += _joined(model, text, group)
-            group = []
-        if w:
-            group.append(w)
-    taken = [(s, e) for s, e, _ in base]
-    return [x for x in found if not any(s < x[1] and x[0] < e for s, e in taken)]
-
-
-def _joined(model: Tagger, text: str, group: list) -> list[Span]:
-    """One decoding over overlapping windows."""
-    low, high = group[0][0], max(b for _, b, _ in group)
-    best, depth = np.zeros((high - low, TAGS)), np.full(high - low, -1)
-    for a, b, m in group:
-        own = np.minimum(np.arange(b - a), np.arange(b - a)[::-1])
-        better = np.flatnonzero(own > depth[a - low : b - low])
-        best[a - low + better], depth[a - low + better] = m[better], own[better]
-    tag, spans, at = best.argmax(1), [], 0
-    while at < len(tag):
-        if tag[at] == 0 or tag[at] % 2 == 0:
-            at += 1
-            continue
-        kind, end = (tag[at] - 1) // 2, at + 1
-        while end < len(tag) and tag[end] == 2 + 2 * kind:
+    found: list[list[Span]] = [[] for _ in texts]
+    part: list[tuple] = []
+    held = 0
+    for i, text in enumerate(texts):
+        for block in _blocks(text):
+            windows = _windows(*block[:2])
+            part.append((i, block, windows))
+            held += len(windows)
+            if held >= 512:
+                _decode(model, texts, base, part, found)
+                part, held = [], 0
+    if part:
+        _decode(model, texts, base, part, found)
+    return found
+
+
+def _decode(model: Tagger, texts: list[str], base: list[list[Span]], part: list[tuple], found: list[list[Span]]) -> None:
+    """Append the spans of these blocks to ``found``."""
+    where = [(i, a, b) for i, _, windows in part for a, b in windows]
+    x = np.full((len(where), WIDTH), PAD)
+    for k, (i, a, b) in enumerate(where):
+        x[k, : b - a] = codes(texts[i][a:b])
+    emitted, _ = model.emissions(x)
+    joined, at = [], 0
+    for i, block, windows in part:
+        joined.append((i, block, stitched(emitted[at : at + len(windows)], windows)))
+        at += len(windows)
+    # Blocks of like length are padded to one length. Behind a block all is outside, as in training.
+    order = sorted(range(len(joined)), key=lambda k: len(joined[k][2]))
+    spans: dict[int, list[Span]] = {}
+    while order:
+        n = 1
+        while n < len(order) and (n + 1) * len(joined[order[n]][2]) <= 1 << 16:
+            n += 1
+        group, order = order[:n], order[n:]
+        e = np.full((n, len(joined[group[-1]][2]) + 1, TAGS), -1e4)
+        e[:, :, 0] = 0.0
+        for row, k in enumerate(group):
+            e[row, : len(joined[k][2])] = joined[k][2]
+        path = model.best_path(e)
+        mine = {}
+        for row, k in enumerate(group):
+            i, (low, _, first, last), own = joined[k]
+            mine[row] = [
+                s for s in _path_spans(path[row, : len(own)], low) if first <= s[0] < last and _plausible(texts[i][s[0] : s[1]], s[2])
+                and s[1] - s[0] >= SHORTEST and not any(a < s[1] and s[0] < b for a, b, _ in base[i])
+            ]
+        open_rows = [row for row in mine if mine[row]]
+        if open_rows:
+            for row, m in zip(open_rows, model.marginals(e[open_rows]), strict=True):
+                low, k = joined[group[row]][1][0], group[row]
+                for s in mine[row]:
+                    inside = np.arange(s[0] - low, s[1] - low)
+                    if m[inside, path[row, inside]].min() >= LEAST_MARGIN:
+                        spans.setdefault(k, []).append(s)
+    for k, (i, _, _) in enumerate(joined):
+        found[i] += spans.get(k, [])
+
+
+def stitched(e: np.ndarray, windows: list[tuple[int, int]]) -> np.ndarray:
+    """Emissions of a stretch from those of its windows, each up to the middle of its overlap with the next."""
+    seams = [(b + c) // 2 for (_, b), (c, _) in zip(windows, windows[1:])]
+    limits = [windows[0][0], *seams, windows[-1][1]]
+    return np.concatenate([e[k, low - a : high - a] for k, ((a, _), low, high) in enumerate(zip(windows, limits, limits[1:]))])
+
+
+def _path_spans(path: np.ndarray, low: int) -> Iterator[Span]:
+    for at in np.flatnonzero(path % 2 == 1):
+        kind, end = int(path[at] - 1) // 2, int(at) + 1
+        while end < len(path) and path[end] == 2 + 2 * kind:
             end += 1
-        sure = best[np.arange(at, end), tag[at:end]].min()
-        piece = text[low + at : low + end]
-        if sure >= LEAST_MARGIN and end - at >= SHORTEST and _plausible(piece, int(kind)):
-            spans.append((low + at, low + end, int(kind)))
-        at = end
-    return spans
+        yield low + int(at), low + end, kind
 
 
 def _plausible(piece: str, kind: int) -> bool:
-    digits = sum(map(str.isdigit, piece))
-    return ("@" in piece, digits >= 4, 13 <= digits <= 19, 7 <= digits <= 15)[kind]
+    digits = "".join(DIGIT.findall(piece))
+    if kind == 0:
+        name, _, host = piece.partition("@")
+        return bool(name.strip()) and "." in host.strip(" .")
+    if kind == 1:
+        parts = re.findall("[0-9]+", piece)
+        return len(parts) == 4 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    if kind == 2:
+        return 14 <= len(digits) <= 19 and luhn(digits)
+    return 7 <= len(digits) <= 15 and set(piece) <= set("+0123456789 ().-/")
 
 
 # ---- Spark ---------------------------------------------------------------------------------
