@@ -16,8 +16,8 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
-from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join, top_n
-from textloom.session import cut_lineage
+from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join, table_bytes, top_n
+from textloom.session import BROADCAST_LIMIT, cut_lineage
 
 # Lifts for a matching year and a matching source label, by mode.
 BOOSTS = {"multiply": (1.5, 1.8), "add": (5.0, 8.0)}
@@ -47,8 +47,9 @@ def keyword_weights(plans: DataFrame, terms: DataFrame, absent: str = "min") ->
     small = broadcast_if_small(kw)
     # The term table is the big side: reduce it to the asked terms before anything else. The
     # corpus total cancels out of weight / largest weight, so raw frequencies are enough.
-    known = terms.select(F.lower("term").alias("key"), "raw_freq")
-    rarest = terms.select(F.min("raw_freq") if absent == "min" else F.sum("raw_freq")).scalar()
+    # Stored once, as it is read twice and often the result of a scan of all texts.
+    known = cut_lineage(terms.select(F.lower("term").alias("key"), "raw_freq"), "frequencies")
+    rarest = known.select(F.min("raw_freq") if absent == "min" else F.sum("raw_freq")).scalar()
     asked = known.join(small.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.max("raw_freq").alias("raw_freq"))
     raw = kw.join(asked, "key", "left").withColumn("f", F.coalesce("raw_freq", rarest, F.lit(1)))
     top = raw.groupBy("query_id").agg(F.min("f").alias("least"))
@@ -66,29 +67,68 @@ def searched_text() -> Column:
     )
 
 
-def _word_matches(chunks: DataFrame, single: DataFrame) -> DataFrame:
-    """One row per (chunk, one-word keyword) with a count. Words nobody asks for leave before the shuffle."""
-    asked = broadcast_if_small(single.select("key").distinct())
-    tokens = chunks.select("chunk_id", "source", F.explode(tx.word_runs(F.col("body"))).alias("key"))
+def _word_pairs(runs: Column) -> Column:
+    """Every word of a list of runs (``ANY_RUN``) with the gap and the word behind it, as one string each.
+
+    Occurrences of one pair do not overlap, which only a pair of equal words could: of these the first counts.
+    """
+    first = F.when(F.regexp_like(F.coalesce(F.get(runs, F.lit(0)), F.lit("")), F.lit(f"^{tx.WORD_RUN}$")), 0).otherwise(1)
+    starts = F.when(F.size(runs) - first >= 3, F.sequence(first, F.size(runs) - 3, F.lit(2)))
+    starts = F.coalesce(starts, F.array().cast("array<int>"))
+
+    def apart(kept: Column, i: Column) -> Column:
+        overlaps = (F.size(kept) > 0) & (F.element_at(kept, -1) == i - 2) & (F.get(runs, i - 1) == F.get(runs, i + 1))
+        return F.when(overlaps, kept).otherwise(F.array_append(kept, i))
+
+    equal = F.filter(starts, lambda i: F.get(runs, i) == F.get(runs, i + 2))
+    others = F.filter(starts, lambda i: F.get(runs, i) != F.get(runs, i + 2))
+    places = F.concat(others, F.aggregate(equal, F.array().cast("array<int>"), apart))
+    return F.transform(places, lambda i: F.concat(F.get(runs, i), F.get(runs, i + 1), F.get(runs, i + 2)))
+
+
+def _any_runs(c: Column) -> Column:
+    return F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0))
+
+
+def _is_direct(key: Column) -> Column:
+    """True for one word, and for two words with a gap."""
+    def two(runs: Column) -> Column:
+        return (F.size(runs) == 3) & F.regexp_like(runs[0], F.lit(f"^{tx.WORD_RUN}$"))
+
+    return key.rlike(f"^{tx.WORD_RUN}$") | tx.let(_any_runs(key), two)
+
+
+def _direct_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """``chunk_id, source, key, n`` of words and word pairs. What nobody asks for leaves before the shuffle."""
+    one_word = F.col("key").rlike(f"^{tx.WORD_RUN}$")
+    asked = broadcast_if_small(keys)
+    parts = tx.word_runs(F.col("body"))
+    if not keys.filter(~one_word).isEmpty():
+        parts = F.concat(parts, tx.let(_any_runs(F.col("body")), _word_pairs))
+        if keys.filter(one_word).isEmpty():
+            parts = tx.let(_any_runs(F.col("body")), _word_pairs)
+    tokens = chunks.select("chunk_id", "source", F.explode(parts).alias("key"))
     counts = tokens.join(asked, "key", "left_semi").groupBy("chunk_id", "source", "key").agg(F.count("*").alias("n"))
-    load = counts.groupBy("key").agg(F.count("*").alias("df"))
-    return salted_join(counts, single, "key", heavy_keys(load, "key", "df"), F.col("chunk_id"))
+    return counts.filter(one_word | F.col("chunk_id").isNotNull())
+
 
+def _phrase_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """Counts of other keywords, tested only where their longest pair of words (or word) occurs."""
+    def longest(parts: Column) -> Column:
+        return F.array_max(F.transform(parts, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
 
-def _phrase_matches(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
-    """Counts of keywords with several runs, tested only where their longest word occurs."""
     runs = F.regexp_extract_all("key", F.lit(tx.WORD_RUN), F.lit(0))
-    longest = F.array_max(F.transform(runs, lambda r: F.struct(F.length(r).alias("n"), r.alias("r"))))["r"]
-    anchored = phrases.withColumn("anchor", longest)
+    # The boundaries make every run of a keyword a complete run of the text.
+    anchored = keys.withColumn("anchor", F.coalesce(longest(tx.let(_any_runs(F.col("key")), _word_pairs)), longest(runs), "key"))
     words = F.array_distinct(tx.word_runs(F.col("body")))
     # A keyword without any word must fill the gap between two words completely.
     gaps = F.regexp_extract_all(
         F.col("body"), F.lit(rf"(?<=[{tx.WORD_CHAR}])[^{tx.WORD_CHAR}]+(?=[{tx.WORD_CHAR}])"), F.lit(0)
     )
-    anchors = broadcast_if_small(anchored.select(F.coalesce("anchor", "key").alias("anchor"), "key").distinct())
+    pairs = F.array_distinct(tx.let(_any_runs(F.col("body")), _word_pairs))
     near = (
-        chunks.select("chunk_id", F.explode(F.array_union(words, F.array_distinct(gaps))).alias("anchor"))
-        .join(anchors, "anchor").select("chunk_id", "key").distinct()
+        chunks.select("chunk_id", F.explode(F.concat(words, F.array_distinct(gaps), pairs)).alias("anchor"))
+        .join(broadcast_if_small(anchored), "anchor").select("chunk_id", "key").distinct()
     )
     near = cut_lineage(near, "phrase-candidates")
     # Texts without a candidate leave before the join. The plain substring test is much cheaper than the
@@ -97,7 +137,11 @@ def _phrase_matches(chunks: DataFrame, phrases: DataFrame) -> DataFrame:
     counted = holding.select(
         "chunk_id", "source", "key", F.regexp_count("body", tx.whole_word_pattern(F.col("key"))).cast("long").alias("n")
     )
-    return counted.filter("n > 0").join(phrases, "key")
+    return counted.filter("n > 0").groupBy("chunk_id", "source", "key").agg(F.sum("n").alias("n"))
+
+
+# Matches of a keyword in a chunk that one task takes at most on average, which bounds its memory.
+TASK_MATCHES = 2 * 1024 * 1024
 
 
 def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False) -> DataFrame:
@@ -105,20 +149,30 @@ def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False)
 
     score = sum of count * weight; with ``strict`` each occurrence adds the whole count, which
     makes it the sum of count * count * weight.
+
+    The counts of a chunk meet the weights of all queries in one task, and are summed there: nothing of the
+    size of queries times chunks is shuffled.
     """
     chunks = corpus.select("chunk_id", "source", searched_text().alias("body"))
     kw = weights.select("query_id", "keyword", "key", "weight").filter("weight > 0")
-    single = kw.filter(F.col("key").rlike(f"^{tx.WORD_RUN}$"))
-    phrases = kw.filter(~F.col("key").rlike(f"^{tx.WORD_RUN}$"))
-    matches = _word_matches(chunks, single).select("query_id", "chunk_id", "source", "keyword", "n", "weight")
-    if not phrases.isEmpty():
-        matches = matches.unionByName(
-            _phrase_matches(chunks, phrases).select("query_id", "chunk_id", "source", "keyword", "n", "weight")
-        )
     if strict:
-        matches = matches.groupBy("query_id", "chunk_id", "source", "keyword").agg(
-            (F.sum("n") * F.sum("n")).alias("n"), F.max("weight").alias("weight")
-        )
+        kw = kw.groupBy("query_id", "keyword", "key").agg(F.count("*").alias("copies"), F.max("weight").alias("weight"))
+    keys = kw.select("key").distinct().withColumn("direct", _is_direct(F.col("key")))
+    counts = _direct_counts(chunks, keys.filter("direct").select("key"))
+    others = keys.filter("not direct").select("key")
+    if not others.isEmpty():
+        counts = counts.unionByName(_phrase_counts(chunks, others))
+    counts = cut_lineage(counts, "keyword-counts")
+    load = counts.groupBy("key").agg(F.count("*").alias("df"))
+    if table_bytes(kw) <= BROADCAST_LIMIT:
+        asked = kw.groupBy("key").agg(F.count("*").alias("queries"))
+        total = load.join(asked, "key").agg(F.sum(F.col("df") * F.col("queries"))).first()[0] or 0
+        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, total // TASK_MATCHES + 1)
+        matches = counts.repartition(parts, "chunk_id", "source").join(F.broadcast(kw), "key")
+    else:
+        matches = salted_join(counts, kw, "key", heavy_keys(load, "key", "df"), F.col("chunk_id"))
+    if strict:
+        matches = matches.withColumn("n", (F.col("n") * F.col("copies")) * (F.col("n") * F.col("copies")))
     return matches.groupBy("query_id", "chunk_id", "source").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
 
 

@@ -12,6 +12,7 @@ from textloom.functions import text as tx
 from textloom.operators import fusion, keyword, vector
 from textloom.plans.prep_queries import SQL_TERMS, documents, terms
 from textloom.plans.registry import query, r6, sql_runs, table
+from textloom.session import cut_lineage
 
 
 def corpus(spark: SparkSession, d: str) -> DataFrame:
@@ -119,11 +120,12 @@ def r3(spark, d):
     return out.select("query_id", "chunk_id", F.col("bucket").cast("long").alias("bucket"), r6("score").alias("score"))
 
 
-def hits(spark: SparkSession, d: str, n: int = 5, boost: str = "multiply") -> DataFrame:
+def hits(spark: SparkSession, d: str, n: int = 5, weights: DataFrame | None = None) -> DataFrame:
     p = plans(spark, d)
-    w = keyword.keyword_weights(p, terms(spark, d), "min" if boost == "multiply" else "one")
-    scores = keyword.keyword_scores(corpus(spark, d), w, strict=boost == "strict")
-    return keyword.ranked_hits(keyword.constrained(scores, p, boost), n)
+    w = keyword.keyword_weights(p, terms(spark, d)) if weights is None else weights
+    scores = keyword.keyword_scores(corpus(spark, d), w)
+    # A few rows per query, read several times by the metrics: stored once.
+    return cut_lineage(keyword.ranked_hits(keyword.constrained(scores, p), n), "ranked-hits")
 
 
 @query("r4_bucketed_top_n", f"WITH {sql_ranked()} SELECT query_id, rank, chunk_id, source, round(score + 1e-9, 6) AS score FROM ranked")
@@ -151,7 +153,7 @@ SELECT b.query_id, b.rank, b.chunk_id, CASE WHEN c IS NULL THEN '[match in metad
 FROM body b LEFT JOIN centre USING (query_id, chunk_id)""")
 def r5(spark, d):
     w = keyword.keyword_weights(plans(spark, d), terms(spark, d))
-    return keyword.with_snippets(hits(spark, d), corpus(spark, d), w).select("query_id", "rank", "chunk_id", "quote")
+    return keyword.with_snippets(hits(spark, d, weights=w), corpus(spark, d), w).select("query_id", "rank", "chunk_id", "quote")
 
 
 SQL_KW_COUNTS = "(SELECT r.query_id, r.chunk_id, string_agg(keyword || '=' || n, ',' ORDER BY keyword) AS keyword_counts FROM ranked r JOIN kw ON kw.query_id = r.query_id JOIN counts c ON c.doc_id = r.chunk_id AND c.term = kw.keyword GROUP BY ALL)"
