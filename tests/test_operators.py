@@ -211,6 +211,23 @@ def test_shuffled_keyword_path_equals_broadcast_path(spark, small, monkeypatch):
     assert sorted(map(tuple, keyword.keyword_scores(corpus, weights).collect())) == usual
 
 
+def test_quotes_of_common_words_meet_few_texts(spark, monkeypatch):
+    filler = " ".join(f"word{k}" for k in range(12))
+    texts = [(i, f"{filler}. The {i} of a day. It is x{i} in the end, and so on.") for i in range(40)]
+    corpus = spark.createDataFrame([*texts, (50, f"Now x9 of it in {filler}, all word77 said.")], "chunk_id long, text string")
+    said = [(1, "the 7 of a day. It is x7 in"), (2, "x9 of it"), (3, "day. It"), (4, "word1 word3 word5 word7 word9 word77 word0 word2"), (5, "x9 of the it")]
+    asked = spark.createDataFrame([(str(k), q, 99) for k, q in said], "quote_id string, passage string, cited long")
+    sizes = {}
+    old = quotes.cut_lineage
+    monkeypatch.setattr(quotes, "cut_lineage", lambda df, name: (out := old(df, name), sizes.update({name: out.count()}))[0])
+    got = quotes.verify_quotes(asked, corpus, "quote_id", "passage", "cited", "chunk_id", "text").collect()
+    assert {r.quote_id: (r.match_id, r.method) for r in got} == {
+        "1": (7, "strict_segments"), "2": (50, "strict_segments"), "3": (0, "strict_segments"), "4": (50, "token_coverage"), "5": (None, None),
+    }
+    assert sizes["needle-candidates"] <= 6  # one text for each quote and form that occurs
+    assert sizes["covering-candidates"] <= 1
+
+
 def test_word_pairs_are_counted_in_one_scan_and_tasks_stay_small(spark, monkeypatch):
     rows = [(1, "s", "na na na na. Na-na, so so well", None, None), (1, "s", "so well", None, None), (2, None, "so  well, so", None, None)]
     corpus = spark.createDataFrame(rows, "chunk_id long, source string, full_text string, summary string, keywords array<string>")

@@ -22,6 +22,26 @@ def inner_words(c: Column) -> Column:
     return F.array_distinct(F.filter(inner, lambda r: r.rlike(tx.WORD_RUN)))
 
 
+def word_pairs(runs: Column) -> Column:
+    """Distinct words of a list of runs with the gap and the word behind them, as one string each."""
+    first = F.when(F.regexp_like(F.coalesce(F.get(runs, F.lit(0)), F.lit("")), F.lit(f"^{tx.WORD_RUN}$")), 0).otherwise(1)
+    starts = F.when(F.size(runs) - first >= 3, F.sequence(first, F.size(runs) - 3, F.lit(2)))
+    pairs = F.transform(starts, lambda i: F.concat(F.get(runs, i), F.get(runs, i + 1), F.get(runs, i + 2)))
+    return F.coalesce(F.array_distinct(pairs), F.array().cast("array<string>"))
+
+
+def inner_pairs(c: Column) -> Column:
+    """Pairs of adjacent words of a needle that touch neither its start nor its end; much rarer than its words."""
+    return tx.let(
+        F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)),
+        lambda rs: word_pairs(F.slice(rs, 2, F.greatest(F.size(rs) - 2, F.lit(0)))),
+    )
+
+
+def all_pairs(c: Column) -> Column:
+    return tx.let(F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)), word_pairs)
+
+
 def edge_runs(c: Column) -> Column:
     """The outer runs of a needle without an inner word, as ``struct(run, side)``.
 
@@ -97,6 +117,21 @@ def run_pairs(c: Column) -> Column:
     return tx.let(F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)), cut)
 
 
+def lead_pair(c: Column) -> Column:
+    """The first word of a needle, the gap and what follows it, as in ``run_pairs``; null without a word and a gap.
+
+    A text that holds the needle holds this pair, so a needle whose only complete words are common meets few texts.
+    """
+    def cut(rs: Column) -> Column:
+        skip = F.when(F.regexp_like(F.coalesce(F.get(rs, F.lit(0)), F.lit("")), F.lit(f"^{tx.WORD_RUN}$")), 0).otherwise(1)
+        pair = F.struct(
+            F.get(rs, skip).alias("a"), F.get(rs, skip + 1).alias("gap"), F.coalesce(F.get(rs, skip + 2), F.lit("")).alias("b")
+        )
+        return F.when(F.size(rs) >= skip + 2, pair)
+
+    return tx.let(F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)), cut)
+
+
 def _pair_texts(pairs: DataFrame, expanded: DataFrame, texts: DataFrame, text_id: str, bodies: list[Column]) -> DataFrame:
     """``owner, text_id``: for a ``sole`` pair the first text that holds it, for others every such text.
 
@@ -142,7 +177,7 @@ def _pair_texts(pairs: DataFrame, expanded: DataFrame, texts: DataFrame, text_id
 def candidates(
     anchors: DataFrame, edges: DataFrame, texts: DataFrame, text_id: str, tokens: Column,
     either: DataFrame | None = None, certain: DataFrame | None = None,
-    pairs: DataFrame | None = None, bodies: list[Column] = (),
+    pairs: DataFrame | None = None, bodies: list[Column] = (), phrases: Column | None = None,
 ) -> DataFrame:
     """Distinct ``owner, text_id`` pairs that can match.
 
@@ -155,10 +190,11 @@ def candidates(
     out for the owner's other needles.
     ``pairs(owner, needle, form, a, gap, b, sole)``: needles of a word, a gap and perhaps a word (``run_pairs``), looked
     up in ``bodies[form]``. ``sole``: the needle is that pair alone, so that it counts as certain.
-    ``tokens``: array of distinct terms of a text.
+    ``tokens``: array of distinct terms of a text; ``phrases``: array of further ones that only ``anchors`` ask for.
     """
     has_edges = not edges.isEmpty()
     postings = texts.select(F.col(text_id), F.explode(tokens).alias("term"))
+    every = postings if phrases is None else texts.select(F.col(text_id), F.explode(F.concat(tokens, phrases)).alias("term"))
     wanted = [anchors.select("term")]
     if has_edges:
         asked_runs = edges.select("run", "side").distinct()
@@ -170,7 +206,7 @@ def candidates(
     for w in wanted[1:]:
         needed = needed.union(w)
     needed = broadcast_if_small(needed.distinct())
-    found = cut_lineage(postings.join(needed, "term", "left_semi"), "postings")  # of the asked terms only
+    found = cut_lineage(every.join(needed, "term", "left_semi"), "postings")  # of the asked terms only
     freq = found.groupBy("term").agg(F.count("*").alias("df"))
 
     # A needle with a word the corpus lacks cannot occur: df 0 drops it in the join below.

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
-from textloom.operators.containment import all_runs, candidates, edge_runs, inner_words, run_pairs
+from textloom.operators.containment import all_pairs, all_runs, candidates, edge_runs, inner_pairs, inner_words, lead_pair, run_pairs
 from textloom.operators.skew import heavy_keys, keep_ids, salted_join
 from textloom.session import cut_lineage
 
@@ -127,7 +127,7 @@ def prepare_quotes(quotes: DataFrame, passage: str) -> DataFrame:
 
 
 def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
-    """Normal forms and distinct runs of every chunk; worth storing where many quote tables meet one corpus."""
+    """Normal forms, distinct runs and word pairs of every chunk; worth storing where many quote tables meet one corpus."""
     forms = corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn(
         "c_loose", tx.loose_form(F.col("c_strict"))
     )
@@ -135,7 +135,9 @@ def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
 
 
 def _with_terms(forms: DataFrame) -> DataFrame:
-    return forms.withColumn("c_terms", F.array_union(all_runs(F.col("c_strict")), F.split("c_loose", " ")))
+    words = F.array_union(all_runs(F.col("c_strict")), F.split("c_loose", " "))
+    pairs = F.array_union(all_pairs(F.col("c_strict")), all_pairs(F.col("c_loose")))
+    return forms.withColumn("c_words", words).withColumn("c_pairs", pairs)
 
 
 def stored_forms(corpus: DataFrame, chunk_id: str, text: str) -> DataFrame:
@@ -169,35 +171,58 @@ def check_cited(quotes: DataFrame, corpus: DataFrame, cited: str, chunk_id: str)
     )
 
 
-def _corpus_candidates(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
-    """Quote and chunk pairs that any corpus-wide test could accept."""
-    owner = F.col(quote_id).alias("owner")
+# Pairs of words that a needle is looked up by at most; the longest ones, of which the rarest is joined.
+ANCHOR_PAIRS = 3
+
+
+def _needle_candidates(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
+    """Owner and chunk pairs that a test of segments or windows could accept."""
     groups = F.concat(
         F.array(F.col("s_strict"), F.col("s_loose")),
         F.transform(windows(F.col("q_strict"), 50, True, 0.5), lambda w: F.array(w)),
     )
-    needles = quotes.select(owner, F.posexplode(groups).alias("needle", "segs")).filter(F.size("segs") > 0)
-    needles = cut_lineage(
-        needles.withColumn("w", F.array_distinct(F.flatten(F.transform("segs", inner_words)))), "needles"
+    needles = quotes.select("owner", F.posexplode(groups).alias("needle", "segs")).filter(F.size("segs") > 0)
+    by_length = F.sort_array(
+        F.transform(
+            F.array_distinct(F.flatten(F.transform("segs", inner_pairs))), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
+        ), False,
+    )
+    needles = needles.withColumn("pairs", F.transform(F.slice(by_length, 1, ANCHOR_PAIRS), lambda x: x["p"]))
+    words = F.array_distinct(F.flatten(F.transform("segs", inner_words)))
+    needles = needles.withColumn("w", F.when(F.size("pairs") > 0, F.col("pairs")).otherwise(words))
+    # Without a complete pair: the first word and what follows it. The needle may be no more than that.
+    first = F.try_element_at(F.filter(F.transform("segs", lead_pair), lambda p: p.isNotNull()), F.lit(1))
+    needles = needles.withColumn("p", F.when(F.size("pairs") == 0, first)).withColumn(
+        "sole", (F.size("segs") == 1) & run_pairs(F.col("segs")[0]).isNotNull()
     )
-    anchors = needles.filter(F.size("w") > 0).select("owner", "needle", F.explode("w").alias("term"))
+    needles = cut_lineage(needles, "needles")
+    paired = F.col("p").isNotNull()
+    anchors = needles.filter((F.size("w") > 0) & ~paired).select("owner", "needle", F.explode("w").alias("term"))
     sides = F.flatten(F.transform("segs", edge_runs))
-    edges = needles.filter(F.size("w") == 0).select("owner", "needle", F.inline(sides))
-    # Coverage of .90 leaves at most a tenth of the words out, so one of the n/10 + 1 rarest is in.
-    n = F.size("q_words")
-    either = quotes.filter(n >= MIN_CONTENT_WORDS).select(
-        owner, F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep")
+    edges = needles.filter((F.size("w") == 0) & ~paired).select("owner", "needle", F.inline(sides)).unionByName(
+        needles.filter(paired).select("owner", "needle", F.col("p.a").alias("run"), F.lit("end").alias("side"))
     )
     # A needle that is one run of letters stands in every chunk with a word that holds it.
     alone = needles.filter((F.size("segs") == 1) & F.regexp_like(F.col("segs")[0], F.lit(f"^{tx.WORD_RUN}$")))
     certain = alone.select("owner", "needle", F.inline(F.flatten(F.transform("segs", edge_runs))))
-    # The first pair of a word and what follows it; the second needle of a quote is the loose one.
-    pair = F.try_element_at(F.filter(F.transform("segs", run_pairs), lambda p: p.isNotNull()), F.lit(1))
-    two = needles.filter(F.size("w") == 0).select(
-        "owner", "needle", F.when(F.col("needle") == 1, 1).otherwise(0).alias("form"), (F.size("segs") == 1).alias("sole"), pair.alias("p")
-    ).filter("p is not null").select("owner", "needle", "form", "sole", "p.*")
+    # The second needle of a quote is the loose one.
+    two = needles.filter(paired).select(
+        "owner", "needle", F.when(F.col("needle") == 1, 1).otherwise(0).alias("form"), "sole", "p.*"
+    )
     bodies = [F.col("c_strict"), F.col("c_loose")]
-    return candidates(anchors, edges, corpus, chunk_id, F.col("c_terms"), either, certain, two, bodies)
+    return candidates(anchors, edges, corpus, chunk_id, F.col("c_words"), None, certain, two, bodies, F.col("c_pairs"))
+
+
+def _covering_candidates(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
+    """Owner and chunk pairs that the test of coverage could accept."""
+    # Coverage of .90 leaves at most a tenth of the words out, so one of the n/10 + 1 rarest is in.
+    n = F.size("q_words")
+    either = quotes.filter(n >= MIN_CONTENT_WORDS).select(
+        "owner", F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep")
+    )
+    none = either.filter(F.lit(False)).select("owner", F.lit(0).alias("needle"), "term")
+    edges = none.select("owner", "needle", F.col("term").alias("run"), F.lit("").alias("side"))
+    return candidates(none, edges, corpus, chunk_id, F.col("c_words"), either)
 
 
 def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
@@ -207,43 +232,40 @@ def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id:
     highest coverage of at least .90, the first on ties. Quotes with the same normal forms are searched once.
     """
     forms = ["q_strict", "s_strict", "s_loose", "q_words"]
-    named = quotes.select(quote_id, F.sha2(F.to_json(F.struct(*forms)), 256).alias("owner"), *forms)
-    distinct = cut_lineage(named.select("owner", *forms).distinct(), "distinct-quotes")
-    found = _search(distinct, corpus, chunk_id)
-    load = named.groupBy("owner").agg(F.count("*").alias("n"))
-    return salted_join(named.select(quote_id, "owner"), found, "owner", heavy_keys(load, "owner", "n"), F.col(quote_id)).drop("owner")
+    named = quotes.select(quote_id, F.sha2(F.to_json(F.struct(*forms)), 256).alias("form"), *forms)
+    # Short numbers stand for the quotes, as there are many pairs of a quote and a chunk.
+    distinct = named.select("form", *forms).distinct().withColumn("owner", F.monotonically_increasing_id())
+    distinct = cut_lineage(distinct, "distinct-quotes")
+    found = _search(distinct, corpus, chunk_id).join(distinct.select("owner", "form"), "owner").drop("owner")
+    load = named.groupBy("form").agg(F.count("*").alias("n"))
+    return salted_join(named.select(quote_id, "form"), found, "form", heavy_keys(load, "form", "n"), F.col(quote_id)).drop("form")
 
 
 def _search(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
-    pairs = cut_lineage(_corpus_candidates(quotes, "owner", corpus, chunk_id), "candidates")
-    near = keep_ids(corpus, chunk_id, pairs)
-    left = quotes.select(
-        "owner", "s_strict", "s_loose", "q_words",
-        windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"),
-    )
-    tested = (
-        pairs.join(left, "owner")
-        .join(near.select(chunk_id, "c_strict", "c_loose"), chunk_id)
-        .withColumn(
-            "method",
-            F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")
-            .when(in_order(F.col("c_loose"), F.col("s_loose")), "loose_segments")
-            .when(any_window(F.col("cuts"), F.col("c_strict")), "sliding_window"),
-        )
-        .withColumn("cover", coverage(F.col("q_words"), content_words(F.col("c_loose"))))
+    """The words of a quote are looked up and compared only where no chunk holds its segments or windows."""
+    pairs = cut_lineage(_needle_candidates(quotes, corpus, chunk_id), "needle-candidates")
+    near = keep_ids(corpus, chunk_id, pairs).select(chunk_id, "c_strict", "c_loose")
+    left = quotes.select("owner", "s_strict", "s_loose", windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"))
+    tested = pairs.join(left, "owner").join(near, chunk_id).withColumn(
+        "method",
+        F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")
+        .when(in_order(F.col("c_loose"), F.col("s_loose")), "loose_segments")
+        .when(any_window(F.col("cuts"), F.col("c_strict")), "sliding_window"),
     )
     hit = F.struct(F.col(chunk_id).alias("match_id"), "method")
+    hits = tested.filter("method is not null").groupBy("owner").agg(F.min(hit).alias("hit"))
+    hits = cut_lineage(hits.select("owner", "hit.match_id", "hit.method"), "segment-hits")
+    rest = quotes.join(hits.select("owner"), "owner", "left_anti").select("owner", "q_words")
+    pairs = cut_lineage(_covering_candidates(rest, corpus, chunk_id), "covering-candidates")
+    words = content_words(F.col("c_loose")).alias("words")
+    near = keep_ids(corpus, chunk_id, pairs).select(chunk_id, words)
+    covered = pairs.join(rest, "owner").join(near, chunk_id).withColumn("cover", coverage(F.col("q_words"), F.col("words")))
     best = F.struct(F.col("cover"), (-F.col(chunk_id)).alias("neg_id"))
-    found = tested.groupBy("owner").agg(
-        F.min(F.when(F.col("method").isNotNull(), hit)).alias("hit"), F.max(best).alias("best")
+    best = covered.filter(F.col("cover") >= APPROXIMATE_ELSEWHERE).groupBy("owner").agg(F.max(best).alias("best"))
+    by_words = best.select(
+        "owner", (-F.col("best.neg_id")).alias("match_id"), F.lit("token_coverage").alias("method"), F.col("best.cover").alias("score")
     )
-    near = F.col("best.cover") >= APPROXIMATE_ELSEWHERE
-    return found.select(
-        "owner",
-        F.coalesce("hit.match_id", F.when(near, -F.col("best.neg_id"))).alias("match_id"),
-        F.coalesce("hit.method", F.when(near, "token_coverage")).alias("method"),
-        F.when(F.col("hit").isNull() & near, F.col("best.cover")).alias("score"),
-    ).filter("match_id is not null")
+    return hits.withColumn("score", F.lit(None).cast("double")).unionByName(by_words)
 
 
 def verify_quotes(
