@@ -1,18 +1,24 @@
 """BLEU and ROUGE for a table of pairs ``pair_id, candidate, reference``.
 
-N-grams of both sides are exploded with a side tag and counted in one aggregation on
-(pair, n, n-gram), so a long text spreads over many keys and nothing is joined.
+N-grams are counted where the pair lies, as numbers of tokens, and only the counts leave the task. Where an id
+names several pairs, their n-grams are exploded with a side tag and counted together by (id, n, n-gram).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
+from textloom.functions.arrow import slices, split_blanks
 from textloom.functions.stem import porter_stems
+from textloom.operators.skew import broadcast_if_small
 from textloom.session import cut_lineage
 
 
@@ -62,8 +68,55 @@ def english_stems(pairs: DataFrame) -> DataFrame:
     return porter_stems(pairs.select(F.explode(both).alias("token")).filter(F.length("token") > 3))
 
 
-def gram_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> DataFrame:
-    """``pair_id, n, clipped, n_candidate, n_reference`` per pair and order with any n-gram."""
+def _counted(part: pa.RecordBatch, orders: tuple[int, ...]) -> Iterator[tuple[np.ndarray, int, list[np.ndarray]]]:
+    """Rows with an n-gram, the order, and ``clipped, n_candidate, n_reference`` of these rows."""
+    (mine, a), (other, b) = split_blanks(part.column("candidate")), split_blanks(part.column("reference"))
+    words = pa.concat_arrays([a, b]).dictionary_encode()
+    ids, n_words = words.indices.to_numpy().astype(np.int64), max(len(words.dictionary), 1)
+    rows = len(mine)
+    sizes = np.concatenate([mine, other])
+    side = np.repeat(np.arange(2 * rows), sizes)
+    left = np.cumsum(sizes)[side] - np.arange(len(ids))  # tokens from here to the end of the text
+    row, reference = side % max(rows, 1), side >= rows
+    grams = row  # the number of the n-gram of one order less that begins at each token, within its row
+    for n in range(1, max(orders) + 1):
+        at = np.flatnonzero(left >= n)
+        found, number = np.unique(grams[at] * n_words + ids[at + n - 1], return_inverse=True)
+        if n in orders:
+            c = np.bincount(number[~reference[at]], minlength=len(found))
+            r = np.bincount(number[reference[at]], minlength=len(found))
+            owner = np.zeros(len(found), np.int64)
+            owner[number] = row[at]
+            clipped = np.bincount(owner, np.minimum(c, r), minlength=rows).astype(np.int64)
+            totals = [np.maximum(x - n + 1, 0) for x in (mine, other)]
+            some = np.flatnonzero(totals[0] + totals[1])
+            yield some, n, [x[some] for x in (clipped, *totals)]
+        grams = np.zeros(len(ids), np.int64)
+        grams[at] = number
+
+
+def _single_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> DataFrame:
+    """``gram_overlap`` of pairs whose ids differ."""
+    tokens = TOKENIZERS[tokenizer]
+    kind = pairs.schema["pair_id"].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "candidate", "reference"):
+            for rows, n, counts in _counted(part, orders):
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("pair_id").take(pa.array(rows)), pa.array(np.full(len(rows), n, np.int32)), *map(pa.array, counts)],
+                    ["pair_id", "n", "clipped", "n_candidate", "n_reference"],
+                )
+
+    # No token holds a blank.
+    sides = [F.coalesce(F.array_join(tokens(F.col(c)), " "), F.lit("")).alias(c) for c in ("candidate", "reference")]
+    return pairs.select("pair_id", *sides).mapInArrow(
+        run, f"pair_id {kind}, n int, clipped bigint, n_candidate bigint, n_reference bigint"
+    )
+
+
+def _joint_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> DataFrame:
+    """``gram_overlap`` of pairs that share ids: their n-grams count together."""
     tokens = TOKENIZERS[tokenizer]
 
     def tagged(col: str, mine: int) -> DataFrame:
@@ -81,6 +134,18 @@ def gram_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> D
     )
 
 
+def gram_overlap(pairs: DataFrame, orders: tuple[int, ...], tokenizer: str) -> DataFrame:
+    """``pair_id, n, clipped, n_candidate, n_reference`` per pair and order with any n-gram."""
+    pairs = pairs.filter("pair_id is not null")
+    repeated = cut_lineage(pairs.groupBy("pair_id").agg(F.count("*").alias("n")).filter("n > 1").select("pair_id"), "repeated-pairs")
+    if repeated.isEmpty():
+        return _single_overlap(pairs, orders, tokenizer)
+    several = broadcast_if_small(repeated)
+    return _single_overlap(pairs.join(several, "pair_id", "left_anti"), orders, tokenizer).unionByName(
+        _joint_overlap(pairs.join(several, "pair_id", "left_semi"), orders, tokenizer)
+    )
+
+
 def bleu(pairs: DataFrame, smoothing: bool = False, tokenizer: str = "space") -> DataFrame:
     """``pair_id, bleu``: geometric mean of clipped 1-4-gram precisions with brevity penalty.
 
