@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tests.oracle import sf_dir
 from textloom import schemas
 from textloom.operators import (
-    containment, curate, enrich, evals, fusion, irmetrics, keyword, numbering, prep, quotes, skew, termstats, vector,
+    containment, curate, enrich, evals, fusion, irmetrics, keyword, numbering, overlap, prep, quotes, skew, termstats, vector,
 )
 from textloom.plans import source_queries
 from textloom.plans.catalog import QUERIES as CATALOG
@@ -211,6 +211,43 @@ def test_shuffled_keyword_path_equals_broadcast_path(spark, small, monkeypatch):
     assert sorted(map(tuple, keyword.keyword_scores(corpus, weights).collect())) == usual
 
 
+def test_scores_of_blocks_equal_plain_sums(spark, monkeypatch):
+    # Repeated and null chunks and sources, repeated keywords, a word in two spellings, a word without a text.
+    bodies = [(1, "s1", "war and war peace"), (1, "s1", "War"), (None, "s1", "peace peace"), (2, None, "größe war"), (3, "s1", "none"), (4, "s2", None)]
+    corpus = spark.createDataFrame([(c, s, t, None, None) for c, s, t in bodies], "chunk_id long, source string, full_text string, summary string, keywords array<string>")
+    asked = [("a", "war", 2.0), ("a", "War", 1.0), ("b", "peace", 3.0), ("b", "größe", 0.5), (None, "war", 1.0), ("c", "absent", 1.0), ("c", "war", 0.0)]
+    weights = spark.createDataFrame([(q, k, k.lower(), 1.0, w) for q, k, w in asked], "query_id string, keyword string, key string, user_weight double, weight double")
+    for size in (1, keyword.BLOCK_MATCHES):
+        monkeypatch.setattr(keyword, "BLOCK_MATCHES", size)
+        got = {(r.query_id, r.chunk_id, r.source): r.score for r in keyword.keyword_scores(corpus, weights).collect()}
+        assert got == {("a", 1, "s1"): 9.0, ("a", 2, None): 3.0, ("b", 1, "s1"): 3.0, ("b", None, "s1"): 6.0, ("b", 2, None): 0.5, (None, 1, "s1"): 3.0, (None, 2, None): 1.0}
+        strict = {(r.query_id, r.chunk_id): r.score for r in keyword.keyword_scores(corpus, weights, strict=True).collect()}
+        assert strict == {("a", 1): 27.0, ("a", 2): 3.0, ("b", 1): 3.0, ("b", None): 12.0, ("b", 2): 0.5, (None, 1): 9.0, (None, 2): 1.0}
+    labels = {(r.source, r.label) for r in keyword.keyword_scores(corpus, weights, labelled=True).collect()}
+    assert labels == {("s1", "s1"), (None, "")}
+
+
+def test_words_are_counted_in_their_task(spark):
+    docs = spark.createDataFrame([("a b a",), ("A--ä b",), ("a b a",), ("",), (" ?",), (None,)], "t string").repartition(3)
+    table = termstats.term_table(docs, F.col("t"))
+    assert sorted(map(tuple, table.collect())) == [("a", 5, 3), ("b", 3, 3), ("ä", 1, 1)]
+    assert "Generate" not in table._jdf.queryExecution().executedPlan().toString()
+
+
+def test_ngrams_stay_in_their_task(spark):
+    rows = [("1", "a b a b c", "a b c a b"), ("2", "", "x"), ("3", None, None), ("4", "a\u00a0b", "a b"), ("5", "x y z w v", "x y z w"), (None, "a b", "a b")]
+    pairs = spark.createDataFrame(rows, "pair_id string, candidate string, reference string")
+    got = overlap.gram_overlap(pairs, (1, 2, 4), "space")
+    assert "Generate" not in got._jdf.queryExecution().executedPlan().toString()
+    named = pairs.filter("pair_id is not null")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, overlap._joint_overlap(named, (1, 2, 4), "space").collect()))
+    # Pairs with one id count together, as before.
+    twice = pairs.unionByName(spark.createDataFrame([("1", "c c", "c d")], pairs.schema))
+    both = overlap.gram_overlap(twice, (1, 2), "words").collect()
+    assert sorted(map(tuple, both)) == sorted(map(tuple, overlap._joint_overlap(twice.filter("pair_id is not null"), (1, 2), "words").collect()))
+    assert {r.pair_id: r.bleu for r in overlap.bleu(twice).collect()}[None] == 0.0 and overlap.bleu(twice).count() == 7
+
+
 def test_quotes_of_common_words_meet_few_texts(spark, monkeypatch):
     filler = " ".join(f"word{k}" for k in range(12))
     texts = [(i, f"{filler}. The {i} of a day. It is x{i} in the end, and so on.") for i in range(40)]

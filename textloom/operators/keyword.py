@@ -8,14 +8,18 @@ full_text, summary, keywords array<string>``.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
+from textloom.functions.arrow import slices, split_blanks
 from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join, table_bytes, top_n
 from textloom.session import BROADCAST_LIMIT, cut_lineage
 
@@ -98,9 +102,30 @@ def _is_direct(key: Column) -> Column:
     return key.rlike(f"^{tx.WORD_RUN}$") | tx.let(_any_runs(key), two)
 
 
+def _word_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
+    """``chunk_id, source, key, n`` of words, counted where the text lies. A table of keys that fits a broadcast."""
+    names = pa.array([r["key"] for r in keys.collect()], pa.string())
+    kinds = ", ".join(f"{c} {chunks.schema[c].dataType.simpleString()}" for c in ("chunk_id", "source"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "body"):
+            sizes, words = split_blanks(part.column("body"))
+            at = pc.index_in(words, value_set=names).fill_null(-1).to_numpy()
+            cells = np.repeat(np.arange(len(sizes)), sizes) * len(names) + at
+            cells, n = np.unique(cells[at >= 0], return_counts=True)
+            row, key = np.divmod(cells, max(len(names), 1))
+            found = [part.column(c).take(pa.array(row)) for c in ("chunk_id", "source")]
+            yield pa.RecordBatch.from_arrays([*found, names.take(pa.array(key)), pa.array(n)], ["chunk_id", "source", "key", "n"])
+
+    spaced = F.btrim(F.regexp_replace(F.lower("body"), rf"[^{tx.WORD_CHAR}]+", " "))
+    return chunks.select("chunk_id", "source", spaced.alias("body")).mapInArrow(run, f"{kinds}, key string, n bigint")
+
+
 def _direct_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     """``chunk_id, source, key, n`` of words and word pairs. What nobody asks for leaves before the shuffle."""
     one_word = F.col("key").rlike(f"^{tx.WORD_RUN}$")
+    if keys.filter(~one_word).isEmpty() and table_bytes(keys) <= BROADCAST_LIMIT:
+        return _word_counts(chunks, keys)
     asked = broadcast_if_small(keys)
     parts = tx.word_runs(F.col("body"))
     if not keys.filter(~one_word).isEmpty():
@@ -140,15 +165,73 @@ def _phrase_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
     return counted.filter("n > 0").groupBy("chunk_id", "source", "key").agg(F.sum("n").alias("n"))
 
 
-# Matches of a keyword in a chunk that one task takes at most on average, which bounds its memory.
-TASK_MATCHES = 2 * 1024 * 1024
+# Counts of a keyword in a chunk that one task takes on average, and matches with a query that it holds at a time.
+TASK_COUNTS = 256 * 1024
+BLOCK_MATCHES = 2 * 1024 * 1024
+
 
+def _scored(counts: DataFrame, kw: DataFrame, strict: bool) -> DataFrame:
+    """``chunk_id, source, found array<query_id, score>``: sums of ``n * weight``, or with ``strict`` ``n * n * weight``.
 
-def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False) -> DataFrame:
+    All counts of a chunk lie in one partition.
+    """
+    asked = kw.select("query_id", "key", "weight").toArrow().combine_chunks()
+    asked = asked.sort_by("key")
+    queries = asked.column("query_id").combine_chunks().dictionary_encode(null_encoding="encode")
+    keys = asked.column("key").combine_chunks().dictionary_encode()  # sorted, so numbered in the order of the rows
+    names, ids = keys.dictionary, queries.dictionary
+    first = np.searchsorted(keys.indices.to_numpy(), np.arange(len(names) + 1))
+    query, weight = queries.indices.to_numpy().astype(np.int64), asked.column("weight").to_numpy()
+    kinds = {c: counts.schema[c].dataType.simpleString() for c in ("chunk_id", "source")}
+    kinds["found"] = f"array<struct<query_id:{kw.schema['query_id'].dataType.simpleString()},score:double>>"
+    n_keys, n_queries = max(len(names), 1), max(len(ids), 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [b for b in batches if b.num_rows]
+        if not parts:
+            return
+        table = pa.Table.from_batches(parts)
+        chunk, source = (table.column(c).combine_chunks().dictionary_encode(null_encoding="encode") for c in ("chunk_id", "source"))
+        n_sources = len(source.dictionary)
+        chunks, row = np.unique(chunk.indices.to_numpy().astype(np.int64) * n_sources + source.indices.to_numpy(), return_inverse=True)
+        key = pc.index_in(table.column("key").combine_chunks(), value_set=names).fill_null(-1).to_numpy()
+        known = key >= 0
+        cells, at = np.unique(row[known] * n_keys + key[known], return_inverse=True)
+        n = np.bincount(at, table.column("n").to_numpy()[known], minlength=len(cells))
+        n = n * n if strict else n
+        row, key = np.divmod(cells, n_keys)
+        each = first[key + 1] - first[key]
+        before = np.concatenate([[0], np.cumsum(each)])  # matches before each count
+        starts = np.searchsorted(row, np.arange(len(chunks) + 1))
+        a = 0
+        while a < len(chunks):
+            b = int(np.searchsorted(before[starts], before[starts[a]] + BLOCK_MATCHES, "right")) - 1
+            b = min(max(a + 1, min(b, a + BLOCK_MATCHES // n_queries)), len(chunks))
+            x, y = starts[a], starts[b]
+            match = np.repeat(np.arange(x, y), each[x:y])
+            place = np.arange(before[x], before[y]) - before[match] + first[key[match]]
+            sums = np.bincount((row[match] - a) * n_queries + query[place], n[match] * weight[place], minlength=(b - a) * n_queries)
+            hit = np.flatnonzero(sums)
+            ends = np.searchsorted(hit, np.arange(b - a + 1) * n_queries)
+            found = pa.StructArray.from_arrays([ids.take(pa.array(hit % n_queries)), pa.array(sums[hit])], ["query_id", "score"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    chunk.dictionary.take(pa.array(chunks[a:b] // n_sources)), source.dictionary.take(pa.array(chunks[a:b] % n_sources)),
+                    pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), found),
+                ],
+                ["chunk_id", "source", "found"],
+            )
+            a = b
+
+    return counts.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
+
+
+def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False, labelled: bool = False) -> DataFrame:
     """``query_id, chunk_id, source, score`` for every query and chunk with a positive score.
 
     score = sum of count * weight; with ``strict`` each occurrence adds the whole count, which
-    makes it the sum of count * count * weight.
+    makes it the sum of count * count * weight. ``labelled`` adds the ``label`` of the source that the
+    constraints look at, which is found once per chunk and not for each of its queries.
 
     The counts of a chunk meet the weights of all queries in one task, and are summed there: nothing of the
     size of queries times chunks is shuffled.
@@ -163,17 +246,20 @@ def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False)
     if not others.isEmpty():
         counts = counts.unionByName(_phrase_counts(chunks, others))
     counts = cut_lineage(counts, "keyword-counts")
-    load = counts.groupBy("key").agg(F.count("*").alias("df"))
     if table_bytes(kw) <= BROADCAST_LIMIT:
-        asked = kw.groupBy("key").agg(F.count("*").alias("queries"))
-        total = load.join(asked, "key").agg(F.sum(F.col("df") * F.col("queries"))).first()[0] or 0
-        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, total // TASK_MATCHES + 1)
-        matches = counts.repartition(parts, "chunk_id", "source").join(F.broadcast(kw), "key")
-    else:
-        matches = salted_join(counts, kw, "key", heavy_keys(load, "key", "df"), F.col("chunk_id"))
+        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, counts.count() // TASK_COUNTS + 1)
+        squared = kw.withColumn("weight", F.col("weight") * F.col("copies") * F.col("copies")) if strict else kw
+        by_chunk = _scored(counts.repartition(parts, "chunk_id", "source"), squared, strict)
+        label = [tx.source_key(F.col("source")).alias("label")] if labelled else []
+        rows = by_chunk.select("chunk_id", "source", *label, "found").select("*", F.inline("found"))
+        return rows.select("query_id", "chunk_id", "source", "score", *(["label"] if labelled else []))
+    counts = counts.groupBy("chunk_id", "source", "key").agg(F.sum("n").alias("n"))
+    load = counts.groupBy("key").agg(F.count("*").alias("df"))
+    matches = salted_join(counts, kw, "key", heavy_keys(load, "key", "df"), F.col("chunk_id"))
     if strict:
         matches = matches.withColumn("n", (F.col("n") * F.col("copies")) * (F.col("n") * F.col("copies")))
-    return matches.groupBy("query_id", "chunk_id", "source").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    scores = matches.groupBy("query_id", "chunk_id", "source").agg(F.sum(F.col("n") * F.col("weight")).alias("score"))
+    return scores.withColumn("label", tx.source_key(F.col("source"))) if labelled else scores
 
 
 def _constraints(plans: DataFrame) -> DataFrame:
@@ -192,7 +278,7 @@ def constrained(scores: DataFrame, plans: DataFrame, boost: str = "multiply") ->
     """Apply the year and source constraints; an empty constraint counts as met.
 
     ``multiply`` and ``add`` raise the score and set the priority ``bucket``; ``strict`` drops
-    what does not match.
+    what does not match. A column ``label`` (``keyword_scores(labelled=True)``) is taken as the source's key.
     """
     wanted = broadcast_if_small(_constraints(plans))
     joined = scores.join(wanted, "query_id")
@@ -204,8 +290,8 @@ def constrained(scores: DataFrame, plans: DataFrame, boost: str = "multiply") ->
             "texts", lambda t: F.regexp_like(label, tx.whole_word_pattern(F.lower(t)))
         )
         kept = joined.filter(year & text)
-        return kept.withColumn("bucket", F.lit(0)).drop("years", "texts", "labels", "_label")
-    joined = joined.withColumn("_label", tx.source_key(F.col("source")))
+        return kept.withColumn("bucket", F.lit(0)).drop("years", "texts", "labels", "label", "_label")
+    joined = joined.withColumn("_label", F.col("label") if "label" in scores.columns else tx.source_key(F.col("source")))
     year = (F.size("years") == 0) | F.exists("years", lambda y: F.contains(label, y))
     text = (F.size("labels") == 0) | F.exists("labels", lambda t: F.contains(label, t))
     by_year, by_text = BOOSTS[boost]
@@ -215,7 +301,7 @@ def constrained(scores: DataFrame, plans: DataFrame, boost: str = "multiply") ->
     else:
         score = score + F.when(year, by_year).otherwise(0.0) + F.when(text, by_text).otherwise(0.0)
     bucket = F.when(year & text, 0).when(year, 1).otherwise(2)
-    return joined.withColumn("score", score).withColumn("bucket", bucket).drop("years", "texts", "labels", "_label")
+    return joined.withColumn("score", score).withColumn("bucket", bucket).drop("years", "texts", "labels", "label", "_label")
 
 
 def ranked_hits(scored: DataFrame, n: int = 5) -> DataFrame:
@@ -310,7 +396,7 @@ def keyword_search(corpus: DataFrame, terms: DataFrame, plans: DataFrame, n: int
     keyword) or ``strict`` (constraints filter, counts squared).
     """
     weights = keyword_weights(plans, terms, "min" if boost == "multiply" else "one")
-    scores = keyword_scores(corpus, weights, strict=boost == "strict")
+    scores = keyword_scores(corpus, weights, strict=boost == "strict", labelled=boost != "strict")
     hits = ranked_hits(constrained(scores, plans, boost), n)
     return with_snippets(hits, corpus, weights, boost)
 

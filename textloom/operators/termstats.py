@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
+from textloom.functions.arrow import slices, split_blanks
 from textloom.operators.skew import heavy_keys, top_n
 
 # Words that are never useful as corpus keywords.
@@ -19,23 +24,29 @@ between under through
 """.split()
 
 
+# Text whose words are counted at a time.
+TASK_BYTES = 16 * 1024 * 1024
+
+
 def term_table(docs: DataFrame, text: Column) -> DataFrame:
     """``term, raw_freq, doc_freq`` of a corpus.
 
-    Every occurrence and every first occurrence per document is one exploded mark, so both
-    counts come from one aggregation with map-side combining and no (document, term) shuffle.
+    The words of some megabytes of text are counted where they lie, and only these counts are
+    exchanged, so there is no (document, term) shuffle.
     """
-    one, none = F.lit(1).cast("long"), F.lit(0).cast("long")
-    words = docs.select(tx.word_runs(text).alias("w"))
-    marks = F.concat(
-        F.transform("w", lambda t: F.struct(t.alias("term"), one.alias("raw"), none.alias("doc"))),
-        F.transform(F.array_distinct("w"), lambda t: F.struct(t.alias("term"), none.alias("raw"), one.alias("doc"))),
-    )
-    return (
-        words.select(F.explode(marks).alias("m"))
-        .groupBy(F.col("m.term").alias("term"))
-        .agg(F.sum("m.raw").alias("raw_freq"), F.sum("m.doc").alias("doc_freq"))
-    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "words", limit=TASK_BYTES):
+            sizes, words = split_blanks(part.column("words"))
+            coded = words.dictionary_encode()
+            terms, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+            cells = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(terms), 1) + ids)
+            counts = [np.bincount(x, minlength=len(terms)) for x in (ids, cells % max(len(terms), 1))]
+            yield pa.RecordBatch.from_arrays([terms, *map(pa.array, counts)], ["term", "raw", "doc"])
+
+    spaced = F.btrim(F.regexp_replace(F.lower(text), rf"[^{tx.WORD_CHAR}]+", " "))
+    counted = docs.select(F.coalesce(spaced, F.lit("")).alias("words")).mapInArrow(run, "term string, raw bigint, doc bigint")
+    return counted.groupBy("term").agg(F.sum("raw").alias("raw_freq"), F.sum("doc").alias("doc_freq"))
 
 
 def relative_frequency(terms: DataFrame) -> DataFrame:

@@ -115,7 +115,7 @@ def r2_phrases(spark, d):
 SELECT query_id, chunk_id, CAST(bucket AS BIGINT) AS bucket, round(score + 1e-9, 6) AS score FROM lifted""")
 def r3(spark, d):
     p = plans(spark, d)
-    scores = keyword.keyword_scores(corpus(spark, d), keyword.keyword_weights(p, terms(spark, d)))
+    scores = keyword.keyword_scores(corpus(spark, d), keyword.keyword_weights(p, terms(spark, d)), labelled=True)
     out = keyword.constrained(scores, p)
     return out.select("query_id", "chunk_id", F.col("bucket").cast("long").alias("bucket"), r6("score").alias("score"))
 
@@ -123,7 +123,7 @@ def r3(spark, d):
 def hits(spark: SparkSession, d: str, n: int = 5, weights: DataFrame | None = None) -> DataFrame:
     p = plans(spark, d)
     w = keyword.keyword_weights(p, terms(spark, d)) if weights is None else weights
-    scores = keyword.keyword_scores(corpus(spark, d), w)
+    scores = keyword.keyword_scores(corpus(spark, d), w, labelled=True)
     # A few rows per query, read several times by the metrics: stored once.
     return cut_lineage(keyword.ranked_hits(keyword.constrained(scores, p), n), "ranked-hits")
 
