@@ -166,7 +166,7 @@ def _phrase_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
 
 
 # Counts of a keyword in a chunk that one task takes on average, and matches with a query that it holds at a time.
-TASK_COUNTS = 256 * 1024
+TASK_MATCHES = 256 * 1024
 BLOCK_MATCHES = 2 * 1024 * 1024
 
 
@@ -247,7 +247,7 @@ def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False,
         counts = counts.unionByName(_phrase_counts(chunks, others))
     counts = cut_lineage(counts, "keyword-counts")
     if table_bytes(kw) <= BROADCAST_LIMIT:
-        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, counts.count() // TASK_COUNTS + 1)
+        parts = max(corpus.sparkSession.sparkContext.defaultParallelism, counts.count() // TASK_MATCHES + 1)
         squared = kw.withColumn("weight", F.col("weight") * F.col("copies") * F.col("copies")) if strict else kw
         by_chunk = _scored(counts.repartition(parts, "chunk_id", "source"), squared, strict)
         label = [tx.source_key(F.col("source")).alias("label")] if labelled else []
