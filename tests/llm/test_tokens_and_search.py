@@ -78,6 +78,12 @@ def test_sentencepiece_equals_library():
     assert [own.decode(x) for x in ids] == [t.replace("▁", " ") for t in texts]
 
 
+def test_few_piece_lengths_are_tried_per_character():
+    own = sentencepieces.Pieces(public_tokenizers.path("piece_bpe_32k.model"))
+    assert sum(map(len, own.sizes.values())) / len(own.sizes) < 4
+    assert all({n for n in range(3, 20) if any(len(p) == n and p.endswith(e) for p in own.real)} <= set(own.sizes[e]) for e in ["ing", "▁th", "ion"])
+
+
 def test_sentencepiece_query_and_odd_rows(spark):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)

@@ -13,10 +13,8 @@ piece alone. It depends on the prefix only.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterable, Iterator
 from functools import cache
-from itertools import takewhile
 
 import numpy as np
 import pyarrow as pa
@@ -45,14 +43,17 @@ class Pieces:
             raise ValueError("a piece reaches over a mark or holds a character that is no piece")
         if model.normalize(" a") != MARK + MARK + "a":
             raise ValueError("the model normalises texts")
+        self.coded = {p: i.to_bytes(4, "little") for p, i in self.ids.items()}
+        self.coded_bytes = [i.to_bytes(4, "little") for i in self.byte_ids]
         self.spelled = {i: p.replace(MARK, " ").encode() for p, i in self.ids.items()} | {
             i: bytes([b]) for b, i in enumerate(self.byte_ids)
         }
         self.real = {p for p in self.ids if self.merged(p) == [p]}  # the others no merge arrives at
         ending: dict[str, set[int]] = {}
         for p in self.real:
-            ending.setdefault(p[-1], set()).add(len(p))
-        self.sizes = {c: sorted(n, reverse=True) for c, n in ending.items()}  # of the pieces that end with a character
+            if len(p) > 2:
+                ending.setdefault(p[-3:], {2}).add(len(p))
+        self.sizes = {c: sorted(n, reverse=True) for c, n in ending.items()}  # of the pieces that end with three characters, and 2
         self.apart: dict[tuple[str, str], bool] = {}
         self.words: dict[str, bytes] = {}
         self.last: list[str] = []  # the state after each character of the word at hand
@@ -80,12 +81,16 @@ class Pieces:
 
     def _walk(self, word: str) -> list[str]:
         """Pieces of a word that follows the one before in sorted order."""
-        shared = sum(1 for _ in takewhile(lambda p: p[0] == p[1], zip(word, self.word, strict=False)))
+        shared = 0
+        for a, b in zip(word, self.word, strict=False):
+            if a != b:
+                break
+            shared += 1
         last = self.last[:shared]
         real, known, sizes = self.real, self.apart, self.sizes
         for i in range(shared, len(word)):
             state = word[i]  # a character without a piece stands alone
-            for n in sizes.get(state, ()):
+            for n in sizes.get(word[i - 2 : i + 1], (2,)):
                 if n > i + 1:
                     continue
                 piece = word[i + 1 - n : i + 1]
@@ -108,11 +113,8 @@ class Pieces:
 
     def spell(self, pieces: Iterable[str]) -> bytes:
         """Ids of pieces as little-endian unsigned 32-bit integers."""
-        ids = array("I")
-        for p in pieces:
-            i = self.ids.get(p)
-            ids.extend([i] if i is not None else [self.byte_ids[b] for b in p.encode()])
-        return ids.tobytes()
+        coded = self.coded
+        return b"".join([coded[p] if p in coded else b"".join([self.coded_bytes[b] for b in p.encode()]) for p in pieces])
 
     def learn(self, words: set[str]) -> dict[str, bytes]:
         """Ids of the words that are not known yet."""
