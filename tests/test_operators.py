@@ -5,11 +5,13 @@ import unicodedata
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.oracle import sf_dir
 from textloom import schemas
+from textloom.functions import arrow, text as tx
 from textloom.operators import (
     containment, curate, enrich, evals, fusion, irmetrics, keyword, numbering, overlap, prep, quotes, skew, termstats, vector,
 )
@@ -202,6 +204,37 @@ def test_constraints_buckets_and_metadata_snippet(spark, small):
     assert [h["chunk_id"] for h in strict] == [0]
 
 
+@pytest.mark.parametrize("boost", ["multiply", "add", "strict"])
+def test_scores_of_leaders_give_the_same_hits(spark, boost):
+    """Only scores that can be among the first hits leave their task; constraints, ties and null sources included."""
+    rng = random.Random(3)
+    sources = ["Source: s1 1861", "s2 1862", "s3 1863", None]
+    words = ["war", "peace", "union", "slavery"]
+    rows = [(i % 350, rng.choice(sources), " ".join(rng.choices(words, k=rng.randint(1, 6))), None, None) for i in range(400)]
+    corpus = spark.createDataFrame(rows, "chunk_id long, source string, full_text string, summary string, keywords array<string>")
+    plans = spark.createDataFrame([
+        (1, {"war": 1.0, "peace": 2.0}, [], []), (2, {"union": 1.0, "war": 3.0}, [1861], []),
+        (3, {"slavery": 1.0}, [1862], ["s2"]), (3, {"slavery": 1.0}, [], ["s1 1861"]),
+    ], PLANS)
+    terms = termstats.term_table(corpus, F.col("full_text"))
+    weights = keyword.keyword_weights(plans, terms)
+    scores = [keyword.keyword_scores(corpus, weights, boost == "strict", boost != "strict", best=n) for n in (None, 5)]
+    every, few = (sorted(map(tuple, keyword.ranked_hits(keyword.constrained(s, plans, boost), 5).collect()), key=str) for s in scores)
+    assert every == few and len(every) > 5
+    assert scores[1].count() < scores[0].count()
+
+
+def test_words_are_those_of_the_pattern(spark):
+    texts = ["Ñandú—«größe» x_1, ٣٤ a\u00a0b", "", None, "  ,.", "a\tb\x00c\x1fd\x7fe¿é?", "ИМЯ İstanbul ﬁn 𝔘𝔫 😀ok", "last word"] * 3
+    docs = spark.createDataFrame([(t,) for t in texts], "t string").coalesce(1)
+    runs = docs.select(F.explode(tx.word_runs(F.col("t"))).alias("term"))
+    want = {r.term: r["count"] for r in runs.groupBy("term").count().collect()}
+    assert {r.term: r.raw_freq for r in termstats.term_table(docs, F.col("t")).collect()} == want
+    part = pa.array(["left out", "a, b", "", " c "]).slice(1)
+    sizes, words = arrow.split_words(part)
+    assert sizes.tolist() == [2, 0, 1] and words.to_pylist() == ["a", "b", "c"]
+
+
 def test_shuffled_keyword_path_equals_broadcast_path(spark, small, monkeypatch):
     corpus, terms = small
     plans = spark.createDataFrame([(i, {"union": 1.0, "slavery": 2.0, "--": 1.0}, [], []) for i in range(5)], PLANS)

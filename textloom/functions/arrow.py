@@ -23,9 +23,27 @@ def slices(batches: Iterator[pa.RecordBatch], *texts: str, limit: int = SLICE_BY
             at = stop
 
 
+# Letters, digits and the underscore of ASCII and all bytes of other characters stay; other ASCII characters become blanks.
+_BLANKED = bytes(b if b >= 128 or chr(b).isalnum() or b == ord("_") else ord(" ") for b in range(256))
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Number of words of each text and all words, for texts of ``tx.ascii_gaps``, without nulls."""
+    wide = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    _, offsets, body = texts.buffers()
+    at = np.frombuffer(offsets, wide)[texts.offset:texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, wide)
+    data = bytes(memoryview(body)[at[0]:at[-1]]).translate(_BLANKED) if body is not None else b""
+    blanked = type(texts).from_buffers(len(texts), pa.py_buffer(at - at[0]), pa.py_buffer(data))
+    return _filled(pc.ascii_split_whitespace(blanked))
+
+
 def split_blanks(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """Number of words of each text and all words, for texts of words with one blank between them, without nulls."""
-    words = pc.split_pattern(texts, " ")
+    return _filled(pc.split_pattern(texts, " "))
+
+
+def _filled(words: pa.ListArray) -> tuple[np.ndarray, pa.Array]:
+    """Sizes and values of lists, without empty values."""
     sizes = pc.list_value_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     values = words.flatten()
     filled = pc.binary_length(values).to_numpy(zero_copy_only=False) > 0

@@ -49,6 +49,11 @@ def word_runs(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(c), F.lit(WORD_RUN), F.lit(0))
 
 
+def ascii_gaps(c: Column) -> Column:
+    """Text whose only characters outside of words are ASCII, for ``arrow.split_words``; others become blanks."""
+    return F.regexp_replace(c, rf"[^\x00-\x7F{WORD_CHAR}]+", " ")
+
+
 def split_words(c: Column) -> Column:
     """White-space separated words."""
     return F.filter(F.split(c, f"{SPACE}+"), lambda w: w != "")

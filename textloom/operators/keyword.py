@@ -19,7 +19,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import IntegerType
 
 from textloom.functions import text as tx
-from textloom.functions.arrow import slices, split_blanks
+from textloom.functions.arrow import slices, split_words
 from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join, table_bytes, top_n
 from textloom.session import BROADCAST_LIMIT, cut_lineage
 
@@ -109,16 +109,15 @@ def _word_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "body"):
-            sizes, words = split_blanks(part.column("body"))
+            sizes, words = split_words(part.column("body"))
             at = pc.index_in(words, value_set=names).fill_null(-1).to_numpy()
             cells = np.repeat(np.arange(len(sizes)), sizes) * len(names) + at
-            cells, n = np.unique(cells[at >= 0], return_counts=True)
-            row, key = np.divmod(cells, max(len(names), 1))
+            cells, n = pc.value_counts(pa.array(cells[at >= 0])).flatten()
+            row, key = np.divmod(cells.to_numpy(), max(len(names), 1))
             found = [part.column(c).take(pa.array(row)) for c in ("chunk_id", "source")]
-            yield pa.RecordBatch.from_arrays([*found, names.take(pa.array(key)), pa.array(n)], ["chunk_id", "source", "key", "n"])
+            yield pa.RecordBatch.from_arrays([*found, names.take(pa.array(key)), n], ["chunk_id", "source", "key", "n"])
 
-    spaced = F.btrim(F.regexp_replace(F.lower("body"), rf"[^{tx.WORD_CHAR}]+", " "))
-    return chunks.select("chunk_id", "source", spaced.alias("body")).mapInArrow(run, f"{kinds}, key string, n bigint")
+    return chunks.select("chunk_id", "source", tx.ascii_gaps(F.lower("body")).alias("body")).mapInArrow(run, f"{kinds}, key string, n bigint")
 
 
 def _direct_counts(chunks: DataFrame, keys: DataFrame) -> DataFrame:
@@ -170,10 +169,27 @@ TASK_MATCHES = 256 * 1024
 BLOCK_MATCHES = 2 * 1024 * 1024
 
 
-def _scored(counts: DataFrame, kw: DataFrame, strict: bool) -> DataFrame:
+def _leaders(sums: np.ndarray, source: np.ndarray, best: int) -> np.ndarray:
+    """Marks the positive sums (chunks times queries) that may be among the first ``best`` of their query.
+
+    Chunks of one source meet the same constraints, whose lifts keep the order of scores. Sums equal to the
+    last of the ``best`` stay, also where they differ by less than the digits that are compared.
+    """
+    keep = sums != 0
+    order = np.argsort(source, kind="stable")
+    ends = np.append(np.flatnonzero(np.diff(source[order])) + 1, len(order))
+    for a, b in zip(np.append(0, ends[:-1]), ends, strict=True):
+        if b - a > best:
+            own = sums[order[a:b]]
+            least = np.partition(own, -best, axis=0)[-best]
+            keep[order[a:b]] &= own >= least - 1e-8 - 1e-12 * np.abs(least)
+    return keep
+
+
+def _scored(counts: DataFrame, kw: DataFrame, strict: bool, best: int | None = None) -> DataFrame:
     """``chunk_id, source, found array<query_id, score>``: sums of ``n * weight``, or with ``strict`` ``n * n * weight``.
 
-    All counts of a chunk lie in one partition.
+    All counts of a chunk lie in one partition. With ``best`` only what ``_leaders`` marks.
     """
     asked = kw.select("query_id", "key", "weight").toArrow().combine_chunks()
     asked = asked.sort_by("key")
@@ -211,7 +227,7 @@ def _scored(counts: DataFrame, kw: DataFrame, strict: bool) -> DataFrame:
             match = np.repeat(np.arange(x, y), each[x:y])
             place = np.arange(before[x], before[y]) - before[match] + first[key[match]]
             sums = np.bincount((row[match] - a) * n_queries + query[place], n[match] * weight[place], minlength=(b - a) * n_queries)
-            hit = np.flatnonzero(sums)
+            hit = np.flatnonzero(sums if best is None else _leaders(sums.reshape(b - a, n_queries), chunks[a:b] % n_sources, best))
             ends = np.searchsorted(hit, np.arange(b - a + 1) * n_queries)
             found = pa.StructArray.from_arrays([ids.take(pa.array(hit % n_queries)), pa.array(sums[hit])], ["query_id", "score"])
             yield pa.RecordBatch.from_arrays(
@@ -226,12 +242,15 @@ def _scored(counts: DataFrame, kw: DataFrame, strict: bool) -> DataFrame:
     return counts.mapInArrow(run, ", ".join(f"{c} {t}" for c, t in kinds.items()))
 
 
-def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False, labelled: bool = False) -> DataFrame:
+def keyword_scores(
+    corpus: DataFrame, weights: DataFrame, strict: bool = False, labelled: bool = False, best: int | None = None
+) -> DataFrame:
     """``query_id, chunk_id, source, score`` for every query and chunk with a positive score.
 
     score = sum of count * weight; with ``strict`` each occurrence adds the whole count, which
     makes it the sum of count * count * weight. ``labelled`` adds the ``label`` of the source that the
-    constraints look at, which is found once per chunk and not for each of its queries.
+    constraints look at, which is found once per chunk and not for each of its queries. With ``best``, scores that
+    cannot be among the first ``best`` of a query, whatever its constraints, may be left out (for ``ranked_hits``).
 
     The counts of a chunk meet the weights of all queries in one task, and are summed there: nothing of the
     size of queries times chunks is shuffled.
@@ -249,7 +268,7 @@ def keyword_scores(corpus: DataFrame, weights: DataFrame, strict: bool = False,
     if table_bytes(kw) <= BROADCAST_LIMIT:
         parts = max(corpus.sparkSession.sparkContext.defaultParallelism, counts.count() // TASK_MATCHES + 1)
         squared = kw.withColumn("weight", F.col("weight") * F.col("copies") * F.col("copies")) if strict else kw
-        by_chunk = _scored(counts.repartition(parts, "chunk_id", "source"), squared, strict)
+        by_chunk = _scored(counts.repartition(parts, "chunk_id", "source"), squared, strict, best)
         label = [tx.source_key(F.col("source")).alias("label")] if labelled else []
         rows = by_chunk.select("chunk_id", "source", *label, "found").select("*", F.inline("found"))
         return rows.select("query_id", "chunk_id", "source", "score", *(["label"] if labelled else []))
@@ -396,7 +415,7 @@ def keyword_search(corpus: DataFrame, terms: DataFrame, plans: DataFrame, n: int
     keyword) or ``strict`` (constraints filter, counts squared).
     """
     weights = keyword_weights(plans, terms, "min" if boost == "multiply" else "one")
-    scores = keyword_scores(corpus, weights, strict=boost == "strict", labelled=boost != "strict")
+    scores = keyword_scores(corpus, weights, strict=boost == "strict", labelled=boost != "strict", best=n)
     hits = ranked_hits(constrained(scores, plans, boost), n)
     return with_snippets(hits, corpus, weights, boost)
 

@@ -6,10 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 from textloom.functions import text as tx
-from textloom.functions.arrow import slices, split_blanks
+from textloom.functions.arrow import slices, split_words
 from textloom.operators.skew import heavy_keys, top_n
 
 # Words that are never useful as corpus keywords.
@@ -37,15 +38,14 @@ def term_table(docs: DataFrame, text: Column) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "words", limit=TASK_BYTES):
-            sizes, words = split_blanks(part.column("words"))
+            sizes, words = split_words(part.column("words"))
             coded = words.dictionary_encode()
             terms, ids = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-            cells = np.unique(np.repeat(np.arange(len(sizes)), sizes) * max(len(terms), 1) + ids)
+            cells = pc.unique(pa.array(np.repeat(np.arange(len(sizes)), sizes) * max(len(terms), 1) + ids)).to_numpy()
             counts = [np.bincount(x, minlength=len(terms)) for x in (ids, cells % max(len(terms), 1))]
             yield pa.RecordBatch.from_arrays([terms, *map(pa.array, counts)], ["term", "raw", "doc"])
 
-    spaced = F.btrim(F.regexp_replace(F.lower(text), rf"[^{tx.WORD_CHAR}]+", " "))
-    counted = docs.select(F.coalesce(spaced, F.lit("")).alias("words")).mapInArrow(run, "term string, raw bigint, doc bigint")
+    counted = docs.select(F.coalesce(tx.ascii_gaps(F.lower(text)), F.lit("")).alias("words")).mapInArrow(run, "term string, raw bigint, doc bigint")
     return counted.groupBy("term").agg(F.sum("raw").alias("raw_freq"), F.sum("doc").alias("doc_freq"))
 
 

@@ -123,7 +123,7 @@ def r3(spark, d):
 def hits(spark: SparkSession, d: str, n: int = 5, weights: DataFrame | None = None) -> DataFrame:
     p = plans(spark, d)
     w = keyword.keyword_weights(p, terms(spark, d)) if weights is None else weights
-    scores = keyword.keyword_scores(corpus(spark, d), w, labelled=True)
+    scores = keyword.keyword_scores(corpus(spark, d), w, labelled=True, best=n)
     # A few rows per query, read several times by the metrics: stored once.
     return cut_lineage(keyword.ranked_hits(keyword.constrained(scores, p), n), "ranked-hits")
 
