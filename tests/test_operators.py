@@ -15,7 +15,7 @@ from textloom.functions import arrow, text as tx
 from textloom.operators import (
     containment, curate, enrich, evals, fusion, irmetrics, keyword, numbering, overlap, prep, quotes, skew, termstats, vector,
 )
-from textloom.plans import source_queries
+from textloom.plans import pipeline_queries, source_queries
 from textloom.plans.catalog import QUERIES as CATALOG
 from textloom.sources import files, results
 
@@ -235,6 +235,12 @@ def test_words_are_those_of_the_pattern(spark):
     assert sizes.tolist() == [2, 0, 1] and words.to_pylist() == ["a", "b", "c"]
 
 
+def test_lines_of_documents_are_embedded_once(spark):
+    late = pipeline_queries.found_hits(spark, sf_dir("0.001"))[2]
+    # What is left are the tokens of the queries, collected before.
+    assert "MapInPandas" not in late._jdf.queryExecution().toString()
+
+
 def test_shuffled_keyword_path_equals_broadcast_path(spark, small, monkeypatch):
     corpus, terms = small
     plans = spark.createDataFrame([(i, {"union": 1.0, "slavery": 2.0, "--": 1.0}, [], []) for i in range(5)], PLANS)

@@ -23,12 +23,15 @@ def enrich_batches(
 
     def apply(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at:at + batch].reset_index(drop=True)
-                got = call(part.pop(text).tolist())
-                if len(got) != len(part):
-                    raise ValueError(f"callable returned {len(got)} rows for {len(part)} texts")
-                yield pd.concat([part, got.reset_index(drop=True)], axis=1)
+            texts = frame.pop(text).tolist()
+            parts = []
+            for at in range(0, len(texts), batch):
+                part = texts[at:at + batch]
+                parts.append(call(part))
+                if len(parts[-1]) != len(part):
+                    raise ValueError(f"callable returned {len(parts[-1])} rows for {len(part)} texts")
+            if parts:
+                yield pd.concat([frame.reset_index(drop=True), pd.concat(parts, ignore_index=True)], axis=1)
 
     kept = [f for f in rows.schema.fields if f.name != text]
     return rows.mapInPandas(apply, StructType(kept + added.fields))

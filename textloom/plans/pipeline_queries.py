@@ -11,6 +11,7 @@ from textloom.plans.metric_queries import SQL_QRELS, qrels
 from textloom.plans.prep_queries import documents, terms
 from textloom.plans.registry import query, r6, table
 from textloom.plans.retrieval_queries import corpus, plans, sql_ranked
+from textloom.session import cut_lineage
 
 # The data has no vectors of texts. These stand in for a model's: counts of eight letters.
 LETTERS = "aeinrstl"
@@ -53,7 +54,8 @@ def found_hits(spark: SparkSession, d: str) -> list[DataFrame]:
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     by_word = keyword.keyword_search(corpus(spark, d), terms(spark, d), plans(spark, d), 5)
     by_vector = vector.cosine_top(_embedded(docs, "text"), _embedded(asked, "text"), 5)
-    lines = _embedded(_lines(docs, "chunk_id"), "line").select("chunk_id", "embedding")
+    # Stored once, as the late interaction reads them three times.
+    lines = cut_lineage(_embedded(_lines(docs, "chunk_id"), "line").select("chunk_id", "embedding"), "line-vectors")
     late = vector.late_interaction_top(lines, _embedded(_lines(asked, "query_id"), "line"), 5)
     return [retrieve.keyword_hits(by_word), retrieve.vector_hits(by_vector), retrieve.late_interaction_hits(late)]
 
