@@ -235,6 +235,14 @@ def test_words_are_those_of_the_pattern(spark):
     assert sizes.tolist() == [2, 0, 1] and words.to_pylist() == ["a", "b", "c"]
 
 
+def test_gaps_are_exploded_for_edges_only(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "one quiet little harbour"), (2, "one quiet big harbour")], "text_id long, text string")
+    needles = spark.createDataFrame([(7, "e quiet little ha")], "needle_id long, needle string")
+    monkeypatch.setattr(containment, "all_runs", lambda c: pytest.fail("no needle asks for gaps"))
+    found = containment.containment_join(needles, "needle_id", "needle", texts, "text_id", "text").collect()
+    assert [tuple(r) for r in found] == [(7, 1)]
+
+
 def test_lines_of_documents_are_embedded_once(spark):
     late = pipeline_queries.found_hits(spark, sf_dir("0.001"))[2]
     # What is left are the tokens of the queries, collected before.

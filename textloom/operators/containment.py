@@ -264,7 +264,10 @@ def containment_join(
     words = mine.withColumn("w", inner_words(F.col("_needle")))
     anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
     edges = words.filter(F.size("w") == 0).select("owner", F.lit(0).alias("needle"), F.inline(edge_runs(F.col("_needle"))))
-    pairs = cut_lineage(candidates(anchors, edges, texts, text_id, all_runs(F.col(text))), "pairs")
+    # Only edges ask for runs of other characters.
+    words_only = F.array_distinct(F.regexp_extract_all(text, F.lit(tx.WORD_RUN), F.lit(0)))
+    runs = words_only if edges.isEmpty() else all_runs(F.col(text))
+    pairs = cut_lineage(candidates(anchors, edges, texts, text_id, runs), "pairs")
     near = keep_ids(texts.select(text_id, F.col(text).alias("_text")), text_id, pairs)
     tested = pairs.join(mine, "owner").join(near, text_id)
     return tested.filter(F.contains("_text", F.col("_needle"))).select(F.col("owner").alias(needle_id), text_id)
