@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from tests.oracle import sf_dir
 from textloom import schemas
-from textloom.functions import arrow, text as tx
+from textloom.functions import arrow, forms, text as tx
 from textloom.operators import (
-    containment, curate, enrich, evals, fusion, irmetrics, keyword, numbering, overlap, prep, quotes, skew, termstats, vector,
+    containment, curate, enrich, evals, fusion, irmetrics, keyword, needles, numbering, overlap, prep, quotes, skew, termstats, vector,
 )
 from textloom.plans import pipeline_queries, source_queries
 from textloom.plans.catalog import QUERIES as CATALOG
@@ -312,6 +312,84 @@ def test_quotes_of_common_words_meet_few_texts(spark, monkeypatch):
     assert sizes["covering-candidates"] <= 1
 
 
+def test_forms_equal_those_of_columns(spark):
+    rng = random.Random(11)
+    signs = list("abcX Yz01_.,;!?-–—[]…`'\"‘’“”\n\r\t\\éÖßΣςİﬁ①½Жя中\u0301\u00a0\u2028\u0085\x1c＂") + ["...", "``", "\'\'", "\\n", "[x]", " ", "  "]
+    texts = [None, "", "“…”", "'a'"] + ["".join(rng.choice(signs) for _ in range(rng.randint(1, 60))) for _ in range(800)]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string").withColumn("strict", tx.strict_form(F.col("t")))
+    for r in rows.withColumn("loose", tx.loose_form(F.col("strict"))).collect():
+        strict = forms.strict(forms.decomposed(r.t or ""))
+        assert (strict, forms.loose(strict)) == (r.strict, r.loose)
+    quote = "one two three four five six seven eight nine ten eleven, twelve thirteen fourteen fifteen"
+    every = spark.createDataFrame([(quote[:n],) for n in range(90)], "q string").select(
+        "q", quotes.windows(F.col("q"), 30).alias("a"), quotes.windows(F.col("q"), 50, True, 0.5).alias("b")
+    ).collect()
+    for r in every:
+        for all_windows, least in ((r.a, forms.least_windows(r.q, 30)), (r.b, forms.least_windows(r.q, 50, True, 0.5))):
+            assert set(least) <= set(all_windows) and all(any(x in w for x in least) for w in all_windows)
+
+
+def test_needles_of_any_length_find_their_texts(spark, monkeypatch):
+    """Against a scan of all texts: cut words, letters of several bytes, ends of texts, small parts and blocks."""
+    monkeypatch.setattr(needles, "SCAN_BYTES", 300)
+    monkeypatch.setattr(needles, "BLOCK", 150)
+    rng = random.Random(4)
+    words = ["sea", "overseas", "of", "the", "größe", "a", "ten,", "мир", "it's", "x-y", "of the", "overseas sea of the ten"]
+    texts = [(rng.choice([None, *range(30)]), " ".join(rng.choice(words) for _ in range(rng.randint(0, 40)))) for _ in range(70)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, t string").select("chunk_id", F.lower("t").alias("c_strict"))
+    bodies = [[(k, t.lower()) for k, t in texts if k is not None and t]]
+    bodies.append([(k, forms.loose(t)) for k, t in bodies[0]])
+    asked = []
+    for _ in range(500):
+        form = rng.randrange(2)
+        body = rng.choice(bodies[form])[1]
+        cuts = [body[a:a + rng.choice([1, 2, 3, 5, 7, 8, 9, 12, 15, 16, 20, 31, 32, 33, 50, 90])] for a in sorted(rng.choices(range(max(1, len(body))), k=rng.choice([1, 1, 1, 2])))]
+        if all(cuts):
+            asked.append((form, cuts))
+    asked += [(0, ["zzyzx"]), (1, ["s on"]), (0, ["overseas sea of the ten overseas sea of the tin"])]
+    asked = [a for i, a in enumerate(asked) if a not in asked[:i]]
+    table = spark.createDataFrame([(i, f, s) for i, (f, s) in enumerate(asked)], "needle long, form int, segs array<string>")
+    got = {}
+    for r in needles.look_up(corpus, "chunk_id", table).collect():
+        got.setdefault(r.needle, set()).add((r.id, r.sure))
+    for i, (form, segs) in enumerate(asked):
+        want = {k for k, body in bodies[form] if forms.in_order(body, segs)}
+        found = got.get(i, set())
+        if len(segs) == 1 and len(segs[0].encode()) < needles.PIECE:
+            assert found == ({(min(want), True)} if want else set()), segs
+        else:
+            assert want <= {k for k, _ in found} and not any(sure for _, sure in found), segs
+
+
+def test_common_short_quotes_meet_one_text(spark, monkeypatch):
+    texts = [(i, f"The {i}nd was by the sea, and {i} said so to whom it may concern.") for i in range(60)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string")
+    said = [(1, "as by the s"), (2, "id so to wh"), (3, "was by the sea and 41 said so"), (4, "41 said so to whom"), (5, "was by a sea")]
+    asked = spark.createDataFrame([(str(k), q, 99) for k, q in said], "quote_id string, passage string, cited long")
+    sizes, columns = {}, {}
+    old = quotes.cut_lineage
+    monkeypatch.setattr(quotes, "cut_lineage", lambda df, name: (out := old(df, name), sizes.update({name: out.count()}), columns.update({name: out.columns}))[0])
+    got = quotes.verify_quotes(asked, corpus, "quote_id", "passage", "cited", "chunk_id", "text").collect()
+    assert {r.quote_id: (r.match_id, r.method) for r in got} == {
+        "1": (0, "strict_segments"), "2": (0, "strict_segments"), "3": (41, "loose_segments"), "4": (41, "strict_segments"), "5": (None, None),
+    }
+    assert sizes["needle-candidates"] == 4  # not one for each text that holds the words of the first two
+    assert columns["corpus-forms"] == ["chunk_id", "c_strict"]  # loose forms are made where asked
+
+
+def test_quotes_beside_repeated_and_missing_chunks(spark):
+    texts = [(1, "The quiet harbour of the old town"), (1, "the quiet harbour, of the old town"), (None, "a mountain road without a number"), (2, None), (3, "")]
+    corpus = spark.createDataFrame(texts, "chunk_id long, text string")
+    rows = [("a", "quiet harbour of the old", 1), ("b", "quiet harbour of the old", 2), ("c", "quiet harbour of the old", None), ("d", "a mountain road without", None), ("e", "no", 1), ("f", None, 3)]
+    asked = spark.createDataFrame(rows * 20, "quote_id string, passage string, cited long").distinct()
+    got = quotes.verify_quotes(asked, corpus, "quote_id", "passage", "cited", "chunk_id", "text").collect()
+    assert sorted((r.quote_id, r.cited_found, r.outcome, str(r.method), r.match_id or 0) for r in got) == [
+        ("a", True, "verified", "loose_segments", 1), ("a", True, "verified", "strict_segments", 1),
+        ("b", True, "displacement", "loose_segments", 1), ("c", False, "displacement", "loose_segments", 1),
+        ("d", False, "fabrication", "None", 0), ("e", True, "too_short", "None", 0), ("e", True, "too_short", "None", 0), ("f", True, "too_short", "None", 0),
+    ]
+
+
 def test_word_pairs_are_counted_in_one_scan_and_tasks_stay_small(spark, monkeypatch):
     rows = [(1, "s", "na na na na. Na-na, so so well", None, None), (1, "s", "so well", None, None), (2, None, "so  well, so", None, None)]
     corpus = spark.createDataFrame(rows, "chunk_id long, source string, full_text string, summary string, keywords array<string>")

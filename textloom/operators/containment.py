@@ -22,26 +22,6 @@ def inner_words(c: Column) -> Column:
     return F.array_distinct(F.filter(inner, lambda r: r.rlike(tx.WORD_RUN)))
 
 
-def word_pairs(runs: Column) -> Column:
-    """Distinct words of a list of runs with the gap and the word behind them, as one string each."""
-    first = F.when(F.regexp_like(F.coalesce(F.get(runs, F.lit(0)), F.lit("")), F.lit(f"^{tx.WORD_RUN}$")), 0).otherwise(1)
-    starts = F.when(F.size(runs) - first >= 3, F.sequence(first, F.size(runs) - 3, F.lit(2)))
-    pairs = F.transform(starts, lambda i: F.concat(F.get(runs, i), F.get(runs, i + 1), F.get(runs, i + 2)))
-    return F.coalesce(F.array_distinct(pairs), F.array().cast("array<string>"))
-
-
-def inner_pairs(c: Column) -> Column:
-    """Pairs of adjacent words of a needle that touch neither its start nor its end; much rarer than its words."""
-    return tx.let(
-        F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)),
-        lambda rs: word_pairs(F.slice(rs, 2, F.greatest(F.size(rs) - 2, F.lit(0)))),
-    )
-
-
-def all_pairs(c: Column) -> Column:
-    return tx.let(F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)), word_pairs)
-
-
 def edge_runs(c: Column) -> Column:
     """The outer runs of a needle without an inner word, as ``struct(run, side)``.
 
@@ -104,156 +84,40 @@ def expand_to_vocabulary(runs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return runs.withColumn("piece", piece).join(terms, ["side", "piece"]).filter(fits).select("run", "side", "term").distinct()
 
 
-def run_pairs(c: Column) -> Column:
-    """The runs of a needle of the form word, gap or word, gap, word, as ``struct(a, gap, b)``; null for others.
-
-    ``b`` is empty for word, gap. A text holds the needle exactly where a word that ends with ``a`` stands before
-    the gap and a word that starts with ``b`` behind it (without ``b``: before a gap that starts so).
-    """
-    def cut(rs: Column) -> Column:
-        fits = F.size(rs).isin(2, 3) & rs[0].rlike(f"^{tx.WORD_RUN}$")
-        return F.when(fits, F.struct(rs[0].alias("a"), rs[1].alias("gap"), F.coalesce(F.get(rs, F.lit(2)), F.lit("")).alias("b")))
-
-    return tx.let(F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)), cut)
-
-
-def lead_pair(c: Column) -> Column:
-    """The first word of a needle, the gap and what follows it, as in ``run_pairs``; null without a word and a gap.
-
-    A text that holds the needle holds this pair, so a needle whose only complete words are common meets few texts.
-    """
-    def cut(rs: Column) -> Column:
-        skip = F.when(F.regexp_like(F.coalesce(F.get(rs, F.lit(0)), F.lit("")), F.lit(f"^{tx.WORD_RUN}$")), 0).otherwise(1)
-        pair = F.struct(
-            F.get(rs, skip).alias("a"), F.get(rs, skip + 1).alias("gap"), F.coalesce(F.get(rs, skip + 2), F.lit("")).alias("b")
-        )
-        return F.when(F.size(rs) >= skip + 2, pair)
-
-    return tx.let(F.regexp_extract_all(c, F.lit(tx.ANY_RUN), F.lit(0)), cut)
-
-
-def _pair_texts(pairs: DataFrame, expanded: DataFrame, texts: DataFrame, text_id: str, bodies: list[Column]) -> DataFrame:
-    """``owner, text_id``: for a ``sole`` pair the first text that holds it, for others every such text.
-
-    One scan for all pairs: every word of a text with the gap and the word behind it meets the asked pairs on
-    the word, the gap and the next letter. First texts combine on the map side, so that a pair that stands in
-    many texts sends one row per task.
-    """
-    ends = expanded.filter("side = 'end'").select(F.col("run").alias("a"), F.col("term").alias("left"))
-    open_gap = F.concat(F.lit("\u0001"), F.left("gap", F.lit(1)))
-    what = ["form", "a", "gap", "b"]
-    asked = pairs.groupBy(*what).agg(F.bool_and("sole").alias("sole")).join(ends, "a").withColumn(
-        "head", F.when(F.col("b") == "", open_gap).otherwise(F.concat("gap", F.left("b", F.lit(1))))
-    )
-    asked = broadcast_if_small(cut_lineage(asked, "asked-pairs"))
-    held = None
-    for form, body in enumerate(bodies):
-        runs = F.regexp_extract_all(body, F.lit(tx.ANY_RUN), F.lit(0))
-        rows = texts.select(text_id, runs.alias("r")).select(
-            text_id, F.inline(F.arrays_zip(
-                F.col("r"), F.slice("r", F.lit(2), F.size("r")), F.slice("r", F.lit(3), F.size("r"))
-            )).alias("left", "here", "next"),
-        )
-        rows = rows.filter(F.col("here").isNotNull() & F.regexp_like("left", F.lit(f"^{tx.WORD_RUN}$"))).select(
-            text_id, F.lit(form).alias("form"), "left", "here", "next",
-            F.explode(F.array(
-                F.concat("here", F.left(F.coalesce("next", F.lit("")), F.lit(1))), F.concat(F.lit("\u0001"), F.left("here", F.lit(1)))
-            )).alias("head"),
-        )
-        held = rows if held is None else held.unionByName(rows)
-    fits = F.when(F.col("b") == "", F.startswith("here", F.col("gap"))).otherwise(
-        (F.col("here") == F.col("gap")) & F.startswith("next", F.col("b"))
-    )
-    met = held.join(asked, ["form", "left", "head"]).filter(fits)
-    # A pair that some needle needs in every text keeps its texts, the others their first one.
-    kept = F.when(F.col("sole"), F.lit(None)).otherwise(F.col(text_id))
-    found = met.groupBy(*what, kept.alias("_each")).agg(F.min(text_id).alias(text_id)).drop("_each")
-    found = cut_lineage(found, "pair-texts")
-    single = found.groupBy(*what).agg(F.min(text_id).alias(text_id))
-    mine = pairs.filter("sole").join(single, what).unionByName(pairs.filter("not sole").join(found, what))
-    return mine.select("owner", text_id, "sole")
-
-
-def candidates(
-    anchors: DataFrame, edges: DataFrame, texts: DataFrame, text_id: str, tokens: Column,
-    either: DataFrame | None = None, certain: DataFrame | None = None,
-    pairs: DataFrame | None = None, bodies: list[Column] = (), phrases: Column | None = None,
-) -> DataFrame:
+def candidates(anchors: DataFrame, edges: DataFrame, texts: DataFrame, text_id: str, tokens: Column) -> DataFrame:
     """Distinct ``owner, text_id`` pairs that can match.
 
     ``anchors(owner, needle, term)``: the text must hold all these terms; joined on the rarest.
     ``edges(owner, needle, run, side)``: outer runs of needles without an inner word; the run
     with the fewest expansions is used.
-    ``either(owner, term, keep)``: the text must hold one of the ``keep`` rarest of these terms.
-    ``certain(owner, needle, run, side)``: needles of one run, whose every expansion is a match. Given where
-    only the first match counts: of these needles only the first text is taken, and texts behind it are left
-    out for the owner's other needles.
-    ``pairs(owner, needle, form, a, gap, b, sole)``: needles of a word, a gap and perhaps a word (``run_pairs``), looked
-    up in ``bodies[form]``. ``sole``: the needle is that pair alone, so that it counts as certain.
-    ``tokens``: array of distinct terms of a text; ``phrases``: array of further ones that only ``anchors`` ask for.
+    ``tokens``: array of distinct terms of a text.
     """
     has_edges = not edges.isEmpty()
     postings = texts.select(F.col(text_id), F.explode(tokens).alias("term"))
-    every = postings if phrases is None else texts.select(F.col(text_id), F.explode(F.concat(tokens, phrases)).alias("term"))
-    wanted = [anchors.select("term")]
+    needed = anchors.select("term")
     if has_edges:
         asked_runs = edges.select("run", "side").distinct()
         expanded = cut_lineage(expand_to_vocabulary(asked_runs, postings.select("term").distinct()), "edge-terms")
-        wanted.append(expanded.select("term"))
-    if either is not None:
-        wanted.append(either.select("term"))
-    needed = wanted[0]
-    for w in wanted[1:]:
-        needed = needed.union(w)
+        needed = needed.union(expanded.select("term"))
     needed = broadcast_if_small(needed.distinct())
-    found = cut_lineage(every.join(needed, "term", "left_semi"), "postings")  # of the asked terms only
+    found = cut_lineage(postings.join(needed, "term", "left_semi"), "postings")  # of the asked terms only
     freq = found.groupBy("term").agg(F.count("*").alias("df"))
 
     # A needle with a word the corpus lacks cannot occur: df 0 drops it in the join below.
-    rarest = (
+    wanted_keys = (
         anchors.join(freq, "term", "left")
         .groupBy("owner", "needle")
         .agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "term")).alias("best"))
         .select("owner", F.col("best.term").alias("term"))
     )
-    keys = [rarest]
     if has_edges:
         # A run without any expansion rules its needle out, so it counts as the best one.
         load = expanded.join(freq, "term").groupBy("run", "side").agg(F.sum("df").alias("df"))
-        asked = edges.distinct()
-        for direct in (certain, pairs):
-            if direct is not None:
-                asked = asked.join(direct.select("owner", "needle").distinct(), ["owner", "needle"], "left_anti")
-        asked = asked.join(load, ["run", "side"], "left")
-        best = asked.groupBy("owner", "needle").agg(
+        best = edges.distinct().join(load, ["run", "side"], "left").groupBy("owner", "needle").agg(
             F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "run", "side")).alias("b")
         ).select("owner", "needle", "b.run", "b.side")
-        keys.append(expanded.join(best, ["run", "side"]).select("owner", "term"))
-    if either is not None:
-        sized = either.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-        # The words of one quote, bounded by its length.
-        listed = sized.groupBy("owner", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
-        keys.append(listed.select("owner", F.explode(F.slice("t", F.lit(1), F.col("keep"))).alias("t")).select("owner", "t.term"))
-    wanted_keys = keys[0]
-    for k in keys[1:]:
-        wanted_keys = wanted_keys.union(k)
-    wanted_keys = wanted_keys.distinct()
-    direct = []
-    if certain is not None and has_edges:
-        first = found.groupBy("term").agg(F.min(text_id).alias("first"))
-        by_run = expanded.join(first, "term").groupBy("run", "side").agg(F.min("first").alias(text_id))
-        direct.append(certain.join(by_run, ["run", "side"]).select("owner", text_id, F.lit(True).alias("sole")))
-    if pairs is not None and has_edges:
-        direct.append(_pair_texts(pairs, expanded, texts, text_id, bodies))
-    if not direct:
-        return salted_join(found, wanted_keys, "term", heavy_keys(freq, "term", "df"), F.col(text_id)).select("owner", text_id).distinct()
-    known = direct[0] if len(direct) == 1 else direct[0].unionByName(direct[1])
-    known = cut_lineage(known, "direct-texts")
-    bound = known.filter("sole").groupBy("owner").agg(F.min(text_id).alias("bound"))
-    wanted_keys = wanted_keys.join(bound, "owner", "left")
-    met = salted_join(found, wanted_keys, "term", heavy_keys(freq, "term", "df"), F.col(text_id))
-    met = met.filter(F.col("bound").isNull() | (F.col(text_id) <= F.col("bound")))
-    return met.select("owner", text_id).unionByName(known.select("owner", text_id)).distinct()
+        wanted_keys = wanted_keys.union(expanded.join(best, ["run", "side"]).select("owner", "term"))
+    return salted_join(found, wanted_keys.distinct(), "term", heavy_keys(freq, "term", "df"), F.col(text_id)).select("owner", text_id).distinct()
 
 
 def containment_join(

@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
-from textloom.functions import text as tx
-from textloom.operators.containment import all_pairs, all_runs, candidates, edge_runs, inner_pairs, inner_words, lead_pair, run_pairs
-from textloom.operators.skew import heavy_keys, keep_ids, salted_join
+from textloom.functions import forms, text as tx
+from textloom.functions.forms import STOPWORDS
+from textloom.operators.needles import beside, document_counts, look_up, word_postings
+from textloom.operators.skew import heavy_keys, salted_join
 from textloom.session import cut_lineage
 
-# Words that say nothing about the content of a quote.
-STOPWORDS = [
-    "the", "a", "an", "and", "or", "but", "if", "then", "than", "to", "of", "in", "on",
-    "for", "with", "by", "at", "as", "is", "are", "was", "were", "be", "been", "being",
-    "it", "its", "this", "that", "these", "those", "we", "you", "i", "he", "she", "they",
-    "them", "his", "her", "their", "our", "us", "my", "your", "not", "no", "so", "do",
-    "does", "did", "from", "into", "over", "under", "up", "down", "out", "about",
-    "because", "which", "who", "whom", "what", "when", "where", "why", "how",
-]
 # Thresholds of the checks.
-MIN_STRICT, MIN_LOOSE = 10, 18
 MIN_PASSAGE, MIN_CONTENT_WORDS = 5, 6
 VERIFIED_COVERAGE, APPROXIMATE_CITED, APPROXIMATE_ELSEWHERE = 0.95, 0.86, 0.90
 OUTCOMES = [
@@ -28,28 +24,6 @@ OUTCOMES = [
 ]
 
 
-def _pieces(passage: Column) -> Column:
-    """Decomposed passage without surrounding quote marks, split at ellipses, without empty pieces."""
-    bare = tx.strip(F.regexp_replace(tx.strip(passage), "^[“”‘’\"']+|[“”‘’\"']+$", ""))
-    return F.filter(F.split(bare, r"\.\.\.|…"), lambda s: s != "")
-
-
-def _segments(pieces: Column, form, least: int) -> Column:
-    parts = F.filter(F.transform(pieces, form), lambda s: F.length(s) >= least)
-    whole = form(F.array_join(pieces, " "))
-    return F.when(F.size(parts) > 0, parts).when(F.length(whole) > 0, F.array(whole)).otherwise(
-        F.array().cast("array<string>")
-    )
-
-
-def strict_segments(pieces: Column) -> Column:
-    return _segments(pieces, lambda c: tx.strict_form(c, True), MIN_STRICT)
-
-
-def loose_segments(pieces: Column) -> Column:
-    return _segments(pieces, lambda c: tx.loose_form(tx.strict_form(c, True)), MIN_LOOSE)
-
-
 def in_order(body: Column, segments: Column) -> Column:
     """True if every segment is found at or after the end of the one before."""
     def advance(pos: Column, seg: Column) -> Column:
@@ -106,123 +80,110 @@ def first_window(cuts: Column, body: Column) -> Column:
     return F.try_element_at(F.filter(cuts, lambda w: F.contains(body, w)), F.lit(1))
 
 
+QUOTE_FORMS = "q_strict string, q_loose string, s_strict array<string>, s_loose array<string>, q_words array<string>"
+
+
 def prepare_quotes(quotes: DataFrame, passage: str) -> DataFrame:
-    """Add the normal forms of the passage. Each is computed once.
+    """Add the normal forms of the passage (``forms.quote_forms``)."""
+    added = StructType.fromDDL(QUOTE_FORMS)
+    types = [to_arrow_type(f.dataType) for f in added]
 
-    A passage of one piece, which most are, is its only segment, whatever its length, so one normal form serves
-    for all of them.
-    """
-    none = F.array().cast("array<string>")
-    q = quotes.withColumn("_raw", tx.nfkd(F.coalesce(passage, F.lit("")))).withColumn("_pieces", _pieces(F.col("_raw")))
-    several = F.size("_pieces") > 1
-    q = q.withColumn("_piece", F.when(~several, F.coalesce(F.get("_pieces", F.lit(0)), F.lit(""))))
-    q = q.withColumn("_one", tx.strict_form(F.col("_piece"), True))
-    q = q.withColumn("q_strict", F.when(F.col("_piece") == F.col("_raw"), F.col("_one")).otherwise(tx.strict_form(F.col("_raw"), True)))
-    q = q.withColumn("q_loose", tx.loose_form(F.col("q_strict")))
-    q = q.withColumn("_one_loose", F.when(F.col("_one") == F.col("q_strict"), F.col("q_loose")).otherwise(tx.loose_form(F.col("_one"))))
-    for name, one, many in (("s_strict", "_one", strict_segments), ("s_loose", "_one_loose", loose_segments)):
-        q = q.withColumn(name, F.when(several, many(F.col("_pieces"))).when(F.length(one) > 0, F.array(one)).otherwise(none))
-    compared = F.when(F.size("s_loose") > 0, F.array_join("s_loose", " ")).otherwise(F.col("q_loose"))
-    return q.withColumn("q_words", content_words(compared)).drop("_raw", "_pieces", "_piece", "_one", "_one_loose")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [(*(q := forms.quote_forms(p)), q.words()) for p in batch.column(passage).to_pylist()]
+            new = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], [*batch.schema.names, *added.names])
+
+    return quotes.mapInArrow(run, StructType([*quotes.schema.fields, *added.fields]))
 
 
 def prepare_corpus(corpus: DataFrame, text: str) -> DataFrame:
-    """Normal forms, distinct runs and word pairs of every chunk; worth storing where many quote tables meet one corpus."""
-    forms = corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn(
-        "c_loose", tx.loose_form(F.col("c_strict"))
-    )
-    return _with_terms(forms)
+    """Normal forms of every chunk; worth storing where many quote tables meet one corpus."""
+    return corpus.withColumn("c_strict", tx.strict_form(F.col(text))).withColumn("c_loose", tx.loose_form(F.col("c_strict")))
 
 
-def _with_terms(forms: DataFrame) -> DataFrame:
-    words = F.array_union(all_runs(F.col("c_strict")), F.split("c_loose", " "))
-    pairs = F.array_union(all_pairs(F.col("c_strict")), all_pairs(F.col("c_loose")))
-    return forms.withColumn("c_words", words).withColumn("c_pairs", pairs)
+def stored_forms(corpus: DataFrame, chunk_id: str, text: str) -> DataFrame:
+    """The strict forms of a corpus, written once; loose forms are made of them where asked."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [forms.strict(forms.decomposed(t or "")) for t in batch.column(text).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(chunk_id), pa.array(made, pa.string())], [chunk_id, "c_strict"])
+
+    kind = corpus.schema[chunk_id].dataType.simpleString()
+    return cut_lineage(corpus.select(chunk_id, text).mapInArrow(run, f"{chunk_id} {kind}, c_strict string"), "corpus-forms")
+
+
+def _cited_method(chunk: forms.Chunk, q: forms.QuoteForms) -> tuple[str | None, float | None]:
+    if forms.in_order(chunk.strict, q.s_strict):
+        return "strict_segments", None
+    if forms.in_order(chunk.loose, q.s_loose):
+        return "loose_segments", None
+    if any(w in chunk.strict for w in forms.least_windows(q.q_strict, 30)):
+        return "sliding_window", None
+    # The words of a whole chunk are compared only for quotes that no cheaper test settles.
+    cover = _covered(chunk, q.words())
+    if cover >= VERIFIED_COVERAGE:
+        return "token_coverage", cover
+    return ("approximate", cover) if cover >= APPROXIMATE_CITED else (None, None)
 
 
-def stored_forms(corpus: DataFrame, chunk_id: str, text: str) -> DataFrame:
-    """``prepare_corpus`` with the normal forms written once; the distinct runs are read off them where asked."""
-    forms = prepare_corpus(corpus.select(chunk_id, text), text).select(chunk_id, "c_strict", "c_loose")
-    return _with_terms(cut_lineage(forms, "corpus-forms"))
+def _covered(chunk: forms.Chunk, words: list[str]) -> float:
+    return sum(w in chunk.words for w in words) / len(words) if len(words) >= MIN_CONTENT_WORDS else 0.0
 
 
-def _direct_method() -> Column:
-    return (
-        F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")
-        .when(in_order(F.col("c_loose"), F.col("s_loose")), "loose_segments")
-        .when(any_window(windows(F.col("q_strict"), 30), F.col("c_strict")), "sliding_window")
-    )
+def check_cited(quotes: DataFrame, passage: str, corpus: DataFrame, cited: str, chunk_id: str) -> DataFrame:
+    """Compare each quote with the one chunk it cites: ``cited_found``, ``method`` and ``score`` or null.
 
+    The normal forms of a quote are made in the same task, and kept where it is still open.
+    """
+    def judge(chunk: forms.Chunk | None, asked: tuple) -> tuple:
+        q = forms.quote_forms(asked[0])
+        method, score = _cited_method(chunk, q) if chunk is not None and chunk.strict else (None, None)
+        kept = (q.q_strict, q.s_strict, q.s_loose, q.words()) if method is None else (None,) * 4
+        return chunk is not None, method, score, *kept
 
-def check_cited(quotes: DataFrame, corpus: DataFrame, cited: str, chunk_id: str) -> DataFrame:
-    """Compare each prepared quote with the one chunk it cites: ``method`` and ``score`` or null."""
-    chunks = corpus.select(F.col(chunk_id).alias(cited), "c_strict", "c_loose", F.lit(True).alias("cited_found"))
-    joined = quotes.join(keep_ids(chunks, cited, quotes), cited, "left")
-    # The words of a whole chunk are compared only for quotes that no cheaper test settles.
-    joined = joined.withColumn("_direct", F.when(F.length("c_strict") > 0, _direct_method())).withColumn(
-        "_cover", F.when(F.col("_direct").isNull(), F.coalesce(coverage(F.col("q_words"), content_words(F.col("c_loose"))), F.lit(0.0)))
-    )
-    by_words = F.when(F.col("_cover") >= VERIFIED_COVERAGE, "token_coverage").when(F.col("_cover") >= APPROXIMATE_CITED, "approximate")
-    return (
-        joined.withColumn("method", F.when(F.length("c_strict") > 0, F.coalesce("_direct", by_words)))
-        .withColumn("score", F.when(F.col("method").isin("token_coverage", "approximate"), F.col("_cover")))
-        .withColumn("cited_found", F.coalesce("cited_found", F.lit(False)))
-        .drop("c_strict", "c_loose", "_cover", "_direct")
-    )
+    schema = "cited_found boolean, method string, score double, q_strict string, s_strict array<string>, s_loose array<string>, q_words array<string>"
+    return beside(quotes, cited, corpus, chunk_id, [passage], schema, judge)
 
 
-# Pairs of words that a needle is looked up by at most; the longest ones, of which the rarest is joined.
-ANCHOR_PAIRS = 3
+def _needles(quotes: DataFrame) -> DataFrame:
+    """``owner, form, segs``: what the strict (0) or loose (1) form of a chunk holds that holds segments or a window.
 
+    A strict form with a segment has a loose form with the loose segment, so a quote that is one segment is looked for
+    in loose forms only.
+    """
+    def asked(strict: list[str], loose: list[str], quote: str) -> Iterator[tuple[int, list[str]]]:
+        if strict and not (len(strict) == len(loose) == 1 and forms.loose(strict[0]) == loose[0]):
+            yield 0, strict
+        if loose:
+            yield 1, loose
+        for w in forms.least_windows(quote, 50, True, 0.5):
+            yield 0, [w]
 
-def _needle_candidates(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
-    """Owner and chunk pairs that a test of segments or windows could accept."""
-    groups = F.concat(
-        F.array(F.col("s_strict"), F.col("s_loose")),
-        F.transform(windows(F.col("q_strict"), 50, True, 0.5), lambda w: F.array(w)),
-    )
-    needles = quotes.select("owner", F.posexplode(groups).alias("needle", "segs")).filter(F.size("segs") > 0)
-    by_length = F.sort_array(
-        F.transform(
-            F.array_distinct(F.flatten(F.transform("segs", inner_pairs))), lambda p: F.struct(F.length(p).alias("n"), p.alias("p"))
-        ), False,
-    )
-    needles = needles.withColumn("pairs", F.transform(F.slice(by_length, 1, ANCHOR_PAIRS), lambda x: x["p"]))
-    words = F.array_distinct(F.flatten(F.transform("segs", inner_words)))
-    needles = needles.withColumn("w", F.when(F.size("pairs") > 0, F.col("pairs")).otherwise(words))
-    # Without a complete pair: the first word and what follows it. The needle may be no more than that.
-    first = F.try_element_at(F.filter(F.transform("segs", lead_pair), lambda p: p.isNotNull()), F.lit(1))
-    needles = needles.withColumn("p", F.when(F.size("pairs") == 0, first)).withColumn(
-        "sole", (F.size("segs") == 1) & run_pairs(F.col("segs")[0]).isNotNull()
-    )
-    needles = cut_lineage(needles, "needles")
-    paired = F.col("p").isNotNull()
-    anchors = needles.filter((F.size("w") > 0) & ~paired).select("owner", "needle", F.explode("w").alias("term"))
-    sides = F.flatten(F.transform("segs", edge_runs))
-    edges = needles.filter((F.size("w") == 0) & ~paired).select("owner", "needle", F.inline(sides)).unionByName(
-        needles.filter(paired).select("owner", "needle", F.col("p.a").alias("run"), F.lit("end").alias("side"))
-    )
-    # A needle that is one run of letters stands in every chunk with a word that holds it.
-    alone = needles.filter((F.size("segs") == 1) & F.regexp_like(F.col("segs")[0], F.lit(f"^{tx.WORD_RUN}$")))
-    certain = alone.select("owner", "needle", F.inline(F.flatten(F.transform("segs", edge_runs))))
-    # The second needle of a quote is the loose one.
-    two = needles.filter(paired).select(
-        "owner", "needle", F.when(F.col("needle") == 1, 1).otherwise(0).alias("form"), "sole", "p.*"
-    )
-    bodies = [F.col("c_strict"), F.col("c_loose")]
-    return candidates(anchors, edges, corpus, chunk_id, F.col("c_words"), None, certain, two, bodies, F.col("c_pairs"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = zip(*(batch.column(c).to_pylist() for c in ("owner", "s_strict", "s_loose", "q_strict")), strict=True)
+            made = [(owner, *needle) for owner, *own in rows for needle in asked(*own)]
+            types = [pa.int64(), pa.int32(), pa.list_(pa.string())]
+            columns = [pa.array([m[k] for m in made], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays(columns, ["owner", "form", "segs"])
+
+    return quotes.select("owner", "s_strict", "s_loose", "q_strict").mapInArrow(run, "owner bigint, form int, segs array<string>")
 
 
 def _covering_candidates(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
-    """Owner and chunk pairs that the test of coverage could accept."""
+    """``owner, id`` pairs that the test of coverage could accept."""
     # Coverage of .90 leaves at most a tenth of the words out, so one of the n/10 + 1 rarest is in.
     n = F.size("q_words")
-    either = quotes.filter(n >= MIN_CONTENT_WORDS).select(
-        "owner", F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep")
-    )
-    none = either.filter(F.lit(False)).select("owner", F.lit(0).alias("needle"), "term")
-    edges = none.select("owner", "needle", F.col("term").alias("run"), F.lit("").alias("side"))
-    return candidates(none, edges, corpus, chunk_id, F.col("c_words"), either)
+    either = quotes.select("owner", F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep"))
+    freq = cut_lineage(document_counts(corpus, chunk_id, cut_lineage(either.select("term").distinct(), "asked-words")), "word-counts")
+    sized = either.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
+    # The words of one quote, bounded by its length.
+    listed = sized.groupBy("owner", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
+    rarest = listed.select("owner", F.explode(F.slice("t", F.lit(1), F.col("keep"))).alias("t")).filter("t.df > 0").select("owner", "t.term")
+    rarest = cut_lineage(rarest, "rarest-words")
+    found = cut_lineage(word_postings(corpus, chunk_id, rarest.select("term").distinct()), "postings")
+    return salted_join(found, rarest, "term", heavy_keys(freq, "term", "df"), F.col("id")).select("owner", "id").distinct()
 
 
 def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
@@ -231,62 +192,83 @@ def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id:
     The first chunk with a strict, loose or window match wins; without one, the chunk with the
     highest coverage of at least .90, the first on ties. Quotes with the same normal forms are searched once.
     """
-    forms = ["q_strict", "s_strict", "s_loose", "q_words"]
-    named = quotes.select(quote_id, F.sha2(F.to_json(F.struct(*forms)), 256).alias("form"), *forms)
+    own = ["q_strict", "s_strict", "s_loose", "q_words"]
+    named = quotes.select(quote_id, F.sha2(F.to_json(F.struct(*own)), 256).alias("form"), *own)
     # Short numbers stand for the quotes, as there are many pairs of a quote and a chunk.
-    distinct = named.select("form", *forms).distinct().withColumn("owner", F.monotonically_increasing_id())
+    distinct = named.select("form", *own).dropDuplicates(["form"]).withColumn("owner", F.monotonically_increasing_id())
     distinct = cut_lineage(distinct, "distinct-quotes")
     found = _search(distinct, corpus, chunk_id).join(distinct.select("owner", "form"), "owner").drop("owner")
+    found = found.withColumn("match_id", F.col("match_id").cast(corpus.schema[chunk_id].dataType))
     load = named.groupBy("form").agg(F.count("*").alias("n"))
     return salted_join(named.select(quote_id, "form"), found, "form", heavy_keys(load, "form", "n"), F.col(quote_id)).drop("form")
 
 
 def _search(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
     """The words of a quote are looked up and compared only where no chunk holds its segments or windows."""
-    pairs = cut_lineage(_needle_candidates(quotes, corpus, chunk_id), "needle-candidates")
-    near = keep_ids(corpus, chunk_id, pairs).select(chunk_id, "c_strict", "c_loose")
-    left = quotes.select("owner", "s_strict", "s_loose", windows(F.col("q_strict"), 50, True, 0.5).alias("cuts"))
-    tested = pairs.join(left, "owner").join(near, chunk_id).withColumn(
-        "method",
-        F.when(in_order(F.col("c_strict"), F.col("s_strict")), "strict_segments")
-        .when(in_order(F.col("c_loose"), F.col("s_loose")), "loose_segments")
-        .when(any_window(F.col("cuts"), F.col("c_strict")), "sliding_window"),
-    )
-    hit = F.struct(F.col(chunk_id).alias("match_id"), "method")
-    hits = tested.filter("method is not null").groupBy("owner").agg(F.min(hit).alias("hit"))
-    hits = cut_lineage(hits.select("owner", "hit.match_id", "hit.method"), "segment-hits")
-    rest = quotes.join(hits.select("owner"), "owner", "left_anti").select("owner", "q_words")
+    hits = cut_lineage(_segment_hits(quotes, corpus, chunk_id), "segment-hits")
+    rest = quotes.join(hits.select("owner"), "owner", "left_anti").filter(F.size("q_words") >= MIN_CONTENT_WORDS).select("owner", "q_words")
+    rest = cut_lineage(rest, "uncovered-quotes")
     pairs = cut_lineage(_covering_candidates(rest, corpus, chunk_id), "covering-candidates")
-    words = content_words(F.col("c_loose")).alias("words")
-    near = keep_ids(corpus, chunk_id, pairs).select(chunk_id, words)
-    covered = pairs.join(rest, "owner").join(near, chunk_id).withColumn("cover", coverage(F.col("q_words"), F.col("words")))
-    best = F.struct(F.col("cover"), (-F.col(chunk_id)).alias("neg_id"))
-    best = covered.filter(F.col("cover") >= APPROXIMATE_ELSEWHERE).groupBy("owner").agg(F.max(best).alias("best"))
+
+    def judge(chunk: forms.Chunk | None, asked: tuple) -> tuple | None:
+        cover = 0.0 if chunk is None else _covered(chunk, asked[0])
+        return (cover,) if cover >= APPROXIMATE_ELSEWHERE else None
+
+    covered = beside(pairs.join(rest, "owner"), "id", corpus, chunk_id, ["q_words"], "cover double", judge)
+    best = covered.groupBy("owner").agg(F.max(F.struct("cover", (-F.col("id")).alias("neg_id"))).alias("best"))
     by_words = best.select(
         "owner", (-F.col("best.neg_id")).alias("match_id"), F.lit("token_coverage").alias("method"), F.col("best.cover").alias("score")
     )
     return hits.withColumn("score", F.lit(None).cast("double")).unionByName(by_words)
 
 
+def _segment_hits(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
+    """``owner, match_id, method`` of quotes with segments or windows in some chunk. Equal needles are looked up once."""
+    asked = cut_lineage(_needles(quotes), "asked-needles")
+    needles = asked.select("form", "segs").distinct().withColumn("needle", F.monotonically_increasing_id())
+    needles = cut_lineage(needles, "needles")
+    met = cut_lineage(look_up(corpus, chunk_id, needles), "needle-candidates")
+
+    def held(chunk: forms.Chunk | None, given: tuple) -> tuple | None:
+        form, segs = given
+        found = chunk is not None and forms.in_order(chunk.loose if form else chunk.strict, segs)
+        return (True,) if found else None
+
+    tested = beside(met.filter("not sure").join(needles, "needle"), "id", corpus, chunk_id, ["form", "segs"], "held boolean", held)
+    first = met.filter("sure").select("needle", "id").unionByName(tested.select("needle", "id")).groupBy("needle").agg(F.min("id").alias("id"))
+    hits = asked.join(needles.join(first, "needle"), ["form", "segs"]).groupBy("owner").agg(F.min("id").alias("match_id"))
+    hits = cut_lineage(hits.join(quotes.select("owner", "q_strict", "s_strict", "s_loose"), "owner"), "first-chunks")
+
+    def method(chunk: forms.Chunk | None, given: tuple) -> tuple | None:
+        quote, strict, loose = given
+        if chunk is None:
+            return None
+        if forms.in_order(chunk.strict, strict):
+            return ("strict_segments",)
+        if forms.in_order(chunk.loose, loose):
+            return ("loose_segments",)
+        return ("sliding_window",) if any(w in chunk.strict for w in forms.least_windows(quote, 50, True, 0.5)) else None
+
+    # Chunks that share an id may hold a quote in several ways, of which the first name counts.
+    named = beside(hits, "match_id", corpus, chunk_id, ["q_strict", "s_strict", "s_loose"], "method string", method)
+    return named.groupBy("owner", "match_id").agg(F.min("method").alias("method"))
+
+
 def verify_quotes(
     quotes: DataFrame, corpus: DataFrame, quote_id: str, passage: str, cited: str, chunk_id: str, text: str,
     prepared: bool = False,
 ) -> DataFrame:
     """``outcome, method, score, match_id`` for every quote.
 
-    Quotes resolved by their cited chunk leave before the corpus-wide search, which scans the corpus
-    for the terms that quotes ask for. The normal forms of the corpus are computed and stored once,
-    about twice its text (``prepared``: the corpus already holds the columns of ``prepare_corpus``).
+    Quotes resolved by their cited chunk leave before the corpus-wide search, which scans the corpus for what quotes
+    ask for. The strict forms of the corpus are computed and stored once, about its text (``prepared``: the corpus
+    already holds the columns of ``prepare_corpus``).
     """
     chunks = corpus if prepared else stored_forms(corpus, chunk_id, text)
     stored = cut_lineage(quotes, "quotes")
     long_enough = F.length(tx.strip(F.coalesce(passage, F.lit("")))) >= MIN_PASSAGE
     short = stored.filter(~long_enough)
-    whole = prepare_quotes(stored.filter(long_enough), passage).drop("q_loose")
-    checked = check_cited(whole, chunks, cited, chunk_id)
-    for form in ("q_strict", "s_strict", "s_loose", "q_words"):  # asked for again where a quote is still open only
-        checked = checked.withColumn(form, F.when(F.col("method").isNull(), F.col(form)))
-    checked = cut_lineage(checked, "cited-checks")
+    checked = cut_lineage(check_cited(stored.filter(long_enough), passage, chunks, cited, chunk_id), "cited-checks")
     open_quotes = checked.filter("method is null")
     found = search_corpus(open_quotes, quote_id, chunks, chunk_id)
     elsewhere = open_quotes.drop("method", "score").join(found, quote_id, "left")
