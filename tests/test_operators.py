@@ -1,6 +1,7 @@
 """Operators on golden micro-tables and against brute force."""
 
 import random
+import re
 import unicodedata
 
 import numpy as np
@@ -390,6 +391,26 @@ def test_quotes_beside_repeated_and_missing_chunks(spark):
     ]
 
 
+def test_terms_of_one_word_are_found_in_their_task(spark, monkeypatch):
+    texts = [(1, "The Größe of it, the SIZE"), (1, "the rest"), (2, None), (None, "the size"), (3, "size--größe x_1"), (4, "of it!"), (4, "of it!")]
+    asked = [("a", "THE"), ("a", "rest"), ("b", "the"), (None, "size"), ("c", "größe"), ("d", "x_1"), ("e", ""), ("f", "absent"), ("g", "of"), ("g", "of")]
+    body = spark.createDataFrame(texts, "doc_id long, text string")
+    terms = spark.createDataFrame(asked, "term_id string, term string")
+    want = sorted((t, d) for t, w in asked for d, x in texts if t and w and d and x and w.lower() in tx_words(x))
+    with monkeypatch.context() as m:
+        m.setattr(containment, "candidates", lambda *a: pytest.fail("a word needs no test of the text"))
+        assert sorted(map(tuple, containment.term_hits(terms, "term_id", "term", body, "doc_id", "text").collect())) == want
+        m.setattr(containment, "BROADCAST_LIMIT", 0)
+        assert sorted(map(tuple, containment.term_hits(terms, "term_id", "term", body, "doc_id", "text").collect())) == want
+    more = terms.unionByName(spark.createDataFrame([("h", "size--"), ("i", "of it"), ("j", "--")], terms.schema))
+    got = sorted(map(tuple, containment.term_hits(more, "term_id", "term", body, "doc_id", "text").collect()))
+    assert got == sorted([*want, ("h", 3), ("i", 1), ("i", 4), ("i", 4), ("j", 3)])
+
+
+def tx_words(text):
+    return re.findall(r"\w+", text.lower())
+
+
 def test_word_pairs_are_counted_in_one_scan_and_tasks_stay_small(spark, monkeypatch):
     rows = [(1, "s", "na na na na. Na-na, so so well", None, None), (1, "s", "so well", None, None), (2, None, "so  well, so", None, None)]
     corpus = spark.createDataFrame(rows, "chunk_id long, source string, full_text string, summary string, keywords array<string>")

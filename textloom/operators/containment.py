@@ -8,11 +8,18 @@ its outer runs, to the corpus vocabulary entries that end or start with that run
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import StructType
 
 from textloom.functions import text as tx
-from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join
-from textloom.session import cut_lineage
+from textloom.functions.arrow import slices, split_words
+from textloom.operators.skew import broadcast_if_small, heavy_keys, keep_ids, salted_join, table_bytes
+from textloom.session import BROADCAST_LIMIT, cut_lineage
 
 
 def inner_words(c: Column) -> Column:
@@ -143,18 +150,51 @@ def phrase_hits(phrases: DataFrame, phrase_id: str, phrase: str, texts: DataFram
     return containment_join(low, phrase_id, "_phrase", texts.select(text_id, F.lower(text).alias("_low")), text_id, "_low")
 
 
+def _word_hits(words: DataFrame, texts: DataFrame, text_id: str) -> DataFrame:
+    """``owner, text_id`` of ``words(owner, _term)`` that are words of ``texts(text_id, _low)``, found where the text lies."""
+    if table_bytes(words) > BROADCAST_LIMIT:
+        runs = F.array_distinct(F.regexp_extract_all("_low", F.lit(tx.WORD_RUN), F.lit(0)))
+        return texts.select(text_id, F.explode(runs).alias("_term")).join(words, "_term").select("owner", text_id)
+    asked = words.select("owner", "_term").toArrow().combine_chunks().sort_by("_term")
+    terms = asked.column("_term").combine_chunks().dictionary_encode()  # sorted, so numbered in the order of the rows
+    names, owners = terms.dictionary, asked.column("owner").combine_chunks()
+    first = np.searchsorted(terms.indices.to_numpy(), np.arange(len(names) + 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in slices(batches, "_low"):
+            sizes, found = split_words(part.column("_low"))
+            at = pc.index_in(found, value_set=names).fill_null(-1).to_numpy()
+            cells = np.repeat(np.arange(len(sizes)), sizes) * max(len(names), 1) + at
+            row, name = np.divmod(np.unique(cells[at >= 0]), max(len(names), 1))
+            # A word that several terms ask for counts for each of them.
+            each = first[name + 1] - first[name]
+            place = np.repeat(first[name] - np.cumsum(each) + each, each) + np.arange(each.sum())
+            texts = part.column(text_id).take(pa.array(np.repeat(row, each)))
+            yield pa.RecordBatch.from_arrays([owners.take(pa.array(place)), texts], ["owner", text_id])
+
+    kinds = StructType([words.schema["owner"], texts.schema[text_id]])
+    return texts.select(text_id, tx.ascii_gaps(F.col("_low")).alias("_low")).mapInArrow(run, kinds)
+
+
 def term_hits(terms: DataFrame, term_id: str, term: str, texts: DataFrame, text_id: str, text: str) -> DataFrame:
     """Texts holding each term between word boundaries, ignoring case.
 
-    The boundaries make every word of the term a complete word of the text, the outer ones too.
+    The boundaries make every word of the term a complete word of the text, the outer ones too. So a term of one word
+    stands in the texts with this word, and only others are compared with texts.
     """
-    low = terms.select(F.col(term_id).alias("owner"), F.lower(term).alias("_term")).filter("_term <> ''")
+    low = terms.select(F.col(term_id).alias("owner"), F.lower(term).alias("_term")).filter("_term <> '' and owner is not null")
     body = texts.select(text_id, F.lower(text).alias("_low"))
+    one_word = F.regexp_like("_term", F.lit(f"^{tx.WORD_RUN}$"))
+    known = body.filter(F.col(text_id).isNotNull() & F.col("_low").isNotNull())
+    direct = _word_hits(low.filter(one_word), known, text_id).select(F.col("owner").alias(term_id), text_id)
+    low = low.filter(~one_word)
+    if low.isEmpty():
+        return direct
     words = low.withColumn("w", F.array_distinct(F.regexp_extract_all("_term", F.lit(tx.WORD_RUN), F.lit(0))))
     anchors = words.filter(F.size("w") > 0).select("owner", F.lit(0).alias("needle"), F.explode("w").alias("term"))
     edges = words.filter(F.size("w") == 0).select("owner", F.lit(0).alias("needle"), F.inline(edge_runs(F.col("_term"))))
     pairs = cut_lineage(candidates(anchors, edges, body, text_id, all_runs(F.col("_low"))), "pairs")
     tested = pairs.join(low, "owner").join(keep_ids(body, text_id, pairs), text_id)
-    return tested.filter(F.regexp_like(F.col("_low"), tx.whole_word_pattern(F.col("_term")))).select(
+    return direct.unionByName(tested.filter(F.regexp_like(F.col("_low"), tx.whole_word_pattern(F.col("_term")))).select(
         F.col("owner").alias(term_id), text_id
-    )
+    ))
