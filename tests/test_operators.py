@@ -378,6 +378,22 @@ def test_common_short_quotes_meet_one_text(spark, monkeypatch):
     assert columns["corpus-forms"] == ["chunk_id", "c_strict"]  # loose forms are made where asked
 
 
+def test_words_of_quotes_are_compared_where_the_text_lies(spark, monkeypatch):
+    for name, size in (("SCAN_BYTES", 200), ("QUOTE_BLOCK", 20), ("COMPARED", 30), ("BLOCK", 25)):
+        monkeypatch.setattr(needles, name, size)
+    rng = random.Random(8)
+    vocabulary = [f"word{k}" for k in range(40)]
+    texts = [(rng.choice([None, *range(50)]), " ".join(rng.sample(vocabulary, rng.randint(0, 30)))) for _ in range(60)]
+    corpus = spark.createDataFrame(texts, "chunk_id long, c_strict string")
+    asked = {k: rng.sample([*vocabulary, "absent"], rng.randint(6, 25)) for k in range(60)}
+    asked |= {60 + k: rng.sample(t.split(), len(t.split())) for k, (_, t) in enumerate(texts) if len(t.split()) >= 6}
+    table = spark.createDataFrame(list(asked.items()), "owner long, q_words array<string>")
+    got = sorted((r.owner, r.id, r.cover) for r in quotes._covering(table, corpus, "chunk_id").collect())
+    shares = [(o, i, len({*q} & {*t.split()}) / len(q)) for o, q in asked.items() for i, t in texts if i is not None]
+    assert got == sorted(s for s in shares if s[2] >= quotes.APPROXIMATE_ELSEWHERE) and len(got) > 20
+    assert "Join" not in quotes.covering_texts(corpus, "chunk_id", table.withColumn("rarest", F.col("q_words")), 0.9)._jdf.queryExecution().toString()
+
+
 def test_quotes_beside_repeated_and_missing_chunks(spark):
     texts = [(1, "The quiet harbour of the old town"), (1, "the quiet harbour, of the old town"), (None, "a mountain road without a number"), (2, None), (3, "")]
     corpus = spark.createDataFrame(texts, "chunk_id long, text string")

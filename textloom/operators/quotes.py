@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 
 from textloom.functions import forms, text as tx
 from textloom.functions.forms import STOPWORDS
-from textloom.operators.needles import beside, document_counts, look_up, word_postings
+from textloom.operators.needles import beside, covering_texts, document_counts, look_up
 from textloom.operators.skew import heavy_keys, salted_join
 from textloom.session import cut_lineage
 
@@ -171,8 +171,8 @@ def _needles(quotes: DataFrame) -> DataFrame:
     return quotes.select("owner", "s_strict", "s_loose", "q_strict").mapInArrow(run, "owner bigint, form int, segs array<string>")
 
 
-def _covering_candidates(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
-    """``owner, id`` pairs that the test of coverage could accept."""
+def _covering(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
+    """``owner, id, cover`` of the chunks that hold enough of the words of a quote."""
     # Coverage of .90 leaves at most a tenth of the words out, so one of the n/10 + 1 rarest is in.
     n = F.size("q_words")
     either = quotes.select("owner", F.explode("q_words").alias("term"), (F.floor(n / 10) + 1).cast("int").alias("keep"))
@@ -180,10 +180,10 @@ def _covering_candidates(quotes: DataFrame, corpus: DataFrame, chunk_id: str) ->
     sized = either.join(freq, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
     # The words of one quote, bounded by its length.
     listed = sized.groupBy("owner", "keep").agg(F.array_sort(F.collect_list(F.struct("df", "term"))).alias("t"))
-    rarest = listed.select("owner", F.explode(F.slice("t", F.lit(1), F.col("keep"))).alias("t")).filter("t.df > 0").select("owner", "t.term")
-    rarest = cut_lineage(rarest, "rarest-words")
-    found = cut_lineage(word_postings(corpus, chunk_id, rarest.select("term").distinct()), "postings")
-    return salted_join(found, rarest, "term", heavy_keys(freq, "term", "df"), F.col("id")).select("owner", "id").distinct()
+    held = F.filter(F.slice("t", F.lit(1), F.col("keep")), lambda t: t["df"] > 0)
+    rarest = listed.select("owner", F.transform(held, lambda t: t["term"]).alias("rarest")).filter(F.size("rarest") > 0)
+    rarest = cut_lineage(quotes.join(rarest, "owner"), "rarest-words")
+    return covering_texts(corpus, chunk_id, rarest, APPROXIMATE_ELSEWHERE)
 
 
 def search_corpus(quotes: DataFrame, quote_id: str, corpus: DataFrame, chunk_id: str) -> DataFrame:
@@ -208,13 +208,7 @@ def _search(quotes: DataFrame, corpus: DataFrame, chunk_id: str) -> DataFrame:
     hits = cut_lineage(_segment_hits(quotes, corpus, chunk_id), "segment-hits")
     rest = quotes.join(hits.select("owner"), "owner", "left_anti").filter(F.size("q_words") >= MIN_CONTENT_WORDS).select("owner", "q_words")
     rest = cut_lineage(rest, "uncovered-quotes")
-    pairs = cut_lineage(_covering_candidates(rest, corpus, chunk_id), "covering-candidates")
-
-    def judge(chunk: forms.Chunk | None, asked: tuple) -> tuple | None:
-        cover = 0.0 if chunk is None else _covered(chunk, asked[0])
-        return (cover,) if cover >= APPROXIMATE_ELSEWHERE else None
-
-    covered = beside(pairs.join(rest, "owner"), "id", corpus, chunk_id, ["q_words"], "cover double", judge)
+    covered = cut_lineage(_covering(rest, corpus, chunk_id), "covering-candidates")
     best = covered.groupBy("owner").agg(F.max(F.struct("cover", (-F.col("id")).alias("neg_id"))).alias("best"))
     by_words = best.select(
         "owner", (-F.col("best.neg_id")).alias("match_id"), F.lit("token_coverage").alias("method"), F.col("best.cover").alias("score")
